@@ -128,7 +128,15 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
         up, down = _power_tables(len(buf))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)])])
-        self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self._total, self._down = total, down
+        self.hash = self._span(self.end)
+
+    def _span(self, stop: np.ndarray) -> np.ndarray:
+        return mix64((self._total[stop] - self._total[self.start]) * self._down[self.start] + (stop - self.start).astype(np.uint64))
+
+    def prefix(self, n: int) -> np.ndarray:
+        """Hash of each word's first ``n`` bytes."""
+        return self._span(np.minimum(self.start + n, self.end))
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the ``k`` words that begin at each word; only where ``whole(k)`` holds is it meaningful."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.llm import chat, mixing, wavelet, winnow
+from stratagrid.llm import chat, metric_join, mixing, pii, quality, toxicity, wavelet, winnow
 from stratagrid.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,38 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op8_winnowing": op8_winnowing, "op9_mixing": op9_mixing, "op10_wavelet_tokens": op10_wavelet_tokens}
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return quality.train(docs, table(spark, sf_dir, "labels"), _remainder(3) != 1)
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return got.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), _remainder(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op8_winnowing, op9_mixing, op10_wavelet_tokens)
+}
 
 ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
