@@ -3,7 +3,8 @@
 Unit vectors with cosine ``c`` are ``sqrt(2 - 2c)`` apart, so links are pairs within a radius ``r``. Every vector
 has its home at the nearest pivot, and by the triangle inequality all partners of a vector
 with home ``p`` are among those whose distance to ``p`` exceeds the distance to their own home by no more
-than ``2r``: these are copied to the cell of ``p``. Cells join independently. A cell whose home vectors
+than ``2r``, and no further from the plane between both pivots than ``r``: these are copied to the cell of
+``p``. Cells join independently. A cell whose home vectors
 or members are many is cut into tiles of ``TILE`` by ``TILE``; a tile counts links and keeps a spanning forest
 of them, so neither pairs nor cells are ever gathered whole.
 
@@ -26,25 +27,35 @@ from stratagrid.llm.common import stage
 from stratagrid.llm.components import components
 
 #: Pivots, a bounded sample: the vectors of the least hash.
-PIVOTS = 192
+PIVOTS = 1024
+#: Vectors that a cell should hold; a label gets as many pivots as that takes, up to ``PIVOTS``.
 TILE = 1024
 _EPS = 1e-6
 
 
+def _vectors(column: pa.ListArray) -> list[np.ndarray] | np.ndarray:
+    """Rows as doubles: a matrix where all lengths agree."""
+    n = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if len(n) and (n == n[0]).all():
+        return flat.reshape(len(n), -1)
+    return np.split(flat, np.cumsum(n)[:-1])
+
+
 def _assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: float) -> Iterator[pa.RecordBatch]:
     """Cells of each vector, home first."""
     width = pivots.shape[1]
+    apart = np.sqrt(np.maximum(0, ((pivots[:, None] - pivots[None]) ** 2).sum(axis=2)))
     for batch in batches:
-        vectors = batch.column("v").to_pylist()
+        vectors = _vectors(batch.column("v"))
         x = np.zeros((len(vectors), width))
         for i, v in enumerate(vectors):
-            u = np.asarray(v, float)
-            u = u / np.linalg.norm(u)
-            x[i, : min(width, len(u))] = u[:width]  # dropping coordinates never makes a distance longer
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None]))
-        home = d.argmin(axis=1)
-        near = d <= d[np.arange(len(d)), home][:, None] + 2 * radius + _EPS
-        near[np.arange(len(d)), home] = False
+            x[i, : min(width, len(v))] = v[:width] / np.linalg.norm(v)  # dropping coordinates never makes a distance longer
+        d2 = np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(axis=1)[None])
+        home = d2.argmin(axis=1)
+        at_home = d2[np.arange(len(d2)), home][:, None]
+        near = (np.sqrt(d2) <= np.sqrt(at_home) + 2 * radius + _EPS) & (d2 - at_home <= 2 * radius * apart[home] + _EPS)
+        near[np.arange(len(d2)), home] = False
         cells = [[int(h), *np.flatnonzero(n).tolist()] for h, n in zip(home, near, strict=True)]
         yield pa.record_batch([*(batch.column(c) for c in batch.schema.names), pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
@@ -65,29 +76,36 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile; a tile's rows never exceed a few times ``TILE``."""
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
 
     def close() -> pa.RecordBatch:
-        x = np.array([h[3] for h in held], float)
-        ids, weight = np.array([h[1] for h in held], np.int64), np.array([h[4] for h in held], np.int64)
-        asks, answers = np.array([h[2] & 1 for h in held], bool), np.array([h[2] >> 1 for h in held], bool)
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x, ids, weight, asks = np.array(_vectors(t.column("v"))), t.column("id").to_numpy(), t.column("weight").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
         norm = np.sqrt((x * x).sum(axis=1))
-        q, m = np.flatnonzero(asks), np.flatnonzero(answers)
-        cos = (x[q] @ x[m].T) / (norm[q][:, None] * norm[m][None])
-        link = (cos >= least) & (ids[q][:, None] != ids[m][None])
-        rows = [(int(ids[q[i]]), None, int(n)) for i, n in enumerate((link * weight[m][None]).sum(axis=1)) if n]
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        link = ((x[q] @ x[m].T) / (norm[q][:, None] * norm[m][None]) >= least) & (ids[q][:, None] != ids[m][None])
+        links = (link * weight[m][None]).sum(axis=1)
         i, j = np.nonzero(link)
         names, inv = np.unique(np.concatenate([ids[q[i]], ids[m[j]]]), return_inverse=True)
-        half = len(i)
-        rows += [(int(names[a]), int(names[b]), 0) for a, b in forest(inv[:half], inv[half:], len(names))] if half else []
-        return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["id", "other", "links"])
-
+        tree = np.array(forest(inv[: len(i)], inv[len(i) :], len(names)), np.int64).reshape(-1, 2)
+        some = links > 0
+        return pa.record_batch(
+            [pa.array(np.concatenate([ids[q[some]], names[tree[:, 0]]])), pa.array([None] * int(some.sum()) + names[tree[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]))],
+            names=["id", "other", "links"],
+        )
+
+    last = None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "id", "part", "v", "weight")), strict=True):
-            if held and held[0][0] != row[0]:
+        tiles = np.array(batch.column("tile").to_pylist(), object)
+        bounds = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            if held and tiles[a] != last:
                 yield close()
                 held = []
-            held.append(row)
+            last = tiles[a]
+            held.append(batch.slice(a, b - a))
     if held:
         yield close()
 
@@ -95,35 +113,37 @@ def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     radius = math.sqrt(2 - 2 * least)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     sound = rows.filter(F.col("v").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda c: c != 0))
     classes = stage(sound.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("weight")), "vectors")
-    sample = [np.asarray(r.v, float) for r in classes.orderBy(F.xxhash64("v"), "id").limit(pivots).collect()]
-    if not sample:
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    if not largest:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")).distinct()
+    wanted = min(pivots, math.ceil(largest / tile))
+    sample = [np.asarray(r.v, float) for r in classes.orderBy(F.xxhash64("v"), "id").limit(wanted).collect()]
     at = np.zeros((len(sample), max(map(len, sample))))
     for i, v in enumerate(sample):
         at[i, : len(v)] = v / np.linalg.norm(v)
-    placed = classes.mapInArrow(lambda it: _assign(it, at, radius), "label int, v array<double>, id long, weight long, cells array<int>".replace("label int", f"label {dict(classes.dtypes)['label']}"))
-    members = stage(placed.select("id", "weight", "v", F.col("label"), F.size("v").alias("dim"), F.posexplode("cells").alias("k", "cell")), "cells")
-    sizes = members.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("homes"))
-    cut = members.join(sizes.filter("homes > 0 and n > 1"), ["label", "dim", "cell"])
+    kinds = dict(classes.dtypes)
+    placed = classes.mapInArrow(lambda it: _assign(it, at, radius), f"label {kinds['label']}, v {kinds['v']}, id long, weight long, cells array<int>")
+    members = stage(placed.select("id", "weight", "v", "label", F.size("v").alias("dim"), "cells"), "cells")
+    each = F.posexplode("cells").alias("k", "cell")
+    sizes = members.select("label", "dim", each).groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("homes"))
+    cut = members.select("id", "weight", "v", "label", "dim", each).join(sizes.filter("homes > 0 and n > 1"), ["label", "dim", "cell"])
     rows_of, cols_of = F.ceil(F.col("homes") / tile), F.ceil(F.col("n") / tile)
     own_row, own_col = F.pmod(F.xxhash64("id", F.lit(1)), rows_of), F.pmod(F.xxhash64("id", F.lit(2)), cols_of)
-    asks = F.when(F.col("k") == 0, F.transform(F.sequence(F.lit(0).cast("long"), cols_of - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(1).alias("part"))))
-    answers = F.transform(F.sequence(F.lit(0).cast("long"), rows_of - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(2).alias("part")))
-    spread = cut.select("label", "dim", "cell", "id", "v", "weight", F.explode(F.concat(F.coalesce(asks, F.array().cast("array<struct<r:bigint,c:bigint,part:int>>")), answers)).alias("t"))
-    tiles = spread.groupBy("label", "dim", "cell", "t.r", "t.c", "id").agg(F.first("v").alias("v"), F.first("weight").alias("weight"), F.sum("t.part").cast("int").alias("part"))
-    keyed = tiles.select(F.concat_ws("|", "label", "dim", "cell", "r", "c").alias("tile"), "id", "part", "v", "weight")
+    kind = "array<struct<r:bigint,c:bigint,asks:boolean>>"
+    asks = F.when(F.col("k") == 0, F.transform(F.sequence(F.lit(0).cast("long"), cols_of - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(True).alias("asks"))))
+    answers = F.transform(F.sequence(F.lit(0).cast("long"), rows_of - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(False).alias("asks")))
+    spread = cut.select("label", "dim", "cell", "id", "v", "weight", F.explode(F.concat(F.coalesce(asks, F.array().cast(kind)), answers)).alias("t"))
+    keyed = spread.select(F.concat_ws("|", "label", "dim", "cell", "t.r", "t.c").alias("tile"), "id", "t.asks", "v", "weight")
     met = stage(keyed.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _tiles(it, least), "id long, other long, links long"), "tiles")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     of = components(met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    by_class = (
-        classes.join(links, "id", "left").join(of, "id", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    )
-    done = sound.join(by_class, ["label", "v"]).select("id", "n_links", F.col("component"))
-    return rows.select("id").distinct().join(done.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component")), "id", "left").select(
+    found = links.join(of, "id", "full")
+    by_class = classes.join(found, "id", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    done = sound.join(by_class, ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
+    return rows.select("id").distinct().join(done, "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")
     )

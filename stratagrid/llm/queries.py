@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.llm import chat, metric_join, mixing, pii, quality, toxicity, wavelet, winnow
+from stratagrid.llm import chat, metric_join, minhash, mixing, pii, quality, toxicity, wavelet, winnow
 from stratagrid.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,10 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -111,7 +115,7 @@ def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op8_winnowing, op9_mixing, op10_wavelet_tokens)
+    for f in (op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op8_winnowing, op9_mixing, op10_wavelet_tokens)
 }
 
 ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
