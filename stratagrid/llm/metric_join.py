@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import stage
-from stratagrid.llm.components import components
+from stratagrid.llm.components import components, forest
 
 #: Pivots, a bounded sample: the vectors of the least hash.
 PIVOTS = 1024
@@ -60,20 +60,6 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: float
         yield pa.record_batch([*(batch.column(c) for c in batch.schema.names), pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph on ``n`` nodes with edges ``a[i], b[i]``, as node to root."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return [(i, int(r)) for i, r in enumerate(root) if r != i]
-
-
 def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile; a tile's rows never exceed a few times ``TILE``."""
     held: list[pa.RecordBatch] = []

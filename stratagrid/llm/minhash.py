@@ -7,10 +7,14 @@ that agree on fewer than ``T`` are not looked at. With ``K = 32, T = 12`` a pair
 a chance of about 1e-6.
 
 Prefix: of each class only its ``K - T + 1`` rarest pairs are posted, since two classes that agree on
-``T`` coordinates meet in one of these. Skip: posting lists whose members are already one component are
-left out. A list is first joined around one leader; then, in tiles of bounded size,
-collisions are counted between members of different components, and pairs with ``T`` or more go on. Every
-pair is confirmed on the full shingle sets before it links.
+``T`` coordinates meet in one of these. Collisions are then counted over ``TAIL`` further coordinates too,
+and a pair with fewer than ``T_ALL`` in all is dropped (another chance of 1e-6 at 0.75). Each list is first
+joined around one leader; classes that collide enough are a family. Skip: lists whose members are already
+one family are left out; the others are joined in tiles of bounded size.
+
+Families are confirmed on the full shingle sets in the same way: first every member with the leader of its
+family, then, where that leaves a family in several components, tile by tile the pairs between these.
+Tiles give spanning forests, so no list or family is gathered whole and no group is written out as pairs.
 
 Defined results: words are parted by ASCII white space and A-Z lower-cased; a text of fewer than ``shingle``
 words is one shingle; a null text or one without words has no shingles and no links; repeated rows are
@@ -27,17 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import SPACED, Words, chunks, id_text, mix64, stage, stream64
-from stratagrid.llm.components import components
+from stratagrid.llm.components import components, forest
 
 K = 32
 T = 12
 SHINGLE = 5
 
-#: Members on each side of a tile in which collisions are counted.
-TILE = 512
+#: Coordinates that are not posted, of which only a byte is kept: they sharpen the count of collisions.
+TAIL = 96
+
+#: Collisions of ``K + TAIL`` coordinates below which a pair is dropped.
+T_ALL = 72
 
-#: Rounds in which a member tries only its best partner in each other component, before all are tried.
-BEST_ROUNDS = 2
+#: Members on each side of a tile.
+TILE = 256
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +81,38 @@ def signatures(h: np.ndarray, sizes: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
+def _agreeing(head: np.ndarray, tail: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Collisions of the pairs ``i[n], j[n]`` over all coordinates."""
+    out = np.empty(len(i), np.int64)
+    for s in range(0, len(i), 1 << 15):
+        a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+        out[s : s + len(a)] = (head[a] == head[b]).sum(axis=1) + (tail[a] == tail[b]).sum(axis=1)
+    return out
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type) -> np.ndarray:
+    """A list or binary column of fixed width as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches):
         h, sizes = shingle_sets(texts, shingle)
         full = sizes > 0
         at = (np.cumsum(sizes) - sizes)[full]
-        sig, keys = np.zeros((len(texts), k), np.uint32), np.zeros((2, len(texts)), np.uint64)
+        sig, keys = np.zeros((len(texts), k + TAIL), np.uint32), np.zeros((2, len(texts)), np.uint64)
         if full.any():
-            sig[full] = signatures(h, sizes, k)
+            sig[full] = signatures(h, sizes, k + TAIL)
             keys[0][full], keys[1][full] = np.add.reduceat(mix64(h + np.uint64(1)), at), np.add.reduceat(mix64(h ^ np.uint64(0x5BD1E995C0FFEE11)), at)
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel().view(np.int32)), k).cast(pa.list_(pa.int32()))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(sig[:, :k]).ravel().view(np.int32)), k).cast(pa.list_(pa.int32()))
+        yield pa.record_batch(
+            [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat, pa.array([t.tobytes() for t in sig[:, k:].astype(np.uint8)], pa.binary())],
+            names=["doc_id", "n_shingles", "k1", "k2", "sig", "tail"],
+        )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -104,35 +132,56 @@ def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int
         yield pa.record_batch([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], names=["a", "b"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], least: int, num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Count collisions tile by tile; rows come sorted by tile, rows and columns of a tile apart."""
+def _common(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    values, ids, counts = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
+    rank = np.cumsum(counts > 1) - 1
+    owner, ids = owner[counts[ids] > 1], rank[ids[counts[ids] > 1]]
+    order = np.argsort(ids, kind="stable")
+    owner, ids = owner[order], ids[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        s, e = np.searchsorted(ids, [lo, lo + width])
+        has = np.zeros((len(x) + len(y), width), np.float32)
+        has[owner[s:e], ids[s:e] - lo] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, shingle: int, confirm: bool) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest of each tile's links. Rows come sorted by ``(key, tile)``; ``side`` is 0 for rows, 1 for columns, 2 for both.
+
+    Links are pairs of different ``comp`` that collide enough and, with ``confirm``, are similar on their full sets.
+    """
     held: list[pa.RecordBatch] = []
 
     def close() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        side = t.column("side").to_numpy()
+        rep, comp, n, side = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+        sig, tail = _matrix(t.column("sig"), K, np.int32), _matrix(t.column("tail"), TAIL, np.uint8)
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         agree = np.zeros((len(x), len(y)), np.uint8)
-        for c in range(sig.shape[1]):
+        for c in range(K):
             agree += sig[x, c][:, None] == sig[y, c][None]
-        ok = (agree >= least) & (comp[x][:, None] != comp[y][None]) & (den * np.minimum(n[x][:, None], n[y][None]) >= num * np.maximum(n[x][:, None], n[y][None]))
+        ok = (agree >= T) & (comp[x][:, None] != comp[y][None]) & (den * np.minimum(n[x][:, None], n[y][None]) >= num * np.maximum(n[x][:, None], n[y][None]))
         i, j = np.nonzero(ok)
-        a, b, score = rep[x[i]], rep[y[j]], agree[i, j].astype(np.int32)
-        if best and len(i):
-            keep = np.zeros(len(i), bool)
-            for own, other in ((x[i], y[j]), (y[j], x[i])):
-                order = np.lexsort((-score, comp[other], own))
-                o, c = own[order], comp[other][order]
-                keep[order[np.concatenate([[True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])])]] = True
-            a, b, score = a[keep], b[keep], score[keep]
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], names=["a", "b", "score"])
+        likely = _agreeing(sig, tail, x[i], y[j]) >= T_ALL
+        i, j = i[likely], j[likely]
+        if confirm and len(i):
+            rows, cols = np.unique(i), np.unique(j)
+            texts = t.column("text").cast(pa.binary()).take(pa.array(np.concatenate([x[rows], y[cols]]))).to_pylist()
+            h, sizes = shingle_sets(texts, shingle)
+            sets = np.split(h, np.cumsum(sizes)[:-1])
+            both = _common(sets[: len(rows)], sets[len(rows) :])[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+            good = den * both >= num * (n[x[i]] + n[y[j]] - both)
+            i, j = i[good], j[good]
+        tree = np.array(forest(x[i], y[j], len(rep)), np.int64).reshape(-1, 2) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.record_batch([pa.array(rep[tree[:, 0]]), pa.array(rep[tree[:, 1]])], names=["a", "b"])
 
     last = None
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        tile = batch.column("tile").to_numpy()
+        key, tile = batch.column("key").to_numpy(), batch.column("tile").to_numpy()
         bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1).tolist(), len(key)]
         for s, e in zip(bounds, bounds[1:]):
             if s == e:
@@ -146,24 +195,38 @@ def _count(batches: Iterator[pa.RecordBatch], least: int, num: int, den: int, be
         yield close()
 
 
-def _remaining(posts: DataFrame, reps: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
-    """Members of the lists that hold several components, dealt to tiles ``(key, tile)`` of bounded size."""
-    own = posts.join(labels, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / tile).alias("blocks"))
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        head = np.concatenate([_matrix(batch.column(c), K, np.int32) for c in ("sa", "sb")])
+        tail = np.concatenate([_matrix(batch.column(c), TAIL, np.uint8) for c in ("ta", "tb")])
+        ok = pa.array(_agreeing(head, tail, np.arange(n), np.arange(n) + n) >= T_ALL)
+        yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+
+def _deal(groups: DataFrame, tile: int) -> DataFrame:
+    """``key, rep, comp`` to ``key, tile, rep, comp, side``: the groups of several components, cut to tiles."""
+    open_ = groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / tile).alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
-    dealt = own.join(open_, "key").select("key", "rep", "comp", "blocks", block.alias("me"), other)
+    dealt = groups.join(open_, "key").select("key", "rep", "comp", "blocks", block.alias("me"), other)
     low, high = F.least("me", "o"), F.greatest("me", "o")
     side = F.when(F.col("me") == F.col("o"), 2).when(F.col("me") < F.col("o"), 0).otherwise(1)
-    return dealt.select("key", (low * F.col("blocks") + high).alias("tile"), "rep", "comp", side.cast("int").alias("side")).join(reps.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep")
+    return dealt.select("key", (low * F.col("blocks") + high).alias("tile"), "rep", "comp", side.cast("int").alias("side"))
+
+
+def _families(edges: DataFrame, name: str) -> DataFrame:
+    """``rep, comp`` of the classes that an edge touches."""
+    return stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, k: int = K, least: int = T, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: linked where ``den * both >= num * either``."""
+    k, least = K, T
     base = id_text(docs, id_col, text_col)
-    signed = stage(base.mapInArrow(lambda it: _sign(it, shingle, k), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signed")
+    signed = stage(base.mapInArrow(lambda it: _sign(it, shingle, k), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>, tail binary"), "signed")
     reps = stage(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "reps"
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("tail").alias("tail")), "reps"
     )
     # posting lists, each class under its rarest pairs
     posted = reps.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.col("i").cast("long") * (1 << 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
@@ -172,38 +235,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = F.slice("pairs", 1, F.greatest(F.lit(k - least + 1) - (F.lit(k) - F.size("pairs")), F.lit(0)))
     posts = stage(own.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.key").alias("key")), "posts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        texts = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else base
-        left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(lambda it: _confirm(it, shingle, num, den), "a long, b long")
-
     repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    known = base.filter("doc_id is not null")
+    texts = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else known
+    sizes = reps.select("rep", F.col("n_shingles").alias("n"), "sig", "tail")
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def tiles(dealt: DataFrame, confirm: bool) -> DataFrame:
+        return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda it: _tiles(it, num, den, shingle, confirm), "a long, b long")
+
     leader = posts.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = stage(posts.join(leader, "key").filter("a < rep").select("a", F.col("rep").alias("b")).groupBy("a", "b").agg(F.lit(0).alias("score")), "pairs")
-    sizes = reps.select("rep", "n_shingles", "sig")
-    fit = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    tested = stage(fit.filter((agree >= least) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b"), "tested")
-    edges = stage(confirmed(tested), "links")
-    labels = stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), "labels")
-    for turn in range(BEST_ROUNDS + 1):
-        best = turn < BEST_ROUNDS
-        dealt = _remaining(posts, reps, labels, tile)
-        counted = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda it, best=best: _count(it, least, num, den, best), "a long, b long, score int")
-        found = stage(counted.distinct().join(tested, ["a", "b"], "left_anti"), "found")
-        if best:
-            comp = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
-            named = found.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-            first = named.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
-            found = stage(first, "best")
-        else:
-            found = found.select("a", "b")
-        if not found.limit(1).count():
-            continue
-        edges = stage(edges.unionByName(confirmed(found)), "links")
-        tested = stage(tested.unionByName(found.select("a", "b")), "tested")
-        labels = stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), "labels")
+    pairs = posts.join(leader, "key").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("tail").alias(f"t{x}"))
+    fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    likely = stage(fit.mapInArrow(_likely, "a long, b long"), "likely")
+    family = _families(likely, "family")
+    more = stage(tiles(_deal(labelled(posts, family), tile).join(sizes, "rep"), False), "likely")
+    family = _families(likely.unionByName(more), "family")
+
+    led = family.filter("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
+    told = led.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    edges = stage(told.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, shingle, num, den), "a long, b long"), "links")
+    groups = labelled(family.select(F.col("comp").alias("key"), "rep"), _families(edges, "labels"))
+    rest = _deal(groups, tile).join(sizes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    labels = _families(edges.unionByName(stage(tiles(rest, True), "links")), "labels")
     of_class = reps.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
