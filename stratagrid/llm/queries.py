@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.llm import chat, metric_join, minhash, mixing, pii, quality, toxicity, wavelet, winnow
+from stratagrid.llm import chat, metric_join, minhash, mixing, pii, quality, repeats, toxicity, wavelet, winnow
 from stratagrid.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -48,6 +48,10 @@ FROM told
 """
 
 
+def op7_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(
@@ -115,7 +119,7 @@ def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op8_winnowing, op9_mixing, op10_wavelet_tokens)
+    for f in (op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op7_run_length_repeats, op8_winnowing, op9_mixing, op10_wavelet_tokens)
 }
 
 ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
