@@ -36,13 +36,13 @@ from stratagrid.llm.common import CHUNK_BYTES, id_text, mix64, stage, stream64
 from stratagrid.llm.common import _power_tables as powers
 
 WIDTH = 100
-GRAM = 16
+GRAM = 40
 
 #: Different phrases of one trigger above which it is spread by windows.
-HOT = 20_000
+HOT = 4_000
 
 #: Bytes of phrases that one index holds.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 #: Phrases that a task gathers before it hands them on.
 FLUSH = 1 << 20
@@ -226,6 +226,9 @@ class RunLengthIndex:
         new = np.ones(n, bool)
         new[1:] = (bwt[1:] != bwt[:-1]) | (window[1:] != window[:-1])
         self.run_start = np.flatnonzero(new)
+        self.heads = np.packbits(np.concatenate([new, np.zeros(-n % 64, bool)]), bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(self.heads).astype(np.int64)
+        self.ranks = np.cumsum(ones) - ones
         ends = np.concatenate([self.run_start[1:], [n]])
         self.run_char = bwt[self.run_start]
         length = ends - self.run_start
@@ -243,31 +246,50 @@ class RunLengthIndex:
         known = self.window >= 0
         np.minimum.at(self.earliest, self.window[known], self.low[known])
 
+    def _run(self, row: np.ndarray) -> np.ndarray:
+        """Runs of rows, by rank in the bit vector of run heads."""
+        word = row >> 6
+        upto = self.heads[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (row & 63)).astype(np.uint64))
+        return self.ranks[word] + np.bitwise_count(upto) - 1
+
     def _sort(self, sym: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix array by prefix doubling, with suffixes ending at their own end mark and ties by position; and each row's window."""
         n = len(sym)
         at = np.arange(n)
+        used = np.zeros(257, np.int64)
+        used[sym] = 1
+        used[0] = 1
+        dense = (np.cumsum(used) - 1)[sym]
+        letters = int(used.sum())
+        h = max(1, min(self.width, int(62 / np.log2(max(2, letters)))))
         key = np.zeros(n, np.int64)
-        for j in range(7):
-            key = key * 257 + np.where(at + j <= end, sym[np.minimum(at + j, n - 1)], 0)
-        rank, h = self._ranks(key), 7
-        ranks = {7: rank}
+        for j in range(h):
+            key = key * letters + np.where(at + j <= end, dense[np.minimum(at + j, n - 1)], 0)
+        rank = self._ranks(key)
+        ranks = {h: rank}
         longest = int(self.sizes.max()) + 1
-        while h < longest:
-            rank = self._ranks(rank * (n + 1) + np.where(at + h <= end, rank[np.minimum(at + h, n - 1)] + 1, 0))
+        while 2 * h < longest:
+            rank = self._ranks(self._pair(rank, at, end, h))
             h *= 2
-            ranks = {a: r for a, r in ranks.items() if 2 * a >= self.width or a == h // 2} | {h: rank}
-        sa = np.argsort(rank, kind="stable")
-        half = max((a for a in ranks if a <= self.width), default=7)
+            ranks = {a: r for a, r in ranks.items() if a <= self.width} | {h: rank}
+        sa = np.argsort(self._pair(rank, at, end, h) * n + at) if n < 2_000_000 else np.lexsort((at, self._pair(rank, at, end, h)))
+        half = max((a for a in ranks if a <= self.width), default=None)
         window = np.full(n, -1)
-        whole = np.flatnonzero(at + self.width <= end)
-        if len(whole):
-            far = [whole + d for d in range(0, self.width - half, half)] + [whole + self.width - half]
-            ids = ranks[half][far[0]]
-            for f in far[1:]:
-                ids = self._ranks(ids * (n + 1) + ranks[half][f])
-            window[whole] = ids
-        return sa, window[sa]
+        rows = np.flatnonzero(sa + self.width <= end[sa])
+        if len(rows):
+            own = sa[rows]
+            new = np.zeros(len(rows), bool)
+            new[0] = True
+            for d in [*range(0, self.width - half, half), self.width - half]:
+                r = ranks[half][own + d]
+                new[1:] |= r[1:] != r[:-1]
+            window[rows] = np.cumsum(new) - 1
+        return sa, window
+
+    @staticmethod
+    def _pair(rank: np.ndarray, at: np.ndarray, end: np.ndarray, h: int) -> np.ndarray:
+        n = len(rank)
+        return rank * (n + 1) + np.where(at + h <= end, rank[np.minimum(at + h, n - 1)] + 1, 0)
 
     @staticmethod
     def _ranks(key: np.ndarray) -> np.ndarray:
@@ -281,15 +303,15 @@ class RunLengthIndex:
         """Stream all strings backwards side by side; yields numbers of strings and the offsets of windows that stand earlier too."""
         live = np.arange(len(self.sizes))
         row, at = live.copy(), self.sizes.copy()  # the end marks are the first rows, in order
+        run = self._run(row)
         while len(live):
-            run = np.searchsorted(self.run_start, row, side="right") - 1
             c = self.run_char[run]
             go = c != 0
             live, at = live[go], at[go] - 1
             row = (self.less[c] + self.before[run] + row - self.run_start[run])[go]
-            long = np.flatnonzero(self.sizes[live] - at >= self.width)
-            run = np.searchsorted(self.run_start, row[long], side="right") - 1
-            again = long[self.earliest[self.window[run]] < self.begin[live[long]] + at[long]]
+            run = self._run(row)
+            window = self.window[run]
+            again = np.flatnonzero((window >= 0) & (self.earliest[window] < self.begin[live] + at))
             if len(again):
                 yield live[again], at[again]
 
