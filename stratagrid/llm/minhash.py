@@ -43,8 +43,9 @@ TAIL = 96
 #: Collisions of ``K + TAIL`` coordinates below which a pair is dropped.
 T_ALL = 72
 
-#: Members on each side of a tile.
-TILE = 256
+#: Members on each side of a tile: where collisions are counted, and where full sets are compared.
+TILE = 1024
+FULL_TILE = 256
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +221,7 @@ def _families(edges: DataFrame, name: str) -> DataFrame:
     return stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, tile: int = TILE, full_tile: int = FULL_TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: linked where ``den * both >= num * either``."""
     k, least = K, T
     base = id_text(docs, id_col, text_col)
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = led.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     edges = stage(told.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, shingle, num, den), "a long, b long"), "links")
     groups = labelled(family.select(F.col("comp").alias("key"), "rep"), _families(edges, "labels"))
-    rest = _deal(groups, tile).join(sizes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rest = _deal(groups, full_tile).join(sizes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     labels = _families(edges.unionByName(stage(tiles(rest, True), "links")), "labels")
     of_class = reps.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
