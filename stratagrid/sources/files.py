@@ -1,0 +1,31 @@
+"""File tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Columns of the size table, by file extension.
+SIZE_TYPES = {"fjdslam": ("fjdslam",), "geoslam": ("geoslam",), "jpeg": ("jpg", "jpeg"), "ldr": ("ldr",), "las": ("las",), "laz": ("laz",), "tiff": ("tif", "tiff")}
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, length, modified``: files below a folder or glob. File contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def tree_size(files: DataFrame) -> DataFrame:
+    """Bytes by folder and type of file."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    sums = [F.sum(F.when(ext.isin(*e), F.col("length")).otherwise(0)).alias(k) for k, e in SIZE_TYPES.items()]
+    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(*sums, F.sum("length").alias("total"))
+
+
+def tile_name(path):
+    """File name without folder and extension."""
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def layer_counts(features: DataFrame) -> DataFrame:
+    return features.groupBy("file", "layer").agg(F.count("*").alias("features"))

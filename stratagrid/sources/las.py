@@ -1,0 +1,179 @@
+"""LAS point files: headers, variable length records, points; and a writer.
+
+Files are read whole by ``binaryFile`` and decoded with numpy in Arrow batches. Points come out
+in batches, so a task holds one file's bytes and one batch of rows. Compressed files give their header only.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratagrid.model import POINTS
+
+# Least record length of each point format, and where colour and time stand.
+RECORD_LENGTH = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
+_COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
+_TIME_AT = {1: 20, 3: 20, 4: 20, 5: 20, **{k: 22 for k in range(6, 11)}}
+_NIR_AT = {8: 36, 10: 36}
+
+BATCH = 200_000
+
+HEADER_SCHEMA = (
+    "path string, file_source int, global_encoding int, version string, system string, software string, created date, header_size int, points_at long, vlr_count long, "
+    "format int, compressed boolean, record_length int, points long, by_return array<long>, x_scale double, y_scale double, z_scale double, x_offset double, y_offset double, z_offset double, "
+    "x_max double, x_min double, y_max double, y_min double, z_max double, z_min double, evlr_at long, evlr_count long, vlrs array<struct<user_id:string,record_id:int,description:string,payload:binary>>, wkt string"
+)
+
+
+def _text(raw: bytes) -> str:
+    return raw.split(b"\0")[0].decode("latin-1").strip()
+
+
+def _records(raw: bytes, at: int, count: int, extended: bool) -> Iterator[dict]:
+    """Records one after another; a count or length beyond the file ends the list."""
+    head = 60 if extended else 54
+    for _ in range(count):
+        if at + head > len(raw):
+            return
+        user, record = raw[at + 2 : at + 18], struct.unpack_from("<H", raw, at + 18)[0]
+        size = struct.unpack_from("<Q" if extended else "<H", raw, at + 20)[0]
+        if at + head + size > len(raw):
+            return
+        text = raw[at + head - 32 : at + head]
+        yield {"user_id": _text(user), "record_id": record, "description": _text(text), "payload": raw[at + head : at + head + size]}
+        at += head + size
+
+
+def read_header(raw: bytes) -> dict:
+    """Header of versions 1.0 to 1.4 with its variable length records."""
+    if raw[:4] != b"LASF":
+        raise ValueError("not a LAS file")
+    source, encoding = struct.unpack_from("<HH", raw, 4)
+    major, minor = raw[24], raw[25]
+    day, year, header_size, points_at, vlrs, form, length, points = struct.unpack_from("<HHHIIBHI", raw, 90)
+    by_return = list(struct.unpack_from("<5I", raw, 111))
+    numbers = struct.unpack_from("<12d", raw, 131)
+    evlr_at = evlr_count = 0
+    if (major, minor) >= (1, 4):
+        evlr_at, evlr_count, points = struct.unpack_from("<QIQ", raw, 235)
+        by_return = list(struct.unpack_from("<15Q", raw, 255))
+    out = dict(zip(("x_scale", "y_scale", "z_scale", "x_offset", "y_offset", "z_offset", "x_max", "x_min", "y_max", "y_min", "z_max", "z_min"), numbers, strict=True))
+    records = [*_records(raw, header_size, vlrs, False), *_records(raw, evlr_at, evlr_count, True)]
+    wkt = next((_text(r["payload"]) for r in records if r["user_id"] == "LASF_Projection" and r["record_id"] == 2112), None)
+    created = (pd.Timestamp(year, 1, 1) + pd.Timedelta(days=day - 1)).date() if year and day else None
+    return out | {
+        "file_source": source, "global_encoding": encoding, "version": f"{major}.{minor}", "system": _text(raw[26:58]), "software": _text(raw[58:90]), "created": created, "header_size": header_size, "points_at": points_at,
+        "vlr_count": vlrs, "format": form & 63, "compressed": bool(form & 128), "record_length": length, "points": points, "by_return": by_return, "evlr_at": evlr_at, "evlr_count": evlr_count, "vlrs": records, "wkt": wkt,
+    }
+
+
+def decode_points(raw: bytes, header: dict, start: int, count: int) -> dict[str, np.ndarray]:
+    """Columns of ``POINTS`` but for ``tile`` and ``seq``."""
+    form, length = header["format"], header["record_length"]
+    if header["compressed"] or form >= len(RECORD_LENGTH) or length < RECORD_LENGTH[form]:
+        raise ValueError(f"point format {form} with records of {length} bytes can't be read")
+    rec = np.frombuffer(raw, np.uint8, count * length, header["points_at"] + start * length).reshape(count, length)
+
+    def field(at: int, kind: str) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.ascontiguousarray(rec[:, at : at + kind.itemsize]).view(kind)[:, 0]
+
+    out = {"x_raw": field(0, "<i4"), "y_raw": field(4, "<i4"), "z_raw": field(8, "<i4"), "intensity": field(12, "<u2").astype(np.int32)}
+    flags = rec[:, 14]
+    if form < 6:
+        cls = rec[:, 15]
+        out |= {"return_number": flags & 7, "number_of_returns": flags >> 3 & 7, "scan_direction": flags & 64 != 0, "edge": flags & 128 != 0}
+        out |= {"classification": cls & 31, "synthetic": cls & 32 != 0, "key_point": cls & 64 != 0, "withheld": cls & 128 != 0, "overlap": cls & 31 == 12}
+        out |= {"scan_angle_raw": np.rint(rec[:, 16].view(np.int8) / 0.006), "source_id": field(18, "<u2")}
+    else:
+        more = rec[:, 15]
+        out |= {"return_number": flags & 15, "number_of_returns": flags >> 4, "scan_direction": more & 64 != 0, "edge": more & 128 != 0}
+        out |= {"classification": rec[:, 16], "synthetic": more & 1 != 0, "key_point": more & 2 != 0, "withheld": more & 4 != 0, "overlap": more & 8 != 0}
+        out |= {"scan_angle_raw": field(18, "<i2"), "source_id": field(20, "<u2")}
+    out["gps_time"] = field(_TIME_AT[form], "<f8") if form in _TIME_AT else None
+    for i, c in enumerate(("red", "green", "blue")):
+        out[c] = field(_COLOUR_AT[form] + 2 * i, "<u2") if form in _COLOUR_AT else None
+    out["nir"] = field(_NIR_AT[form], "<u2") if form in _NIR_AT else None
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.la[sz]").load(path).select("path", "content")
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file."""
+    names = [c.split(" ")[0] for c in HEADER_SCHEMA.split(", ")]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([{"path": p} | read_header(raw) for p, raw in zip(pdf.path, pdf.content, strict=True)], columns=names)
+
+    return _files(spark, path).mapInPandas(decode, HEADER_SCHEMA)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """All points of uncompressed files, raw coordinates."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf.path, pdf.content, strict=True):
+                header = read_header(raw)
+                tile = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                for start in range(0, header["points"], BATCH):
+                    n = min(BATCH, header["points"] - start)
+                    cols = decode_points(raw, header, start, n)
+                    yield pd.DataFrame({"tile": tile, "seq": np.arange(start, start + n)} | {f.name: pd.Series(cols[f.name], dtype=_PANDAS[f.dataType.typeName()]) if cols[f.name] is not None else pd.Series([None] * n, dtype=_PANDAS[f.dataType.typeName()]) for f in POINTS.fields[2:]})
+
+    return _files(spark, path).mapInPandas(decode, POINTS)
+
+
+_PANDAS = {"integer": "Int32", "boolean": "boolean", "double": "Float64"}
+
+
+def encode_file(points: pd.DataFrame, scale: float = 0.001, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), wkt: str = "", day: tuple[int, int] = (1, 2024)) -> bytes:
+    """A version 1.4 file of format 6 from rows of ``POINTS``."""
+    n = len(points)
+    rec = np.zeros(n, np.dtype([("xyz", "<i4", 3), ("i", "<u2"), ("ret", "u1"), ("flag", "u1"), ("cls", "u1"), ("user", "u1"), ("angle", "<i2"), ("src", "<u2"), ("t", "<f8")]))
+    col = lambda c, d=0: points[c].fillna(d).to_numpy(float if c == "gps_time" else np.int64) if c in points else np.full(n, d)
+    for k, c in enumerate(("x_raw", "y_raw", "z_raw")):
+        rec["xyz"][:, k] = col(c)
+    rec["i"], rec["ret"], rec["cls"], rec["angle"], rec["src"], rec["t"] = col("intensity"), col("return_number") | col("number_of_returns") << 4, col("classification"), col("scan_angle_raw"), col("source_id"), col("gps_time", 0.0)
+    for bit, c in enumerate(("synthetic", "key_point", "withheld", "overlap")):
+        rec["flag"] |= (col(c).astype(np.uint8) << bit).astype(np.uint8)
+    rec["flag"] |= (col("scan_direction") << 6 | col("edge") << 7).astype(np.uint8)
+    vlr = b"" if not wkt else struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(wkt) + 1, b"WKT") + wkt.encode() + b"\0"
+    by_return = np.bincount(col("return_number"), minlength=16)[1:16]
+    lo, hi = (rec["xyz"].min(axis=0), rec["xyz"].max(axis=0)) if n else (np.zeros(3), np.zeros(3))
+    bounds = [v for k in range(3) for v in (hi[k] * scale + offset[k], lo[k] * scale + offset[k])]
+    head = b"LASF" + struct.pack("<HH16sBB32s32sHHHIIBHI5I", 0, 16, b"", 1, 4, b"", b"", day[0], day[1], 375, 375 + len(vlr), int(bool(wkt)), 6, 30, 0, *[0] * 5)
+    head += struct.pack("<12d", *[scale] * 3, *offset, *bounds) + struct.pack("<QQIQ15Q", 0, 0, 0, n, *by_return.tolist())
+    return head + vlr + rec.tobytes()
+
+
+def write_points(points: DataFrame) -> DataFrame:
+    """``tile, content``: one encoded file for each tile, for a sink of the caller's choice.
+
+    A tile is written by one task, as a file is; dividing points into tiles bounds it.
+    """
+
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tile": [key[0]], "content": [encode_file(pdf.sort_values("seq") if "seq" in pdf else pdf)]})
+
+    return points.groupBy("tile").applyInPandas(encode, "tile string, content binary")
+
+
+def set_header(headers: DataFrame, created=None, offsets: tuple[float, float, float] | None = None) -> DataFrame:
+    """Headers with another date of creation or other offsets."""
+    new = {}
+    if created is not None:
+        new["created"] = F.lit(created).cast("date")
+    if offsets is not None:
+        new |= {f"{a}_offset": F.lit(o) for a, o in zip("xyz", offsets, strict=True)}
+    return headers.withColumns(new) if new else headers
