@@ -130,13 +130,12 @@ def canonical_turns_json(df: DataFrame, id_col: str = "conv_id", json_col: str =
     raw = F.col(json_col)
     keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
 
-    def deep(k: Column) -> Column:
-        inside = F.json_object_keys(F.get_json_object(raw, "$.messages[0]")), F.json_object_keys(F.get_json_object(raw, "$.conversations[0]"))
-        for name, got in zip(("messages", "conversations"), inside, strict=True):
-            yield name, F.transform(got, lambda x, name=name: F.concat(F.lit(f"{name}[]."), x))
+    def inside(name: str) -> Column:
+        return F.transform(F.json_object_keys(F.get_json_object(raw, f"$.{name}[0]")), lambda x: F.concat(F.lit(f"{name}[]."), x))
 
-    paths = F.flatten(F.transform(keys, lambda k: F.array(k)))
-    for name, got in deep(raw):
+    paths = keys
+    for name in ("messages", "conversations"):
+        got = inside(name)
         paths = F.when(F.array_contains(keys, name) & got.isNotNull(), F.concat(F.array_except(paths, F.array(F.lit(name))), got)).otherwise(paths)
     turns = F.lit(None).cast(_NONE)
     out = df.select(F.col(id_col).alias("conv_id"), raw.alias("record"), fingerprint(F.array_except(paths, F.array(F.lit(id_col)))).alias("fingerprint"))
