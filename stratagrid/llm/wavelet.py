@@ -14,9 +14,12 @@ other by text; an empty table gives no shards.
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,16 @@ _BLOCK = 512
 SHARD_IDS = 1 << 19
 
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 
 
 def encode_planes(ids: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
     """``(zeros, packed bits)`` from the most to the least significant bit."""
     out, cur = [], ids
     for level in range(bits - 1, -1, -1):
-        bit = (cur >> level) & 1 == 1
+        bit = cur & cur.dtype.type(1 << level) != 0
         out.append((int(len(cur) - np.count_nonzero(bit)), np.packbits(bit).tobytes()))
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])  # quicker than indexing by a mask
     return out
 
 
@@ -144,54 +147,125 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the partitions are undone from the last plane to the first."""
-        cur = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cur = np.zeros(self.size, kind)
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self._packed[level], count=self.size).view(bool)
-            z, out = int(self.zeros[level]), np.empty(self.size, np.uint32)
-            out[~bit], out[bit] = cur[:z], cur[z:]
-            out |= bit.astype(np.uint32) << np.uint32(self.bits - 1 - level)
+            z, out = int(self.zeros[level]), np.empty(self.size, kind)
+            out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = cur[:z], cur[z:] | kind(1 << (self.bits - 1 - level))
             cur = out
         return cur
 
 
+#: Marks that a letter parts from its word at the end of a piece; an apostrophe may belong to the word.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
 class WordEncoder:
-    """Ids of a text by its pieces between ASCII white space.
+    """Ids of a text, as packed integers of ``kind``, by its pieces between ASCII white space.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are its pieces'
-    ids joined; each distinct piece goes to the tokenizer once while it is remembered.
+    The vocabulary is lower-case, drops white space, and parts letters from marks, so a text's ids are
+    those of its lower-cased pieces joined, and of a piece those of its word and of the marks after it. Each distinct
+    one goes to the tokenizer once while it is remembered; new ones are encoded many at a time, parted by
+    a mark that none of them has. Texts that could hold a special token are encoded as they are.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str = "<u4", part: str = "~"):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kind, self.part = Tokenizer.from_file(path), np.dtype(kind), part
         self.known: dict[bytes, bytes] = {}
+        # the same model for words of letters alone, which the normaliser and the pattern leave as they are
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ids = self._encode([part])[0]
+        self.part_id = ids[0] if len(ids) == 1 else None
+
+    def _encode(self, texts: list[str], letters: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Remember new pieces, by way of their words and marks."""
+        cut = {}
+        for p in fresh:
+            word = p.rstrip(_MARKS)
+            if len(word) < len(p) and word and 97 <= word[-1] <= 122:
+                cut[p] = (word, p[len(word) :])
+        self._look_up({x for p in cut.values() for x in p} | (fresh - cut.keys()))
+        known = self.known
+        for p, (word, marks) in cut.items():
+            known[p] = known[word] + known[marks]
+
+    def _kind(self, piece: bytes) -> int:
+        """0: lower-case letters in composed form; 1: may be encoded among others; 2: goes alone."""
+        if self.part_id is None:
+            return 2
+        if piece.isascii():
+            return 0 if piece.isalpha() else 2 if self.part.encode() in piece else 1
+        text = piece.decode("utf-8")
+        if text.isalpha():
+            return 0 if text == text.lower() and unicodedata.is_normalized("NFC", text) else 1
+        return 2 if self.part in text else 1
+
+    def _look_up(self, pieces: set[bytes]) -> None:
+        groups: tuple[list[bytes], ...] = ([], [], [])
+        for p in pieces:
+            if p not in self.known:
+                groups[self._kind(p)].append(p)
+        between = f" {self.part} ".encode()
+        for letters, new in ((True, groups[0]), (False, groups[1])):
+            for i in range(0, len(new), 2048):
+                some = new[i : i + 2048]
+                blocks = [between.join(some[k : k + 64]).decode("utf-8") for k in range(0, len(some), 64)]
+                ids = np.array(list(chain.from_iterable(x + [self.part_id] for x in self._encode(blocks, letters))), self.kind)
+                raw, width, at = ids.tobytes(), self.kind.itemsize, 0
+                for piece, stop in zip(some, np.flatnonzero(ids == self.part_id).tolist(), strict=True):
+                    self.known[piece] = raw[at * width : stop * width]
+                    at = stop + 1
+        for piece in groups[2]:
+            self.known[piece] = np.array(self._encode([piece.decode("utf-8")])[0], self.kind).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        pieces = [t.split() for t in texts]
-        fresh = list(set().union(*pieces) - self.known.keys()) if pieces else []
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, got, strict=True))
-        look = self.known.__getitem__
-        return [b"".join(map(look, p)) for p in pieces]
+        pieces = [t.lower().split() if b"<|" not in t else [] for t in texts]
+        flat = list(chain.from_iterable(pieces))
+        ids = list(map(self.known.get, flat))
+        missing, i = [], -1
+        for _ in range(ids.count(None)):
+            i = ids.index(None, i + 1)
+            missing.append(i)
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for p in pieces:
+            out.append(b"".join(ids[at : at + len(p)]))
+            at += len(p)
+        for i, t in enumerate(texts):
+            if b"<|" in t:
+                out[i] = np.array(self._encode([t.decode("utf-8")])[0], self.kind).tobytes()
+        return out
+
+
+#: Encoders of this Python worker, so that what one task has learnt serves the next.
+_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int) -> Iterator[pa.RecordBatch]:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+    kind = np.dtype("<u2" if bits <= 16 else "<u4")
+    encode = _ENCODERS.get((path, kind.str)) or _ENCODERS.setdefault((path, kind.str), WordEncoder(path, kind.str))
+    end, width = np.array([end_id], kind).tobytes(), kind.itemsize
     part, seq, held, before = TaskContext.get().partitionId(), 0, 0, 0
     docs: list[int | None] = []
     parts: list[bytes] = []
 
     def close() -> pa.RecordBatch:
-        lengths = np.array([len(p) // 4 for p in parts], np.int64)
-        ids = np.frombuffer(b"".join(parts), "<u4")
+        lengths = np.array([len(p) // width for p in parts], np.int64)
+        ids = np.frombuffer(b"".join(parts), kind)
         blob = pack_shard(np.array([-1 if d is None else d for d in docs], np.int64), lengths, ids, bits)
         return pa.record_batch(
             [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
@@ -204,7 +278,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int)
             for d, x in zip(ids[i : i + 256], encode(texts[i : i + 256]), strict=True):
                 docs.append(d)
                 parts.append(x + end)
-                held += len(x) // 4 + 1
+                held += len(x) // width + 1
                 if held >= SHARD_IDS:
                     yield close()
                     docs, parts, held, seq, before = [], [], 0, seq + 1, before + held
@@ -228,7 +302,7 @@ def _read(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[p
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode every text and store the shards; returns the stored table ``part, seq, before, n, shard``."""
     own = id_text(docs, id_col, text_col)
-    ranged = own.repartitionByRange(partitions, "doc_id", "text") if partitions else own.repartitionByRange("doc_id", "text")
+    ranged = own.repartitionByRange(partitions, "doc_id") if partitions else own.repartitionByRange("doc_id")
     shards = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(lambda it: _write(it, tokenizer, end_id, bits), "part int, seq int, before long, n long, shard binary")
     return stage(shards, "wavelet")
 
