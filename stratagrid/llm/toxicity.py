@@ -27,7 +27,7 @@ from stratagrid.llm.common import ALNUM, Words, chunks, id_text
 from stratagrid.llm.quality import labelled_sample
 
 #: Labelled documents the model is fitted on, those of the least hash.
-FIT_DOCUMENTS = 12_000
+FIT_DOCUMENTS = 8_000
 SLOTS = 1 << 16
 WIDTHS = (1, 2, 3)
 _PAD = 3
@@ -104,10 +104,11 @@ def _forward(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray) -> di
 
 def _presence(ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many standard errors more often each slot occurs in positive texts."""
-    doc = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(ids)]])))
-    key = np.unique((doc[:, None] * np.int64(SLOTS) + ids).ravel())
-    hit = np.bincount(key % SLOTS, y[key // SLOTS], SLOTS)
-    seen = np.bincount(key % SLOTS, minlength=SLOTS)
+    hit, seen = np.zeros(SLOTS), np.zeros(SLOTS)
+    for a, b, label in zip(first, [*first[1:], len(ids)], y, strict=True):
+        own = np.unique(ids[a:b])
+        seen[own] += 1
+        hit[own] += label
     rate = y.mean()
     z = (hit - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
     z[0] = 0
@@ -178,22 +179,21 @@ def best_threshold(logit: np.ndarray, y: np.ndarray, fallback: float) -> float:
     return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best] - 1)
 
 
-def train_on(texts: list[bytes], y: np.ndarray, cut: float) -> ConvModel:
-    """A fifth of the documents is held back for the thresholds."""
+def train_on(bags: list[np.ndarray], lang: np.ndarray, y: np.ndarray, cut: float) -> ConvModel:
+    """Fit on the table rows of texts; a fifth of the texts is held back for the thresholds."""
     back = np.arange(len(y)) % 5 == 4
     if len(y) < 50 or not y[back].any():
         back = np.zeros(len(y), bool)
 
-    def part(mask: np.ndarray) -> Words:
-        return Words([t for t, m in zip(texts, mask, strict=True) if m], ALNUM)
+    def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [b for b, m in zip(bags, mask, strict=True) if m]
+        sizes = np.array([len(b) for b in own])
+        return np.concatenate(own), np.cumsum(sizes) - sizes
 
-    p = fit(*slots(part(~back)), y[~back].astype(np.float32))
-    model = ConvModel(p, np.zeros(len(FUNCTION_WORDS) + 1), cut)
-    held = part(back) if back.any() else part(~back)
-    truth = y[back] if back.any() else y
-    logit, lang = model.raw(*slots(held)), guess_language(held)
+    model = ConvModel(fit(*part(~back), y[~back].astype(np.float32)), np.zeros(len(FUNCTION_WORDS) + 1), cut)
+    held = back if back.any() else ~back
+    truth, lang, logit = y[held], lang[held], model.raw(*part(held))
     overall = best_threshold(logit, truth, 0.0)
-    model.shift[:] = overall
     for k in range(len(FUNCTION_WORDS) + 1):
         own = lang == k
         n = int(truth[own].sum())
@@ -201,11 +201,21 @@ def train_on(texts: list[bytes], y: np.ndarray, cut: float) -> ConvModel:
     return model
 
 
+def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in chunks(batches):
+        words = Words(texts, ALNUM)
+        ids, first = slots(words)
+        raw = [ids[a:b].astype("<u2").tobytes() for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(guess_language(words).astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "ids"])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCUMENTS, cut: float = 0.3) -> ConvModel | None:
     """Fit on at most ``limit`` documents for which ``usable`` (over ``labels``) holds."""
     sample = labelled_sample(id_text(docs, id_col, text_col), labels, label, usable, limit)
-    rows = sorted(sample.select("doc_id", "y", "text").collect(), key=lambda r: (r.doc_id, r.text))
-    return train_on([r.text.encode() for r in rows], np.array([r.y for r in rows], float), cut) if rows else None
+    rows = sorted(sample.mapInArrow(_sample_slots, "doc_id long, y int, lang int, ids binary").collect(), key=lambda r: (r.doc_id, r.ids))
+    if not rows:
+        return None
+    return train_on([np.frombuffer(r.ids, "<u2").reshape(-1, 3) for r in rows], np.array([r.lang for r in rows]), np.array([r.y for r in rows], float), cut)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ConvModel | None) -> Iterator[pa.RecordBatch]:
