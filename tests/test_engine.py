@@ -1,0 +1,222 @@
+"""Operators on hand-made grids and points, file round trips, and the catalogue against DuckDB."""
+
+import math
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from stratagrid.functions import points as fp
+from stratagrid.model import GridSpec
+from stratagrid.operators import aggregates, crowns, grid_metrics, lookup, maxima, raster, stencil, transform
+from stratagrid.operators.binning import with_cell
+from stratagrid.plans import catalog
+from stratagrid.sources import documents, files, las
+
+SF = "/root/testdata/sf0.001"
+
+
+def cells(spark, rows, name="z"):
+    return spark.createDataFrame([(x, y, None if v is None else float(v)) for y, r in enumerate(rows) for x, v in enumerate(r)], f"cx int, cy int, {name} double")
+
+
+def grid(df, name, size):
+    got = {(r.cx, r.cy): r[name] for r in df.collect()}
+    return [[got.get((x, y)) for x in range(size)] for y in range(size)]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_catalogue(spark, name):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "documents"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    at = [want.columns.index(c) for c in got.columns]
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert order(got.collect()) == order(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_edges_of_the_grid(spark):
+    rows = [(0, 4000), (4000, 0), (4001, 100), (100, -1), (3999, 1), (1000, 3000)]
+    got = with_cell(spark.createDataFrame(rows, "x_raw int, y_raw int"), GridSpec(0, 4000, 1000, 4, 4)).collect()
+    assert {(r.x_raw, r.y_raw): (r.cx, r.cy) for r in got} == {(0, 4000): (0, 0), (4000, 0): (3, 3), (3999, 1): (3, 3), (1000, 3000): (1, 1)}
+
+
+def test_binomial_with_nulls(spark):
+    got = grid(stencil.binomial(cells(spark, [[1, 2, 3], [4, None, 6], [7, 8, None]]), "z"), "cmm", 3)
+    assert got[1][1] is None and got[2][2] is None
+    assert got[0][0] == pytest.approx((4 * 1 + 2 * 2 + 2 * 4) / 8)
+
+
+def test_mean_repeats_borders(spark):
+    z = np.arange(9.0).reshape(3, 3)
+    pad = np.pad(z, 1, mode="edge")
+    want = [[pad[y : y + 3, x : x + 3].mean() for x in range(3)] for y in range(3)]
+    assert np.allclose(grid(stencil.mean3(cells(spark, z.tolist()), "z", 3, 3), "z", 3), want)
+
+
+def test_slope_of_a_plane_and_fallbacks(spark):
+    plane = [[x + 0.0 * y for x in range(3)] for y in range(3)]
+    got = stencil.slope_aspect(cells(spark, plane), "z", 1.0).filter("cx = 1 and cy = 1").first()
+    assert got.slope == pytest.approx(45) and got.aspect == pytest.approx(270)
+    plane[0][0] = None
+    assert stencil.slope_aspect(cells(spark, plane), "z", 1.0).filter("cx = 1 and cy = 1").first().slope == pytest.approx(45)
+    alone = stencil.slope_aspect(cells(spark, [[None, None, None], [None, 5, None], [None, None, None]]), "z", 1.0).filter("cx = 1 and cy = 1").first()
+    assert alone is None or alone.slope is None
+
+
+@pytest.mark.parametrize("directions, squared", [(8, False), (8, True), (4, False), (4, True)])
+def test_fill_one_hole(spark, directions, squared):
+    z = [[float(x + 7 * y) for x in range(7)] for y in range(7)]
+    z[3][3] = None
+    full = spark.createDataFrame([(x, y) for x in range(7) for y in range(7)], "cx int, cy int")
+    got = grid(stencil.fill(cells(spark, z), full, "z", 3, directions, squared), "z", 7)
+    assert got[3][3] == pytest.approx(24) and got[0][1] == 1
+    again = stencil.fill_all(cells(spark, z), full, "z", 3, 4, directions, squared)
+    assert again.count() == 49
+
+
+def test_patch_and_peak(spark):
+    z = [[1] * 5 for _ in range(5)]
+    z[1][1] = z[1][2] = 9
+    z[4][4] = 8
+    df = cells(spark, z).withColumn("h", F.col("z"))
+    single, level = maxima.treetops_by_radius(df, "z", "h", 1.0)
+    assert [(r.cx, r.cy) for r in single.collect()] == [(4, 4)]
+    patch = maxima.patches(level.filter("z = 9")).collect()
+    assert [(p.x, p.y, p.cells) for p in patch] == [(2.0, 1.5, 2)]
+
+
+def test_rings():
+    count = np.bincount([r for r, _, _ in maxima.ring_offsets()])[1:]
+    assert count.tolist() == [8, 12, 16, 32, 28, 40, 40, 48, 68, 56]
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 19, 20, 21])
+def test_quantiles(spark, n):
+    rows = [(0, 0, 10 * i, i, 1, 1, False) for i in range(n)]
+    p = spark.createDataFrame(rows, "cx int, cy int, z_raw int, intensity int, return_number int, classification int, withheld boolean")
+    got = grid_metrics.height_quantiles(grid_metrics.collected(p)).first()
+    for k in range(1, 20):
+        at = max(int(k * n / 20 + 0.5) - 1, 0) if n < 20 else k * n // 20 - 1
+        assert got[f"zq{5 * k:02d}"] == 10 * at
+
+
+def test_crowns_of_two_peaks(spark):
+    z = [[max(0.0, 10 - 3 * math.hypot(x - 2, y - 3), 8 - 3 * math.hypot(x - 7, y - 3)) + 2 for x in range(10)] for y in range(7)]
+    df = cells(spark, z, "dsm").withColumn("chm", F.col("dsm"))
+    tops = spark.createDataFrame([(1, 2, 3), (2, 7, 3)], "tree_id long, cx int, cy int")
+    got = crowns.crowns(df, tops, 1.0)
+    by = {(r.cx, r.cy): r.tree_id for r in got.collect()}
+    assert by[2, 3] == 1 and by[7, 3] == 2 and by[1, 3] == 1 and by[8, 3] == 2
+    classes = df.select("cx", "cy", F.lit(5).alias("class"))
+    counts = {r.tree_id: r.conifer for r in crowns.crown_classes(got, tops, classes).collect()}
+    assert counts[1] == sum(v == 1 for v in by.values())
+    assert crowns.merge_treetops(spark.createDataFrame([(1,), (3,)], "tree_id long"), crowns.crown_classes(got, tops, classes)).filter("tree_id = 3").first().conifer == 0
+
+
+def test_transforms(spark):
+    p = spark.createDataFrame([("a", 10, 0, 5, 0, 0, 5), ("b", 0, 10, 5, 1, 1, 1)], "tile string, x_raw int, y_raw int, z_raw int, return_number int, number_of_returns int, classification int")
+    params = spark.createDataFrame([("a", 0, 0, math.pi / 2), ("b", 0, 0, 0.0)], "tile string, tx int, ty int, angle double")
+    got = {r.tile: r for r in transform.register(p, params, fix_classes=True).collect()}
+    assert (got["a"].x_raw, got["a"].y_raw, got["a"].return_number, got["a"].classification) == (0, 10, 1, 3)
+    assert (got["b"].x_raw, got["b"].y_raw, got["b"].classification) == (0, 10, 2)
+    assert transform.linear_crs((0, 0), (0, 10), (0, 0), 10.0)["angle"] == pytest.approx(0)
+
+
+def test_packing_and_flags(spark):
+    df = spark.range(1).select(fp.pack_cell(F.lit(-3), F.lit(-7)).alias("k"))
+    assert df.select(*fp.unpack_cell(F.col("k"))).first() == (-3, -7)
+    flags = fp.class_flags(F.lit(0b10001100), True)
+    got = spark.range(1).select(*(v.alias(k) for k, v in flags.items())).first()
+    assert got.withheld and got.overlap and got.edge and not got.synthetic and not got.scan_direction
+
+
+def test_duplicate_tile_is_an_error(spark):
+    a = spark.createDataFrame([("a", 0, 0, 1)], "tile string, tile_x int, tile_y int, v int")
+    b = spark.createDataFrame([("b", 0, 0, 1)], a.schema)
+    with pytest.raises(Exception, match="two tiles"):
+        raster.assemble([a, b]).collect()
+    assert raster.assemble([a]).count() == 1
+
+
+def test_statistics_merge_whatever_the_tiles(spark):
+    df = cells(spark, np.random.default_rng(1).normal(size=(8, 8)).tolist())
+    whole = aggregates.band_statistics(df, "z", []).first()
+    for k in (2, 3):
+        parts = aggregates.band_statistics(df.withColumn("tile", raster.tile_of(k)), "z", ["tile"])
+        got = aggregates.merge_statistics(parts, []).first()
+        assert got.cells == 64 and got.mean == pytest.approx(whole.mean) and got.sd == pytest.approx(whole.sd)
+
+
+def test_las_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    n = 500
+    pdf = pd.DataFrame({"x_raw": rng.integers(-10**6, 10**6, n), "y_raw": rng.integers(0, 10**6, n), "z_raw": rng.integers(0, 9**5, n), "intensity": rng.integers(0, 65536, n), "return_number": rng.integers(0, 6, n), "number_of_returns": rng.integers(0, 6, n), "classification": rng.integers(0, 23, n), "withheld": rng.random(n) < 0.1, "overlap": rng.random(n) < 0.1, "edge": rng.random(n) < 0.1, "scan_angle_raw": rng.integers(-9000, 9000, n), "source_id": rng.integers(0, 65536, n), "gps_time": rng.random(n)})
+    (tmp_path / "one.las").write_bytes(las.encode_file(pdf, wkt='PROJCS["x"]', day=(60, 2024)))
+    got = las.read_points(spark, str(tmp_path)).orderBy("seq").toPandas()
+    for c in pdf:
+        assert (got[c].to_numpy() == pdf[c].to_numpy()).all(), c
+    head = las.read_headers(spark, str(tmp_path)).first()
+    assert (head.version, head.format, head.points, head.wkt, str(head.created)) == ("1.4", 6, n, 'PROJCS["x"]', "2024-02-29")
+    again = las.write_points(las.read_points(spark, str(tmp_path))).first()
+    assert las.decode_points(again.content, las.read_header(again.content), 0, n)["z_raw"].tolist() == pdf.z_raw.tolist()
+    assert files.list_files(spark, str(tmp_path)).count() == 1
+
+
+def test_vrt_round_trip():
+    doc = {"size_x": 4, "size_y": 3, "srs": "EPSG:32610", "transform": [0.0, 1.0, 0.0, 9.0, 0.0, -1.0], "bands": [{"name": n, "type": "Float32", "no_data": "nan", "colour": "Gray", "block": ("2", "2"), "sources": [{"kind": "ComplexSource", "file": f"{n}.tif", "band": 1, "dst_xOff": 0.0}]} for n in ("dsm", "cmm3")]}
+    again = documents.read_vrt(documents.write_vrt(doc))
+    assert again == doc
+    assert [b["name"] for b in documents.keep_bands(again, ["cmm3"])["bands"]] == ["cmm3"]
+    assert 'blockXSize' not in documents.write_vrt(documents.drop_block_size(doc))
+
+
+def test_disk_benchmark(spark, tmp_path):
+    thread = "<Thread><Id>{}</Id><Target><Path>x</Path><BytesCount>{}</BytesCount><IOCount>5</IOCount><ReadBytes>{}</ReadBytes><WriteBytes>0</WriteBytes></Target></Thread>"
+    body = "".join(thread.format(k, 1048576 * 30 * k, 1048576 * 30 * k) for k in (1, 2))
+    (tmp_path / "r.xml").write_text(f"<Results><System><ComputerName>c</ComputerName></System><TimeSpan><TestTimeSeconds>30.0</TestTimeSeconds>{body}</TimeSpan></Results>")
+    got = documents.read_disk_benchmarks(spark, str(tmp_path)).orderBy("thread").collect()
+    assert [r.mb_per_s for r in got] == [1.0, 2.0]
+
+
+def test_raster_sink(spark, tmp_path):
+    df = cells(spark, [[1, None], [float("nan"), -9999]]).withColumn("tile", F.lit("a"))
+    documents.write_raster(df, str(tmp_path / "out"))
+    got = documents.read_raster(spark, str(tmp_path / "out"), no_data=-9999.0)
+    assert sorted((r.cx, r.cy) for r in got.filter("z is null").collect()) == [(0, 1), (1, 0), (1, 1)]
+
+
+def test_streaming_terrain(spark, tmp_path):
+    from stratagrid.model import POINTS
+    from stratagrid.streaming import tiles
+
+    rows = spark.createDataFrame([("a", 0, 500, 500, 100), ("a", 1, 600, 500, 300)], "tile string, seq long, x_raw int, y_raw int, z_raw int")
+    rows = rows.withColumn("classification", F.lit(2)).withColumn("withheld", F.lit(False))
+    full = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINTS))
+    full.write.parquet(str(tmp_path / "in"))
+    q = tiles.start(tiles.running_terrain(tiles.arriving_points(spark, str(tmp_path / "in")), GridSpec(0, 1000, 1000, 1, 1)), "terrain", str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert spark.table("terrain").first().z == 200
+
+
+def test_lookup_without_terrain_changes_nothing(spark):
+    p = spark.createDataFrame([(0, 0, 10**6, 1, False)], "cx int, cy int, z_raw int, classification int, withheld boolean")
+    none = spark.createDataFrame([], "cx int, cy int, z double")
+    assert lookup.repair_noise(p, none, -1, 1).first().classification == 1
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "stratagrid", tmp_path / "stratagrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode == 0 and out.stdout.split()[0] == str(len(catalog.QUERIES)), out.stderr
