@@ -12,13 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
 #: Texts are handled in groups of about this many bytes, which bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: What tasks of one kind leave for the next in a reused Python worker; tasks of another kind give it back.
+WORKER_CACHE: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,16 +58,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the incoming batches with their ``text`` column as bytes, each of about ``limit`` bytes."""
+    WORKER_CACHE.clear()
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        text = batch.column("text").cast(pa.binary())
+        total = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + limit)) + 1
+            yield batch.slice(start, stop - start), text.slice(start, stop - start).to_pylist()
+            start = min(stop, batch.num_rows)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import id_text, stage
+from stratagrid.llm.common import WORKER_CACHE, id_text, stage
 
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sBQQ")
@@ -250,14 +250,10 @@ class WordEncoder:
         return out
 
 
-#: Encoders of this Python worker, so that what one task has learnt serves the next.
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kind = np.dtype("<u2" if bits <= 16 else "<u4")
-    encode = _ENCODERS.get((path, kind.str)) or _ENCODERS.setdefault((path, kind.str), WordEncoder(path, kind.str))
+    encode = WORKER_CACHE.get((path, kind.str)) or WORKER_CACHE.setdefault((path, kind.str), WordEncoder(path, kind.str))
     end, width = np.array([end_id], kind).tobytes(), kind.itemsize
     part, seq, held, before = TaskContext.get().partitionId(), 0, 0, 0
     docs: list[int | None] = []
