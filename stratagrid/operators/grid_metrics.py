@@ -29,27 +29,41 @@ def quantile(values: str, k: Column | int, steps: int) -> Column:
     return F.get(values, F.when(n < steps, few).otherwise(many))
 
 
-def moments(values: str) -> dict[str, Column]:
-    """``mean, sd, skew, kurtosis``: population deviation with sample corrections."""
+def with_moments(cells: DataFrame, values: str, prefix: str) -> DataFrame:
+    """Adds mean, sd, skew and kurtosis: population deviation with sample corrections.
+
+    Sums of powers are columns of their own, so that each array is walked once for each power.
+    """
     n = F.size(values).cast("double")
     mid = F.get(values, F.floor(F.size(values) / 2).cast("int")).cast("double")
-    power = lambda k: F.aggregate(values, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - mid, F.lit(float(k))))
-    s1, s2, s3, s4 = (power(k) for k in (1, 2, 3, 4))
-    m = s1 / n
-    var = s2 / n - m * m
+    rows = cells.withColumn("_d", F.transform(values, lambda x: x.cast("double") - mid)).withColumns({"_n": n, "_mid": mid})
+    powers = {"_s1": lambda x: x, "_s2": lambda x: x * x, "_s3": lambda x: x * x * x, "_s4": lambda x: x * x * x * x}
+    rows = rows.withColumns({k: _sum_of(f) for k, f in powers.items()})
+    n, mid, s1, s2, s3, s4 = (F.col(c) for c in ("_n", "_mid", "_s1", "_s2", "_s3", "_s4"))
+    rows = rows.withColumn("_m", s1 / n)
+    m = F.col("_m")
+    rows = rows.withColumn("_var", s2 / n - m * m)
+    var = F.col("_var")
     c3 = s3 - 3 * s2 * m + 3 * s1 * m * m - n * m * m * m
     c4 = s4 - 4 * s3 * m + 6 * s2 * m * m - 4 * s1 * m * m * m + n * m * m * m * m
     spread = F.when(var > 0, var)
-    return {
-        "mean": mid + m,
-        "sd": F.sqrt(F.greatest(var, F.lit(0.0))),
-        "skew": F.when(n > 2, F.try_divide(F.try_divide(c3, F.pow(spread, F.lit(1.5))) * n, (n - 1) * (n - 2))),
-        "kurtosis": F.when(n > 3, F.try_divide(F.try_divide(c4, spread * spread) * n * (n + 1), (n - 1) * (n - 2) * (n - 3))),
-    }
+    return rows.withColumns({
+        f"{prefix}_mean": mid + m,
+        f"{prefix}_sd": F.sqrt(F.greatest(var, F.lit(0.0))),
+        f"{prefix}_skew": F.when(n > 2, F.try_divide(F.try_divide(c3, F.pow(spread, F.lit(1.5))) * n, (n - 1) * (n - 2))),
+        f"{prefix}_kurtosis": F.when(n > 3, F.try_divide(F.try_divide(c4, spread * spread) * n * (n + 1), (n - 1) * (n - 2) * (n - 3))),
+    }).drop("_d", "_n", "_mid", "_s1", "_s2", "_s3", "_s4", "_m", "_var")
+
+
+def _sum_of(power) -> Column:
+    return F.aggregate("_d", F.lit(0.0), lambda s, x: s + power(x))
+
+
+MOMENTS = ("mean", "sd", "skew", "kurtosis")
 
 
 def heights(cells: DataFrame) -> DataFrame:
-    return cells.select(*CELL, "n", F.array_max("z").alias("z_max"), *(v.alias(f"z_{k}") for k, v in moments("z").items()))
+    return with_moments(cells, "z", "z").select(*CELL, "n", F.array_max("z").alias("z_max"), *(f"z_{k}" for k in MOMENTS))
 
 
 def height_quantiles(cells: DataFrame) -> DataFrame:
@@ -76,10 +90,10 @@ def cumulative(cells: DataFrame) -> DataFrame:
 
 def above(cells: DataFrame, ground: DataFrame, threshold: int = 2000) -> DataFrame:
     """Share of points above the mean, and above the ground under the cell by ``threshold``."""
-    both = cells.join(ground, CELL, "left")
     total = F.aggregate("z", F.lit(0).cast("long"), lambda s, x: s + x)
+    both = cells.withColumn("total", total).join(ground, CELL, "left")
     floor = threshold + F.coalesce("z_ground_mean", F.lit(0.0))
-    return both.select(*CELL, "z_ground_mean", (F.size(F.filter("z", lambda x: x * F.col("n") > total)) / F.col("n")).alias("p_above_mean"), (F.size(F.filter("z", lambda x: x > floor)) / F.col("n")).alias("p_above_threshold"))
+    return both.select(*CELL, "z_ground_mean", (F.size(F.filter("z", lambda x: x * F.col("n") > F.col("total"))) / F.col("n")).alias("p_above_mean"), (F.size(F.filter("z", lambda x: x > floor)) / F.col("n")).alias("p_above_threshold"))
 
 
 def returns(cells: DataFrame) -> DataFrame:
@@ -94,11 +108,11 @@ def intensities(cells: DataFrame) -> DataFrame:
     n = F.col("n")
     at = F.when(n < 20, F.greatest(F.floor(10 * n / 20 + 0.5).cast("int") - 1, F.lit(0))).otherwise(F.floor(10 * n / 20).cast("int") - 1)
     total = add(lambda x: F.lit(True))
-    out = cells.withColumns({"i50": at, "zq50": F.get("z", at)})
+    out = with_moments(cells, "i", "i").withColumns({"i50": at, "zq50": F.get("z", at), **{f"_z{k}": quantile("z", 2 * k, 20) for k in (1, 3, 5, 7, 9)}})
     deciles = [quantile("i", k, 10).alias(f"iq{10 * k}") for k in range(1, 10)]
-    parts = [ratio(add(lambda x, k=k: x["z_raw"] < quantile("z", 2 * k, 20)), total).alias(f"ipcumzq{10 * k}") for k in (1, 3, 5, 7, 9)]
+    parts = [ratio(add(lambda x, k=k: x["z_raw"] < F.col(f"_z{k}")), total).alias(f"ipcumzq{10 * k}") for k in (1, 3, 5, 7, 9)]
     return out.select(
-        *CELL, F.array_max("i").alias("i_max"), *(v.alias(f"i_{k}") for k, v in moments("i").items()), *deciles,
+        *CELL, F.array_max("i").alias("i_max"), *(f"i_{k}" for k in MOMENTS), *deciles,
         ratio(add(lambda x: x["return_number"] == 1), count(lambda x: x["return_number"] == 1)).alias("i_first"),
         ratio(add(lambda x: x["z_raw"] >= F.col("zq50")), n - F.col("i50")).alias("i_above_median"), ratio(add(lambda x: x["z_raw"] < F.col("zq50")), F.col("i50")).alias("i_below_median"),
         *parts, total.alias("i_total"), ratio(add(lambda x: x["classification"] == 2), total).alias("i_pground"),
