@@ -74,12 +74,16 @@ def _snap(p: Column) -> Column:
     return F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
 
 
+def size_of(text: Column) -> Column:
+    """Words parted by white space; a null text has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, group: int = GROUP
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+    sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
     targets = stage(source_targets(sized, weights, share, most), "targets")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
     by_key = targets.select(key, "source_size", "target")
