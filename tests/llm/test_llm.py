@@ -278,6 +278,51 @@ def test_wavelet_matrix():
         m.select(60, 0)
 
 
+#: Names that operators and stages use inside, as columns of the input.
+CLASHES = "score copies copy size kept id of n component rep key item doc n_hit items h hits n_words sig tail comp label_ y target taken k1 k2 a b word content part".split()
+
+
+def odd_tables(spark, at, empty):
+    """The tables an operator may read, with odd rows or none, and with clashing columns."""
+    base = [] if empty else [*odd_documents(), (3, "one", "a"), (None, "w1 w2 w3 w4 w5 w6", None), (None, None, None)]
+    tables = {
+        "documents": ([(i, t, "en", s, len(t or "")) for i, t, s in base], "doc_id long, text string, lang string, source string, n_chars long"),
+        "embeddings": ([] if empty else [*vectors()[:20], (0, vectors()[0][1], 0), (None, None, None)], "vec_id long, embedding array<double>, label int"),
+        "benchmark": ([] if empty else [(1, "one"), (1, "w1 w2 w3"), (None, "two words"), (5, None)], "item_id long, text string"),
+        "labels": ([] if empty else [*((i, i % 2, (i + 1) % 2) for i in range(16)), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+        "conversations": ([] if empty else [(1, 0, "user", "x"), (1, None, None, None), (None, 0, "assistant", "[</s>"), (1, 0, "user", "x")], "conv_id long, turn int, role string, text string"),
+    }
+    for name, (rows, kind) in tables.items():
+        df = spark.createDataFrame(rows, kind)
+        df.select("*", *(F.lit("x").alias(c) for c in CLASHES if c not in df.columns)).write.parquet(f"{at}/{name}.parquet")
+    return len(base)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_tables_and_clashing_columns(spark, tmp_path, empty):
+    at = str(tmp_path)
+    n = odd_tables(spark, at, empty)
+    for name, query in queries.QUERIES.items():
+        rows = query(spark, at).count()
+        assert rows == {"op3_chat_format": 1 if empty else 3, "op6_metric_join": 0 if empty else 21}.get(name, n), name
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    before = [tuple(r) for r in docs.collect()]
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        got = apply(spark, docs, at)
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(before), name
+    assert (corpus_pipeline.run(spark, at).count() == 0) == empty
+
+
+def test_mixing_stage_of_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame([(i // 3 if i % 5 else None, f"t{i} " + "w " * int(rng.integers(0, 4)), "ab"[i % 2]) for i in range(300)], DOCS)
+    rows, got = mixing.mix(docs).collect(), corpus_pipeline.mix_sources(spark, docs, SF)
+    out = [tuple(r) for r in got.collect()]
+    for s in "ab":
+        assert sum(len(t.split()) for _, t, x in out if x == s) == sum(r.taken for r in rows if r.source == s)
+    assert sorted(out, key=str) == sorted((tuple(r) for r in corpus_pipeline.mix_sources(spark, docs.repartition(7), SF).collect()), key=str)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
