@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.functions.points import class_flags, ground, valid
+from stratagrid.functions.points import class_flags, coordinate, ground, pack_cell, to_metres, unpack_cell, valid
 from stratagrid.operators import aggregates as agg
 from stratagrid.operators import crowns as cr
 from stratagrid.operators import grid_metrics as gm
 from stratagrid.operators import lookup, maxima, raster, stencil, transform
 from stratagrid.operators.binning import cells_under, overlapping
 from stratagrid.plans.fixtures import CELLS_SQL, GRID, binned, grid_cells, points
-from stratagrid.sources.files import tree_size
+from stratagrid.sources.files import layer_counts, tile_name, tree_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -498,3 +498,96 @@ def unmerged_tiles(spark, sf_dir):
 @query(with_points("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(z_raw) AS BIGINT) AS z_sum FROM p WHERE ok AND classification = 2"))
 def ground_points(spark, sf_dir):
     return points(spark, sf_dir).filter(ground()).agg(F.count("*").alias("n"), F.sum("z_raw").alias("z_sum"))
+
+
+# --- placement, names, tile sets ---
+
+_EXTENTS = "ext AS (SELECT tile, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM p GROUP BY tile)"
+
+
+def _extents(spark, sf_dir):
+    return points(spark, sf_dir).groupBy("tile").agg(F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax"))
+
+
+@query(with_points("""SELECT tile, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) AS ymin, round(max(y), 6) AS ymax FROM (
+  SELECT tile, cx_ * cos(0.3::DOUBLE) - cy_ * sin(0.3::DOUBLE) + 100 AS x, cx_ * sin(0.3::DOUBLE) + cy_ * cos(0.3::DOUBLE) - 50 AS y
+  FROM (SELECT tile, unnest([xmin, xmin, xmax, xmax]) AS cx_, unnest([ymin, ymax, ymin, ymax]) AS cy_ FROM ext)) GROUP BY tile""", _EXTENTS))
+def rotated_extents(spark, sf_dir):
+    placed = _extents(spark, sf_dir).withColumns({"angle": F.lit(0.3), "tx": F.lit(100), "ty": F.lit(-50)})
+    return transform.rotated_extent(placed).select("tile", *(F.round(f"new_{c}", 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
+
+
+@query(with_points("""SELECT tile, CAST(x0 AS BIGINT) AS gx0, CAST(x1 AS BIGINT) AS gx1, CAST(y0 AS BIGINT) AS gy0, CAST(y1 AS BIGINT) AS gy1, CAST((x1 - x0) / 1500 AS INT) AS size_x, CAST((y1 - y0) / 1500 AS INT) AS size_y FROM (
+  SELECT tile, floor(xmin / 1500.0) * 1500 AS x0, ceil(xmax / 1500.0) * 1500 AS x1, floor(ymin / 1500.0) * 1500 AS y0, ceil(ymax / 1500.0) * 1500 AS y1 FROM ext)""", _EXTENTS))
+def snapped_grids(spark, sf_dir):
+    return transform.snapped_grid(_extents(spark, sf_dir), 1500).select("tile", *(F.col(c).cast("long").alias(c) for c in ("gx0", "gx1", "gy0", "gy1")), "size_x", "size_y")
+
+
+@query(with_points("""SELECT tile, CAST(min(x) AS INT) AS x_min, CAST(max(x) AS INT) AS x_max, CAST(sum(y) AS BIGINT) AS y_sum FROM (
+  SELECT tile, trunc((x_raw - 500) * cos(a) - (y_raw - 700) * sin(a) + 0.5) AS x, trunc((x_raw - 500) * sin(a) + (y_raw - 700) * cos(a) + 0.5) AS y
+  FROM (SELECT *, -(pi() / 2 - atan2(40000.0::DOUBLE, 300.0::DOUBLE)) AS a FROM p)) GROUP BY tile"""))
+def convert_crs(spark, sf_dir):
+    place = transform.linear_crs((0.0, 0.0), (300.0, 40000.0), (500.0, 700.0), 40000.0)
+    p = points(spark, sf_dir)
+    params = spark.range(8).select(F.concat(F.lit("t"), F.col("id")).alias("tile"), *(F.lit(place[c]).alias(c) for c in ("tx", "ty", "angle")))
+    return transform.rotate_shift(p, params).groupBy("tile").agg(F.min("x_raw").alias("x_min"), F.max("x_raw").alias("x_max"), F.sum("y_raw").alias("y_sum"))
+
+
+@query(with_points("SELECT tile, round(min(600000 + x_raw * 0.001::DOUBLE), 6) AS x_min, round(max(z_raw * 0.001::DOUBLE), 6) AS z_max, round(max(z_raw * 0.3048::DOUBLE), 6) AS z_metres FROM p GROUP BY tile"))
+def scaled_coordinates(spark, sf_dir):
+    xyz = points(spark, sf_dir).select("tile", coordinate(F.col("x_raw"), 0.001, 600000.0).alias("x"), coordinate(F.col("z_raw"), 0.001, 0.0).alias("z"), to_metres(F.col("z_raw"), True).alias("m"))
+    return rounded(xyz.groupBy("tile").agg(F.min("x").alias("x_min"), F.max("z").alias("z_max"), F.max("m").alias("z_metres")), "tile")
+
+
+@query(with_points("SELECT tile, CAST(21 AS INT) AS source_id, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY tile"))
+def source_override(spark, sf_dir):
+    return transform.set_source(points(spark, sf_dir), 21).groupBy("tile", "source_id").agg(F.count("*").alias("n"))
+
+
+@query(with_points("SELECT DISTINCT cx, cy, CAST(cx AS BIGINT) * 4294967296 + cy AS packed FROM p"))
+def packed_cells(spark, sf_dir):
+    packed = binned(spark, sf_dir).select(pack_cell(F.col("cx"), F.col("cy")).alias("packed")).distinct()
+    x, y = unpack_cell(F.col("packed"))
+    return packed.select(x.cast("int").alias("cx"), y.cast("int").alias("cy"), "packed")
+
+
+@query(with_points("SELECT CAST(floor(cy / 10) AS INT) AS tile_y, CAST(floor(cx / 10) AS INT) AS tile_x, concat('r', CAST(floor(cy / 10) AS INT), 'c', CAST(floor(cx / 10) AS INT)) AS name, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL ORDER BY 1, 2"))
+def tiles_row_major(spark, sf_dir):
+    where = [F.floor(F.col(c) / 10).cast("int").alias(f"tile_{c[1]}") for c in ("cy", "cx")]
+    return raster.row_major(binned(spark, sf_dir).select(*where, raster.tile_of(10).alias("name")).groupBy("tile_y", "tile_x", "name").agg(F.count("*").alias("n")))
+
+
+@query(with_points("SELECT name, tile FROM (SELECT DISTINCT 'low' AS name, tile FROM p WHERE source_id % 8 < 6 UNION ALL SELECT DISTINCT 'high', tile FROM p WHERE source_id % 8 > 1) WHERE tile IN ('t0', 't1', 't6', 't7')"))
+def misaligned_tiles(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return raster.misaligned({"low": p.filter("source_id % 8 < 6"), "high": p.filter("source_id % 8 > 1")})
+
+
+@query(with_points("SELECT tile_x, CAST(0 AS INT) AS tile_y, tile, CAST(n AS BIGINT) AS n FROM (SELECT CAST(substr(tile, 2) AS INT) AS tile_x, tile, count(*) AS n FROM p GROUP BY tile)"))
+def assembled_tiles(spark, sf_dir):
+    n = points(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("n")).select(F.substring("tile", 2, 9).cast("int").alias("tile_x"), F.lit(0).alias("tile_y"), "tile", "n")
+    return raster.assemble([n.filter("tile_x < 3"), n.filter("tile_x >= 3")])
+
+
+@query(with_points("SELECT cx, cy, 'z' AS band, round(z, 6) AS value FROM terrain UNION ALL SELECT cx, cy, 'n_ground', CAST(n_ground AS DOUBLE) FROM terrain", TERRAIN))
+def band_rows(spark, sf_dir):
+    return rounded(raster.unpivot_bands(agg.dtm(binned(spark, sf_dir)), ["z", "n_ground"], list(CELL)), *CELL)
+
+
+_BAND = "CASE l_linenumber WHEN 1 THEN 'red' WHEN 2 THEN 'Green' WHEN 3 THEN 'blue' WHEN 4 THEN 'NIR' ELSE 'intensity' END"
+
+
+@query(f"SELECT DISTINCT {_BAND} AS band, CASE l_linenumber WHEN 1 THEN 'Red' WHEN 2 THEN 'Green' WHEN 3 THEN 'Blue' WHEN 4 THEN 'NIR' ELSE 'Gray' END AS colour FROM lineitem")
+def band_colours(spark, sf_dir):
+    bands = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr(_BAND).alias("band")).distinct()
+    return bands.select("band", raster.colour_interpretation(F.col("band")).alias("colour"))
+
+
+@query("SELECT source AS file, lang AS layer, CAST(count(*) AS BIGINT) AS features FROM documents GROUP BY source, lang")
+def vector_layer_counts(spark, sf_dir):
+    return layer_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("file"), F.col("lang").alias("layer")))
+
+
+@query("SELECT doc_id, concat('tile', CAST(doc_id AS VARCHAR)) AS name FROM documents")
+def tile_names(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tile_name(F.concat(F.lit("/data/a.b/tile"), F.col("doc_id").cast("string"), F.lit(".las"))).alias("name"))
