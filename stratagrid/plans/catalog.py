@@ -479,16 +479,28 @@ def extent_cells(spark, sf_dir):
     return cells_under(boxes, GRID).select("tile", "cx", "cy")
 
 
+_ALL_BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM p GROUP BY source_id)"
 _BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM (SELECT * FROM p WHERE gps_time < 300) GROUP BY source_id)"
+_MEET = "SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"
 
 
-@query(with_points("SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax", _BOXES))
-def extent_overlaps(spark, sf_dir):
-    p = points(spark, sf_dir).filter("gps_time < 300")
+def _overlaps(p: DataFrame) -> DataFrame:
     boxes = p.groupBy(F.col("source_id").alias("id")).agg(F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax"))
     return overlapping(boxes, boxes, 10000)
 
 
+@query(with_points(_MEET, _ALL_BOXES))
+def extent_overlaps_all(spark, sf_dir):
+    """Pairs of sources whose boxes over all their points meet."""
+    return _overlaps(points(spark, sf_dir))
+
+
+@query(with_points(_MEET, _BOXES))
+def extent_overlaps(spark, sf_dir):
+    """As ``extent_overlaps_all``, of the points of the first 300 seconds alone: small boxes, not all pairs."""
+    return _overlaps(points(spark, sf_dir).filter("gps_time < 300"))
+
+
 @query(with_points("SELECT DISTINCT tile FROM p WHERE tile NOT IN (SELECT tile FROM p WHERE source_id % 8 < 5)"))
 def unmerged_tiles(spark, sf_dir):
     p = points(spark, sf_dir)

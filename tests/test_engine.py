@@ -40,6 +40,29 @@ def test_catalogue(spark, name):
     assert order(got.collect()) == order(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+def lineitem(spark, folder, rows):
+    """``l_orderkey, l_partkey, l_suppkey`` as a table of points with these keys."""
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long")
+    rest = {"l_linenumber": F.lit(1), "l_quantity": F.lit(10.0), "l_extendedprice": F.lit(100.0), "l_discount": F.lit(0.05), "l_tax": F.lit(0.02), "l_returnflag": F.lit("A")}
+    df.withColumns(rest).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_overlaps_of_all_points(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(o), int(p), int(s)) for o, p, s in zip(rng.integers(0, 2000, 60), rng.integers(0, 300, 60), rng.integers(1, 25, 60))]
+    assert {s for o, _, s in rows} != {s for o, _, s in rows if o < 300}
+    boxes = {}
+    for o, p, s in rows:
+        x, y = (o * 37 + 1013) % 40000, (p * 101 + s * 1709) % 40000
+        a = boxes.setdefault(s, [x, x, y, y])
+        boxes[s] = [min(a[0], x), max(a[1], x), min(a[2], y), max(a[3], y)]
+    want = sorted((i, j) for i, a in boxes.items() for j, b in boxes.items() if a[0] <= b[1] and b[0] <= a[1] and a[2] <= b[3] and b[2] <= a[3])
+    assert len(want) < len(boxes) ** 2
+    got = catalog.QUERIES["extent_overlaps_all"](spark, lineitem(spark, tmp_path, rows))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_edges_of_the_grid(spark):
     rows = [(0, 4000), (4000, 0), (4001, 100), (100, -1), (3999, 1), (1000, 3000)]
     got = with_cell(spark.createDataFrame(rows, "x_raw int, y_raw int"), GridSpec(0, 4000, 1000, 4, 4)).collect()
