@@ -25,18 +25,22 @@ class CrownRules:
     above_top_penalty: float = 2.0
 
 
-def cost_field(dsm: np.ndarray, chm: np.ndarray, cell: float, rules: CrownRules) -> np.ndarray:
+def cost_field(dsm: np.ndarray, chm: np.ndarray, cell: float, rules: CrownRules, z: float = math.nan, height: float = math.nan) -> np.ndarray:
     """Path costs from the window's centre, breadth first; infinite where a crown does not reach.
 
     A step costs its length, uphill its length in space, and above the treetop the penalty for the
     rise. Cells below the crown's base or the least height are not entered; a cell is left only while its
     cost is below its own height (scaled) and the limit. Each cell is priced once, from the three
-    cells on the side it is entered from.
+    cells on the side it is entered from. The top is the centre or, where that is higher or the centre's cell has no
+    data, the treetop's own ``z`` and ``height``: the centre of a patch need not be one of its cells.
     """
     size = dsm.shape[0]
     mid = size // 2
-    top = dsm[mid, mid]
-    floor = top - rules.crown_ratio * chm[mid, mid]
+    top = np.fmax(dsm[mid, mid], z)
+    floor = top - rules.crown_ratio * np.fmax(chm[mid, mid], height)
+    if math.isnan(dsm[mid, mid]):
+        dsm, chm = dsm.copy(), chm.copy()
+        dsm[mid, mid], chm[mid, mid] = top, np.fmax(chm[mid, mid], height)
     cost = np.full(dsm.shape, math.inf)
     seen = np.zeros(dsm.shape, bool)
     cost[mid, mid], seen[mid, mid] = 0.0, True
@@ -73,13 +77,14 @@ def cost_field(dsm: np.ndarray, chm: np.ndarray, cell: float, rules: CrownRules)
 def crowns(cells: DataFrame, treetops: DataFrame, cell: float, rules: CrownRules = CrownRules(), reach: int = REACH) -> DataFrame:
     """``cx, cy, tree_id, cost``: each cell goes to the tree of least cost, ties to the least id.
 
-    ``cells`` has ``dsm, chm`` in metres, ``treetops`` ``tree_id, cx, cy``. Windows are joined through buckets as
+    ``cells`` has ``dsm, chm`` in metres, ``treetops`` ``tree_id, cx, cy`` and, where there are patches, their own ``z, h``. Windows are joined through buckets as
     wide as a window, so a treetop meets at most nine of them, and a window has a fixed size.
     """
     wide = 2 * reach + 1
     bucket = lambda c: F.floor(F.col(c) / wide)
     near = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))).alias("b")
-    tops = treetops.select("tree_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"), near).select("tree_id", "tx", "ty", (bucket("tx") + F.col("b.x")).alias("bx"), (bucket("ty") + F.col("b.y")).alias("by"))
+    own_top = [F.col(c).cast("double").alias(c) if {"z", "h"} <= set(treetops.columns) else F.lit(math.nan).alias(c) for c in ("z", "h")]
+    tops = treetops.select("tree_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"), *own_top, near).select("tree_id", "tx", "ty", "z", "h", (bucket("tx") + F.col("b.x")).alias("bx"), (bucket("ty") + F.col("b.y")).alias("by"))
     own = cells.select(*CELL, "dsm", "chm", bucket("cx").alias("bx"), bucket("cy").alias("by"))
     met = tops.join(own, ["bx", "by"]).filter((F.abs(F.col("cx") - F.col("tx")) <= reach) & (F.abs(F.col("cy") - F.col("ty")) <= reach))
 
@@ -87,9 +92,10 @@ def crowns(cells: DataFrame, treetops: DataFrame, cell: float, rules: CrownRules
         dsm, chm = np.full((wide, wide), np.nan), np.full((wide, wide), np.nan)
         x, y = (pdf.cx - pdf.tx + reach).to_numpy(), (pdf.cy - pdf.ty + reach).to_numpy()
         dsm[y, x], chm[y, x] = pdf.dsm, pdf.chm
-        if np.isnan(chm[reach, reach]):
+        z, h = float(pdf.z.iloc[0]), float(pdf.h.iloc[0])
+        if np.isnan(chm[reach, reach]) and np.isnan(h):
             return pd.DataFrame({"tree_id": [], "cx": [], "cy": [], "cost": []})
-        v, u = np.nonzero(np.isfinite(cost := cost_field(dsm, chm, cell, rules)))
+        v, u = np.nonzero(np.isfinite(cost := cost_field(dsm, chm, cell, rules, z, h)))
         return pd.DataFrame({"tree_id": pdf.tree_id.iloc[0], "cx": u - reach + pdf.tx.iloc[0], "cy": v - reach + pdf.ty.iloc[0], "cost": cost[v, u]})
 
     grown = met.groupBy("tree_id").applyInPandas(grow, "tree_id long, cx int, cy int, cost double")

@@ -99,12 +99,25 @@ def treetops_by_rings(cells: DataFrame, value: str, height: str, metres: float,
     return got.filter(ok).select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "h", (F.col("net") * unit / F.col("h")).alias("prominence"), (F.col("near") == F.col("z")).alias("patch"))
 
 
+def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, **rules: float) -> DataFrame:
+    """Treetops of several cells: those that ``treetops_by_radius`` finds level, and their equal neighbours, as ``patches``."""
+    level = treetops_by_radius(cells, value, height, metres, **rules)[1]
+    where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
+    near = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).groupBy((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z").agg(F.max("radius").alias("radius"))
+    return patches(near.join(cells.select(*CELL, F.col(value).alias("v"), F.col(height).alias("h")), CELL).filter("v = z").drop("v"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def patches(level: DataFrame, rounds: int = 64) -> DataFrame:
-    """Adjacent cells of one height to one treetop each: mean index plus a half, cells and height.
+    """Adjacent cells of one height to one treetop each: least cell ``cx, cy`` (by row), mean index plus a half, cells and height.
 
-    Least labels spread to neighbours until they stay; patches are a few cells wide.
+    A column ``h`` is averaged, and a ``radius`` in cells grows by half the patch's diagonal. Least labels spread to neighbours until they stay; patches are a few cells wide.
     """
     label = F.struct("cy", "cx")
+    level = _cut(level)
     now = level.select(*CELL, "z", label.alias("label"))
     spark = level.sparkSession
     last = -1
@@ -119,4 +132,11 @@ def patches(level: DataFrame, rounds: int = 64) -> DataFrame:
         if mark == last:
             break
         last = mark
-    return now.groupBy("label", "z").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.count("*").alias("cells")).select((F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells")
+    more = []
+    if "h" in level.columns:
+        more.append(F.avg("h").alias("h"))
+    if "radius" in level.columns:
+        wide = [F.max(c) - F.min(c) for c in CELL]
+        more.append((F.max("radius") + 0.5 * F.hypot(*wide)).alias("radius"))
+    own = now.join(level.drop("z"), CELL).groupBy("label", "z").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.count("*").alias("cells"), *more)
+    return own.select(F.col("label.cx").alias("cx"), F.col("label.cy").alias("cy"), (F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells", *(c for c in ("h", "radius") if c in level.columns))

@@ -399,34 +399,47 @@ def treetops_ring(spark, sf_dir):
     return got.select("cx", "cy", "z", F.round("prominence", 6).alias("prominence"), "patch")
 
 
+@query()
+def treetop_patches(spark, sf_dir):
+    """Treetops of several equal cells, which ``treetops_radius`` leaves out; the crowns grow from both."""
+    got = maxima.treetop_patches(_high(spark, sf_dir), "z", "h", 1.0)
+    return rounded(got, *CELL)
+
+
 def _trees(spark, sf_dir):
-    cells = _high(spark, sf_dir).select("cx", "cy", (F.col("z") / 1000).alias("dsm"), F.col("h").alias("chm"))
-    tops = maxima.treetops_by_radius(_high(spark, sf_dir), "z", "h", 1.0)[0].select((F.col("cy").cast("long") * 40 + F.col("cx")).alias("tree_id"), "cx", "cy", "h")
-    return cells, tops
+    high = _high(spark, sf_dir)
+    cells = high.select("cx", "cy", (F.col("z") / 1000).alias("dsm"), F.col("h").alias("chm"))
+    tree_id = (F.col("cy").cast("long") * 40 + F.col("cx")).alias("tree_id")
+    own_z = (F.col("z") / 1000).alias("z")
+    single = maxima.treetops_by_radius(high, "z", "h", 1.0)[0].select(tree_id, "cx", "cy", own_z, "h")
+    several = maxima.treetop_patches(high, "z", "h", 1.0).select(tree_id, *(F.floor(c).cast("int").alias(f"c{c}") for c in "xy"), own_z, "h")
+    return cells, single.unionByName(several)
 
 
 def _crowns(spark, sf_dir):
     cells, tops = _trees(spark, sf_dir)
-    return cr.crowns(cells, tops, 1.0)
+    return tops, cr.crowns(cells, tops, 1.0)
 
 
 @query()
 def crowns(spark, sf_dir):
-    return rounded(_crowns(spark, sf_dir), "cx", "cy")
+    return rounded(_crowns(spark, sf_dir)[1], "cx", "cy")
 
 
 def _classes(spark, sf_dir):
-    return cr.crown_classes(_crowns(spark, sf_dir), _trees(spark, sf_dir)[1], grid_cells(spark).select("cx", "cy", ((F.col("cx") + F.col("cy")) % 11).alias("class")))
+    tops, own = _crowns(spark, sf_dir)
+    return tops, cr.crown_classes(own, tops, grid_cells(spark).select("cx", "cy", ((F.col("cx") + F.col("cy")) % 11).alias("class")))
 
 
 @query()
 def crown_classes(spark, sf_dir):
-    return _classes(spark, sf_dir)
+    return _classes(spark, sf_dir)[1]
 
 
 @query()
 def merge_treetops(spark, sf_dir):
-    return cr.merge_treetops(_trees(spark, sf_dir)[1], _classes(spark, sf_dir))
+    tops, counts = _classes(spark, sf_dir)
+    return cr.merge_treetops(tops.drop("z"), counts)
 
 
 # --- transforms, assembly, tables ---

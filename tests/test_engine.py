@@ -114,6 +114,29 @@ def test_patch_and_peak(spark):
     assert [(p.x, p.y, p.cells) for p in patch] == [(2.0, 1.5, 2)]
 
 
+def test_patches_are_treetops_with_crowns(spark, monkeypatch):
+    z = [[30000.0 - 100 * abs(x - 4) - 100 * abs(y - 4) for x in range(20)] for y in range(9)]
+    z[4][3] = z[4][4] = z[4][5] = 30500.0
+    for x in range(11, 20):
+        for y in range(9):
+            z[y][x] = 29000.0 - 300 * max(abs(x - 16), abs(y - 4))
+    ring = [(15, 3), (16, 3), (17, 3), (15, 4), (17, 4), (15, 5), (16, 5), (17, 5)]
+    for x, y in ring:
+        z[y][x] = 31000.0
+    z[4][16] = None
+    df = cells(spark, z).filter("z is not null")
+    monkeypatch.setattr(catalog, "holed", lambda spark, sf_dir: df)
+    got = {(p.cx, p.cy): p for p in catalog.QUERIES["treetop_patches"](spark, SF).collect()}
+    assert {k: (p.x, p.y, p.z, p.cells, p.h) for k, p in got.items()} == {(3, 4): (4.5, 4.5, 30500.0, 3, 10.5), (15, 3): (16.5, 4.5, 31000.0, 8, 11.0)}
+    assert got[3, 4].radius == 2.0 and got[15, 3].radius == pytest.approx(1 + math.sqrt(2), abs=1e-6)
+    trees = {(r.cx, r.cy): r for r in catalog.QUERIES["merge_treetops"](spark, SF).collect()}
+    assert {k: t.tree_id for k, t in trees.items() if k in ((4, 4), (16, 4))} == {(4, 4): 4 * 40 + 3, (16, 4): 3 * 40 + 15}
+    by = {(r.cx, r.cy): r.tree_id for r in catalog.QUERIES["crowns"](spark, SF).collect()}
+    assert all(by[x, 4] == 163 for x in (3, 4, 5)) and all(by[c] == 135 for c in ring)
+    counted = {r.tree_id for r in catalog.QUERIES["crown_classes"](spark, SF).collect()}
+    assert {163, 135} <= counted
+
+
 def test_rings():
     count = np.bincount([r for r, _, _ in maxima.ring_offsets()])[1:]
     assert count.tolist() == [8, 12, 16, 32, 28, 40, 40, 48, 68, 56]
