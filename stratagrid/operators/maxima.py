@@ -114,24 +114,23 @@ def _cut(df: DataFrame) -> DataFrame:
 def patches(level: DataFrame, rounds: int = 64) -> DataFrame:
     """Adjacent cells of one height to one treetop each: least cell ``cx, cy`` (by row), mean index plus a half, cells and height.
 
-    A column ``h`` is averaged, and a ``radius`` in cells grows by half the patch's diagonal. Least labels spread to neighbours until they stay; patches are a few cells wide.
+    A column ``h`` is averaged, and a ``radius`` in cells grows by half the patch's diagonal. Least labels spread to neighbours and
+    jump to the label of the cell they name, until none changes; it is an error if ``rounds`` do not settle them.
     """
     label = F.struct("cy", "cx")
     level = _cut(level)
     now = level.select(*CELL, "z", label.alias("label"))
-    spark = level.sparkSession
-    last = -1
     for _ in range(rounds):
         where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
         sent = now.select("z", "label", "cx", "cy", F.explode(where).alias("d")).select("z", "label", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-        least = sent.groupBy(*CELL, "z").agg(F.min("label").alias("label"))
-        now = level.select(*CELL, "z").join(least, [*CELL, "z"])
-        if spark.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
-        mark = now.agg(F.sum(F.col("label.cx").cast("long") + F.col("label.cy"))).first()[0]
-        if mark == last:
+        least = sent.groupBy(*CELL, "z").agg(F.min("label").alias("least"))
+        near = now.join(least, [*CELL, "z"])
+        ahead = now.select(F.struct("cy", "cx").alias("least"), F.col("label").alias("further"))
+        now = _cut(near.join(ahead, "least").select(*CELL, "z", F.least("least", "further").alias("label"), (F.least("least", "further") != F.col("label")).alias("moved")))
+        if not now.filter("moved").limit(1).count():
             break
-        last = mark
+    else:
+        raise RuntimeError("patches did not settle")
     more = []
     if "h" in level.columns:
         more.append(F.avg("h").alias("h"))

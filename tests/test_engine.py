@@ -114,6 +114,16 @@ def test_patch_and_peak(spark):
     assert [(p.x, p.y, p.cells) for p in patch] == [(2.0, 1.5, 2)]
 
 
+def test_patches_along_diagonals_and_snakes(spark):
+    diagonal = [(3, 0), (2, 1), (1, 2), (0, 3)]
+    line = [(100 + i, 50) for i in range(150)]
+    level = spark.createDataFrame([(x, y, 9.0) for x, y in diagonal + line], "cx int, cy int, z double")
+    got = sorted((p.x, p.y, p.cells) for p in maxima.patches(level).collect())
+    assert got == [(2.0, 2.0, 4), (175.0, 50.5, 150)]
+    with pytest.raises(RuntimeError, match="settle"):
+        maxima.patches(level, 2)
+
+
 def test_patches_are_treetops_with_crowns(spark, monkeypatch):
     z = [[30000.0 - 100 * abs(x - 4) - 100 * abs(y - 4) for x in range(20)] for y in range(9)]
     z[4][3] = z[4][4] = z[4][5] = 30500.0
