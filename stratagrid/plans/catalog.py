@@ -492,6 +492,13 @@ def extent_cells(spark, sf_dir):
     return cells_under(boxes, GRID).select("tile", "cx", "cy")
 
 
+@query(with_points("""SELECT e.tile, CAST(x AS INT) AS cx, CAST(y AS INT) AS cy FROM (SELECT tile, min(x_raw) AS x0, max(x_raw) AS x1, min(y_raw) AS y0, max(y_raw) AS y1 FROM p GROUP BY tile) e, range(40) a(x), range(40) b(y)
+  WHERE x BETWEEN greatest(0, least(39, floor(x0/1000.0))) AND greatest(0, least(39, floor(x1/1000.0))) AND y BETWEEN greatest(0, least(39, floor((40000-y1)/1000.0))) AND greatest(0, least(39, floor((40000-y0)/1000.0)))"""))
+def extent_cells_all(spark, sf_dir):
+    """As ``extent_cells``, with the extents of all points."""
+    return cells_under(_extents(spark, sf_dir), GRID).select("tile", "cx", "cy")
+
+
 _ALL_BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM p GROUP BY source_id)"
 _BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM (SELECT * FROM p WHERE gps_time < 300) GROUP BY source_id)"
 _MEET = "SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"

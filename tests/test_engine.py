@@ -63,6 +63,17 @@ def test_overlaps_of_all_points(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_extent_cells_of_all_points(spark, tmp_path):
+    rows = [(0, 10, 1), (500, 200, 1), (30, 40, 8), (900, 77, 16)]
+    folder = lineitem(spark, tmp_path, rows)
+    want = set()
+    for tile in {s % 8 for _, _, s in rows}:
+        x = [(o * 37 + 1013) % 40000 for o, _, s in rows if s % 8 == tile]
+        y = [(p * 101 + s * 1709) % 40000 for _, p, s in rows if s % 8 == tile]
+        want |= {(f"t{tile}", i, j) for i in range(min(x) // 1000, max(x) // 1000 + 1) for j in range((40000 - max(y)) // 1000, (40000 - min(y)) // 1000 + 1)}
+    assert {tuple(r) for r in catalog.QUERIES["extent_cells_all"](spark, folder).collect()} == want
+
+
 def test_edges_of_the_grid(spark):
     rows = [(0, 4000), (4000, 0), (4001, 100), (100, -1), (3999, 1), (1000, 3000)]
     got = with_cell(spark.createDataFrame(rows, "x_raw int, y_raw int"), GridSpec(0, 4000, 1000, 4, 4)).collect()
