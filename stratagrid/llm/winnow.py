@@ -8,7 +8,8 @@ of fixed size are extended to the whole windows around the hit, and these window
 joined with the items' windows by equality.
 
 Defined results: a null or wordless text has no words and no hits; an item of fewer words
-than ``window`` is one window; repeated rows give repeated results; other columns are ignored.
+than ``window`` is one window; every row has its own result, also rows that share an id or have none;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,21 +138,21 @@ def decontaminate(
         own.mapInArrow(
             lambda it: _document_windows(it, shared.value, lengths, k, window),
             "doc_id long, n_words long, hits array<struct<h:long,at:int,len:int>>",
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "winnow",
     )
-    rows = read.select("doc_id", "n_words")
-    hits = read.filter(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("x")).select("doc_id", "x.h", "x.len", "x.at").distinct()
+    rows = read.select("row", "doc_id", "n_words")
+    hits = read.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.h", "x.len", "x.at").distinct()
     known = windows.distinct()
     met = hits.join(known.select("h", "len").distinct(), ["h", "len"], "left_semi")
-    covered = met.groupBy("doc_id").agg(
+    covered = met.groupBy("row").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("len") - 1))))).cast("long").alias("n_hit")
     )
     named = (
-        hits.select("doc_id", "h", "len").distinct().join(known, ["h", "len"]).groupBy("doc_id")
+        hits.select("row", "h", "len").distinct().join(known, ["h", "len"]).groupBy("row")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
-    found = covered.join(named, "doc_id")
-    return rows.join(found, "doc_id", "left").select(
+    found = covered.join(named, "row")
+    return rows.join(found, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )

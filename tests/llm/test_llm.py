@@ -223,6 +223,14 @@ def test_winnowing_odd_documents(spark):
     assert winnow.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).filter("n_hit > 0").count() == 0
 
 
+def test_winnowing_null_and_repeated_ids(spark):
+    items = [(1, " ".join(f"k{i}" for i in range(12))), (2, " ".join(f"m{i}" for i in range(12)))]
+    docs = [(None, items[0][1], None), (None, "plain words", None), (7, items[0][1], None), (7, items[1][1] + " more", None), (7, "nothing", None)]
+    got = winnow.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), filter_bits=1 << 12)
+    want = [(None, 2, 0, []), (None, 12, 12, ["1"]), (7, 1, 0, []), (7, 12, 12, ["1"]), (7, 13, 12, ["2"])]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_mixing(spark):
     docs = [(i, "w " * int(n), f"s{i % 7}" if i % 9 else None) for i, n in enumerate(np.random.default_rng(8).integers(0, 60, 900))] + [(3, "w w", "s3"), (1000, None, "s1")]
     df = spark.createDataFrame(docs, DOCS)
