@@ -154,7 +154,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """What the span classifier sees: shape and surroundings, without the votes."""
     token, before, after = text[start:end], text[max(0, start - 16) : start], text[end : end + 1]
     n = max(1, len(token))
-    counts = np.unique(np.frombuffer(token.encode()[:256] or b"\0", np.uint8), return_counts=True)[1]
+    counts = np.unique(np.frombuffer(token.encode() or b"\0", np.uint8), return_counts=True)[1]
     p = counts / counts.sum()
     word = re.sub("[^a-z]", "", before.lower())[-8:]
     slot = [0.0] * 16

@@ -97,6 +97,11 @@ def test_weak_supervision_adds_secrets(spark):
     assert pii.find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_entropy_of_a_whole_token():
+    token = "a" * 256 + "b" * 256
+    assert pii.features("secret", token, 0, len(token))[6] == pytest.approx(np.log(2))
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
