@@ -1,4 +1,4 @@
-"""Shared pieces: staging of intermediate tables, batching of texts and word hashing.
+"""Shared pieces: batching of texts and word hashing.
 
 Hashes here are 64-bit. Every place that joins on them accepts the chance of
 a false match of about n * m / 2**64.
@@ -6,8 +6,6 @@ a false match of about n * m / 2**64.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from stratagrid.staging import discard, shared_dir, stage  # noqa: F401
 
 #: Texts are handled in groups of about this many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 1 << 19
@@ -25,25 +23,6 @@ CHUNK_BYTES = 1 << 19
 WORKER_CACHE: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="stratagrid-")
-    return _OWN_DIRS[app]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratagrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,20 +1,22 @@
 """Token ids in wavelet-matrix files.
 
 A shard holds a run of documents in ascending ``doc_id`` order. Its file is one binary
-value: a header, the documents' ids and lengths, and one compressed bit-plane for each bit of
-an id, most significant first, each with the number of zeros. Planes are stable partitions of
+value: a header, the documents' ids and lengths, and one bit-plane for each bit of
+an id, most significant first, each with its number of zeros. Planes are stable partitions of
 each other, so ``WaveletMatrix`` reads a token, counts an id or finds its n-th place from the
-planes alone. Files are written as rows of a Spark table in the shared folder: the
+planes alone; they are compressed block by block, with a directory of the ones before each
+block, so that a lookup unpacks a few blocks. Files are written as rows of a Spark table in the shared folder: the
 commit protocol keeps the output of exactly one attempt of each task, and any store that Spark
 reaches will do.
 
 Defined results: a null text is empty and gives only the end id; a null ``doc_id`` is written as -1; rows with equal ``doc_id`` follow each
-other by text; an empty table gives no shards.
+other by hash of text; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm.common import WORKER_CACHE, id_text, stage
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 _HEAD = struct.Struct("<4sBQQ")
-_BLOCK = 512
+
+#: Bits of a plane that are compressed together, with one entry in the rank directory.
+BLOCK = 1 << 16
 
 #: A shard is closed when it holds this many ids.
 SHARD_IDS = 1 << 19
@@ -41,30 +45,37 @@ SHARD_IDS = 1 << 19
 CACHE_WORDS = 1_500_000
 
 
-def encode_planes(ids: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+def encode_planes(ids: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     """``(zeros, packed bits)`` from the most to the least significant bit."""
     out, cur = [], ids
     for level in range(bits - 1, -1, -1):
         bit = cur & cur.dtype.type(1 << level) != 0
-        out.append((int(len(cur) - np.count_nonzero(bit)), np.packbits(bit).tobytes()))
+        out.append((int(len(cur) - np.count_nonzero(bit)), np.packbits(bit)))
         cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])  # quicker than indexing by a mask
     return out
 
 
 def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    """One file: header, then zstandard frames of document ids, lengths and planes."""
+    """One file: header, zeros of each plane, ones before each block of each plane, frame sizes; then the frames.
+
+    Frames (zstandard) are document ids, lengths, and the planes cut to blocks of ``BLOCK`` bits.
+    """
     squeeze = zstandard.ZstdCompressor(level=1).compress
     frames = [squeeze(doc_ids.astype("<i8").tobytes()), squeeze(lengths.astype("<i8").tobytes())]
-    zeros = []
+    zeros, ranks, width = [], [], BLOCK // 8
     for z, plane in encode_planes(ids, bits):
         zeros.append(z)
-        frames.append(squeeze(plane))
+        blocks = [plane[i : i + width] for i in range(0, len(plane), width)]
+        ones = np.array([int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks], np.int64)
+        ranks.append(np.cumsum(ones) - ones)
+        frames += [squeeze(b.tobytes()) for b in blocks]
     head = _HEAD.pack(MAGIC, bits, len(doc_ids), len(ids)) + np.array(zeros, "<u8").tobytes()
-    return head + np.array([len(f) for f in frames], "<u8").tobytes() + b"".join(frames)
+    directory = np.concatenate(ranks).astype("<u8").tobytes() if len(ids) else b""
+    return head + directory + np.array([len(f) for f in frames], "<u8").tobytes() + b"".join(frames)
 
 
 class WaveletMatrix:
-    """Reads one shard file."""
+    """Reads one shard file. A token, a count or a place takes one or two blocks of each plane from it, not the whole planes."""
 
     def __init__(self, blob: bytes):
         magic, self.bits, docs, self.size = _HEAD.unpack_from(blob)
@@ -73,29 +84,37 @@ class WaveletMatrix:
         at = _HEAD.size
         self.zeros = np.frombuffer(blob, "<u8", self.bits, at).astype(np.int64)
         at += 8 * self.bits
-        sizes = np.frombuffer(blob, "<u8", self.bits + 2, at)
-        at += 8 * (self.bits + 2)
-        parts = []
-        for n in sizes.tolist():
-            parts.append(zstandard.ZstdDecompressor().decompress(blob[at : at + n], max_output_size=max(8 * docs, 8, self.size // 8 + 1)))
-            at += n
-        self.doc_ids, self.lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
-        self._packed = [np.frombuffer(p, np.uint8) for p in parts[2:]]
-        self._ranks: list[np.ndarray] | None = None
+        self._blocks = -(-self.size // BLOCK)
+        self._ranks = np.frombuffer(blob, "<u8", self.bits * self._blocks, at).astype(np.int64).reshape(self.bits, self._blocks)
+        at += 8 * self._ranks.size
+        sizes = np.frombuffer(blob, "<u8", 2 + self._ranks.size, at).astype(np.int64)
+        self._at = at + 8 * len(sizes) + np.concatenate([[0], np.cumsum(sizes)])
+        self._blob, self._held = blob, {}
+        self.doc_ids, self.lengths = (np.frombuffer(self._frame(i, max(8 * docs, 8)), "<i8") for i in (0, 1))
+
+    def _frame(self, i: int, most: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._blob[self._at[i] : self._at[i + 1]], max_output_size=most)
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        """Packed bits of a block; the last few stay at hand."""
+        key = (level, block)
+        if key not in self._held:
+            if len(self._held) >= 4 * self.bits:
+                self._held.clear()
+            self._held[key] = np.frombuffer(self._frame(2 + level * self._blocks + block, BLOCK // 8), np.uint8)
+        return self._held[key]
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self._packed[level][i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self._block(level, i // BLOCK)[i % BLOCK >> 3]) >> (7 - (i & 7)) & 1
 
     def _rank1(self, level: int, i: int) -> int:
-        """Ones before position ``i`` of a plane, from a directory with one entry for each block."""
-        if self._ranks is None:
-            self._ranks = []
-            for p in self._packed:
-                padded = np.concatenate([p, np.zeros(-len(p) % (_BLOCK // 8), np.uint8)]).reshape(-1, _BLOCK // 8)
-                self._ranks.append(np.concatenate([[0], np.cumsum(np.unpackbits(padded, axis=1).sum(axis=1, dtype=np.int64))]))
-        block = i // _BLOCK
-        tail = np.unpackbits(self._packed[level][block * _BLOCK // 8 : (i + 7) // 8])[: i - block * _BLOCK]
-        return int(self._ranks[level][block]) + int(tail.sum())
+        """Ones before position ``i`` of a plane, by the directory and the block's own bits."""
+        block, rest = divmod(i, BLOCK)
+        if block == self._blocks:
+            return self.size - int(self.zeros[level])
+        packed = self._block(level, block)
+        ones = int(self._ranks[level, block]) + int(np.bitwise_count(packed[: rest >> 3]).sum(dtype=np.int64))
+        return ones + (int(packed[rest >> 3] >> (8 - (rest & 7))).bit_count() if rest & 7 else 0)
 
     def access(self, i: int) -> int:
         value = 0
@@ -135,22 +154,19 @@ class WaveletMatrix:
         return i
 
     def _select(self, level: int, bit: int, n: int) -> int:
-        lo, hi = 0, self.size
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > n:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Position of a plane's ``n``-th one or zero: its block by the directory, then within the block."""
+        before = self._ranks[level] if bit else np.arange(self._blocks) * BLOCK - self._ranks[level]
+        block = int(np.searchsorted(before, n, "right")) - 1
+        bits = np.unpackbits(self._block(level, block))
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[n - int(before[block])])
 
     def tokens(self) -> np.ndarray:
-        """All ids in order: the partitions are undone from the last plane to the first."""
+        """All ids in order: ``access`` of every place at once, by undoing the partitions from the last plane to the first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         cur = np.zeros(self.size, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self._packed[level], count=self.size).view(bool)
+            packed = b"".join(self._frame(2 + level * self._blocks + b, BLOCK // 8) for b in range(self._blocks))
+            bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.size).view(bool)
             z, out = int(self.zeros[level]), np.empty(self.size, kind)
             out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = cur[:z], cur[z:] | kind(1 << (self.bits - 1 - level))
             cur = out
@@ -160,12 +176,17 @@ class WaveletMatrix:
 #: Marks that a letter parts from its word at the end of a piece; an apostrophe may belong to the word.
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
+#: A capital before a character from U+0300 on, where all combining marks are.
+_OPEN = re.compile(rb"[A-Z][\xcc-\xff]")
+
 
 class WordEncoder:
     """Ids of a text, as packed integers of ``kind``, by its pieces between ASCII white space.
 
-    The vocabulary is lower-case, drops white space, and parts letters from marks, so a text's ids are
-    those of its lower-cased pieces joined, and of a piece those of its word and of the marks after it. Each distinct
+    The vocabulary composes characters, then lower-cases them, drops white space, and parts letters from marks, so a
+    text's ids are those of its pieces joined, and of a piece those of its word and of the marks after it. ASCII letters are
+    lower-cased beforehand, but not where one could compose with what follows it (``_OPEN``), since some capitals have
+    no composed form that their small letters have. Each distinct
     one goes to the tokenizer once while it is remembered; new ones are encoded many at a time, parted by
     a mark that none of them has. Texts that could hold a special token are encoded as they are.
     """
@@ -226,10 +247,19 @@ class WordEncoder:
         for piece in groups[2]:
             self.known[piece] = np.array(self._encode([piece.decode("utf-8")])[0], self.kind).tobytes()
 
+    @staticmethod
+    def _pieces(text: bytes) -> list[bytes]:
+        """Between white space, lower-cased as far as that changes no id; none of a text that goes to the tokenizer whole."""
+        if b"<|" in text:
+            return []
+        if text.isascii() or not _OPEN.search(text):
+            return text.lower().split()
+        return [p.lower() if p.isascii() else p for p in text.split()]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        pieces = [t.lower().split() if b"<|" not in t else [] for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         flat = list(chain.from_iterable(pieces))
         ids = list(map(self.known.get, flat))
         missing, i = [], -1
@@ -298,8 +328,9 @@ def _read(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[p
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode every text and store the shards; returns the stored table ``part, seq, before, n, shard``."""
     own = id_text(docs, id_col, text_col)
-    ranged = own.repartitionByRange(partitions, "doc_id") if partitions else own.repartitionByRange("doc_id")
-    shards = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(lambda it: _write(it, tokenizer, end_id, bits), "part int, seq int, before long, n long, shard binary")
+    by = ("doc_id", F.xxhash64("text"))  # rows that share an id, or have none, are dealt out too
+    ranged = own.repartitionByRange(partitions, *by) if partitions else own.repartitionByRange(*by)
+    shards = ranged.sortWithinPartitions(*by, "text").mapInArrow(lambda it: _write(it, tokenizer, end_id, bits), "part int, seq int, before long, n long, shard binary")
     return stage(shards, "wavelet")
 
 

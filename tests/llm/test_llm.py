@@ -282,6 +282,13 @@ def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint16)
     m = wavelet.WaveletMatrix(wavelet.pack_shard(np.arange(3), np.array([1000, 500, 1500]), ids, 16))
     assert (m.tokens() == ids).all() and all(m.access(i) == ids[i] for i in (0, 511, 512, 2999))
+    assert wavelet.WaveletMatrix(wavelet.pack_shard(np.arange(1), np.zeros(1, np.int64), ids[:0], 16)).tokens().size == 0
+    long = np.random.default_rng(2).integers(0, 300, 3 * wavelet.BLOCK + 77).astype(np.uint16)
+    w = wavelet.WaveletMatrix(wavelet.pack_shard(np.arange(1), np.array([len(long)]), long, 16))
+    for i in (0, wavelet.BLOCK - 1, wavelet.BLOCK, 2 * wavelet.BLOCK + 5, len(long) - 1):
+        assert w.access(i) == long[i] and w.rank(int(long[i]), i) == (long[:i] == long[i]).sum()
+        assert w.select(int(long[i]), w.rank(int(long[i]), i)) == i
+    assert w.count(299) == (long == 299).sum() and w.rank(7, len(long)) == w.count(7) and (w.tokens() == long).all()
     for v in (0, 7, 49, 60):
         at = np.flatnonzero(ids == v)
         assert m.count(v) == len(at) and m.rank(v, 1234) == (at < 1234).sum()
