@@ -4,12 +4,13 @@ The nested field paths of a layout, sorted and hashed, select a declarative mapp
 canonical turns of it: ``conv_id, turns array<struct<role, text>>``. Typed frames are fingerprinted by
 their schema; JSON records each by their own shape, so that one table may mix layouts.
 
-The template writes a turn as ``<s>[role]text</s>``. In roles and texts ``&``, ``<`` and
-``[`` are written ``&amp;``, ``&lt;`` and ``&lbr;``, so no control string can stand inside a turn,
-and the three replacements undone in the other order give back every text.
+The template writes a turn as ``<s>[role]text</s>``. In roles and texts ``&``, ``<``, ``[`` and ``]``
+are written ``&amp;``, ``&lt;``, ``&lbr;`` and ``&rbr;``, so no control string can stand inside a turn, a role
+ends at the first ``]``, and the replacements undone in the other order give back every role and text.
 
 Defined results: a null role or text is empty; turns are ordered by turn, then role, then text,
-null turns first; repeated rows are repeated turns; an empty table gives no conversations.
+null turns first; repeated rows are repeated turns; a null ``conv_id`` is a conversation of its own; an empty table
+gives no conversations. Texts are handled whole, whatever their length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,9 +124,10 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def canonical_turns_json(df: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
-    """``conv_id, fingerprint, turns`` of JSON records, each by its own shape; unknown or broken ones get null turns.
+    """``conv_id, fingerprint, layout, turns`` of JSON records, each by its own shape; unknown or broken ones get null turns.
 
-    Paths down to the fields of a list's first element make the fingerprint.
+    Paths down to the fields of a list's first element make the fingerprint; ``layout`` spells out the paths of the
+    mapping that it selects.
     """
     raw = F.col(json_col)
     keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
@@ -137,20 +139,29 @@ def canonical_turns_json(df: DataFrame, id_col: str = "conv_id", json_col: str =
     for name in ("messages", "conversations"):
         got = inside(name)
         paths = F.when(F.array_contains(keys, name) & got.isNotNull(), F.concat(F.array_except(paths, F.array(F.lit(name))), got)).otherwise(paths)
-    turns = F.lit(None).cast(_NONE)
+    turns, layout = F.lit(None).cast(_NONE), F.lit(None).cast("string")
     out = df.select(F.col(id_col).alias("conv_id"), raw.alias("record"), fingerprint(F.array_except(paths, F.array(F.lit(id_col)))).alias("fingerprint"))
     for known, kind, make in LAYOUTS:
-        record = F.from_json(F.col("record"), kind)
-        turns = F.when(F.col("fingerprint") == _fixed(known), make(lambda f, r=record: r[f])).otherwise(turns)
-    return out.select("conv_id", "fingerprint", turns.alias("turns"))
+        record, hit = F.from_json(F.col("record"), kind), F.col("fingerprint") == _fixed(known)
+        turns = F.when(hit, make(lambda f, r=record: r[f])).otherwise(turns)
+        layout = F.when(hit, ",".join(known)).otherwise(layout)
+    return out.select("conv_id", "fingerprint", layout.alias("layout"), turns.alias("turns"))
+
+
+#: Characters that may not stand in a written role or text, and what stands for them; undone in the other order.
+_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lbr;"), ("]", "&rbr;"))
 
 
 def escape(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("["), F.lit("&lbr;"))
+    for plain, written in _ESCAPES:
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return c
 
 
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("&lbr;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+    for plain, written in reversed(_ESCAPES):
+        c = F.replace(c, F.lit(written), F.lit(plain))
+    return c
 
 
 def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:

@@ -40,7 +40,7 @@ told AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS lost,
-    sum(length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;')) + 9) AS formatted_chars
+    sum(length(replace(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;'), ']', '&rbr;')) + 9) AS formatted_chars
   FROM rows GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(lost) AS BIGINT) AS loss_chars,
   sha256(lost) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
@@ -48,6 +48,51 @@ FROM told
 """
 
 
+#: Layouts that ``chat_mixed_layouts`` writes two-turn conversations in, by turns.
+_PAIRS = (("prompt", "response"), ("completion", "prompt"), ("answer", "question"), ("instruction", "output"), ("input", "instruction", "output"))
+
+
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """``conv_id, record``: conversations (rows by turn) as JSON in the layouts of many sources, side by side in one table."""
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", said.alias("t")))), lambda x: x["t"]).alias("t"))
+    roles, k = F.concat_ws(",", "t.role"), F.coalesce(F.abs("conv_id"), F.lit(0))
+    text = lambda i, name: F.get("t.text", F.lit(i)).alias(name)
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    messages = F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+    shared = F.struct(F.transform("t", lambda x: F.struct(other(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"))
+    pairs = [
+        F.struct(text(0, "prompt"), text(1, "response")), F.struct(text(0, "prompt"), text(1, "completion")), F.struct(text(0, "question"), text(1, "answer")),
+        F.struct(text(0, "instruction"), text(1, "output")), F.struct(text(0, "instruction"), F.lit("more").alias("input"), text(1, "output")),
+    ]
+    record = F.when(k % 2 == 0, F.to_json(messages)).otherwise(F.to_json(shared))
+    record = F.when(roles == "system,user,assistant", F.to_json(F.struct(text(0, "system"), text(1, "prompt"), text(2, "response")))).otherwise(record)
+    for i, pair in enumerate(pairs):
+        record = F.when((roles == "user,assistant") & (k % len(pairs) == i), F.to_json(pair)).otherwise(record)
+    return own.select("conv_id", record.alias("record"))
+
+
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written in eight JSON layouts in one table, brought back to canonical turns record by record."""
+    records = mixed_records(table(spark, sf_dir, "conversations"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat.canonical_turns_json(records).select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"))
+
+
+MIXED_SQL = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+kinds AS (
+  SELECT conv_id, CASE roles WHEN 'user,assistant' THEN list_extract([{', '.join("'" + ','.join(p) + "'" for p in _PAIRS)}], CAST(k % 5 + 1 AS INT))
+    WHEN 'system,user,assistant' THEN 'prompt,response,system' ELSE CASE WHEN k % 2 = 0 THEN 'messages[].content,messages[].role' ELSE 'conversations[].from,conversations[].value' END END AS layout
+  FROM (SELECT conv_id, coalesce(abs(conv_id), 0) AS k, string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text) AS roles FROM rows GROUP BY conv_id)),
+told AS (
+  SELECT rows.conv_id, layout, turn, role, text || CASE WHEN layout = 'input,instruction,output' AND role = 'user' THEN chr(10) || chr(10) || 'more' ELSE '' END AS text
+  FROM rows JOIN kinds ON rows.conv_id IS NOT DISTINCT FROM kinds.conv_id WHERE NOT (layout = 'prompt,response,system' AND role = 'system' AND text = ''))
+SELECT conv_id, layout, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256
+FROM told GROUP BY conv_id, layout
+"""
+
+
 def op7_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -119,7 +164,7 @@ def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op7_run_length_repeats, op8_winnowing, op9_mixing, op10_wavelet_tokens)
+    for f in (chat_mixed_layouts, op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op7_run_length_repeats, op8_winnowing, op9_mixing, op10_wavelet_tokens)
 }
 
-ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
+ORACLE_SQL = {"chat_mixed_layouts": MIXED_SQL, "op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
