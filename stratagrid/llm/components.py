@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import stage
+from stratagrid.llm.common import discard, stage
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -42,6 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(small_least, "a")
         nxt = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         mark = _mark(nxt)
+        discard(now)
         now, done = nxt, mark == seen
         seen = mark
         if done:
@@ -52,5 +53,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple[int, int, int]:
-    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum("b")).first()
+    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
     return row[0], row[1] or 0, row[2] or 0

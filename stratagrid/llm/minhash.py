@@ -18,7 +18,9 @@ Tiles give spanning forests, so no list or family is gathered whole and no group
 
 Defined results: words are parted by ASCII white space and A-Z lower-cased; a text of fewer than ``shingle``
 words is one shingle; a null text or one without words has no shingles and no links; repeated rows are
-of one class; a null id is an id of its own. An empty table gives no rows.
+of one class. Rows are what is linked: rows that share an id may be of different groups, each with its own least id. A
+row without an id is linked like any other and always kept; a group without ids has none. An empty table gives no rows. Very long texts
+are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import SPACED, Words, chunks, id_text, mix64, stage, stream64
+from stratagrid.llm.common import SPACED, Words, chunks, discard, id_text, mix64, stage, stream64
 from stratagrid.llm.components import components, forest
 
 K = 32
@@ -47,6 +49,9 @@ T_ALL = 72
 TILE = 1024
 FULL_TILE = 256
 
+#: Members of a family that meet one copy of their leader's text.
+LED = 1024
+
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each text, laid end to end; and the size of each text's set."""
@@ -111,8 +116,8 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, k: int) -> Iterator[p
             keys[0][full], keys[1][full] = np.add.reduceat(mix64(h + np.uint64(1)), at), np.add.reduceat(mix64(h ^ np.uint64(0x5BD1E995C0FFEE11)), at)
         flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(sig[:, :k]).ravel().view(np.int32)), k).cast(pa.list_(pa.int32()))
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat, pa.array([t.tobytes() for t in sig[:, k:].astype(np.uint8)], pa.binary())],
-            names=["doc_id", "n_shingles", "k1", "k2", "sig", "tail"],
+            [batch.column("doc_id"), batch.column("th"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat, pa.array([t.tobytes() for t in sig[:, k:].astype(np.uint8)], pa.binary())],
+            names=["doc_id", "th", "n_shingles", "k1", "k2", "sig", "tail"],
         )
 
 
@@ -221,24 +226,24 @@ def _families(edges: DataFrame, name: str) -> DataFrame:
     return stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, tile: int = TILE, full_tile: int = FULL_TILE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 75, den: int = 100, tile: int = TILE, full_tile: int = FULL_TILE
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: linked where ``den * both >= num * either``."""
     k, least = K, T
-    base = id_text(docs, id_col, text_col)
-    signed = stage(base.mapInArrow(lambda it: _sign(it, shingle, k), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>, tail binary"), "signed")
-    reps = stage(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("tail").alias("tail")), "reps"
-    )
+    base = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    kinds = "doc_id long, th long, n_shingles long, k1 long, k2 long, sig array<int>, tail binary"
+    signed = stage(base.mapInArrow(lambda it: _sign(it, shingle, k), kinds), "signed")
+    # a class is a node of its own, whichever ids its rows have; one of these and the hash of the text lead to a text
+    one = F.min(F.struct("doc_id", "th")).alias("one")
+    classes = signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(one, F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("tail").alias("tail"))
+    reps = stage(classes.select(F.xxhash64("k1", "k2").alias("rep"), "k1", "k2", "low", "one", "n_shingles", "sig", "tail"), "reps")
     # posting lists, each class under its rarest pairs
     posted = reps.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.col("i").cast("long") * (1 << 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs")).filter(F.size("pairs") >= least)
     prefix = F.slice("pairs", 1, F.greatest(F.lit(k - least + 1) - (F.lit(k) - F.size("pairs")), F.lit(0)))
     posts = stage(own.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.key").alias("key")), "posts")
-
-    repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    known = base.filter("doc_id is not null")
-    texts = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else known
     sizes = reps.select("rep", F.col("n_shingles").alias("n"), "sig", "tail")
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,17 +257,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("tail").alias(f"t{x}"))
     fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     likely = stage(fit.mapInArrow(_likely, "a long, b long"), "likely")
-    family = _families(likely, "family")
-    more = stage(tiles(_deal(labelled(posts, family), tile).join(sizes, "rep"), False), "likely")
+    guess = _families(likely, "family")
+    more = stage(tiles(_deal(labelled(posts, guess), tile).join(sizes, "rep"), False), "likely")
     family = _families(likely.unionByName(more), "family")
-
-    led = family.filter("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
-    told = led.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    edges = stage(told.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, shingle, num, den), "a long, b long"), "links")
+    discard(posts, likely, more, guess)
+
+    # one text of every class that is in a family
+    repeated = bool(signed.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count())
+    wanted = family.join(reps, "rep").select("rep", F.col("one.doc_id").alias("of"), F.col("one.th").alias("of_th"))
+    each = base.dropDuplicates(["doc_id", "th"]) if repeated else base
+    texts = stage(each.join(wanted, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("rep", "text"), "texts")
+    edges = stage(_with_leader(family, texts).mapInArrow(lambda it: _confirm(it, shingle, num, den), "a long, b long"), "links")
     groups = labelled(family.select(F.col("comp").alias("key"), "rep"), _families(edges, "labels"))
-    rest = _deal(groups, full_tile).join(sizes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    labels = _families(edges.unionByName(stage(tiles(rest, True), "links")), "labels")
-    of_class = reps.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
+    rest = stage(tiles(_deal(groups, full_tile).join(sizes, "rep").join(texts, "rep"), True), "links")
+    labels = _families(edges.unionByName(rest), "labels")
+    discard(texts, family, edges, rest)
+    lowest = reps.join(labels, "rep").groupBy("comp").agg(F.min("low").alias("lowest"))
+    of_class = reps.select("rep", "k1", "k2", "low").join(labels.join(lowest, "comp"), "rep", "left").select("k1", "k2", F.coalesce("lowest", "low").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _with_leader(family: DataFrame, texts: DataFrame, most: int = LED) -> DataFrame:
+    """``a, b, text_a, text_b``: members ``b`` beside the leader ``a`` of their family, at most about ``most`` members to a key."""
+    led = family.filter("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
+    blocks = led.groupBy("a").agg(F.ceil(F.count("*") / most).alias("blocks"))
+    dealt = led.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    leaders = blocks.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return dealt.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(leaders, ["a", "block"]).select("a", "b", "text_a", "text_b")

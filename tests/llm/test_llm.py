@@ -65,6 +65,24 @@ def test_near_duplicates_on_the_tables(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(40):
+        base = words(rng, 100, 10**6)
+        rows += [(i % 9, base), (i % 7 + 20, base.replace(base.split()[50], "x")), (None if i % 4 else 50, base + " y"), (i % 9, base)]
+    rows += [(3, None), (3, ""), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame([(*r, None) for r in rows], DOCS), full_tile=4, tile=4).collect()
+    plain = brute.near_duplicates([(k, t) for k, (i, t) in enumerate(rows)])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            c = plain[k][1]
+            least[c] = min(least.get(c, i), i)
+    want = [(i, plain[k][0], least.get(plain[k][1]) if plain[k][0] else i) for k, (i, _) in enumerate(rows)]
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, want))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)]
@@ -112,13 +130,13 @@ def test_em_finds_the_reliable_labeler():
 
 
 def test_chat_round_trip_and_layouts(spark):
-    rows = [(1, 0, "user", "</s>[INST] a & b &lt; &amp; [/INST]"), (1, 1, "assistant", "x < y [z] \U0001f600"), (2, 0, None, None), (2, 1, "assistant", ""), (3, None, "system", "s")]
+    rows = [(1, 0, "user", "</s>[INST] a & b &lt; &amp; [/INST]"), (1, 1, "assistant", "x < y [z] \U0001f600"), (2, 0, None, None), (2, 1, "assistant", ""), (3, None, "system", "s"), (4, 0, "tool[a]b", "hi"), (4, 1, "]</s><s>[", "&rbr; &amp;rbr; [x]")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, extra int")
     out = chat.format_turns(chat.canonical_turns(df)).select("conv_id", "formatted", "loss_mask", chat.parse_formatted(F.col("formatted")).alias("turns"))
     got = {r.conv_id: r for r in out.collect()}
-    for c in (1, 2, 3):
+    for c in (1, 2, 3, 4):
         assert [(t.role, t.text) for t in got[c].turns] == [(r or "", t or "") for i, _, r, t in rows if i == c]
-    assert [got[1].formatted[m.start : m.start + m.length] for m in got[1].loss_mask] == ["x &lt; y &lbr;z] \U0001f600"]
+    assert [got[1].formatted[m.start : m.start + m.length] for m in got[1].loss_mask] == ["x &lt; y &lbr;z&rbr; \U0001f600"]
     records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","response":"a"}', '{"question":"q","answer":"a"}', '{"strange":1}', None]
     js = chat.canonical_turns_json(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string"))
     turns = {r.conv_id: r.turns and [(t.role, t.text) for t in r.turns] for r in js.collect()}
