@@ -4,18 +4,21 @@ A byte is removed when a string of ``width`` bytes that covers it also starts ea
 
 Parse. A window is a string of ``width`` bytes; its trigger is the ``GRAM``-gram in it with the least hash, the
 leftmost of equals. Neighbouring windows with the same trigger form a phrase. Equal windows have the
-same trigger, so they lie in phrases with one trigger. Equal phrases are settled by
-their hash: all but the first are removed whole, and in a task equal phrases are reduced to their
-first before anything is shuffled. Only triggers with several different phrases need more.
+same trigger, so they lie in phrases with one trigger. As in prefix-free parsing the index is built of a dictionary
+of different phrases: equal phrases are settled by their hash, all but the first are removed whole, and
+in a task equal phrases are reduced to their first before anything is shuffled. Only triggers with several
+different phrases can hold more repeats.
 
 Index. The different phrases of such triggers are laid end to end in corpus order, shard by shard, and
-suffix-sorted; of the Burrows-Wheeler transform only runs are kept, cut also where windows
-change, with the text positions sampled at run ends and the least position of each
-run. Every phrase then streams backwards through the runs by LF steps; at each step of at least
-``width`` matched bytes the window's runs tell where it stands first, and a later window is removed.
+suffix-sorted; of the Burrows-Wheeler transform only runs are kept, with a text position and a length of agreement sampled at
+run ends. Every phrase then streams backwards through the runs by LF steps, which yields its matching
+statistics against the row above: from step to step one character more within a run, the sample at a run's end. Rows
+whose match is at least ``width`` long, with the row above the first of them, are the places of one window, and all
+but the earliest are marked.
 
 A trigger with more than ``HOT`` different phrases would not fit a shard: its windows are spread by
-their own hashes and joined with their first place, combined before the shuffle.
+their own hashes and joined with their first place, combined before the shuffle. This is the exact way for what
+the bound on a shard keeps out; README says which share of bytes goes it.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches stay within a document; shorter texts
 lose nothing. Rows are documents in the order of ``doc_id`` (null first), then text, so of repeated rows
@@ -164,29 +167,54 @@ def _found(marks: np.ndarray, trigger: np.ndarray | None = None, hot: np.ndarray
     )
 
 
-def _settle(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Marks (no trigger) of repeated phrases, and the phrases (with trigger) that an index must compare. Rows come sorted by bucket."""
-    held: list[bytes] = []
-    last = None
+def _settle(batches: Iterator[pa.RecordBatch], hot: int, most: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """Marks (no trigger) of repeated phrases, and the phrases (with trigger) that an index must compare. Rows come sorted by bucket.
 
-    def close() -> Iterator[pa.RecordBatch]:
-        rows, new = _first_of_each(np.frombuffer(b"".join(held), _PHRASE))
-        yield _found(_marks(rows[~new]))
+    Beyond ``most`` rows of a bucket the repeated ones among them are settled and triggers already known to have more than
+    ``hot`` phrases are handed on as they come, so what is held is never more than a few phrases of many triggers.
+    """
+    held: list[np.ndarray] = []
+    size, limit, last = 0, most, None
+    burst = np.empty(0, np.uint64)
+
+    def firsts_of() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows, new = _first_of_each(np.concatenate(held))
         firsts = rows[new]
         _, inv, count = np.unique(firsts["trigger"], return_inverse=True, return_counts=True)
-        several = count[inv] > 1
-        yield _found(_marks(firsts[several]), firsts["trigger"][several].copy(), count[inv][several] > hot)
+        return _found(_marks(rows[~new])), firsts, count[inv]
+
+    def close() -> Iterator[pa.RecordBatch]:
+        marks, firsts, count = firsts_of()
+        yield marks
+        several = count > 1
+        yield _found(_marks(firsts[several]), firsts["trigger"][several].copy(), count[several] > hot)
+
+    def as_hot(rows: np.ndarray) -> pa.RecordBatch:
+        return _found(_marks(rows), rows["trigger"].copy(), np.ones(len(rows), bool))
 
     for batch in batches:
         for bucket, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "rows")), strict=True):
             if kind:
                 yield _found(np.frombuffer(raw, _MARK))
                 continue
-            if held and bucket != last:
-                yield from close()
-                held = []
-            last = bucket
-            held.append(raw)
+            if bucket != last:
+                if held:
+                    yield from close()
+                held, size, limit, last, burst = [], 0, most, bucket, burst[:0]
+            rows = np.frombuffer(raw, _PHRASE)
+            if len(burst):
+                known = np.isin(rows["trigger"], burst)
+                yield as_hot(rows[known])
+                rows = rows[~known]
+            held.append(rows)
+            size += len(rows)
+            if size > limit:
+                marks, firsts, count = firsts_of()
+                yield marks
+                yield as_hot(firsts[count > hot])
+                burst = np.union1d(burst, firsts["trigger"][count > hot])
+                held = [firsts[count <= hot]]
+                size, limit = len(held[0]), max(most, 2 * len(held[0]))
     if held:
         yield from close()
 
@@ -204,15 +232,15 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 
 class RunLengthIndex:
-    """Run-length Burrows-Wheeler index of strings laid end to end, each closed by an end mark.
+    """Run-length Burrows-Wheeler index of strings laid end to end, each closed by an end mark of its own.
 
-    ``run_start``, ``run_char``: runs; ``before``: equal characters in earlier runs; ``first``, ``last``: text
-    positions sampled at run ends; ``low``: least position of a run; ``window``: number of the
-    window (of ``width`` bytes) that a run's suffixes begin with, or -1; ``earliest``: by window.
+    ``run_start``, ``run_char``: runs; ``before``: equal characters in earlier runs; ``less``: smaller characters;
+    ``heads``, ``ranks``: bit vector of run heads with its rank directory. Sampled at run ends: ``head_above``, the text position
+    of the suffix just above the one that a run's first row leads to (it is led to by the last row of the run of this
+    character before), and ``head_length``, how far the two agree.
     """
 
-    def __init__(self, strings: list[bytes], width: int = WIDTH):
-        self.width = width
+    def __init__(self, strings: list[bytes]):
         self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         self.begin = np.cumsum(self.sizes + 1) - self.sizes - 1
         n = int((self.sizes + 1).sum())
@@ -221,30 +249,28 @@ class RunLengthIndex:
         inside[self.begin + self.sizes] = False
         sym[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         end = np.repeat(self.begin + self.sizes, self.sizes + 1)
-        sa, window = self._sort(sym, end)
-        bwt = np.where(np.isin(sa, self.begin), 0, sym[sa - 1])
+        sa, ranks = self._sort(sym, end)
+        opens = np.zeros(n, bool)
+        opens[self.begin] = True
+        bwt = np.where(opens[sa], 0, sym[sa - 1])
         new = np.ones(n, bool)
-        new[1:] = (bwt[1:] != bwt[:-1]) | (window[1:] != window[:-1])
+        new[1:] = bwt[1:] != bwt[:-1]
         self.run_start = np.flatnonzero(new)
         self.heads = np.packbits(np.concatenate([new, np.zeros(-n % 64, bool)]), bitorder="little").view(np.uint64)
         ones = np.bitwise_count(self.heads).astype(np.int64)
         self.ranks = np.cumsum(ones) - ones
-        ends = np.concatenate([self.run_start[1:], [n]])
         self.run_char = bwt[self.run_start]
-        length = ends - self.run_start
+        length = np.diff(np.concatenate([self.run_start, [n]]))
         order = np.argsort(self.run_char, kind="stable")
         cum = np.cumsum(length[order]) - length[order]
-        heads = np.searchsorted(self.run_char[order], np.arange(258))
-        group = np.concatenate([cum, [n]])[np.minimum(heads, len(cum))]
+        first = np.searchsorted(self.run_char[order], np.arange(258))
+        self.less = np.concatenate([cum, [n]])[np.minimum(first, len(cum))]
         self.before = np.empty(len(order), np.int64)
-        self.before[order] = cum - group[self.run_char[order]]
-        self.less = group  # characters smaller than each character
-        self.first, self.last = sa[self.run_start], sa[ends - 1]
-        self.low = np.minimum.reduceat(sa, self.run_start)
-        self.window = window[self.run_start]
-        self.earliest = np.full(int(self.window.max()) + 1 if len(self.window) else 0, n)
-        known = self.window >= 0
-        np.minimum.at(self.earliest, self.window[known], self.low[known])
+        self.before[order] = cum - self.less[self.run_char[order]]
+        to = self.less[self.run_char] + self.before
+        below, above = sa[to], sa[np.maximum(to - 1, 0)]
+        self.head_above = np.where(to > 0, above, -1)
+        self.head_length = np.where(to > 0, self._agreeing(sym, end, ranks, below, above), 0)
 
     def _run(self, row: np.ndarray) -> np.ndarray:
         """Runs of rows, by rank in the bit vector of run heads."""
@@ -252,8 +278,8 @@ class RunLengthIndex:
         upto = self.heads[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (row & 63)).astype(np.uint64))
         return self.ranks[word] + np.bitwise_count(upto) - 1
 
-    def _sort(self, sym: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array by prefix doubling, with suffixes ending at their own end mark and ties by position; and each row's window."""
+    def _sort(self, sym: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Suffix array by prefix doubling, with suffixes ending at their own end mark and ties by position; and the ranks by each length."""
         n = len(sym)
         at = np.arange(n)
         used = np.zeros(257, np.int64)
@@ -261,30 +287,34 @@ class RunLengthIndex:
         used[0] = 1
         dense = (np.cumsum(used) - 1)[sym]
         letters = int(used.sum())
-        h = max(1, min(self.width, int(62 / np.log2(max(2, letters)))))
+        h = max(1, int(62 / np.log2(max(2, letters))))
         key = np.zeros(n, np.int64)
         for j in range(h):
             key = key * letters + np.where(at + j <= end, dense[np.minimum(at + j, n - 1)], 0)
         rank = self._ranks(key)
-        ranks = {h: rank}
+        ranks = {h: rank.astype(np.int32)}
         longest = int(self.sizes.max()) + 1
         while 2 * h < longest:
             rank = self._ranks(self._pair(rank, at, end, h))
             h *= 2
-            ranks = {a: r for a, r in ranks.items() if a <= self.width} | {h: rank}
-        sa = np.argsort(self._pair(rank, at, end, h) * n + at) if n < 2_000_000 else np.lexsort((at, self._pair(rank, at, end, h)))
-        half = max((a for a in ranks if a <= self.width), default=None)
-        window = np.full(n, -1)
-        rows = np.flatnonzero(sa + self.width <= end[sa])
-        if len(rows):
-            own = sa[rows]
-            new = np.zeros(len(rows), bool)
-            new[0] = True
-            for d in [*range(0, self.width - half, half), self.width - half]:
-                r = ranks[half][own + d]
-                new[1:] |= r[1:] != r[:-1]
-            window[rows] = np.cumsum(new) - 1
-        return sa, window
+            ranks[h] = rank.astype(np.int32)
+        return np.argsort(self._pair(rank, at, end, h), kind="stable"), ranks
+
+    @staticmethod
+    def _agreeing(sym: np.ndarray, end: np.ndarray, ranks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many characters the suffixes at ``i`` and ``j`` share, end marks not counted."""
+        last, most = len(sym) - 1, np.minimum(end[i] - i, end[j] - j)
+        length = np.zeros(len(i), np.int64)
+        for h in sorted(ranks, reverse=True):
+            rank = ranks[h]
+            length += np.where(rank[np.minimum(i + length, last)] == rank[np.minimum(j + length, last)], h, 0)
+            length = np.minimum(length, most)
+        open_ = length < most
+        for _ in range(min(ranks) - 1):
+            open_ &= sym[np.minimum(i + length, last)] == sym[np.minimum(j + length, last)]
+            length += open_
+            open_ &= length < most
+        return length
 
     @staticmethod
     def _pair(rank: np.ndarray, at: np.ndarray, end: np.ndarray, h: int) -> np.ndarray:
@@ -299,21 +329,50 @@ class RunLengthIndex:
         rank[order] = np.cumsum(np.diff(sorted_, prepend=sorted_[:1]) != 0)
         return rank
 
-    def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Stream all strings backwards side by side; yields numbers of strings and the offsets of windows that stand earlier too."""
+    def matching_statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream all strings backwards side by side: ``string, offset, row, length, place``.
+
+        ``length`` characters from there on agree with the text at ``place``, that of the row above. Within a run both follow from
+        the step before (one character more, one place earlier); at a run's first row they are the samples.
+        """
         live = np.arange(len(self.sizes))
         row, at = live.copy(), self.sizes.copy()  # the end marks are the first rows, in order
-        run = self._run(row)
+        length, place = np.zeros(len(live), np.int64), np.concatenate([[-1], (self.begin + self.sizes)[:-1]])
         while len(live):
+            run = self._run(row)
             c = self.run_char[run]
             go = c != 0
-            live, at = live[go], at[go] - 1
-            row = (self.less[c] + self.before[run] + row - self.run_start[run])[go]
-            run = self._run(row)
-            window = self.window[run]
-            again = np.flatnonzero((window >= 0) & (self.earliest[window] < self.begin[live] + at))
-            if len(again):
-                yield live[again], at[again]
+            live, at, row, length, place, run, c = (x[go] for x in (live, at - 1, row, length, place, run, c))
+            head = row == self.run_start[run]
+            length = np.where(head, self.head_length[run], length + 1)
+            place = np.where(head, self.head_above[run], place - 1)
+            row = self.less[c] + self.before[run] + row - self.run_start[run]
+            yield live, at, row, length, place
+
+    def repeated(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of strings and offsets at which ``width`` bytes begin that stand earlier too.
+
+        Rows that agree with the row above for ``width`` characters follow each other; with the row above the first of them
+        they are all places of one string of that length, and all but the least are repeats.
+        """
+        rows, at, above = [], [], []
+        for string, offset, row, length, place in self.matching_statistics():
+            far = np.flatnonzero(length >= width)
+            rows.append(row[far])
+            at.append((self.begin[string] + offset)[far])
+            above.append(place[far])
+        rows, at, above = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, at, above))
+        if not len(rows):
+            return rows, rows
+        order = np.argsort(rows)
+        rows, at, above = rows[order], at[order], above[order]
+        new = np.diff(rows, prepend=-2) != 1
+        first = np.flatnonzero(new)
+        top = above[first]
+        least = np.minimum(np.minimum.reduceat(at, first), top)
+        again = np.concatenate([at[at > least[np.cumsum(new) - 1]], top[top > least]])
+        string = np.searchsorted(self.begin, again, "right") - 1
+        return string, again - self.begin[string]
 
 
 def _index(batches: Iterator[pa.RecordBatch], width: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -324,10 +383,9 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, shard_bytes: int) -> I
 
     def close() -> pa.RecordBatch:
         rows = sorted(held)
-        marks = [(i, o) for i, o in RunLengthIndex([r[2] for r in rows], width).repeated()]
-        if not marks:
+        i, o = RunLengthIndex([r[2] for r in rows]).repeated(width)
+        if not len(i):
             return _found(np.empty(0, _MARK))
-        i, o = np.concatenate([m[0] for m in marks]), np.concatenate([m[1] for m in marks])
         order = np.lexsort((o, i))
         i, o = i[order], o[order]
         new = np.ones(len(i), bool)
