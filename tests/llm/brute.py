@@ -87,7 +87,7 @@ def repeats(docs, width=100):
 def near_vectors(rows, least=0.98):
     """``{vec_id: (n_links, component)}`` of ``(id, vector, label)``."""
     good = [(i, np.array(v, float), y) for i, v, y in rows if v is not None and y is not None and all(c is not None for c in v)]
-    good = [(i, v, y) for i, v, y in good if np.isfinite(v).all() and v.any()]
+    good = [(i, v / np.abs(v).max(), y) for i, v, y in good if np.isfinite(v).all() and v.any()]
     links = []
     for a in range(len(good)):
         for b in range(a):

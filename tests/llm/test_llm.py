@@ -196,6 +196,7 @@ def vectors():
     centre = rng.normal(size=(6, 16))
     rows = [(i, [float(c) for c in centre[i % 6] + rng.normal(size=16) * rng.choice([0.02, 0.2])], i % 2) for i in range(120)]
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 1), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] + [1.0] * 15, 0), (205, rows[1][1], None), (206, rows[0][1][:8], 0), (207, [None] * 16, 0)]
+    rows += [(208, [1e200, 1e200], 0), (209, [3e200, 3e200], 0), (210, [1e-200, 1e-200], 0), (211, [5e-324, 0.0], 0), (212, [1.0, -1e-320], 0)]
     return rows
 
 
@@ -207,6 +208,14 @@ def test_metric_join(spark, tile):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.near_vectors(rows)
 
 
+def test_metric_join_of_many_cells(spark):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(150, 24))
+    rows = [(i, [float(c) for c in centres[i % 150] + rng.normal(size=24) * rng.choice([0.05, 0.12, 1.0])], "a|1" if i % 3 else "a") for i in range(900)]
+    got = metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), tile=16).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.near_vectors(rows)
+
+
 def test_metric_join_without_vectors(spark):
     assert metric_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -224,18 +233,45 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 110), (1, 120), (1, 120)]
 
 
-def test_run_length_index():
+@pytest.mark.parametrize("letters, width", [(2, 8), (2, 40), (1, 8), (200, 3)])
+def test_run_length_index(letters, width):
     rng = np.random.default_rng(7)
-    strings = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (30, 5, 60, 12)]
-    strings += [strings[0], strings[2][10:40]]
-    got = {(int(i), int(o)) for a, b in repeats.RunLengthIndex(strings, 8).repeated() for i, o in zip(a, b)}
+    strings = [bytes(rng.integers(97 - 97 * (letters > 99), 97 - 97 * (letters > 99) + letters, n).astype(np.uint8)) for n in (30, 5, 160, 12, 1, 90)]
+    strings += [strings[0], strings[2][10:140], strings[2], strings[2][3:] + strings[0]]
+    index = repeats.RunLengthIndex(strings)
     seen, want = set(), set()
     for i, s in enumerate(strings):
-        for o in range(len(s) - 7):
-            if s[o : o + 8] in seen:
+        for o in range(len(s) - width + 1):
+            if s[o : o + width] in seen:
                 want.add((i, o))
-            seen.add(s[o : o + 8])
-    assert got == want
+            seen.add(s[o : o + width])
+    assert {(int(i), int(o)) for i, o in zip(*index.repeated(width))} == want
+    suffixes = sorted((s[o:], i, o) for i, s in enumerate(strings) for o in range(len(s)))
+    above = {(i, o): (t, index.begin[j] + p) for (t, j, p), (_, i, o) in zip(suffixes, suffixes[1:])}
+    for string, offset, _, length, place in index.matching_statistics():
+        for i, o, n, p in zip(string.tolist(), offset.tolist(), length.tolist(), place.tolist()):
+            if (i, o) in above:
+                t, at = above[i, o]
+                own = strings[i][o:]
+                assert p == at and n == next((k for k in range(min(len(t), len(own))) if t[k] != own[k]), min(len(t), len(own)))
+
+
+def test_phrases_are_settled_in_bounded_batches():
+    rng = np.random.default_rng(3)
+    rows = np.zeros(3000, repeats._PHRASE)
+    rows["trigger"], rows["phrase"] = rng.choice([1, 1, 1, 2, *range(10, 300)], 3000), rng.integers(0, 60, 3000)
+    rows["key"], rows["start"], rows["n"] = np.arange(3000) % 700, np.arange(3000), 5
+    parts = [rows[i : i + 100] for i in range(0, 3000, 100)]
+    pa = repeats.pa
+
+    def settled(most):
+        batch = pa.record_batch([pa.array([0] * len(parts), pa.int32()), pa.array([0] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts])], names=["bucket", "kind", "rows"])
+        got = pa.Table.from_batches(list(repeats._settle(iter([batch]), 20, most))).to_pylist()
+        asked = {(r["key"], r["start"]) for r in got if r["trigger"] is not None}
+        return asked, {(r["key"], r["start"]) for r in got if r["trigger"] is None}, {r["trigger"] for r in got if r["hot"]}
+
+    (whole, marks, hot), (some, fewer, as_hot) = settled(10**6), settled(300)
+    assert whole <= some and fewer <= marks and some | fewer == whole | marks and hot == as_hot == {1, 2} & hot and 1 in hot
 
 
 def test_winnowing_odd_documents(spark):
