@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagrid.operators.ordering import running
+
 CELL = ["cx", "cy"]
 
 
@@ -36,14 +38,11 @@ def misaligned(rasters: dict[str, DataFrame]) -> DataFrame:
 
 
 def sample_tiles(tiles: DataFrame, order: list[str], least: int, fraction: float) -> DataFrame:
-    """Systematic sample: the first tile, then one each time the running count grows.
-
-    Numbers tiles of the tile table, which has a row for each file.
-    """
-    numbered = tiles.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    f = F.greatest(F.lit(float(least)) / F.col("n"), F.lit(fraction))
+    """Systematic sample: the first tile, then one each time the running count grows."""
+    numbered = running(tiles, [F.col(c) for c in order], {"i": F.lit(1)}).withColumn("i", F.col("i") - 1)
+    f = max(least / max(1, tiles.count()), fraction)
     take = (F.col("i") == 0) | (F.floor(F.col("i") * f) != F.floor((F.col("i") - 1) * f))
-    return numbered.filter((f > 0) & take).drop("n")
+    return numbered.filter(F.lit(f > 0) & take).withColumn("i", F.col("i").cast("int"))
 
 
 def unpivot_bands(raster: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
