@@ -81,13 +81,17 @@ _MULT = stream64(64, 11) | np.uint64(1)
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+    """Powers of the base and of its inverse; tables for unusually long texts are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    if n <= 4 * CHUNK_BYTES:
+        _powers[:] = out
+    return out
 
 
 class Words:

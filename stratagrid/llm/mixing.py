@@ -17,36 +17,40 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import stage
+from stratagrid.operators.ordering import running
 
 #: Documents (or residuals) that one group folds, on average.
 GROUP = 256
 
+#: Rows alike that are numbered at a time.
+RUN = 4096
+
 _ITEM = "struct<id:bigint,copy:bigint,size:bigint,p:double>"
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``source, source_size, target``: shares by weight, none above ``most`` times its source's size.
 
-    The level at which the uncapped sources stand is raised until no source is above its
-    cap; each step is an aggregate of the table of sources, which has one row for each source.
+    Sources are ordered by cap over weight; running sums give the level that the rest would stand at if all before
+    a source are full, and the first source that this level does not fill has the right one.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    by_name = [F.col("source").isNull(), F.col("source")]
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    own = stage(sizes.select("source", "source_size", F.element_at(cycle, (place % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "sources")
-    total = own.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while total:
-        full = F.col("cap") <= F.col("w") * F.lit(level)
-        row = own.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
-        if not row[1] or (share * total - row[0]) / row[1] <= level:
-            break
-        level = (share * total - row[0]) / row[1]
-    return own.select("source", "source_size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
+    w = F.element_at(cycle, ((F.col("i") - 1) % len(weights) + 1).cast("int"))
+    own = stage(running(sizes, by_name, {"i": F.lit(1)}).select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "sources")
+    total, all_w = own.agg(F.sum("source_size"), F.sum("w")).first()
+    if not total:
+        return own.select("source", "source_size", F.lit(0.0).alias("target"))
+    fills = F.col("cap") / F.col("w")
+    level = (F.lit(share * total) - (F.col("caps") - F.col("cap"))) / (F.lit(all_w) - (F.col("ws") - F.col("w")))
+    ranked = running(own, [fills, *by_name], {"caps": F.col("cap"), "ws": F.col("w")}).select(fills.alias("fills"), *(c.alias(f"o{k}") for k, c in enumerate(by_name)), level.alias("level"))
+    at = ranked.filter("level <= fills").agg(F.min_by("level", F.struct("fills", "o0", "o1"))).first()[0]
+    return own.select("source", "source_size", (F.col("cap") if at is None else F.least("cap", F.col("w") * F.lit(at))).alias("target"))
 
 
 def _fold(items: Column, seed: int) -> Column:
@@ -88,10 +92,13 @@ def mix(
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
     by_key = targets.select(key, "source_size", "target")
     blank = sized.filter("size = 0").select("id", key, "size", F.lit(0.0).alias("p"))
+    # rows alike in id, source and size are interchangeable: they are counted, then numbered
+    alike = sized.filter("size > 0").groupBy("id", key, "size").agg(F.count("*").alias("m"))
+    runs = alike.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(RUN).cast("long"))).alias("from"))
+    copy = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, F.col("m")) - 1)).alias("copy")
+    ratio = F.col("target") / F.col("source_size")
     level = stage(
-        sized.filter("size > 0").select("id", key, "size").join(by_key, "key")
-        .select("key", F.struct("id", F.monotonically_increasing_id().alias("copy"), "size", F.lit(0.0).alias("p")).alias("item"), (F.col("target") / F.col("source_size")).alias("ratio"))
-        .select("key", F.col("item").withField("copy", F.lit(0).cast("long")).withField("p", _snap(F.col("ratio") - F.floor("ratio"))).alias("item")),
+        runs.select("id", "key", "size", copy).join(by_key, "key").select("key", F.struct("id", "copy", "size", _snap(ratio - F.floor(ratio)).alias("p")).alias("item")),
         "fractions",
     )
     largest = level.groupBy("key").count().agg(F.max("count")).first()[0] or 0
@@ -99,16 +106,16 @@ def mix(
     depth = max(1, math.ceil(math.log(max(largest, 2), group)))
     for up in range(depth):
         counts = level.groupBy("key").count().select("key", F.when(F.lit(up == depth - 1), 1).otherwise(F.ceil(F.col("count") / group)).alias("groups"))
-        spread = F.pmod(F.xxhash64("item.id", "item.size", F.lit(seed + up)), F.col("groups"))
+        spread = F.pmod(F.xxhash64("item.id", "item.copy", "item.size", F.lit(seed + up)), F.col("groups"))
         folded = stage(
             level.join(counts, "key").groupBy("key", spread.alias("g"))
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.id", F.lit(seed)).alias("o"), "item"))), lambda x: x["item"]).alias("items"))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.id", "item.copy", F.lit(seed)).alias("o"), "item"))), lambda x: x["item"]).alias("items"))
             .select("key", _fold(F.col("items"), seed + up).alias("r")),
             "fold",
         )
         settled.append(folded.select("key", F.explode("r.done").alias("item")))
         level = folded.select("key", F.col("r.keep").alias("item"))
-    draw = (F.xxhash64("item.id", F.lit(seed - 1)).bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
+    draw = (F.xxhash64("item.id", "item.copy", F.lit(seed - 1)).bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
     settled.append(level.select("key", F.col("item").withField("p", F.when(draw < F.col("item.p"), 1.0).otherwise(0.0)).alias("item")))
     out = settled[0]
     for more in settled[1:]:

@@ -7,7 +7,8 @@ how reliable each labeler is, and a logistic span classifier is trained on the r
 labels. It adds spans of two kinds, ``secret`` and ``account``; spans found by rule always stay.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; other
-columns are ignored; without candidates nothing is trained or added.
+columns are ignored; without candidates nothing is trained or added; an empty table gives no rows. A very long text is scanned
+whole, in time that grows with its length alone. The classifier is fitted on at most ``FIT_CANDIDATES`` candidates.
 """
 
 from __future__ import annotations

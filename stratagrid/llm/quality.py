@@ -5,8 +5,10 @@ counts of byte classes and of their neighbours, and over word statistics; gated
 (a tanh gate times a sigmoid gate) weighs the passages, and the weighted sum is
 scored. Encoder, gates and scorer are trained together in numpy from document labels alone.
 
-Defined results: a null or empty text is one passage without bytes and gets the model's score for it;
-documents without labels are scored like all others; without any label to learn from every score is 0.5.
+Defined results: a null or empty text is one passage without bytes and gets the model's score for it; a very long
+text has as many passages as it takes, one text at a time; documents without labels are scored like all others, repeated rows alike;
+without any label to learn from every score is 0.5; an empty table gives no rows; other columns are ignored. The model is
+fitted on at most ``FIT_DOCUMENTS`` documents and ``FIT_BYTES`` bytes of features; all documents are scored.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagrid.llm.common import SPACED, Words, chunks, id_text
+from stratagrid.llm.common import SPACED, Words, chunks, discard, id_text, stage
 
 PASSAGE = 512
 
 #: Labelled documents the model is fitted on, those of the least hash.
 FIT_DOCUMENTS = 6_000
 
+#: Bytes of their features that are brought together for the fit.
+FIT_BYTES = 64 << 20
+
 _CLASSES = 16
 
 
@@ -111,6 +116,20 @@ def _forward(p: dict[str, np.ndarray], z: np.ndarray, counts: np.ndarray) -> dic
     return {"h": h, "t": t, "s": s, "a": a, "bag": bag, "y": y}
 
 
+def gradients(p: dict[str, np.ndarray], z: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of documents, by parameter."""
+    at = np.cumsum(counts) - counts
+    f = _forward(p, z, counts)
+    dy = (f["y"] - y) / len(y)
+    dbag = np.repeat(dy[:, None] * p["o"], counts, axis=0)
+    da = (dbag * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at), counts))
+    dts = de[:, None] * p["q"]
+    dt, ds = dts * f["s"] * (1 - f["t"] ** 2), dts * f["t"] * f["s"] * (1 - f["s"])
+    dh = (f["a"][:, None] * dbag + dt @ p["v"].T + ds @ p["u"].T) * (1 - f["h"] ** 2)
+    return {"w": z.T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ ds, "q": (f["t"] * f["s"]).T @ de, "o": f["bag"].T @ dy, "c": dy.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 25, rate: float = 3e-3, batch: int = 64, l2: float = 1e-4, seed: int = 3) -> AttentionModel:
     """Adam on the log loss of documents."""
     rng = np.random.default_rng(seed)
@@ -127,16 +146,8 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 24, epoc
             pick = order[i : i + batch]
             k = counts[pick]
             rows = np.repeat(ends[pick] - k - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            xb, at = z[rows], np.cumsum(k) - k
-            f = _forward(p, xb, k)
-            dy = (f["y"] - y[pick]) / len(pick)
-            dbag = np.repeat(dy[:, None] * p["o"], k, axis=0)
-            da = (dbag * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at), k))
-            dts = de[:, None] * p["q"]
-            dt, ds = dts * f["s"] * (1 - f["t"] ** 2), dts * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dbag + dt @ p["v"].T + ds @ p["u"].T) * (1 - f["h"] ** 2)
-            g = {"w": xb.T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ ds, "q": (f["t"] * f["s"]).T @ de, "o": f["bag"].T @ dy, "c": dy.sum(keepdims=True)}
+            xb = z[rows]
+            g = gradients(p, xb, k, y[pick])
             step += 1
             for name in p:
                 d = g[name] + l2 * p[name]
@@ -147,10 +158,28 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 24, epoc
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
-    """``doc_id, text, y`` of at most ``limit`` labelled documents: a bounded table, so its ids may be broadcast."""
+    """``doc_id, text, y`` of at most ``limit`` labelled documents: a bounded table, so its ids may be broadcast.
+
+    Of rows that share an id one counts, the one with the least hash of its text; of several labels of an id the greatest.
+    """
     picked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(one).select("doc_id", F.col("one.text").alias("text"), "y")
+
+
+def bounded_rows(features: DataFrame, column: str, most: int) -> list:
+    """Rows of a sample, in the order of the hashes of their ids, as far as ``column`` stays within ``most`` bytes in all."""
+    held = stage(features, "sample")
+    sizes = sorted(held.select(F.xxhash64("doc_id").alias("o"), "doc_id", F.length(column).alias("n")).collect())
+    total = np.cumsum([r.n for r in sizes]) if sizes else np.zeros(0)
+    kept = held
+    if len(sizes) and total[-1] > most:
+        last, o = sizes[max(0, int(np.searchsorted(total, most, "right")) - 1)], F.xxhash64("doc_id")
+        kept = held.filter((o < last.o) | ((o == last.o) & (F.col("doc_id") <= last.doc_id)))
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+    discard(held)
+    return rows
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +193,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCUMENTS) -> AttentionModel | None:
     """Fit on at most ``limit`` documents for which ``usable`` (over ``labels``) holds."""
     sample = labelled_sample(id_text(docs, id_col, text_col), labels, label, usable, limit)
-    rows = sorted(sample.mapInArrow(_sample_features, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+    rows = bounded_rows(sample.mapInArrow(_sample_features, "doc_id long, y int, x binary"), "x", FIT_BYTES)
     if not rows:
         return None
     bags = [np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows]

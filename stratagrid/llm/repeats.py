@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import CHUNK_BYTES, id_text, mix64, stage, stream64
 from stratagrid.llm.common import _power_tables as powers
+from stratagrid.operators.ordering import running
 
 WIDTH = 100
 GRAM = 40
@@ -443,13 +444,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    ranged = stage(docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id()), "ordered")
-    counts, base, total = ranged.groupBy("part").count().orderBy("part").collect(), {}, 0
-    for row in counts:
-        base[row.part], total = total, total + row["count"]
-    starts = docs.sparkSession.createDataFrame([(p, b) for p, b in base.items()] or [(0, 0)], "part int, b long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "text")) - 1
-    return stage(ranged.select("part", "doc_id", "text", place.alias("i")).join(F.broadcast(starts), "part").select((F.col("b") + F.col("i")).alias("key"), "doc_id", "text"), "numbered")
+    return running(docs, [F.col("doc_id"), F.col("text")], {"key": F.lit(1)}).select(F.col("key").cast("long").alias("key"), "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:

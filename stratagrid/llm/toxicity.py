@@ -10,8 +10,9 @@ Scores are calibrated by language: the language is guessed from the function wor
 on held-back training documents each language gets the threshold of best F1, to which the calibrated
 score ``cut`` corresponds.
 
-Defined results: a null or empty text is scored as one of padding alone; repeated rows give repeated
-results; without any label to learn from every score is 0.
+Defined results: a null or empty text is scored as one of padding alone; a very long text is read whole, one text
+at a time; repeated rows give repeated results; without any label to learn from every score is 0; an empty table gives no rows;
+other columns are ignored. The model is fitted on at most ``FIT_DOCUMENTS`` documents and ``FIT_BYTES`` bytes of table rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from stratagrid.llm.common import ALNUM, Words, chunks, id_text
-from stratagrid.llm.quality import labelled_sample
+from stratagrid.llm.quality import bounded_rows, labelled_sample
 
 #: Labelled documents the model is fitted on, those of the least hash.
 FIT_DOCUMENTS = 8_000
+
+#: Bytes of their words' table rows that are brought together for the fit.
+FIT_BYTES = 64 << 20
 SLOTS = 1 << 16
 WIDTHS = (1, 2, 3)
 _PAD = 3
@@ -115,6 +119,29 @@ def _presence(ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
+def gradients(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Of the mean log loss of texts: by parameter, and for the table of embeddings by the rows that have one."""
+    dim, filters = p["emb"].shape[1], len(p["o"]) // len(WIDTHS)
+    f = _forward(p, ids, first)
+    dl = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - y).astype(p["emb"].dtype) / len(y)
+    dpool = dl[:, None] * p["o"] * (f["pre"] > 0)
+    out, rows_seen, grads = {"o": f["pool"].T @ dl, "c": dl.sum(keepdims=True)}, [], []
+    for k, w in enumerate(WIDTHS):
+        d, c = dpool[:, k * filters : (k + 1) * filters], f[f"c{w}"]
+        top = np.stack([c[a:b].argmax(axis=0) + a for a, b in zip(first, [*first[1:], len(ids)], strict=True)])
+        gw = np.zeros_like(p[f"w{w}"])
+        for j in range(w):
+            gw[j * dim : (j + 1) * dim] = np.einsum("bfd,bf->df", f["e"][top + j], d)
+            rows_seen.append((top + j).ravel())
+            grads.append((d[:, :, None] * p[f"w{w}"][j * dim : (j + 1) * dim].T[None]).reshape(-1, dim))
+        out |= {f"w{w}": gw, f"b{w}": d.sum(axis=0)}
+    rows, at = np.unique(ids[np.concatenate(rows_seen)].ravel(), return_inverse=True)
+    total = np.zeros((len(rows), dim), p["emb"].dtype)
+    np.add.at(total, at, np.repeat(np.concatenate(grads), 3, axis=0))
+    total[rows == 0] = 0
+    return out, rows, total
+
+
 def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 5, batch: int = 32, rate: float = 0.05, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     p = {"emb": rng.normal(0, 0.05, (SLOTS, dim)), "o": rng.normal(0, 0.1, len(WIDTHS) * filters), "c": np.array([-2.0])}
@@ -140,31 +167,10 @@ def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, dim: int = 8, filters
             sizes = ends[pick] - first[pick]
             begin = np.cumsum(sizes) - sizes
             own = ids[np.repeat(first[pick] - begin, sizes) + np.arange(sizes.sum())]
-            f = _forward(p, own, begin)
-            dl = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - y[pick]).astype(np.float32) / len(pick)
-            dpool = dl[:, None] * p["o"] * (f["pre"] > 0)
-            go, gc = f["pool"].T @ dl, dl.sum(keepdims=True)
-            rows_seen, grads = [], []
-            for k, w in enumerate(WIDTHS):
-                d = dpool[:, k * filters : (k + 1) * filters]
-                c = f[f"c{w}"]
-                top = np.stack([c[a : a + s].argmax(axis=0) + a for a, s in zip(begin, sizes, strict=True)])
-                gw = np.zeros_like(p[f"w{w}"])
-                for j in range(w):
-                    x = f["e"][top + j]
-                    gw[j * dim : (j + 1) * dim] = np.einsum("bfd,bf->df", x, d)
-                    rows_seen.append((top + j).ravel())
-                    grads.append((d[:, :, None] * p[f"w{w}"][j * dim : (j + 1) * dim].T[None]).reshape(-1, dim))
-                descend(f"w{w}", gw)
-                descend(f"b{w}", d.sum(axis=0))
-            at, ge = own[np.concatenate(rows_seen)], np.concatenate(grads)
-            uniq, inv = np.unique(at.ravel(), return_inverse=True)
-            total = np.zeros((len(uniq), dim), np.float32)
-            np.add.at(total, inv, np.repeat(ge, 3, axis=0))
-            total[uniq == 0] = 0
-            descend("emb", total, uniq)
-            descend("o", go)
-            descend("c", gc)
+            g, rows, ge = gradients(p, own, begin, y[pick])
+            descend("emb", ge, rows)
+            for name, value in g.items():
+                descend(name, value)
     return p
 
 
@@ -180,10 +186,12 @@ def best_threshold(logit: np.ndarray, y: np.ndarray, fallback: float) -> float:
 
 
 def train_on(bags: list[np.ndarray], lang: np.ndarray, y: np.ndarray, cut: float) -> ConvModel:
-    """Fit on the table rows of texts; a fifth of the texts is held back for the thresholds."""
+    """Fit on the table rows of texts; each fifth text is held back for the thresholds.
+
+    A language's threshold is drawn to that of all held-back texts, as if it had 20 toxic texts more. Where no toxic text
+    is held back the model's own even odds stand for the threshold.
+    """
     back = np.arange(len(y)) % 5 == 4
-    if len(y) < 50 or not y[back].any():
-        back = np.zeros(len(y), bool)
 
     def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = [b for b, m in zip(bags, mask, strict=True) if m]
@@ -191,8 +199,9 @@ def train_on(bags: list[np.ndarray], lang: np.ndarray, y: np.ndarray, cut: float
         return np.concatenate(own), np.cumsum(sizes) - sizes
 
     model = ConvModel(fit(*part(~back), y[~back].astype(np.float32)), np.zeros(len(FUNCTION_WORDS) + 1), cut)
-    held = back if back.any() else ~back
-    truth, lang, logit = y[held], lang[held], model.raw(*part(held))
+    if not y[back].any():
+        return model
+    truth, lang, logit = y[back], lang[back], model.raw(*part(back))
     overall = best_threshold(logit, truth, 0.0)
     for k in range(len(FUNCTION_WORDS) + 1):
         own = lang == k
@@ -212,7 +221,7 @@ def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCUMENTS, cut: float = 0.3) -> ConvModel | None:
     """Fit on at most ``limit`` documents for which ``usable`` (over ``labels``) holds."""
     sample = labelled_sample(id_text(docs, id_col, text_col), labels, label, usable, limit)
-    rows = sorted(sample.mapInArrow(_sample_slots, "doc_id long, y int, lang int, ids binary").collect(), key=lambda r: (r.doc_id, r.ids))
+    rows = bounded_rows(sample.mapInArrow(_sample_slots, "doc_id long, y int, lang int, ids binary"), "ids", FIT_BYTES)
     if not rows:
         return None
     return train_on([np.frombuffer(r.ids, "<u2").reshape(-1, 3) for r in rows], np.array([r.lang for r in rows]), np.array([r.y for r in rows], float), cut)

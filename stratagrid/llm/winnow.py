@@ -9,7 +9,8 @@ joined with the items' windows by equality.
 
 Defined results: a null or wordless text has no words and no hits; an item of fewer words
 than ``window`` is one window; every row has its own result, also rows that share an id or have none;
-other columns are ignored.
+items that share an id count once; without items nothing is hit; an empty table gives no rows; other columns are ignored.
+Very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm.common import ALNUM, Words, chunks, id_text, stage
 
-#: Bits of the filter that is broadcast: its size does not depend on the data.
-FILTER_BITS = 1 << 25
+#: Least and most bits of the filter that is broadcast; between them it grows with the items' texts.
+FILTER_BITS = (1 << 20, 1 << 28)
 
 _CANDIDATES = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("len", pa.int32())])))]
@@ -117,18 +118,20 @@ def _document_windows(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, le
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", window: int = 10, k: int = 5, filter_bits: int = FILTER_BITS
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", window: int = 10, k: int = 5, filter_bits: tuple[int, int] = FILTER_BITS
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` (sorted array of ids as strings) for every row of ``docs``.
 
-    What is broadcast is one filter of ``filter_bits`` bits, whatever the number of items; a
-    fuller filter lets more windows into the join and changes no result.
+    What is broadcast is one filter of about four bits for each byte of the items, but never more than the larger of
+    ``filter_bits``; a fuller filter lets more windows into the join and changes no result.
     """
     spark: SparkSession = docs.sparkSession
     tests = id_text(items, item_col, text_col)
+    wanted = 1 << (4 * (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0)).bit_length()
+    bits = min(max(wanted, filter_bits[0]), filter_bits[1])
     windows = tests.mapInArrow(lambda it: _item_windows(it, window), "item_id long, h long, len int")
-    filter_, lengths = np.zeros(filter_bits // 8, np.uint8), 0
-    parts = tests.coalesce(16).mapInArrow(lambda it: _item_filters(it, k, window, filter_bits), "f binary, lengths int")
+    filter_, lengths = np.zeros(bits // 8, np.uint8), 0
+    parts = tests.coalesce(16).mapInArrow(lambda it: _item_filters(it, k, window, bits), "f binary, lengths int")
     for row in parts.toLocalIterator():
         filter_ |= np.frombuffer(row.f, np.uint8)
         lengths |= row.lengths
