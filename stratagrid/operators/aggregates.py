@@ -15,30 +15,33 @@ def dtm(points: DataFrame) -> DataFrame:
     return points.filter(ground()).groupBy(*CELL).agg(ratio(F.sum(F.col("z_raw").cast("long")), F.count("*")).alias("z"), F.count("*").alias("n_ground"))
 
 
-def _z_order() -> Column:
-    """Greatest for the top point; equal heights are settled by value, so that file order does not matter."""
+def _z_order(seq: str | None) -> Column:
+    """Greatest for the top point. Of equal heights the first read wins where points have a sequence, else values settle it."""
+    if seq:
+        return F.struct("z_raw", (-F.col(seq)).alias(seq))
     return F.struct("z_raw", *((-F.col(c)).alias(c) for c in ("source_id", "return_number", "intensity", "x_raw", "y_raw")))
 
 
-def dsm(points: DataFrame, gap: int | None = None) -> DataFrame:
+def dsm(points: DataFrame, gap: int | None = None, seq: str | None = None) -> DataFrame:
     """Surface: top of the aerial points with its source and return, means and counts of aerial and ground points.
 
-    With ``gap`` also the subsurface: the highest aerial point at least ``gap`` below the top.
+    With ``gap`` also the subsurface: the highest aerial point at least ``gap`` below the top, by a second grouping of
+    the points that lie that far below.
     """
     up, down = aerial(), ground()
     z = F.col("z_raw")
-    top = F.max_by(F.struct("source_id", "return_number"), F.when(up, _z_order()))
+    top = F.max_by(F.struct("source_id", "return_number"), F.when(up, _z_order(seq)))
     aggs = [
         F.max(F.when(up, z)).alias("dsm"), top.alias("top"), F.count_if(up).alias("n_aerial"), F.count_if(down).alias("n_ground"),
         ratio(F.sum(F.when(up, z.cast("long"))), F.count_if(up)).alias("aerial_mean"), ratio(F.sum(F.when(down, z.cast("long"))), F.count_if(down)).alias("ground_mean"),
     ]
-    if gap is not None:
-        aggs.append(F.collect_list(F.when(up, z)).alias("zs"))
     out = points.filter(valid()).groupBy(*CELL).agg(*aggs)
     more = {"source_id": F.when(F.col("n_aerial") > 0, F.col("top.source_id")), "return_number": F.when(F.col("n_aerial") > 0, F.col("top.return_number"))}
-    if gap is not None:
-        more["subsurface"] = F.array_max(F.filter("zs", lambda x: x <= F.col("dsm") - gap))
-    return out.withColumns(more).drop("top", "zs")
+    out = out.withColumns(more).drop("top")
+    if gap is None:
+        return out
+    under = points.filter(up).select(*CELL, "z_raw").join(out.select(*CELL, "dsm"), CELL).filter(F.col("z_raw") <= F.col("dsm") - gap)
+    return out.join(under.groupBy(*CELL).agg(F.max("z_raw").alias("subsurface")), CELL, "left")
 
 
 def chm(surface: DataFrame, terrain: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def intensity_slice(points_on_terrain: DataFrame, low: float, high: float) -> Da
     return points_on_terrain.filter(inside).groupBy(*CELL).agg(F.expr("sum(cast(intensity as bigint)) div count(*)").alias("intensity"), F.count("*").alias("n"))
 
 
-# Names of the class counters.
-CLASS_COUNTERS = {1: "unclassified", 2: "ground", 3: "low_vegetation", 4: "medium_vegetation", 5: "high_vegetation", 6: "building", 9: "water"}
+# Names of the class counters; all other classes are counted together.
+CLASS_COUNTERS = {0: "never_classified", 1: "unclassified", 2: "ground", 3: "low_vegetation", 4: "medium_vegetation", 5: "high_vegetation"}
 
 
 def class_counts(points: DataFrame, by: str = "tile") -> DataFrame:
@@ -112,8 +115,14 @@ def merge_statistics(parts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: Most bins of a histogram.
+MOST_BINS = 1_000_000
+
+
 def histogram(rows: DataFrame, value: str, low: float, width: float, bins: int) -> DataFrame:
     """Counts of bins of one width; values outside are in bin -1."""
+    if not 0 < bins <= MOST_BINS:
+        raise ValueError(f"a histogram has 1 to {MOST_BINS} bins, not {bins}")
     at = F.floor((F.col(value) - low) / width)
     return rows.filter(F.col(value).isNotNull()).groupBy(F.when((at >= 0) & (at < bins), at).otherwise(-1).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -126,3 +135,26 @@ def smallest_integer_type(rows: DataFrame, value: str) -> DataFrame:
 
 def percent_ground(points: DataFrame) -> DataFrame:
     return points.filter(valid()).groupBy(*CELL).agg(ratio(F.count_if(F.col("classification") == GROUND), F.count("*")).alias("p_ground"))
+
+
+# Least and greatest of each integer type, and the value that stands for missing data.
+_RANGES = {f"{'u' if u else ''}int{b}": (0 if u else -(1 << b - 1), (1 << b) - 1 if u else (1 << b - 1) - 1) for u in (True, False) for b in (8, 16, 32, 64)}
+
+
+def saturating_cast(value: Column, kind: str) -> Column:
+    """Values as ``kind`` (``uint8`` to ``int64``), rounded half to even and held to its range less the value for missing data, which nulls become.
+
+    That value is the most positive of an unsigned type and the most negative of a signed one.
+    """
+    least, most = _RANGES[kind]
+    missing = most if least == 0 else least
+    low, high = (least, most - 1) if least == 0 else (least + 1, most)
+    wide = "decimal(20,0)"
+    held = F.greatest(F.least(F.bround(value.cast("decimal(38,6)"), 0), F.lit(high).cast("decimal(38,0)")), F.lit(low).cast("decimal(38,0)"))
+    return F.coalesce(held.cast(wide), F.lit(missing).cast(wide))
+
+
+def restore_missing(value: Column, kind: str) -> Column:
+    """Null where ``value`` is the one that stands for missing data in ``kind``."""
+    least, most = _RANGES[kind]
+    return F.nullif(value.cast("decimal(20,0)"), F.lit(most if least == 0 else least).cast("decimal(20,0)"))

@@ -1,122 +1,89 @@
 """Grid metrics: distribution of heights, intensities and returns in a cell.
 
-One shuffle brings a cell's valid points together, sorted by height; everything else is computed from
-these arrays. Heights are raw integers. Moments are taken about the median, an integer, so sums stay small.
+One shuffle deals the valid points to cells. Windows over the cell number its points by height and by
+intensity and give each point the figures of its cell, and one aggregate on the same partitioning makes all bands
+of them. No cell is ever gathered into an array, so a cell may hold any number of points; bands that are not selected
+are pruned from the windows and the aggregate. Heights are raw integers; moments are taken about the cell's own mean.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions.points import ratio, valid
 
 CELL = ["cx", "cy"]
-
-
-def collected(points: DataFrame) -> DataFrame:
-    """``cx, cy, n, p`` (structs in order of height) with arrays ``z`` and ``i`` (sorted)."""
-    p = F.sort_array(F.collect_list(F.struct("z_raw", "intensity", "return_number", "classification")))
-    got = points.filter(valid()).groupBy(*CELL).agg(p.alias("p"))
-    return got.select(*CELL, F.size("p").alias("n"), "p", F.col("p.z_raw").alias("z"), F.array_sort("p.intensity").alias("i"))
-
-
-def quantile(values: str, k: Column | int, steps: int) -> Column:
-    """Lower order statistic, without interpolation."""
-    n = F.size(values)
-    few = F.greatest(F.floor(F.lit(k) * n / steps + 0.5).cast("int") - 1, F.lit(0))
-    many = F.floor(F.lit(k) * n / steps).cast("int") - 1
-    return F.get(values, F.when(n < steps, few).otherwise(many))
-
-
-def with_moments(cells: DataFrame, values: str, prefix: str) -> DataFrame:
-    """Adds mean, sd, skew and kurtosis: population deviation with sample corrections.
-
-    Sums of powers are columns of their own, so that each array is walked once for each power.
-    """
-    n = F.size(values).cast("double")
-    mid = F.get(values, F.floor(F.size(values) / 2).cast("int")).cast("double")
-    rows = cells.withColumn("_d", F.transform(values, lambda x: x.cast("double") - mid)).withColumns({"_n": n, "_mid": mid})
-    powers = {"_s1": lambda x: x, "_s2": lambda x: x * x, "_s3": lambda x: x * x * x, "_s4": lambda x: x * x * x * x}
-    rows = rows.withColumns({k: _sum_of(f) for k, f in powers.items()})
-    n, mid, s1, s2, s3, s4 = (F.col(c) for c in ("_n", "_mid", "_s1", "_s2", "_s3", "_s4"))
-    rows = rows.withColumn("_m", s1 / n)
-    m = F.col("_m")
-    rows = rows.withColumn("_var", s2 / n - m * m)
-    var = F.col("_var")
-    c3 = s3 - 3 * s2 * m + 3 * s1 * m * m - n * m * m * m
-    c4 = s4 - 4 * s3 * m + 6 * s2 * m * m - 4 * s1 * m * m * m + n * m * m * m * m
-    spread = F.when(var > 0, var)
-    return rows.withColumns({
-        f"{prefix}_mean": mid + m,
-        f"{prefix}_sd": F.sqrt(F.greatest(var, F.lit(0.0))),
-        f"{prefix}_skew": F.when(n > 2, F.try_divide(F.try_divide(c3, F.pow(spread, F.lit(1.5))) * n, (n - 1) * (n - 2))),
-        f"{prefix}_kurtosis": F.when(n > 3, F.try_divide(F.try_divide(c4, spread * spread) * n * (n + 1), (n - 1) * (n - 2) * (n - 3))),
-    }).drop("_d", "_n", "_mid", "_s1", "_s2", "_s3", "_s4", "_m", "_var")
-
-
-def _sum_of(power) -> Column:
-    return F.aggregate("_d", F.lit(0.0), lambda s, x: s + power(x))
-
-
 MOMENTS = ("mean", "sd", "skew", "kurtosis")
+RETURNS = ("first", "second", "third", "fourth", "fifth")
+#: Steps of the height quantiles (twentieths) up to which intensities are summed.
+_SUMMED = (2, 6, 10, 14, 18)
 
 
-def heights(cells: DataFrame) -> DataFrame:
-    return with_moments(cells, "z", "z").select(*CELL, "n", F.array_max("z").alias("z_max"), *(f"z_{k}" for k in MOMENTS))
-
-
-def height_quantiles(cells: DataFrame) -> DataFrame:
-    return cells.select(*CELL, *(quantile("z", k, 20).alias(f"zq{5 * k:02d}") for k in range(1, 20)))
-
-
-def entropy(cells: DataFrame, step: int = 1000) -> DataFrame:
-    """Normalised entropy of height classes ``step`` high."""
-    low, high = F.get("z", F.lit(0)), F.get("z", F.col("n") - 1)
-    classes = F.ceil((high - low) / step + 0.5) + 1
-    each = F.transform("z", lambda x: F.floor((x - low) / step + 0.5))
-    counted = cells.select(*CELL, "n", classes.alias("h"), each.alias("k"))
-    share = F.transform(F.array_distinct("k"), lambda d: F.size(F.filter("k", lambda x: x == d)) / F.col("n"))
-    total = F.aggregate(F.array_sort(share), F.lit(0.0), lambda s, x: s + x * F.log(x))
-    return counted.select(*CELL, (total / F.log(1 / F.col("h"))).alias("z_entropy"))
+def quantile_place(n: Column, k: int, steps: int) -> Column:
+    """Place, from 1, of a lower order statistic among ``n``; there is no interpolation."""
+    few = F.greatest(F.floor(F.lit(k) * n / steps + 0.5), F.lit(1))
+    return F.when(n < steps, few).otherwise(F.floor(F.lit(k) * n / steps)).cast("long")
 
 
-def cumulative(cells: DataFrame) -> DataFrame:
-    """Share of points below each tenth of the height range."""
-    low, span = F.get("z", F.lit(0)), F.get("z", F.col("n") - 1) - F.get("z", F.lit(0))
-    part = lambda q: F.size(F.filter("z", lambda x: (x - low) * 10 < q * span)) / F.col("n")
-    return cells.select(*CELL, *(part(q).alias(f"zpcum{10 * q}") for q in range(1, 10)))
-
-
-def above(cells: DataFrame, ground: DataFrame, threshold: int = 2000) -> DataFrame:
-    """Share of points above the mean, and above the ground under the cell by ``threshold``."""
-    total = F.aggregate("z", F.lit(0).cast("long"), lambda s, x: s + x)
-    both = cells.withColumn("total", total).join(ground, CELL, "left")
-    floor = threshold + F.coalesce("z_ground_mean", F.lit(0.0))
-    return both.select(*CELL, "z_ground_mean", (F.size(F.filter("z", lambda x: x * F.col("n") > F.col("total"))) / F.col("n")).alias("p_above_mean"), (F.size(F.filter("z", lambda x: x > floor)) / F.col("n")).alias("p_above_threshold"))
-
+def _moments(value: Column, mean: Column, n: Column, prefix: str) -> dict[str, Column]:
+    """Population deviation with sample corrections."""
+    d = value - mean
+    count, s2, s3, s4 = F.max(n).cast("double"), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)
+    var = s2 / count
+    spread = F.when(var > 0, var)
+    return {
+        f"{prefix}_mean": F.max(mean),
+        f"{prefix}_sd": F.sqrt(var),
+        f"{prefix}_skew": F.when(count > 2, F.try_divide(F.try_divide(s3, F.pow(spread, F.lit(1.5))) * count, (count - 1) * (count - 2))),
+        f"{prefix}_kurtosis": F.when(count > 3, F.try_divide(F.try_divide(s4, spread * spread) * count * (count + 1), (count - 1) * (count - 2) * (count - 3))),
+    }
 
-def returns(cells: DataFrame) -> DataFrame:
-    share = lambda field, value: F.size(F.filter("p", lambda x: x[field] == value)) / F.col("n")
-    names = ("first", "second", "third", "fourth", "fifth")
-    return cells.select(*CELL, *(share("return_number", k).alias(f"p_{name}") for k, name in enumerate(names, 1)), share("classification", 2).alias("p_ground"))
 
+def grid_metrics(points: DataFrame, ground: DataFrame | None = None, step: int = 1000, threshold: int = 2000) -> DataFrame:
+    """All bands by cell: ``n``, heights (``z_``, ``zq``, ``zpcum``, ``p_above_``), returns (``p_``) and intensities (``i_``, ``iq``, ``ipcumzq``).
 
-def intensities(cells: DataFrame) -> DataFrame:
-    add = lambda f: F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + F.when(f(x), x["intensity"]).otherwise(0))
-    count = lambda f: F.size(F.filter("p", f))
-    n = F.col("n")
-    at = F.when(n < 20, F.greatest(F.floor(10 * n / 20 + 0.5).cast("int") - 1, F.lit(0))).otherwise(F.floor(10 * n / 20).cast("int") - 1)
-    total = add(lambda x: F.lit(True))
-    out = with_moments(cells, "i", "i").withColumns({"i50": at, "zq50": F.get("z", at), **{f"_z{k}": quantile("z", 2 * k, 20) for k in (1, 3, 5, 7, 9)}})
-    deciles = [quantile("i", k, 10).alias(f"iq{10 * k}") for k in range(1, 10)]
-    parts = [ratio(add(lambda x, k=k: x["z_raw"] < F.col(f"_z{k}")), total).alias(f"ipcumzq{10 * k}") for k in (1, 3, 5, 7, 9)]
-    return out.select(
-        *CELL, F.array_max("i").alias("i_max"), *(f"i_{k}" for k in MOMENTS), *deciles,
-        ratio(add(lambda x: x["return_number"] == 1), count(lambda x: x["return_number"] == 1)).alias("i_first"),
-        ratio(add(lambda x: x["z_raw"] >= F.col("zq50")), n - F.col("i50")).alias("i_above_median"), ratio(add(lambda x: x["z_raw"] < F.col("zq50")), F.col("i50")).alias("i_below_median"),
-        *parts, total.alias("i_total"), ratio(add(lambda x: x["classification"] == 2), total).alias("i_pground"),
-    )
+    ``ground`` has the mean terrain ``z_ground_mean`` under each cell; without it ``p_above_threshold`` counts from 0. ``step`` is the
+    height of a class of the entropy, ``threshold`` the height above ground that counts as above; both in raw units.
+    """
+    cell = Window.partitionBy(*CELL)
+    rows = points.filter(valid()).select(*CELL, F.col("z_raw").alias("z"), F.col("intensity").alias("i"), "return_number", "classification")
+    rows = rows.withColumn("i_at", F.row_number().over(cell.orderBy("i"))).withColumn("z_at", F.row_number().over(cell.orderBy("z")))
+    z, i, n = F.col("z"), F.col("i"), F.col("n")
+    total = lambda c: F.sum(c.cast("long")).over(cell)
+    rows = rows.withColumns({"n": F.count("*").over(cell), "z_low": F.min("z").over(cell), "z_top": F.max("z").over(cell), "z_sum": total(z), "i_sum": total(i)})
+    at = {k: F.max(F.when(F.col("z_at") == quantile_place(n, k, 20), z)).over(cell) for k in _SUMMED}
+    rows = rows.withColumns({f"z_at{k}": v for k, v in at.items()})
+    rows = rows.withColumn("k", F.floor((z - F.col("z_low")) / step + 0.5)).withColumn("alike", F.count("*").over(Window.partitionBy(*CELL, "k")))
+    if ground is None:
+        rows = rows.withColumn("z_ground_mean", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(ground.select(*CELL, "z_ground_mean"), CELL, "left")
+
+    low, span = F.col("z_low"), F.col("z_top") - F.col("z_low")
+    rn, cls, whole = F.col("return_number"), F.col("classification"), F.max("n")
+    share = lambda on: F.count_if(on) / whole
+    summed = lambda on: F.coalesce(F.sum(F.when(on, i.cast("long"))), F.lit(0))
+    median = quantile_place(whole, 10, 20) - 1
+    classes = F.max(F.ceil(span / step + 0.5) + 1)
+    bands = {"n": whole, "z_max": F.max("z"), **_moments(z, F.col("z_sum") / n, n, "z")}
+    bands |= {f"zq{5 * k:02d}": F.max(F.when(F.col("z_at") == quantile_place(n, k, 20), z)) for k in range(1, 20)}
+    bands |= {f"zpcum{10 * q}": share((z - low) * 10 < q * span) for q in range(1, 10)}
+    bands["z_entropy"] = F.sum(F.log(F.col("alike") / n)) / whole / F.log(1 / classes)
+    bands["z_ground_mean"] = F.max("z_ground_mean")
+    bands["p_above_mean"] = share(z * n > F.col("z_sum"))
+    bands["p_above_threshold"] = share(z > threshold + F.coalesce("z_ground_mean", F.lit(0.0)))
+    bands |= {f"p_{name}": share(rn == k) for k, name in enumerate(RETURNS, 1)}
+    bands["p_ground"] = share(cls == 2)
+    bands |= {"i_max": F.max("i"), **_moments(i, F.col("i_sum") / n, n, "i")}
+    bands |= {f"iq{10 * k}": F.max(F.when(F.col("i_at") == quantile_place(n, k, 10), i)) for k in range(1, 10)}
+    bands["i_first"] = ratio(F.sum(F.when(rn == 1, i.cast("long"))), F.count_if(rn == 1))
+    bands["i_above_median"] = ratio(summed(z >= F.col("z_at10")), whole - median)
+    bands["i_below_median"] = ratio(summed(z < F.col("z_at10")), median)
+    bands |= {f"ipcumzq{5 * k}": ratio(summed(z < F.col(f"z_at{k}")), F.max("i_sum")) for k in _SUMMED}
+    bands["i_total"] = F.max("i_sum")
+    bands["i_pground"] = ratio(summed(cls == 2), F.max("i_sum"))
+    return rows.groupBy(*CELL).agg(*(v.alias(k) for k, v in bands.items()))
 
 
 def ground_under(terrain: DataFrame, times: int) -> DataFrame:

@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagrid.functions.points import pack_cell, unpack_cell
+from stratagrid.model import GridSpec
+from stratagrid.operators.binning import cell_centre
+from stratagrid.operators.components import components
+from stratagrid.operators.ordering import running
 from stratagrid.operators.stencil import scatter, square
+from stratagrid.staging import stage
 
 CELL = ["cx", "cy"]
 RINGS = 10
@@ -27,13 +33,11 @@ def ring_offsets(most: int = RINGS) -> list[tuple[int, int, int]]:
 
 
 def peaks(cells: DataFrame, value: str) -> DataFrame:
-    """Cells without a higher one among the eight around; ``level`` counts equal ones."""
-    got = scatter(cells, value, square()).groupBy(*CELL).agg(
-        F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("v"))).alias("z"), F.max(F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col("v"))).alias("around"),
-        F.collect_list(F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col("v"))).alias("all"),
-    )
+    """Cells without a higher one among the eight around; ``level`` is 1 where one of these is equal, else 0."""
+    centre = (F.col("dx") == 0) & (F.col("dy") == 0)
+    got = scatter(cells, value, square()).groupBy(*CELL).agg(F.max(F.when(centre, F.col("v"))).alias("z"), F.max(F.when(~centre, F.col("v"))).alias("around"))
     ok = F.col("z").isNotNull() & (F.col("around").isNull() | (F.col("around") <= F.col("z")))
-    return got.filter(ok).select(*CELL, "z", F.size(F.filter("all", lambda v: v == F.col("z"))).alias("level"))
+    return got.filter(ok).select(*CELL, "z", F.coalesce((F.col("around") == F.col("z")).cast("int"), F.lit(0)).alias("level"))
 
 
 def with_rings(tops: DataFrame, cells: DataFrame, value: str, most: int | Column = RINGS, limit: int = RINGS) -> DataFrame:
@@ -82,7 +86,8 @@ def treetops_by_radius(cells: DataFrame, value: str, height: str, metres: float,
 def treetops_by_rings(cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, unit: float = 1.0, prominence: float = 0.02) -> DataFrame:
     """Peaks that the inner rings do not exceed and whose mean rise over the rings' tops passes ``prominence`` of the height.
 
-    ``unit`` is the length of one unit of ``value`` in metres. A ring without cells rules a peak out.
+    ``unit`` is the length of one unit of ``value`` in metres. A ring without cells rules a peak out. ``radius`` counts the rings, from
+    the first, that stay below the peak; ``patch`` tells whether a cell of the inner rings is as high.
     """
     tall = cells.filter(F.col(height) >= minimum)
     tops = peaks(cells, value).join(tall.select(*CELL, F.col(height).alias("h")), CELL)
@@ -93,49 +98,100 @@ def treetops_by_rings(cells: DataFrame, value: str, height: str, metres: float,
     by_ring = met.groupBy("hx", "hy", "ring").agg(F.first("z0").alias("z"), F.first("h").alias("h"), F.first("most").alias("most"), F.first("inner").alias("inner"), F.max("v").alias("top"))
     got = by_ring.groupBy("hx", "hy").agg(
         F.first("z").alias("z"), F.first("h").alias("h"), F.first("most").alias("most"), F.count("*").alias("rings"), F.sum(F.col("z") - F.col("top")).alias("net"),
-        F.max(F.when(F.col("ring") <= F.col("inner"), F.col("top"))).alias("near"),
+        F.max(F.when(F.col("ring") <= F.col("inner"), F.col("top"))).alias("near"), F.first("inner").alias("inner"), F.min(F.when(F.col("top") >= F.col("z"), F.col("ring") - 1)).alias("clear"),
     )
     ok = (F.col("rings") == F.col("most")) & (F.col("near") <= F.col("z")) & (F.col("net") * unit / F.col("h") > prominence)
-    return got.filter(ok).select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "h", (F.col("net") * unit / F.col("h")).alias("prominence"), (F.col("near") == F.col("z")).alias("patch"))
+    return got.filter(ok).select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "h", (F.col("net") * unit / F.col("h")).alias("prominence"), (F.col("near") == F.col("z")).alias("patch"), F.coalesce("clear", "most").alias("radius"), "most", "inner")
+
+
+def _id() -> Column:
+    """One long for a cell, in row-major order."""
+    return pack_cell(F.col("cy"), F.col("cx"))
+
+
+def _equal_neighbours(level: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between adjacent cells of one height."""
+    half = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((1, 0), (-1, 1), (0, 1), (1, 1))))
+    sent = level.select(_id().alias("a"), "z", "cx", "cy", F.explode(half).alias("d")).select("a", "z", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+    return sent.join(level.select(*CELL, "z", _id().alias("b")), [*CELL, "z"]).select("a", "b")
+
 
+def patches(level: DataFrame, edges: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+    """Connected cells of one height to one treetop each: least cell ``cx, cy`` (by row), mean index plus a half, cells and height.
+
+    Cells are connected by ``edges(a, b)`` of their ids, or where they are adjacent. Columns ``h`` and ``ground`` are averaged, and a
+    ``radius`` in cells grows by half the patch's diagonal. It is an error if ``most_rounds`` do not settle the components.
+    """
+    level = stage(level, "level")
+    of = components(_equal_neighbours(level) if edges is None else edges, most_rounds).withColumnsRenamed({"id": "_id", "component": "_label"})
+    own = level.withColumn("_id", _id()).join(of, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    more = [F.avg(c).alias(c) for c in ("h", "ground") if c in level.columns]
+    if "radius" in level.columns:
+        wide = [F.max(c) - F.min(c) for c in CELL]
+        more.append((F.max("radius") + 0.5 * F.hypot(*wide)).alias("radius"))
+    got = own.groupBy("_label", "z").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.count("*").alias("cells"), *more)
+    cy, cx = unpack_cell(F.col("_label"))
+    return got.select(cx.alias("cx"), cy.alias("cy"), (F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells", *(c for c in ("h", "radius", "ground") if c in level.columns))
 
-def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, **rules: float) -> DataFrame:
+
+def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, ground: str | None = None, **rules: float) -> DataFrame:
     """Treetops of several cells: those that ``treetops_by_radius`` finds level, and their equal neighbours, as ``patches``."""
     level = treetops_by_radius(cells, value, height, metres, **rules)[1]
     where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
-    near = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).groupBy((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z").agg(F.max("radius").alias("radius"))
-    return patches(near.join(cells.select(*CELL, F.col(value).alias("v"), F.col(height).alias("h")), CELL).filter("v = z").drop("v"))
+    sent = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).select((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z", "radius")
+    near = sent.groupBy(*CELL, "z").agg(F.max("radius").alias("radius"))
+    known = [F.col(ground).alias("ground")] if ground else []
+    return patches(near.join(cells.select(*CELL, F.col(value).alias("v"), F.col(height).alias("h"), *known), CELL).filter("v = z").drop("v"))
+
+
+def ring_patches(cells: DataFrame, value: str, height: str, metres: float, ground: str | None = None, **rules: float) -> DataFrame:
+    """Treetops of several cells by the ring method: found peaks with the equal cells of their inner rings, which need not be adjacent."""
+    level = stage(treetops_by_rings(cells, value, height, metres, **rules).filter("patch").select(*CELL, "z", "most", "inner"), "ring-level")
+    met = with_rings(level, cells, value, F.least("inner", "most")).filter("v = z0")
+    pairs = stage(met.select("hx", "hy", (F.col("hx") + F.col("dx")).alias("ox"), (F.col("hy") + F.col("dy")).alias("oy"), F.col("z0").alias("z"), "most"), "ring-pairs")
+    edges = pairs.select(pack_cell(F.col("hy"), F.col("hx")).alias("a"), pack_cell(F.col("oy"), F.col("ox")).alias("b"))
+    members = pairs.select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "most").unionByName(pairs.select(F.col("ox").alias("cx"), F.col("oy").alias("cy"), "z", "most"))
+    known = [F.col(ground).alias("ground")] if ground else []
+    nodes = members.groupBy(*CELL, "z").agg(F.max("most").alias("radius")).join(cells.select(*CELL, F.col(height).alias("h"), *known), CELL)
+    return patches(nodes, edges)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+METHODS = ("ChmRadius", "DsmRadius", "DsmRing")
 
 
-def patches(level: DataFrame, rounds: int = 64) -> DataFrame:
-    """Adjacent cells of one height to one treetop each: least cell ``cx, cy`` (by row), mean index plus a half, cells and height.
+def find_treetops(cells: DataFrame, method: str, grid: GridSpec, minimum: float = 1.5) -> DataFrame:
+    """``tree_id, x, y, elevation, height, radius, cells``: treetops of one cell and of patches, numbered row by row from 1.
 
-    A column ``h`` is averaged, and a ``radius`` in cells grows by half the patch's diagonal. Least labels spread to neighbours and
-    jump to the label of the cell they name, until none changes; it is an error if ``rounds`` do not settle them.
+    ``cells`` has ``dsm`` and ``chm`` in metres; ``elevation`` is that of the ground, surface less canopy height. The methods
+    search canopy height or surface within a radius, or the surface by rings. Lengths are in metres.
     """
-    label = F.struct("cy", "cx")
-    level = _cut(level)
-    now = level.select(*CELL, "z", label.alias("label"))
-    for _ in range(rounds):
-        where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
-        sent = now.select("z", "label", "cx", "cy", F.explode(where).alias("d")).select("z", "label", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-        least = sent.groupBy(*CELL, "z").agg(F.min("label").alias("least"))
-        near = now.join(least, [*CELL, "z"])
-        ahead = now.select(F.struct("cy", "cx").alias("least"), F.col("label").alias("further"))
-        now = _cut(near.join(ahead, "least").select(*CELL, "z", F.least("least", "further").alias("label"), (F.least("least", "further") != F.col("label")).alias("moved")))
-        if not now.filter("moved").limit(1).count():
-            break
+    if method not in METHODS:
+        raise ValueError(f"no treetop method {method}; there are {', '.join(METHODS)}")
+    metres, value = grid.cell * grid.scale, "chm" if method == "ChmRadius" else "dsm"
+    known = cells.filter("dsm is not null and chm is not null").select(*CELL, "dsm", "chm", (F.col("dsm") - F.col("chm")).alias("ground"))
+    if method == "DsmRing":
+        single = treetops_by_rings(known, value, "chm", metres, minimum).filter("not patch").select(*CELL, "radius")
+        several = ring_patches(known, value, "chm", metres, "ground", minimum=minimum)
     else:
-        raise RuntimeError("patches did not settle")
-    more = []
-    if "h" in level.columns:
-        more.append(F.avg("h").alias("h"))
-    if "radius" in level.columns:
-        wide = [F.max(c) - F.min(c) for c in CELL]
-        more.append((F.max("radius") + 0.5 * F.hypot(*wide)).alias("radius"))
-    own = now.join(level.drop("z"), CELL).groupBy("label", "z").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.count("*").alias("cells"), *more)
-    return own.select(F.col("label.cx").alias("cx"), F.col("label.cy").alias("cy"), (F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells", *(c for c in ("h", "radius") if c in level.columns))
+        single = treetops_by_radius(known, value, "chm", metres, minimum)[0].select(*CELL, "radius")
+        several = treetop_patches(known, value, "chm", metres, "ground", minimum=minimum)
+    ones = single.join(known, CELL).select(*CELL, (F.col("cx") + 0.5).alias("x"), (F.col("cy") + 0.5).alias("y"), F.col("radius").cast("double").alias("radius"), F.col("chm").alias("h"), "ground", F.lit(1).cast("long").alias("cells"))
+    tops = ones.unionByName(several.select(*CELL, "x", "y", F.col("radius").cast("double").alias("radius"), "h", "ground", "cells"))
+    x, y = grid.x0 * grid.scale + F.col("x") * metres, grid.y0 * grid.scale - F.col("y") * metres
+    return running(tops, [F.col("cy"), F.col("cx")], {"tree_id": F.lit(1)}).select(
+        F.col("tree_id").cast("long").alias("tree_id"), x.alias("x"), y.alias("y"), F.col("ground").alias("elevation"), F.col("h").alias("height"), (F.col("radius") * metres).alias("radius"), "cells"
+    )
+
+
+def maxima_layer(surface: DataFrame, grid: GridSpec, statistics: int = 5) -> DataFrame:
+    """Local maxima of ``dsm`` as a layer: ``id, source_id, x, y, radius, dsm_z, height, cmm_z`` and the figures of the first rings.
+
+    ``surface`` has ``dsm, chm, cmm, source_id`` by cell; ids count row by row from 1, ``radius`` is in raw units.
+    """
+    found = local_maxima(surface, "dsm", statistics)
+    got = found.join(surface.select(*CELL, "source_id", F.col("chm").alias("height"), F.col("cmm").alias("cmm_z")), CELL)
+    centre = cell_centre(grid)
+    rings = [c for c in found.columns if c.startswith("ring")]
+    return running(got, [F.col("cy"), F.col("cx")], {"id": F.lit(1)}).select(
+        F.col("id").cast("long").alias("id"), "source_id", centre["x"].alias("x"), centre["y"].alias("y"), (F.col("radius") * grid.cell).alias("radius"), F.col("z").alias("dsm_z"), "height", "cmm_z", *rings
+    )

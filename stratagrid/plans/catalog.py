@@ -1,4 +1,7 @@
-"""Queries over the synthetic points, each with SQL that says the same. Figures are rounded to six places on both sides."""
+"""Queries over the synthetic points, each with SQL that says the same. Figures are rounded to six places on both sides.
+
+Queries of segmentation, placement and file formats are in modules of their own, which add to the same tables.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,10 @@ from pyspark.sql import functions as F
 
 from stratagrid.functions.points import class_flags, coordinate, ground, pack_cell, to_metres, unpack_cell, valid
 from stratagrid.operators import aggregates as agg
-from stratagrid.operators import crowns as cr
 from stratagrid.operators import grid_metrics as gm
 from stratagrid.operators import lookup, maxima, raster, stencil, transform
 from stratagrid.operators.binning import cells_under, overlapping
-from stratagrid.plans.fixtures import CELLS_SQL, GRID, binned, grid_cells, points
+from stratagrid.plans.fixtures import CELLS_SQL, binned, grid, grid_cells, points
 from stratagrid.sources.files import layer_counts, tile_name, tree_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,11 +87,19 @@ def dtm(spark, sf_dir):
     return rounded(agg.dtm(binned(spark, sf_dir)), *CELL)
 
 
-@query(with_points("""SELECT tile, CAST(count(*) FILTER (WHERE ok AND classification=1) AS BIGINT) AS unclassified, CAST(count(*) FILTER (WHERE ok AND classification=2) AS BIGINT) AS ground,
-  CAST(count(*) FILTER (WHERE classification=7) AS BIGINT) AS low_noise, CAST(count(*) FILTER (WHERE classification=18) AS BIGINT) AS high_noise,
-  CAST(count(*) FILTER (WHERE NOT ok AND classification NOT IN (7,18)) AS BIGINT) AS withheld_points, CAST(count(*) AS BIGINT) AS total FROM p GROUP BY tile"""))
+#: Classes of the fixture spread over more codes, so that every counter has points.
+_CODE = "CASE WHEN classification <> 1 THEN classification ELSE CAST(list_extract([0, 1, 3, 4, 5, 6, 9, 12], CAST(blue % 8 + 1 AS INT)) AS INT) END"
+_NAMED = ("never_classified", "unclassified", "ground", "low_vegetation", "medium_vegetation", "high_vegetation")
+
+
+@query(with_points("SELECT tile, " + ", ".join(f"CAST(count(*) FILTER (WHERE ok AND c = {k}) AS BIGINT) AS {v}" for k, v in enumerate(_NAMED)) + """,
+  CAST(count(*) FILTER (WHERE c = 7) AS BIGINT) AS low_noise, CAST(count(*) FILTER (WHERE c = 18) AS BIGINT) AS high_noise,
+  CAST(count(*) FILTER (WHERE NOT ok AND c NOT IN (7, 18)) AS BIGINT) AS withheld_points, CAST(count(*) FILTER (WHERE ok AND c > 5) AS BIGINT) AS other,
+  CAST(count(*) AS BIGINT) AS total FROM (SELECT *, """ + _CODE + " AS c FROM p) GROUP BY tile"))
 def class_counts(spark, sf_dir):
-    return agg.class_counts(points(spark, sf_dir)).select("tile", "unclassified", "ground", "low_noise", "high_noise", "withheld_points", "total")
+    codes = F.array(*(F.lit(k) for k in (0, 1, 3, 4, 5, 6, 9, 12)))
+    spread = F.when(F.col("classification") != 1, F.col("classification")).otherwise(F.element_at(codes, (F.col("blue") % 8 + 1).cast("int")))
+    return agg.class_counts(points(spark, sf_dir).withColumn("classification", spread))
 
 
 @query(with_points("""SELECT cx, cy, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS accepted, round(avg(abs(scan_angle_raw)) FILTER (WHERE ok) * 0.006, 6) AS angle_mean_abs,
@@ -193,62 +203,88 @@ def _q(c: str, k: int, steps: int) -> str:
     return f"{c}[CASE WHEN n < {steps} THEN greatest(CAST(floor({k}*n/{steps}.0 + 0.5) AS INT), 1) ELSE {k}*n//{steps} END]"
 
 
-def _cells(spark, sf_dir):
-    return gm.collected(binned(spark, sf_dir))
+_ZQ = "SELECT cx, cy, " + ", ".join(f"CAST({_q('z', k, 20)} AS BIGINT) AS zq{5 * k:02d}" for k in range(1, 20)) + " FROM g"
+_CORE = f"SELECT cx, cy, CAST(n AS BIGINT) AS n, CAST(z[n] AS BIGINT) AS z_max, {_moments('z', 'z')} FROM g"
+_ENTROPY = """SELECT cx, cy, round(sum(c / n * ln(c / n)) / ln(1 / any_value(h)), 6) AS z_entropy FROM (
+  SELECT cx, cy, k, CAST(count(*) AS DOUBLE) AS c, any_value(n) AS n, any_value(h) AS h FROM (
+    SELECT cx, cy, n, ceil((z[n] - z[1]) / 1000.0 + 0.5) + 1 AS h, floor((unnest(z) - z[1]) / 1000.0 + 0.5) AS k FROM g) GROUP BY cx, cy, k) GROUP BY cx, cy"""
+_ZPCUM = "SELECT cx, cy, " + ", ".join(f"round(len(list_filter(z, lambda x: (x - z[1]) * 10 < {q} * (z[n] - z[1]))) / n, 6) AS zpcum{10 * q}" for q in range(1, 10)) + " FROM g"
+_RETURNS = "SELECT cx, cy, " + ", ".join(f"round(count(*) FILTER (WHERE return_number={k}) / count(*), 6) AS p_{n}" for k, n in enumerate(gm.RETURNS, 1)) + ", round(count(*) FILTER (WHERE classification=2) / count(*), 6) AS p_ground FROM p WHERE ok GROUP BY cx, cy"
+_I50 = "(CASE WHEN n < 20 THEN greatest(CAST(floor(10*n/20.0 + 0.5) AS INT) - 1, 0) ELSE 10*n//20 - 1 END)"
+_INTENSITY = (
+    "SELECT cx, cy, CAST(max(i[n]) AS BIGINT) AS i_max, " + ", ".join(f"any_value({c}) AS {c}" for c in ("i_mean", "i_sd", "i_skew", "i_kurtosis")) + ", "
+    + ", ".join(f"CAST(any_value({_q('i', k, 10)}) AS BIGINT) AS iq{10 * k}" for k in range(1, 10))
+    + ", round(avg(intensity) FILTER (WHERE return_number = 1), 6) AS i_first, round(coalesce(sum(intensity) FILTER (WHERE z_raw >= q50), 0) / (any_value(n) - any_value(i50)), 6) AS i_above_median,"
+    + " round(coalesce(sum(intensity) FILTER (WHERE z_raw < q50), 0) / nullif(any_value(i50), 0), 6) AS i_below_median, "
+    + ", ".join(f"round(coalesce(sum(intensity) FILTER (WHERE z_raw < {_q('z', 2 * k, 20)}), 0) / sum(intensity), 6) AS ipcumzq{10 * k}" for k in (1, 3, 5, 7, 9))
+    + ", CAST(sum(intensity) AS BIGINT) AS i_total, round(coalesce(sum(intensity) FILTER (WHERE classification = 2), 0) / sum(intensity), 6) AS i_pground"
+    + " FROM (SELECT *, z[i50 + 1] AS q50 FROM p JOIN h USING (cx, cy) WHERE ok) GROUP BY cx, cy"
+)
+_H = f"{_LISTS}, h AS (SELECT *, {_I50} AS i50, {_moments('i', 'i')} FROM g)"
+
+
+def _above_sql(times: int) -> str:
+    """Heights over the mean and over the ground, of cells ``times`` as wide."""
+    return f"""SELECT c.cx, c.cy, round(any_value(u.z), 6) AS z_ground_mean, round(count(*) FILTER (WHERE z_raw * c.n > c.s) / count(*), 6) AS p_above_mean,
+  round(count(*) FILTER (WHERE z_raw > 2000 + coalesce(u.z, 0)) / count(*), 6) AS p_above_threshold
+  FROM (SELECT cx // {times} AS cx, cy // {times} AS cy, z_raw FROM p WHERE ok) q
+  JOIN (SELECT cx // {times} AS cx, cy // {times} AS cy, count(*) AS n, sum(z_raw) AS s FROM p WHERE ok GROUP BY ALL) c USING (cx, cy)
+  LEFT JOIN (SELECT cx // {times} AS cx, cy // {times} AS cy, avg(z) AS z FROM terrain GROUP BY ALL) u USING (cx, cy) GROUP BY c.cx, c.cy"""
+
 
+def _bands(df: DataFrame, *prefixes: str) -> list[str]:
+    return [c for c in df.columns if c.startswith(prefixes)]
 
-@query(with_points(f"SELECT cx, cy, CAST(n AS BIGINT) AS n, CAST(z[n] AS BIGINT) AS z_max, {_moments('z', 'z')} FROM g", _LISTS))
+
+def _metrics(spark, sf_dir):
+    return gm.grid_metrics(binned(spark, sf_dir))
+
+
+@query(with_points(" JOIN ".join([f"SELECT * FROM ({_CORE})", *(f"({x}) USING (cx, cy)" for x in (_ZQ, _ENTROPY, _ZPCUM, _RETURNS, _INTENSITY, _above_sql(1)))]), f"{_H}, {TERRAIN}"))
+def grid_metrics(spark, sf_dir):
+    """All bands at once: one shuffle of the points."""
+    p = binned(spark, sf_dir)
+    return rounded(gm.grid_metrics(p, gm.ground_under(agg.dtm(p), 1)), *CELL)
+
+
+@query(with_points(_CORE, _LISTS))
 def gm_core(spark, sf_dir):
-    return rounded(gm.heights(_cells(spark, sf_dir)), *CELL)
+    return rounded(_metrics(spark, sf_dir).select(*CELL, "n", "z_max", *(f"z_{k}" for k in gm.MOMENTS)), *CELL)
 
 
-@query(with_points("SELECT cx, cy, " + ", ".join(f"CAST({_q('z', k, 20)} AS BIGINT) AS zq{5 * k:02d}" for k in range(1, 20)) + " FROM g", _LISTS))
+@query(with_points(_ZQ, _LISTS))
 def gm_zquantiles(spark, sf_dir):
-    return rounded(gm.height_quantiles(_cells(spark, sf_dir)), *CELL)
+    got = _metrics(spark, sf_dir)
+    return rounded(got.select(*CELL, *_bands(got, "zq")), *CELL)
 
 
-@query(with_points("""SELECT cx, cy, round(sum(c / n * ln(c / n)) / ln(1 / any_value(h)), 6) AS z_entropy FROM (
-  SELECT cx, cy, k, CAST(count(*) AS DOUBLE) AS c, any_value(n) AS n, any_value(h) AS h FROM (
-    SELECT cx, cy, n, ceil((z[n] - z[1]) / 1000.0 + 0.5) + 1 AS h, floor((unnest(z) - z[1]) / 1000.0 + 0.5) AS k FROM g) GROUP BY cx, cy, k) GROUP BY cx, cy""", _LISTS))
+@query(with_points(_ENTROPY, _LISTS))
 def gm_entropy(spark, sf_dir):
-    return rounded(gm.entropy(_cells(spark, sf_dir)), *CELL)
+    return rounded(_metrics(spark, sf_dir).select(*CELL, "z_entropy"), *CELL)
 
 
-@query(with_points("SELECT cx, cy, " + ", ".join(f"round(len(list_filter(z, lambda x: (x - z[1]) * 10 < {q} * (z[n] - z[1]))) / n, 6) AS zpcum{10 * q}" for q in range(1, 10)) + " FROM g", _LISTS))
+@query(with_points(_ZPCUM, _LISTS))
 def gm_zpcum(spark, sf_dir):
-    return rounded(gm.cumulative(_cells(spark, sf_dir)), *CELL)
+    got = _metrics(spark, sf_dir)
+    return rounded(got.select(*CELL, *_bands(got, "zpcum")), *CELL)
 
 
-@query(with_points("SELECT cx, cy, " + ", ".join(f"round(count(*) FILTER (WHERE return_number={k}) / count(*), 6) AS p_{n}" for k, n in enumerate(("first", "second", "third", "fourth", "fifth"), 1)) + ", round(count(*) FILTER (WHERE classification=2) / count(*), 6) AS p_ground FROM p WHERE ok GROUP BY cx, cy"))
+@query(with_points(_RETURNS))
 def gm_returns(spark, sf_dir):
-    return rounded(gm.returns(_cells(spark, sf_dir)), *CELL)
+    return rounded(_metrics(spark, sf_dir).select(*CELL, *(f"p_{k}" for k in gm.RETURNS), "p_ground"), *CELL)
 
 
-_I50 = "(CASE WHEN n < 20 THEN greatest(CAST(floor(10*n/20.0 + 0.5) AS INT) - 1, 0) ELSE 10*n//20 - 1 END)"
-
-
-@query(with_points(
-    "SELECT cx, cy, CAST(max(i[n]) AS BIGINT) AS i_max, " + ", ".join(f"any_value({c}) AS {c}" for c in ("i_mean", "i_sd", "i_skew", "i_kurtosis")) + ", "
-    + ", ".join(f"CAST(any_value({_q('i', k, 10)}) AS BIGINT) AS iq{10 * k}" for k in range(1, 10))
-    + ", round(avg(intensity) FILTER (WHERE return_number = 1), 6) AS i_first, round(coalesce(sum(intensity) FILTER (WHERE z_raw >= q50), 0) / (any_value(n) - any_value(i50)), 6) AS i_above_median,"
-    + " round(coalesce(sum(intensity) FILTER (WHERE z_raw < q50), 0) / nullif(any_value(i50), 0), 6) AS i_below_median, "
-    + ", ".join(f"round(coalesce(sum(intensity) FILTER (WHERE z_raw < {_q('z', 2 * k, 20)}), 0) / sum(intensity), 6) AS ipcumzq{10 * k}" for k in (1, 3, 5, 7, 9))
-    + ", CAST(sum(intensity) AS BIGINT) AS i_total, round(coalesce(sum(intensity) FILTER (WHERE classification = 2), 0) / sum(intensity), 6) AS i_pground"
-    + " FROM (SELECT *, z[i50 + 1] AS q50 FROM p JOIN h USING (cx, cy) WHERE ok) GROUP BY cx, cy",
-    f"{_LISTS}, h AS (SELECT *, {_I50} AS i50, {_moments('i', 'i')} FROM g)"))
+@query(with_points(_INTENSITY, _H))
 def gm_intensity(spark, sf_dir):
-    return rounded(gm.intensities(_cells(spark, sf_dir)), *CELL)
+    got = _metrics(spark, sf_dir)
+    return rounded(got.select(*CELL, *_bands(got, "i")), *CELL)
 
 
-@query(with_points("""SELECT c.cx, c.cy, round(any_value(u.z), 6) AS z_ground_mean, round(count(*) FILTER (WHERE z_raw * c.n > c.s) / count(*), 6) AS p_above_mean,
-  round(count(*) FILTER (WHERE z_raw > 2000 + coalesce(u.z, 0)) / count(*), 6) AS p_above_threshold
-  FROM (SELECT cx // 2 AS cx, cy // 2 AS cy, z_raw FROM p WHERE ok) q
-  JOIN (SELECT cx // 2 AS cx, cy // 2 AS cy, count(*) AS n, sum(z_raw) AS s FROM p WHERE ok GROUP BY ALL) c USING (cx, cy)
-  LEFT JOIN (SELECT cx // 2 AS cx, cy // 2 AS cy, avg(z) AS z FROM terrain GROUP BY ALL) u USING (cx, cy) GROUP BY c.cx, c.cy""", TERRAIN))
+@query(with_points(_above_sql(2), TERRAIN))
 def gm_ground(spark, sf_dir):
     p = binned(spark, sf_dir)
-    wide = gm.collected(p.withColumns({"cx": F.floor(F.col("cx") / 2).cast("int"), "cy": F.floor(F.col("cy") / 2).cast("int")}))
-    return rounded(gm.above(wide, gm.ground_under(agg.dtm(p), 2)), *CELL)
+    wide = p.withColumns({"cx": F.floor(F.col("cx") / 2).cast("int"), "cy": F.floor(F.col("cy") / 2).cast("int")})
+    return rounded(gm.grid_metrics(wide, gm.ground_under(agg.dtm(p), 2)).select(*CELL, "z_ground_mean", "p_above_mean", "p_above_threshold"), *CELL)
 
 
 # --- lookups ---
@@ -273,12 +309,12 @@ def remove_points(spark, sf_dir):
 
 
 @query(with_points("""SELECT q.cx, q.cy, CAST(count(*) AS BIGINT) AS n, round(sum((1-fx)*(1-fy)*a.z + fx*(1-fy)*b.z + (1-fx)*fy*c.z + fx*fy*d.z) + 0.0000001, 3) AS z_sum
-  FROM (SELECT *, x_raw/1000.0::DOUBLE - cx AS fx, (40000-y_raw)/1000.0::DOUBLE - cy AS fy FROM p WHERE ok) q
+  FROM (SELECT *, x_raw/1000.0::DOUBLE - cx AS fx, (side*1000-y_raw)/1000.0::DOUBLE - cy AS fy FROM p WHERE ok) q
   JOIN terrain a ON a.cx=q.cx AND a.cy=q.cy JOIN terrain b ON b.cx=q.cx+1 AND b.cy=q.cy JOIN terrain c ON c.cx=q.cx AND c.cy=q.cy+1 JOIN terrain d ON d.cx=q.cx+1 AND d.cy=q.cy+1
   GROUP BY q.cx, q.cy""", TERRAIN))
 def bilinear_lookup(spark, sf_dir):
     p = binned(spark, sf_dir)
-    got = lookup.bilinear(p.filter(valid()), agg.dtm(p), GRID).filter("z is not null")
+    got = lookup.bilinear(p.filter(valid()), agg.dtm(p), grid(spark, sf_dir)).filter("z is not null")
     return got.groupBy(*CELL).agg(F.count("*").alias("n"), F.round(F.sum("z") + 0.0000001, 3).alias("z_sum"))
 
 
@@ -299,37 +335,72 @@ def cmm3(spark, sf_dir):
     return rounded(stencil.binomial(holed(spark, sf_dir), "z"), *CELL)
 
 
-_FULL = SURFACE + """, cells AS (SELECT CAST(x AS INT) AS cx, CAST(y AS INT) AS cy, CAST(dsm AS DOUBLE) AS z, (x * 7 + y * 3) % 11 <> 0 AS measured
-  FROM range(40) a(x), range(40) b(y) LEFT JOIN surface s ON s.cx = x AND s.cy = y)"""
-_MEAN = "SELECT c.cx, c.cy, CASE WHEN count(o.z) = 9 THEN sum(o.z) / 9 END AS z FROM cells c, d JOIN cells o ON o.cx = greatest(0, least(39, c.cx + dx)) AND o.cy = greatest(0, least(39, c.cy + dy)) GROUP BY c.cx, c.cy"
+_FULL = SURFACE + """, cells AS (SELECT a.x AS cx, b.x AS cy, CAST(dsm AS DOUBLE) AS z, (a.x * 7 + b.x * 3) % 11 <> 0 AS measured
+  FROM xs a, xs b LEFT JOIN surface s ON s.cx = a.x AND s.cy = b.x), ends AS (SELECT side - 1 AS last FROM sq)"""
+
+
+def _mean_sql(cells: str) -> str:
+    return f"""SELECT c.cx, c.cy, CASE WHEN count(o.z) = 9 THEN sum(o.z) / 9 END AS z
+  FROM {cells} c, d, ends JOIN {cells} o ON o.cx = greatest(0, least(last, c.cx + dx)) AND o.cy = greatest(0, least(last, c.cy + dy)) GROUP BY c.cx, c.cy"""
+
+
+def _stencil_sql(cells: str) -> str:
+    return f"SELECT c.cx, c.cy, measured, CASE WHEN measured THEN c.z ELSE coalesce(m.z, c.z) END AS z FROM {cells} c JOIN ({_mean_sql(cells)}) m USING (cx, cy)"
 
 
 def _full(spark, sf_dir):
-    cells = grid_cells(spark).join(agg.dsm(binned(spark, sf_dir)).select("cx", "cy", F.col("dsm").cast("double").alias("z")), list(CELL), "left")
+    cells = grid_cells(spark, sf_dir).join(agg.dsm(binned(spark, sf_dir)).select("cx", "cy", F.col("dsm").cast("double").alias("z")), list(CELL), "left")
     return cells.withColumn("measured", (F.col("cx") * 7 + F.col("cy") * 3) % 11 != 0)
 
 
-@query(with_points(f"SELECT cx, cy, round(z, 6) AS z FROM ({_MEAN})", f"{_FULL}, {_NINE}"))
+@query(with_points(f"SELECT cx, cy, round(z, 6) AS z FROM ({_mean_sql('cells')})", f"{_FULL}, {_NINE}"))
 def mean3x3(spark, sf_dir):
-    return rounded(stencil.mean3(_full(spark, sf_dir), "z", 40, 40), *CELL)
+    side = grid(spark, sf_dir).size_x
+    return rounded(stencil.mean3(_full(spark, sf_dir), "z", side, side), *CELL)
+
 
+@query(with_points("SELECT cx, cy, round(z, 6) AS z FROM three", f"{_FULL}, {_NINE}, one AS ({_mean_sql('cells')}), two AS ({_mean_sql('one')}), three AS ({_mean_sql('two')})"))
+def smooth_three(spark, sf_dir):
+    side = grid(spark, sf_dir).size_x
+    return rounded(stencil.smooth(_full(spark, sf_dir), "z", side, side, 3), *CELL)
 
-@query(with_points(f"SELECT c.cx, c.cy, round(CASE WHEN measured THEN c.z ELSE coalesce(m.z, c.z) END, 6) AS z FROM cells c JOIN ({_MEAN}) m USING (cx, cy)", f"{_FULL}, {_NINE}"))
+
+@query(with_points("SELECT cx, cy, round(z, 6) AS z FROM three", f"{_FULL}, {_NINE}, one AS ({_stencil_sql('cells')}), two AS ({_stencil_sql('one')}), three AS ({_stencil_sql('two')})"))
 def stencil_smooth(spark, sf_dir):
-    return rounded(stencil.stencil(_full(spark, sf_dir), "measured", 40, 40, 1).select("cx", "cy", "z"), *CELL)
+    """Three rounds of smoothing with the measured cells put back."""
+    side = grid(spark, sf_dir).size_x
+    return rounded(stencil.stencil(_full(spark, sf_dir), "measured", side, side, 3).select("cx", "cy", "z"), *CELL)
+
+
+_COMPASS = {"nw": (-1, -1), "n": (0, -1), "ne": (1, -1), "w": (-1, 0), "c": (0, 0), "e": (1, 0), "sw": (-1, 1), "s": (0, 1), "se": (1, 1)}
 
 
-@query(with_points("""SELECT cx, cy, round(CASE WHEN fx IS NOT NULL AND fy IS NOT NULL THEN degrees(atan(sqrt(fx*fx + fy*fy))) END, 6) AS slope,
+def _slope_sql(cells: str) -> str:
+    around = ", ".join(f"max(CASE WHEN dx={x} AND dy={y} THEN o.z END) AS {k}" for k, (x, y) in _COMPASS.items())
+    return f"""SELECT cx, cy, round(CASE WHEN fx IS NOT NULL AND fy IS NOT NULL THEN degrees(atan(sqrt(fx*fx + fy*fy))) END, 6) AS slope,
     round(CASE WHEN fx IS NOT NULL AND fy IS NOT NULL THEN CASE WHEN t < 0 THEN CASE WHEN t + 360 = 360 THEN 0 ELSE t + 360 END ELSE t END END, 6) AS aspect
   FROM (SELECT *, -degrees(atan2(fx, fy)) - 90 AS t FROM (SELECT cx, cy,
     CASE WHEN nw+ne+sw+se IS NOT NULL THEN (nw-sw+ne-se)/4000 WHEN n+s+e+w IS NOT NULL THEN 2*(n-s)/4000 WHEN n IS NOT NULL THEN 4*(n-c)/4000 ELSE 4*(c-s)/4000 END AS fx,
     CASE WHEN nw+ne+sw+se IS NOT NULL THEN (se-sw+ne-nw)/4000 WHEN n+s+e+w IS NOT NULL THEN 2*(e-w)/4000 WHEN w IS NOT NULL THEN 4*(c-w)/4000 ELSE 4*(e-c)/4000 END AS fy
-    FROM (SELECT c.cx, c.cy, """ + ", ".join(f"max(CASE WHEN dx={x} AND dy={y} THEN o.z END) AS {k}" for k, (x, y) in {"nw": (-1, -1), "n": (0, -1), "ne": (1, -1), "w": (-1, 0), "c": (0, 0), "e": (1, 0), "sw": (-1, 1), "s": (0, 1), "se": (1, 1)}.items()) + """
-      FROM cells c, d JOIN cells o ON o.cx = c.cx + dx AND o.cy = c.cy + dy GROUP BY c.cx, c.cy)))""", f"{HOLED}, {_NINE}"))
+    FROM (SELECT c.cx, c.cy, {around} FROM {cells} c, d JOIN {cells} o ON o.cx = c.cx + dx AND o.cy = c.cy + dy GROUP BY c.cx, c.cy)))"""
+
+
+@query(with_points(_slope_sql("cells"), f"{HOLED}, {_NINE}"))
 def slope_aspect(spark, sf_dir):
     return rounded(stencil.slope_aspect(holed(spark, sf_dir), "z", 1000.0), *CELL)
 
 
+_CMM = "SELECT c.cx, c.cy, sum((2-abs(dx))*(2-abs(dy))*o.z) / sum((2-abs(dx))*(2-abs(dy))) AS z FROM cells c, d JOIN cells o ON o.cx = c.cx + dx AND o.cy = c.cy + dy GROUP BY c.cx, c.cy"
+
+
+@query(with_points(f"SELECT cx, cy, a.slope AS z_slope, a.aspect AS z_aspect, b.slope AS cmm_slope, b.aspect AS cmm_aspect FROM ({_slope_sql('cells')}) a JOIN ({_slope_sql('cmm')}) b USING (cx, cy)", f"{HOLED}, {_NINE}, cmm AS ({_CMM})"))
+def slope_aspect_bands(spark, sf_dir):
+    """Slope and aspect of the surface and of the canopy maxima model together."""
+    cells = holed(spark, sf_dir)
+    both = cells.join(stencil.binomial(cells, "z"), list(CELL))
+    return rounded(stencil.slope_aspect_of(both, ["z", "cmm"], 1000.0), *CELL)
+
+
 def _fill_sql(reach: int, directions: int, squared: bool) -> str:
     diagonal = round(reach / stencil.DIAGONAL)
     rays = [(x, y, d) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1)) for d in range(1, reach + 1)]
@@ -340,12 +411,12 @@ def _fill_sql(reach: int, directions: int, squared: bool) -> str:
     return with_points(f"""SELECT cx, cy, round(z, 6) AS z, false AS filled FROM cells UNION ALL
       SELECT hx, hy, round(sum(w * z) / sum(w), 6), true FROM (SELECT hx, hy, z, CAST({weight} AS DOUBLE) AS w FROM (
         SELECT hx, hy, rx, ry, min(d)::DOUBLE AS d, arg_min(c.z, d) AS z FROM holes, r JOIN cells c ON c.cx = hx + rx*d AND c.cy = hy + ry*d GROUP BY hx, hy, rx, ry)) GROUP BY hx, hy""",
-        f"{HOLED}, r AS (SELECT * FROM (VALUES {values}) t(rx, ry, d)), holes AS (SELECT CAST(x AS INT) AS hx, CAST(y AS INT) AS hy FROM range(40) a(x), range(40) b(y) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.cx = x AND c.cy = y))")
+        f"{HOLED}, r AS (SELECT * FROM (VALUES {values}) t(rx, ry, d)), holes AS (SELECT a.x AS hx, b.x AS hy FROM xs a, xs b WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.cx = a.x AND c.cy = b.x))")
 
 
 def _fill(directions: int, squared: bool):
     def run(spark, sf_dir):
-        return rounded(stencil.fill(holed(spark, sf_dir), grid_cells(spark), "z", 5, directions, squared), *CELL)
+        return rounded(stencil.fill(holed(spark, sf_dir), grid_cells(spark, sf_dir), "z", 5, directions, squared), *CELL)
 
     run.__name__ = f"fill_{directions}dir_{'squared' if squared else 'linear'}"
     query(_fill_sql(5, directions, squared))(run)
@@ -399,60 +470,9 @@ def treetops_ring(spark, sf_dir):
     return got.select("cx", "cy", "z", F.round("prominence", 6).alias("prominence"), "patch")
 
 
-@query()
-def treetop_patches(spark, sf_dir):
-    """Treetops of several equal cells, which ``treetops_radius`` leaves out; the crowns grow from both."""
-    got = maxima.treetop_patches(_high(spark, sf_dir), "z", "h", 1.0)
-    return rounded(got, *CELL)
-
-
-def _trees(spark, sf_dir):
-    high = _high(spark, sf_dir)
-    cells = high.select("cx", "cy", (F.col("z") / 1000).alias("dsm"), F.col("h").alias("chm"))
-    tree_id = (F.col("cy").cast("long") * 40 + F.col("cx")).alias("tree_id")
-    own_z = (F.col("z") / 1000).alias("z")
-    single = maxima.treetops_by_radius(high, "z", "h", 1.0)[0].select(tree_id, "cx", "cy", own_z, "h")
-    several = maxima.treetop_patches(high, "z", "h", 1.0).select(tree_id, *(F.floor(c).cast("int").alias(f"c{c}") for c in "xy"), own_z, "h")
-    return cells, single.unionByName(several)
-
-
-def _crowns(spark, sf_dir):
-    cells, tops = _trees(spark, sf_dir)
-    return tops, cr.crowns(cells, tops, 1.0)
-
-
-@query()
-def crowns(spark, sf_dir):
-    return rounded(_crowns(spark, sf_dir)[1], "cx", "cy")
-
-
-def _classes(spark, sf_dir):
-    tops, own = _crowns(spark, sf_dir)
-    return tops, cr.crown_classes(own, tops, grid_cells(spark).select("cx", "cy", ((F.col("cx") + F.col("cy")) % 11).alias("class")))
-
-
-@query()
-def crown_classes(spark, sf_dir):
-    return _classes(spark, sf_dir)[1]
-
-
-@query()
-def merge_treetops(spark, sf_dir):
-    tops, counts = _classes(spark, sf_dir)
-    return cr.merge_treetops(tops.drop("z"), counts)
-
-
 # --- transforms, assembly, tables ---
 
 
-@query(with_points("""SELECT tile, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum, CAST(min(x) AS INT) AS x_min, CAST(max(y) AS INT) AS y_max FROM (
-  SELECT tile, trunc((x_raw-1000)*cos(a) - (y_raw-2000)*sin(a) + 0.5) AS x, trunc((x_raw-1000)*sin(a) + (y_raw-2000)*cos(a) + 0.5) AS y FROM (SELECT *, CAST(substr(tile, 2) AS INT) * 0.1::DOUBLE AS a FROM p)) GROUP BY tile"""))
-def register_points(spark, sf_dir):
-    p = points(spark, sf_dir)
-    params = spark.range(8).select(F.concat(F.lit("t"), F.col("id")).alias("tile"), F.lit(1000).alias("tx"), F.lit(2000).alias("ty"), (F.col("id") * F.lit(0.1)).alias("angle"))
-    return transform.register(p, params).groupBy("tile").agg(F.sum("x_raw").alias("x_sum"), F.sum("y_raw").alias("y_sum"), F.min("x_raw").alias("x_min"), F.max("y_raw").alias("y_max"))
-
-
 @query(with_points("SELECT CAST(greatest(return_number - 1, 1) AS INT) AS return_number, CAST(CASE classification WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 3 ELSE classification END AS INT) AS classification, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2"))
 def return_repair(spark, sf_dir):
     zeroed = points(spark, sf_dir).withColumn("return_number", F.col("return_number") - 1)
@@ -484,41 +504,29 @@ def file_tree_size(spark, sf_dir):
     return tree_size(docs.select(F.expr(f"concat('/', source, '/', cast(doc_id as string), '.', {_EXT})").alias("path"), F.col("n_chars").alias("length")))
 
 
-@query(with_points("""SELECT e.tile, CAST(x AS INT) AS cx, CAST(y AS INT) AS cy FROM (SELECT tile, min(x_raw) AS x0, max(x_raw) AS x1, min(y_raw) AS y0, max(y_raw) AS y1 FROM p WHERE source_id % 3 = 0 GROUP BY tile) e, range(40) a(x), range(40) b(y)
-  WHERE x BETWEEN greatest(0, least(39, floor(x0/1000.0))) AND greatest(0, least(39, floor(x1/1000.0))) AND y BETWEEN greatest(0, least(39, floor((40000-y1)/1000.0))) AND greatest(0, least(39, floor((40000-y0)/1000.0)))"""))
-def extent_cells(spark, sf_dir):
-    p = points(spark, sf_dir).filter("source_id % 3 = 0")
-    boxes = p.groupBy("tile").agg(F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax"))
-    return cells_under(boxes, GRID).select("tile", "cx", "cy")
-
-
-@query(with_points("""SELECT e.tile, CAST(x AS INT) AS cx, CAST(y AS INT) AS cy FROM (SELECT tile, min(x_raw) AS x0, max(x_raw) AS x1, min(y_raw) AS y0, max(y_raw) AS y1 FROM p GROUP BY tile) e, range(40) a(x), range(40) b(y)
-  WHERE x BETWEEN greatest(0, least(39, floor(x0/1000.0))) AND greatest(0, least(39, floor(x1/1000.0))) AND y BETWEEN greatest(0, least(39, floor((40000-y1)/1000.0))) AND greatest(0, least(39, floor((40000-y0)/1000.0)))"""))
-def extent_cells_all(spark, sf_dir):
-    """As ``extent_cells``, with the extents of all points."""
-    return cells_under(_extents(spark, sf_dir), GRID).select("tile", "cx", "cy")
-
+#: Boxes of one to eight metres around places that the suppliers' keys give, some of them across the edge of the grid or off it.
+_BOXES = """boxes AS (SELECT s_suppkey AS id, CAST(x AS INT) AS xmin, CAST(x + 1000 + s_suppkey * 131 % 7000 AS INT) AS xmax, CAST(y AS INT) AS ymin, CAST(y + 1000 + s_suppkey * 389 % 7000 AS INT) AS ymax
+  FROM (SELECT s_suppkey, s_suppkey * 7919 % (side * 1000 + 12000) - 10000 AS x, s_suppkey * 104729 % (side * 1000 + 12000) - 10000 AS y FROM supplier, sq))"""
 
-_ALL_BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM p GROUP BY source_id)"
-_BOXES = "boxes AS (SELECT source_id AS id, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_raw) AS ymin, max(y_raw) AS ymax FROM (SELECT * FROM p WHERE gps_time < 300) GROUP BY source_id)"
-_MEET = "SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"
 
+def _boxes(spark, sf_dir):
+    k, span = F.col("s_suppkey"), grid(spark, sf_dir).y0 + 12000
+    x, y = k * 7919 % span - 10000, k * 104729 % span - 10000
+    place = {"xmin": x, "xmax": x + 1000 + k * 131 % 7000, "ymin": y, "ymax": y + 1000 + k * 389 % 7000}
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("id"), *(v.cast("int").alias(n) for n, v in place.items()))
 
-def _overlaps(p: DataFrame) -> DataFrame:
-    boxes = p.groupBy(F.col("source_id").alias("id")).agg(F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax"))
-    return overlapping(boxes, boxes, 10000)
 
-
-@query(with_points(_MEET, _ALL_BOXES))
-def extent_overlaps_all(spark, sf_dir):
-    """Pairs of sources whose boxes over all their points meet."""
-    return _overlaps(points(spark, sf_dir))
+@query(with_points("""SELECT id, a.x AS cx, b.x AS cy FROM boxes, sq, xs a, xs b WHERE xmax >= 0 AND xmin <= side * 1000 AND ymax >= 0 AND ymin <= side * 1000
+  AND a.x BETWEEN greatest(0, least(side - 1, floor(xmin/1000.0))) AND greatest(0, least(side - 1, floor(xmax/1000.0)))
+  AND b.x BETWEEN greatest(0, least(side - 1, floor((side*1000-ymax)/1000.0))) AND greatest(0, least(side - 1, floor((side*1000-ymin)/1000.0)))""", _BOXES))
+def extent_cells(spark, sf_dir):
+    return cells_under(_boxes(spark, sf_dir), grid(spark, sf_dir)).select("id", "cx", "cy")
 
 
-@query(with_points(_MEET, _BOXES))
+@query(with_points("SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax", _BOXES))
 def extent_overlaps(spark, sf_dir):
-    """As ``extent_overlaps_all``, of the points of the first 300 seconds alone: small boxes, not all pairs."""
-    return _overlaps(points(spark, sf_dir).filter("gps_time < 300"))
+    boxes = _boxes(spark, sf_dir)
+    return overlapping(boxes, boxes, 10000)
 
 
 @query(with_points("SELECT DISTINCT tile FROM p WHERE tile NOT IN (SELECT tile FROM p WHERE source_id % 8 < 5)"))
@@ -555,16 +563,6 @@ def snapped_grids(spark, sf_dir):
     return transform.snapped_grid(_extents(spark, sf_dir), 1500).select("tile", *(F.col(c).cast("long").alias(c) for c in ("gx0", "gx1", "gy0", "gy1")), "size_x", "size_y")
 
 
-@query(with_points("""SELECT tile, CAST(min(x) AS INT) AS x_min, CAST(max(x) AS INT) AS x_max, CAST(sum(y) AS BIGINT) AS y_sum FROM (
-  SELECT tile, trunc((x_raw - 500) * cos(a) - (y_raw - 700) * sin(a) + 0.5) AS x, trunc((x_raw - 500) * sin(a) + (y_raw - 700) * cos(a) + 0.5) AS y
-  FROM (SELECT *, -(pi() / 2 - atan2(40000.0::DOUBLE, 300.0::DOUBLE)) AS a FROM p)) GROUP BY tile"""))
-def convert_crs(spark, sf_dir):
-    place = transform.linear_crs((0.0, 0.0), (300.0, 40000.0), (500.0, 700.0), 40000.0)
-    p = points(spark, sf_dir)
-    params = spark.range(8).select(F.concat(F.lit("t"), F.col("id")).alias("tile"), *(F.lit(place[c]).alias(c) for c in ("tx", "ty", "angle")))
-    return transform.rotate_shift(p, params).groupBy("tile").agg(F.min("x_raw").alias("x_min"), F.max("x_raw").alias("x_max"), F.sum("y_raw").alias("y_sum"))
-
-
 @query(with_points("SELECT tile, round(min(600000 + x_raw * 0.001::DOUBLE), 6) AS x_min, round(max(z_raw * 0.001::DOUBLE), 6) AS z_max, round(max(z_raw * 0.3048::DOUBLE), 6) AS z_metres FROM p GROUP BY tile"))
 def scaled_coordinates(spark, sf_dir):
     xyz = points(spark, sf_dir).select("tile", coordinate(F.col("x_raw"), 0.001, 600000.0).alias("x"), coordinate(F.col("z_raw"), 0.001, 0.0).alias("z"), to_metres(F.col("z_raw"), True).alias("m"))

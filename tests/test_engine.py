@@ -1,6 +1,7 @@
 """Operators on hand-made grids and points, file round trips, and the catalogue against DuckDB."""
 
 import math
+import sys
 from pathlib import Path
 
 import duckdb
@@ -13,9 +14,12 @@ from stratagrid.functions import points as fp
 from stratagrid.model import GridSpec
 from stratagrid.operators import aggregates, crowns, grid_metrics, lookup, maxima, raster, stencil, transform
 from stratagrid.operators.binning import with_cell
-from stratagrid.plans import catalog
+from stratagrid.plans import catalog, segmentation  # noqa: F401
 from stratagrid.sources import documents, files, las
 
+sys.path.insert(0, str(Path(__file__).parent))
+import plain  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,7 +35,7 @@ def grid(df, name, size):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_catalogue(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "documents"):
+    for t in ("lineitem", "orders", "documents", "supplier", "part", "customer"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -40,40 +44,6 @@ def test_catalogue(spark, name):
     assert order(got.collect()) == order(tuple(r[i] for i in at) for r in want.fetchall())
 
 
-def lineitem(spark, folder, rows):
-    """``l_orderkey, l_partkey, l_suppkey`` as a table of points with these keys."""
-    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long")
-    rest = {"l_linenumber": F.lit(1), "l_quantity": F.lit(10.0), "l_extendedprice": F.lit(100.0), "l_discount": F.lit(0.05), "l_tax": F.lit(0.02), "l_returnflag": F.lit("A")}
-    df.withColumns(rest).write.parquet(f"{folder}/lineitem.parquet")
-    return str(folder)
-
-
-def test_overlaps_of_all_points(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    rows = [(int(o), int(p), int(s)) for o, p, s in zip(rng.integers(0, 2000, 60), rng.integers(0, 300, 60), rng.integers(1, 25, 60))]
-    assert {s for o, _, s in rows} != {s for o, _, s in rows if o < 300}
-    boxes = {}
-    for o, p, s in rows:
-        x, y = (o * 37 + 1013) % 40000, (p * 101 + s * 1709) % 40000
-        a = boxes.setdefault(s, [x, x, y, y])
-        boxes[s] = [min(a[0], x), max(a[1], x), min(a[2], y), max(a[3], y)]
-    want = sorted((i, j) for i, a in boxes.items() for j, b in boxes.items() if a[0] <= b[1] and b[0] <= a[1] and a[2] <= b[3] and b[2] <= a[3])
-    assert len(want) < len(boxes) ** 2
-    got = catalog.QUERIES["extent_overlaps_all"](spark, lineitem(spark, tmp_path, rows))
-    assert sorted(tuple(r) for r in got.collect()) == want
-
-
-def test_extent_cells_of_all_points(spark, tmp_path):
-    rows = [(0, 10, 1), (500, 200, 1), (30, 40, 8), (900, 77, 16)]
-    folder = lineitem(spark, tmp_path, rows)
-    want = set()
-    for tile in {s % 8 for _, _, s in rows}:
-        x = [(o * 37 + 1013) % 40000 for o, _, s in rows if s % 8 == tile]
-        y = [(p * 101 + s * 1709) % 40000 for _, p, s in rows if s % 8 == tile]
-        want |= {(f"t{tile}", i, j) for i in range(min(x) // 1000, max(x) // 1000 + 1) for j in range((40000 - max(y)) // 1000, (40000 - min(y)) // 1000 + 1)}
-    assert {tuple(r) for r in catalog.QUERIES["extent_cells_all"](spark, folder).collect()} == want
-
-
 def test_edges_of_the_grid(spark):
     rows = [(0, 4000), (4000, 0), (4001, 100), (100, -1), (3999, 1), (1000, 3000)]
     got = with_cell(spark.createDataFrame(rows, "x_raw int, y_raw int"), GridSpec(0, 4000, 1000, 4, 4)).collect()
@@ -114,6 +84,29 @@ def test_fill_one_hole(spark, directions, squared):
     assert again.count() == 49
 
 
+def test_fill_in_passes(spark):
+    z = [[float(x) if x in (0, 8) else None for x in range(9)] for y in range(3)]
+    full = spark.createDataFrame([(x, y) for x in range(9) for y in range(3)], "cx int, cy int")
+    assert stencil.fill(cells(spark, z), full, "z", 2, 4).count() == 18
+    got = grid(stencil.fill_all(cells(spark, z), full, "z", 2, 5, 4), "z", 9)
+    assert got[1][4] is not None and got[1][1] == 0 and got[1][7] == 8
+    nothing = spark.createDataFrame([], "cx int, cy int, z double")
+    assert stencil.fill_all(nothing, full, "z", 2, 5).count() == 0
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_rounds_cost_one_shuffle_each(spark):
+    df = cells(spark, np.random.default_rng(1).normal(size=(8, 8)).tolist()).withColumn("measured", F.col("cx") % 3 == 0)
+    counts = [exchanges(stencil.stencil(df, "measured", 8, 8, k)) for k in (1, 2, 4, 6)]
+    assert [c - counts[0] for c in counts] == [0, 1, 3, 5] or counts == [1, 2, 4, 6]
+    p = spark.createDataFrame([(0, 0, 1, 2, 1, 1, False)], "cx int, cy int, z_raw int, intensity int, return_number int, classification int, withheld boolean")
+    assert exchanges(grid_metrics.grid_metrics(p)) == 1
+
+
 def test_patch_and_peak(spark):
     z = [[1] * 5 for _ in range(5)]
     z[1][1] = z[1][2] = 9
@@ -132,10 +125,11 @@ def test_patches_along_diagonals_and_snakes(spark):
     got = sorted((p.x, p.y, p.cells) for p in maxima.patches(level).collect())
     assert got == [(2.0, 2.0, 4), (175.0, 50.5, 150)]
     with pytest.raises(RuntimeError, match="settle"):
-        maxima.patches(level, 2)
+        maxima.patches(level, most_rounds=1)
 
 
-def test_patches_are_treetops_with_crowns(spark, monkeypatch):
+def plateaus():
+    """A hill with a level top of three cells, and a ring of eight around a cell without data."""
     z = [[30000.0 - 100 * abs(x - 4) - 100 * abs(y - 4) for x in range(20)] for y in range(9)]
     z[4][3] = z[4][4] = z[4][5] = 30500.0
     for x in range(11, 20):
@@ -145,17 +139,77 @@ def test_patches_are_treetops_with_crowns(spark, monkeypatch):
     for x, y in ring:
         z[y][x] = 31000.0
     z[4][16] = None
-    df = cells(spark, z).filter("z is not null")
-    monkeypatch.setattr(catalog, "holed", lambda spark, sf_dir: df)
-    got = {(p.cx, p.cy): p for p in catalog.QUERIES["treetop_patches"](spark, SF).collect()}
+    return z, ring
+
+
+def test_patches_are_treetops_with_crowns(spark):
+    z, ring = plateaus()
+    high = cells(spark, z).filter("z is not null").withColumn("h", (F.col("z") - 20000) / 1000)
+    got = {(p.cx, p.cy): p for p in maxima.treetop_patches(high, "z", "h", 1.0).collect()}
     assert {k: (p.x, p.y, p.z, p.cells, p.h) for k, p in got.items()} == {(3, 4): (4.5, 4.5, 30500.0, 3, 10.5), (15, 3): (16.5, 4.5, 31000.0, 8, 11.0)}
     assert got[3, 4].radius == 2.0 and got[15, 3].radius == pytest.approx(1 + math.sqrt(2), abs=1e-6)
-    trees = {(r.cx, r.cy): r for r in catalog.QUERIES["merge_treetops"](spark, SF).collect()}
-    assert {k: t.tree_id for k, t in trees.items() if k in ((4, 4), (16, 4))} == {(4, 4): 4 * 40 + 3, (16, 4): 3 * 40 + 15}
-    by = {(r.cx, r.cy): r.tree_id for r in catalog.QUERIES["crowns"](spark, SF).collect()}
+    surface = high.select("cx", "cy", (F.col("z") / 1000).alias("dsm"), F.col("h").alias("chm"))
+    tops = maxima.treetop_patches(high, "z", "h", 1.0).select((F.col("cy") * 40 + F.col("cx")).cast("long").alias("tree_id"), *(F.floor(c).cast("int").alias(f"c{c}") for c in "xy"), (F.col("z") / 1000).alias("z"), "h")
+    own = crowns.crowns(surface, tops, 1.0)
+    by = {(r.cx, r.cy): r.tree_id for r in own.collect()}
     assert all(by[x, 4] == 163 for x in (3, 4, 5)) and all(by[c] == 135 for c in ring)
-    counted = {r.tree_id for r in catalog.QUERIES["crown_classes"](spark, SF).collect()}
-    assert {163, 135} <= counted
+    counted = {r.tree_id: r for r in crowns.crown_classes(own, tops, surface.select("cx", "cy", F.lit(0).alias("class"))).collect()}
+    assert {163, 135} == set(counted) and counted[163].unclassified >= 3
+
+
+@pytest.mark.parametrize("method", maxima.METHODS)
+def test_treetops_as_a_layer(spark, method):
+    if method == "DsmRing":  # equal cells with a lower one between them: a patch of this method alone
+        z, want = [[45000.0 - 100 * y for x in range(9)] for y in range(9)], [(4.5, 4.5, 20.0, 30.0, 2)]
+        z[4][3] = z[4][5] = 50000.0
+    else:
+        z, want = plateaus()[0], [(4.5, 4.5, 20.0, 10.5, 3), (16.5, 4.5, 20.0, 11.0, 8)]
+    df = cells(spark, z, "dsm").withColumns({"dsm": F.col("dsm") / 1000, "chm": F.col("dsm") / 1000 - 20})
+    got = maxima.find_treetops(df, method, GridSpec(0, 9000, 1000, 20, 9)).orderBy("tree_id").collect()
+    tops = [(r.x, r.y, round(r.elevation, 6), round(r.height, 6), r.cells) for r in got if r.cells > 1]
+    assert set(want) <= set(tops)
+    assert [r.tree_id for r in got] == list(range(1, len(got) + 1))
+    with pytest.raises(ValueError, match="no treetop method"):
+        maxima.find_treetops(df, "Other", GridSpec(0, 9000, 1000, 20, 9))
+
+
+def test_cost_fields_against_a_plain_version():
+    rng = np.random.default_rng(1)
+    dsm = rng.normal(30, 4, (90, 100))
+    chm = dsm - rng.normal(15, 2, dsm.shape)
+    dsm[rng.random(dsm.shape) < 0.05], chm[rng.random(dsm.shape) < 0.02] = np.nan, np.nan
+    row, col = rng.integers(0, 90, 60), rng.integers(0, 100, 60)
+    z = np.where(rng.random(60) < 0.3, 45.0, np.nan)
+    h, rules = np.where(np.isnan(z), np.nan, 20.0), crowns.CrownRules()
+    tree, r, c, cost = crowns.cost_fields(dsm, chm, row, col, 1.0, rules, z, h)
+    wide = [np.pad(a, crowns.REACH, constant_values=np.nan) for a in (dsm, chm)]
+    for k in range(60):
+        a, b = (w[row[k] : row[k] + 63, col[k] : col[k] + 63] for w in wide)
+        want = np.full((63, 63), np.inf)
+        if not np.isnan(np.fmax(a[31, 31], z[k])) and not np.isnan(np.fmax(b[31, 31], h[k])):
+            want = plain.cost_field(a, b, 1.0, rules, z[k], h[k])
+        got, own = np.full((63, 63), np.inf), tree == k
+        got[r[own] - row[k] + 31, c[own] - col[k] + 31] = cost[own]
+        assert (np.isinf(got) == np.isinf(want)).all() and np.allclose(got[np.isfinite(got)], want[np.isfinite(want)])
+
+
+def test_crowns_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    z = (30 + 3 * rng.normal(size=(40, 50))).round(2)
+    df = cells(spark, z.tolist(), "dsm").withColumn("chm", F.col("dsm") - 12)
+    tops = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate({(int(a), int(b)) for a, b in zip(rng.integers(0, 50, 40), rng.integers(0, 40, 40))})], "tree_id long, cx int, cy int")
+    whole = sorted(crowns.crowns(df, tops, 1.0).collect())
+    monkeypatch.setattr(crowns, "BLOCK", 9)
+    monkeypatch.setattr(crowns, "SIDE_BY_SIDE", 3)
+    assert sorted(crowns.crowns(df, tops, 1.0).collect()) == whole
+    classes = df.select("cx", "cy", (F.col("cx") % 11).alias("class"))
+    own = crowns.crowns(df, tops, 1.0)
+    parted = sorted(crowns.crown_classes(own, tops, classes).collect())
+    monkeypatch.setattr(crowns, "BLOCK", 1000)
+    assert sorted(crowns.crown_classes(own, tops, classes).collect()) == parted
+    other = tops.limit(1).withColumn("tree_id", F.lit(999).cast("long"))
+    with pytest.raises(Exception, match="not in its own crown"):
+        crowns.crown_classes(own, other, classes).collect()
 
 
 def test_rings():
@@ -167,7 +221,7 @@ def test_rings():
 def test_quantiles(spark, n):
     rows = [(0, 0, 10 * i, i, 1, 1, False) for i in range(n)]
     p = spark.createDataFrame(rows, "cx int, cy int, z_raw int, intensity int, return_number int, classification int, withheld boolean")
-    got = grid_metrics.height_quantiles(grid_metrics.collected(p)).first()
+    got = grid_metrics.grid_metrics(p).first()
     for k in range(1, 20):
         at = max(int(k * n / 20 + 0.5) - 1, 0) if n < 20 else k * n // 20 - 1
         assert got[f"zq{5 * k:02d}"] == 10 * at
