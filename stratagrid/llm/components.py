@@ -1,12 +1,10 @@
-"""Connected components of a graph given as a table of edges."""
+"""Spanning forests of small graphs; the distributed components are the library's own."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from stratagrid.llm.common import discard, stage
+from stratagrid.operators.components import components  # noqa: F401
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -21,37 +19,3 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             break
         root = low
     return [(i, int(r)) for i, r in enumerate(root) if r != i]
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``id, component`` (the least id reachable) for every id in ``edges(a, b)``.
-
-    Alternates two steps until the edges stay as they are: every larger neighbour of a node is tied
-    to the least of its neighbourhood, then every smaller one. Each step is a minimum by key, which
-    combines before the shuffle, and a join; neighbour lists are never gathered.
-    """
-    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a")
-        nxt = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        mark = _mark(nxt)
-        discard(now)
-        now, done = nxt, mark == seen
-        seen = mark
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
-
-
-def _mark(edges: DataFrame) -> tuple[int, int, int]:
-    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
-    return row[0], row[1] or 0, row[2] or 0
