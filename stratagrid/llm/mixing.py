@@ -6,7 +6,8 @@ move from one fraction to the other until one of them is 0 or 1, to the side dra
 that keep both expectations. The words of a pair stay equal, so a source's total stays at its target but
 for the last fraction that is left. Groups of documents fold side by side; the one
 residual of each group goes up a level, where residuals are grouped again, until each
-source has one group: a reduction tree whose depth is the logarithm of the largest source.
+source has one group: a reduction tree whose depth is the logarithm of the largest source. At a level all sources have as many groups
+as the largest needs, so that no count by source has to be joined and no group is larger than that source's.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a source of
 its own, the last; repeated rows count and are drawn one by one; a corpus without words takes nothing.
@@ -26,6 +27,9 @@ from stratagrid.operators.ordering import running
 #: Documents (or residuals) that one group folds, on average.
 GROUP = 256
 
+#: Parts that a source's rows are dealt to where they meet the source's target.
+SALTS = 256
+
 #: Rows alike that are numbered at a time.
 RUN = 4096
 
@@ -91,6 +95,13 @@ def mix(
     targets = stage(source_targets(sized, weights, share, most), "targets")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
     by_key = targets.select(key, "source_size", "target")
+
+    def of_source(rows: DataFrame) -> DataFrame:
+        """Rows with the figures of their source; a source's rows meet these in ``SALTS`` places, so none is too many for one."""
+        salt = F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).alias("salt")
+        spread = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return rows.select("*", salt).join(spread, ["key", "salt"]).drop("salt")
+
     blank = sized.filter("size = 0").select("id", key, "size", F.lit(0.0).alias("p"))
     # rows alike in id, source and size are interchangeable: they are counted, then numbered
     alike = sized.filter("size > 0").groupBy("id", key, "size").agg(F.count("*").alias("m"))
@@ -98,17 +109,17 @@ def mix(
     copy = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, F.col("m")) - 1)).alias("copy")
     ratio = F.col("target") / F.col("source_size")
     level = stage(
-        runs.select("id", "key", "size", copy).join(by_key, "key").select("key", F.struct("id", "copy", "size", _snap(ratio - F.floor(ratio)).alias("p")).alias("item")),
+        of_source(runs.select("id", "key", "size", copy)).select("key", F.struct("id", "copy", "size", _snap(ratio - F.floor(ratio)).alias("p")).alias("item")),
         "fractions",
     )
     largest = level.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     settled = []
     depth = max(1, math.ceil(math.log(max(largest, 2), group)))
     for up in range(depth):
-        counts = level.groupBy("key").count().select("key", F.when(F.lit(up == depth - 1), 1).otherwise(F.ceil(F.col("count") / group)).alias("groups"))
-        spread = F.pmod(F.xxhash64("item.id", "item.copy", "item.size", F.lit(seed + up)), F.col("groups"))
+        groups = 1 if up == depth - 1 else math.ceil(largest / group ** (up + 1))
+        spread = F.pmod(F.xxhash64("item.id", "item.copy", "item.size", F.lit(seed + up)), F.lit(groups))
         folded = stage(
-            level.join(counts, "key").groupBy("key", spread.alias("g"))
+            level.groupBy("key", spread.alias("g"))
             .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.id", "item.copy", F.lit(seed)).alias("o"), "item"))), lambda x: x["item"]).alias("items"))
             .select("key", _fold(F.col("items"), seed + up).alias("r")),
             "fold",
@@ -122,6 +133,6 @@ def mix(
         out = out.unionByName(more)
     rows = out.select("item.id", "key", "item.size", "item.p").unionByName(blank)
     copies = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")) + F.col("p").cast("long")).cast("long")
-    return rows.join(by_key, "key").select(
+    return of_source(rows).select(
         F.col("id").alias("doc_id"), F.when(F.col("key") != "n", F.substring("key", 2, 2**31 - 1)).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
