@@ -151,7 +151,7 @@ def saturating_cast(value: Column, kind: str) -> Column:
     low, high = (least, most - 1) if least == 0 else (least + 1, most)
     wide = "decimal(20,0)"
     held = F.greatest(F.least(F.bround(value.cast("decimal(38,6)"), 0), F.lit(high).cast("decimal(38,0)")), F.lit(low).cast("decimal(38,0)"))
-    return F.coalesce(held.cast(wide), F.lit(missing).cast(wide))
+    return F.when(value.isNotNull(), held.cast(wide)).otherwise(F.lit(missing).cast(wide))
 
 
 def restore_missing(value: Column, kind: str) -> Column:

@@ -14,6 +14,19 @@ def _index(offset: Column, cell: int, size: int) -> Column:
     return F.when(inside, F.least(F.floor(offset / cell), F.lit(size - 1))).cast("int")
 
 
+#: Part of a cell that a coordinate may lie off the grid by numerical error.
+TOLERANCE = 1e-5
+
+
+def interior_index(offset: Column, cell: float, size: int) -> Column:
+    """Index of a coordinate ``offset`` from the grid's edge, floating point. One off the grid by less than ``TOLERANCE`` of a cell is in the
+    outermost cell; one further off is an error when the result is computed."""
+    at = offset / cell
+    off = (at < -TOLERANCE) | (at > size + TOLERANCE)
+    wrong = F.assert_true(~off, F.concat(F.lit("off the grid by more than numerical error: "), offset))
+    return F.when(wrong.isNull(), F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(size - 1))).cast("int")
+
+
 def with_cell(points: DataFrame, grid: GridSpec, keep_outside: bool = False) -> DataFrame:
     """Adds ``cx, cy``. Points off the grid are dropped, or kept with nulls."""
     out = points.withColumns({"cx": _index(F.col("x_raw") - grid.x0, grid.cell, grid.size_x), "cy": _index(grid.y0 - F.col("y_raw"), grid.cell, grid.size_y)})

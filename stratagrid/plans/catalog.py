@@ -16,7 +16,7 @@ from stratagrid.operators import grid_metrics as gm
 from stratagrid.operators import lookup, maxima, raster, stencil, transform
 from stratagrid.operators.binning import cells_under, overlapping
 from stratagrid.plans.fixtures import CELLS_SQL, binned, grid, grid_cells, points
-from stratagrid.sources.files import layer_counts, tile_name, tree_size
+from stratagrid.sources.files import layer_counts, tree_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,12 +484,6 @@ def raw_bounds(spark, sf_dir):
     return transform.raw_bounds(points(spark, sf_dir))
 
 
-@query(with_points("SELECT cx, cy, CAST(dsm AS BIGINT) AS dsm, round(ground_mean, 6) AS ground_mean, round(z, 6) AS z, CAST(n_ground AS BIGINT) AS n_ground FROM surface FULL JOIN terrain USING (cx, cy)", f"{SURFACE}, {TERRAIN}"))
-def vrt_assemble(spark, sf_dir):
-    p = binned(spark, sf_dir)
-    return rounded(raster.stack_bands({"dsm": (agg.dsm(p), ["dsm", "ground_mean"]), "dtm": (agg.dtm(p), ["z", "n_ground"])}), *CELL)
-
-
 @query("SELECT o_orderkey, CAST(i AS INT) AS i FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i = 0 OR floor(i * greatest(5.0::DOUBLE / n, 0.1)) <> floor((i - 1) * greatest(5.0::DOUBLE / n, 0.1))")
 def tile_sample(spark, sf_dir):
     return raster.sample_tiles(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 5, 0.1)
@@ -616,8 +610,3 @@ def band_colours(spark, sf_dir):
 @query("SELECT source AS file, lang AS layer, CAST(count(*) AS BIGINT) AS features FROM documents GROUP BY source, lang")
 def vector_layer_counts(spark, sf_dir):
     return layer_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("file"), F.col("lang").alias("layer")))
-
-
-@query("SELECT doc_id, concat('tile', CAST(doc_id AS VARCHAR)) AS name FROM documents")
-def tile_names(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tile_name(F.concat(F.lit("/data/a.b/tile"), F.col("doc_id").cast("string"), F.lit(".las"))).alias("name"))

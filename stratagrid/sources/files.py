@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Columns of the size table, by file extension.
@@ -29,3 +29,30 @@ def tile_name(path):
 
 def layer_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("file", "layer").agg(F.count("*").alias("features"))
+
+
+def append_to_name(path: Column, text: str) -> Column:
+    """A path with ``text`` between the name and the extension of its file."""
+    return F.regexp_replace(path, r"(?s)^(.*?)(\.[^./]*)?$", "$1" + text.replace("\\", r"\\").replace("$", r"\$") + "$2")
+
+
+def replace_extension(path: Column, extension: str) -> Column:
+    """A path with another extension, given with its dot; one without gets it."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(extension))
+
+
+def paired_files(clouds: DataFrame, rasters: DataFrame, column: str = "raster") -> DataFrame:
+    """Clouds ``path`` with the raster file of the same name in ``column``; a cloud without one is an error when the result is computed."""
+    both = clouds.withColumn("_name", tile_name(F.col("path"))).join(rasters.select(tile_name(F.col("path")).alias("_name"), F.col("path").alias(column)), "_name", "left")
+    missing = F.assert_true(F.col(column).isNotNull(), F.concat(F.lit("no file of the name of "), F.col("path")))
+    return both.withColumn("_ok", missing).filter("_ok is null").drop("_ok", "_name")
+
+
+def bounding_polygons(headers: DataFrame) -> DataFrame:
+    """``tile, crs, polygon`` (WKT) of the bounds in headers ``tile, x_min, x_max, y_min, y_max, wkt``. All files are in one system, else it is an error."""
+    systems = headers.select("wkt").distinct().limit(2).collect()
+    if len(systems) > 1:
+        raise ValueError(f"files are in {systems[0].wkt} and in {systems[1].wkt}")
+    corners = [("x_min", "y_min"), ("x_min", "y_max"), ("x_max", "y_max"), ("x_max", "y_min"), ("x_min", "y_min")]
+    points = F.concat_ws(", ", *(F.format_string("%.3f %.3f", F.col(x), F.col(y)) for x, y in corners))
+    return headers.select("tile", F.col("wkt").alias("crs"), F.concat(F.lit("POLYGON (("), points, F.lit("))")).alias("polygon"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from stratagrid.functions import points as fp
 from stratagrid.model import GridSpec
 from stratagrid.operators import aggregates, crowns, grid_metrics, lookup, maxima, raster, stencil, transform
-from stratagrid.operators.binning import with_cell
-from stratagrid.plans import catalog, segmentation  # noqa: F401
-from stratagrid.sources import documents, files, las
+from stratagrid.operators.binning import interior_index, with_cell
+from stratagrid.plans import catalog, formats, placement, segmentation  # noqa: F401
+from stratagrid.sources import documents, files, geotiff, las
 
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
@@ -242,11 +242,99 @@ def test_crowns_of_two_peaks(spark):
 
 def test_transforms(spark):
     p = spark.createDataFrame([("a", 10, 0, 5, 0, 0, 5), ("b", 0, 10, 5, 1, 1, 1)], "tile string, x_raw int, y_raw int, z_raw int, return_number int, number_of_returns int, classification int")
-    params = spark.createDataFrame([("a", 0, 0, math.pi / 2), ("b", 0, 0, 0.0)], "tile string, tx int, ty int, angle double")
+    params = spark.createDataFrame([("a", 0, 0, 1, math.pi / 2), ("b", 0, 0, -2, 0.0)], "tile string, tx int, ty int, tz int, angle double")
     got = {r.tile: r for r in transform.register(p, params, fix_classes=True).collect()}
-    assert (got["a"].x_raw, got["a"].y_raw, got["a"].return_number, got["a"].classification) == (0, 10, 1, 3)
-    assert (got["b"].x_raw, got["b"].y_raw, got["b"].classification) == (0, 10, 2)
-    assert transform.linear_crs((0, 0), (0, 10), (0, 0), 10.0)["angle"] == pytest.approx(0)
+    assert (got["a"].x_raw, got["a"].y_raw, got["a"].z_raw, got["a"].return_number, got["a"].classification) == (0, 10, 4, 1, 3)
+    assert (got["b"].x_raw, got["b"].y_raw, got["b"].z_raw, got["b"].classification) == (0, 10, 7, 2)
+    assert transform.linear_crs((0, 0), (0, 10)) == pytest.approx(0) and transform.linear_crs((0, 0), (10, 10)) == pytest.approx(-math.pi / 4)
+
+
+def test_what_a_registration_asks_for(spark):
+    here = transform.Anchor(x=1.0, y=2.0)
+    for wrong, text in (
+        (lambda: transform.Anchor(x=1.0, y=2.0, latitude=3.0, longitude=4.0).place(), "either"), (lambda: transform.Anchor(latitude=3.0, longitude=4.0).place(), "projection"),
+        (lambda: transform.registration(spark, ["a", "b"], here, 1.0, 2.0), "not both"), (lambda: transform.registration(spark, ["a", "b"], here, nudge_x=[1.0, 2.0, 3.0]), "for 2 files"),
+    ):
+        with pytest.raises(ValueError, match=text):
+            wrong()
+    rows = transform.registration(spark, ["a", "b"], here, rotation=[90.0, 0.0], nudge_y=5.0, first_source_id=7).collect()
+    assert [(r.tile, round(r.angle, 9), r.new_source_id, r.y_offset) for r in rows] == [("a", round(math.pi / 2, 9), 7, 7.0), ("b", 0.0, 8, 7.0)]
+
+
+def test_kept_origin_and_input_scale(spark):
+    heads = spark.createDataFrame([("a", *[0.01] * 3, *[5.0, 6.0, 7.0], *[0.0, 0.0, 0.0], *[10.0, 20.0, 30.0])], "tile string, " + ", ".join(f"{a}_{m} double" for m in ("scale", "offset", "min", "max") for a in "xyz"))
+    kept = transform.crs_conversion(heads, lambda x, y, z: (x + 1, y, z), input_scale=2.0, maintain_origin=True).first()
+    assert (kept.tx, kept.ty, kept.tz, kept.x_offset, kept.y_offset, kept.x_scale, kept.angle) == (0, 0, 0, 11.0, 12.0, 0.02, 0)
+
+
+TILE = "tile string, x0 double, y0 double, cell double, size_x int, size_y int, crs string"
+
+
+def test_virtual_raster_grids(spark):
+    rows = [("a", 0.0, 100.0, 1.0, 50, 50, "x"), ("b", 50.0, 100.0, 1.0, 50, 50, "x"), ("c", 0.0, 50.0, 1.0, 50, 50, "x")]
+    tiles = raster.tile_grid(spark.createDataFrame(rows, TILE))
+    assert {(r.tile, r.tile_x, r.tile_y) for r in tiles.collect()} == {("a", 0, 0), ("b", 1, 0), ("c", 0, 1)}
+    extent = lambda *e: spark.createDataFrame([e], "xmin double, xmax double, ymin double, ymax double")
+    assert raster.matching_tile(extent(50.0, 100.0, 50.0, 100.0), tiles).first().tile == "b"
+    for off in ((40.0, 60.0, 60.0, 90.0), (60.0, 70.0, 10.0, 20.0)):
+        with pytest.raises(Exception, match="no tile holds"):
+            raster.matching_tile(extent(*off), tiles).collect()
+    with pytest.raises(ValueError, match="differ in system"):
+        raster.tile_grid(spark.createDataFrame([*rows, ("d", 50.0, 50.0, 2.0, 25, 25, "x")], TILE))
+    with pytest.raises(Exception, match="two tiles"):
+        raster.tile_grid(spark.createDataFrame([*rows, ("d", 0.0, 50.0, 1.0, 50, 50, "x")], TILE)).collect()
+    with pytest.raises(ValueError, match="at least one"):
+        raster.tile_grid(spark.createDataFrame([], TILE))
+
+
+@pytest.mark.parametrize("change, text", [(lambda r: (*r[:6], "y"), "is in x while"), (lambda r: (*r[:3], 2.0, *r[4:]), "differ in resolution"), (lambda r: (r[0], r[1] + 50, *r[2:]), "differ in extent")])
+def test_alignment_of_tile_sets(spark, change, text):
+    rows = [("a", 0.0, 100.0, 1.0, 50, 50, "x"), ("b", 50.0, 100.0, 1.0, 50, 50, "x")]
+    one, other = spark.createDataFrame(rows, TILE), spark.createDataFrame([change(r) for r in rows], TILE)
+    raster.check_alignment({"one": one, "again": one})
+    cells_of = {k: (spark.createDataFrame([(0, 0, 1.0)], "cx int, cy int, z double"), ["z"]) for k in ("one", "other")}
+    with pytest.raises(ValueError, match=text):
+        raster.stack_bands(cells_of, {"one": one, "other": other})
+
+
+def test_indices_off_the_grid(spark):
+    got = lambda v: spark.range(1).select(interior_index(F.lit(v), 1.0, 4).alias("i")).first().i
+    assert [got(v) for v in (-0.000009, 0.0, 1.0, 3.999, 4.0, 4.000009)] == [0, 0, 1, 3, 3, 3]
+    for v in (-0.0001, 4.0001):
+        with pytest.raises(Exception, match="off the grid"):
+            got(v)
+
+
+def test_file_pairs_and_names(spark):
+    clouds = spark.createDataFrame([("/a/b.c/one.las",), ("/a/two.las",)], "path string")
+    with pytest.raises(Exception, match="no file of the name"):
+        files.paired_files(clouds, spark.createDataFrame([("/d/one.tif",)], "path string")).collect()
+    names = clouds.select(files.append_to_name(F.col("path"), " $1x").alias("a"), files.replace_extension(F.col("path"), ".tif").alias("b")).collect()
+    assert [tuple(r) for r in names] == [("/a/b.c/one $1x.las", "/a/b.c/one.tif"), ("/a/two $1x.las", "/a/two.tif")]
+
+
+@pytest.mark.parametrize("kind", ["uint8", "int16", "float32", "float64"])
+def test_geotiff_files(kind):
+    rng = np.random.default_rng(2)
+    bands = {n: (rng.random((7, 9)) * 100).astype(kind) for n in ("z", "n & more")}
+    raw = geotiff.encode(geotiff.Raster(bands, 600000.5, 4900000.25, 0.5, 32610, geotiff.default_no_data(kind)))
+    got = geotiff.decode(raw)
+    assert (got.x0, got.y0, got.cell, got.epsg) == (600000.5, 4900000.25, 0.5, 32610) and list(got.bands) == list(bands)
+    assert all((got.bands[k] == v).all() and got.bands[k].dtype == v.dtype for k, v in bands.items())
+    with pytest.raises(ValueError, match="not a TIFF"):
+        geotiff.decode(b"xx" + raw)
+
+
+def test_geotiff_of_others():
+    """Big endian, interleaved, several plain strips."""
+    import struct
+
+    z = np.arange(24, dtype=">u2").reshape(4, 3, 2)
+    entries = [(256, 3, 1, 3 << 16), (257, 3, 1, 4 << 16), (258, 3, 2, 16 << 16 | 16), (273, 4, 2, 200), (277, 3, 1, 2 << 16), (278, 3, 1, 2 << 16), (279, 4, 2, 208)]
+    raw = b"MM" + struct.pack(">HIH", 42, 8, len(entries)) + b"".join(struct.pack(">HHII", *e) for e in entries) + struct.pack(">I", 0)
+    raw = raw.ljust(200, b"\0") + struct.pack(">4I", 216, 240, 24, 24) + z.tobytes()
+    got = geotiff.decode(raw)
+    assert list(got.bands) == ["band1", "band2"] and (got.bands["band2"] == z[:, :, 1]).all()
 
 
 def test_packing_and_flags(spark):
@@ -284,11 +372,76 @@ def test_las_round_trip(spark, tmp_path):
         assert (got[c].to_numpy() == pdf[c].to_numpy()).all(), c
     head = las.read_headers(spark, str(tmp_path)).first()
     assert (head.version, head.format, head.points, head.wkt, str(head.created)) == ("1.4", 6, n, 'PROJCS["x"]', "2024-02-29")
-    again = las.write_points(las.read_points(spark, str(tmp_path))).first()
-    assert las.decode_points(again.content, las.read_header(again.content), 0, n)["z_raw"].tolist() == pdf.z_raw.tolist()
     assert files.list_files(spark, str(tmp_path)).count() == 1
 
 
+def some_points(n=700):
+    rng = np.random.default_rng(5)
+    return pd.DataFrame({
+        "tile": rng.choice(["a", "b"], n), "seq": np.arange(n), "x_raw": rng.integers(-10**6, 10**6, n), "y_raw": rng.integers(0, 10**6, n), "z_raw": rng.integers(0, 9**5, n), "intensity": rng.integers(0, 65536, n),
+        "return_number": rng.integers(1, 8, n), "number_of_returns": rng.integers(1, 8, n), "classification": rng.integers(0, 23, n), "withheld": rng.random(n) < 0.1, "synthetic": rng.random(n) < 0.1, "key_point": rng.random(n) < 0.1,
+        "overlap": rng.random(n) < 0.1, "edge": rng.random(n) < 0.1, "scan_direction": rng.random(n) < 0.5, "scan_angle_raw": rng.integers(-9000, 9000, n), "source_id": rng.integers(0, 65536, n), "gps_time": rng.random(n),
+        **{c: rng.integers(0, 65536, n) for c in ("red", "green", "blue", "nir")},
+    })
+
+
+@pytest.mark.parametrize("form", range(11))
+def test_las_formats(spark, tmp_path, form):
+    pdf = some_points()
+    out = las.write_points(spark.createDataFrame(pdf).repartition(5), str(tmp_path / "out"), form, (0.01, 0.01, 0.001), (5.0, 6.0, 7.0), 'PROJCS["y"]', (61, 2023), [("me", 7, b"seven")], [("far", 8, b"x" * 70000)])
+    assert sorted((r.tile, r.points) for r in out.collect()) == sorted(pdf.groupby("tile").size().items())
+    head = {r.path[-5]: r for r in las.read_headers(spark, str(tmp_path / "out")).collect()}
+    for tile, own in pdf.groupby("tile"):
+        h = head[tile]
+        assert (h.format, h.points, h.record_length, h.wkt, str(h.created)) == (form, len(own), las.RECORD_LENGTH[form], 'PROJCS["y"]', "2023-03-02")
+        assert [(v.user_id, v.record_id, len(v.payload)) for v in h.vlrs] == [("LASF_Projection", 2112, 12), ("me", 7, 5), ("far", 8, 70000)]
+        assert h.by_return[:7] == np.bincount(own.return_number, minlength=8)[1:8].tolist() and h.x_max == pytest.approx(own.x_raw.max() * 0.01 + 5)
+    got = las.read_points(spark, str(tmp_path / "out"), split_points=97).orderBy("tile", "seq").toPandas()
+    want = pdf.sort_values(["tile", "seq"]).reset_index(drop=True)
+    lost = {"seq", "scan_angle_raw", "overlap"} if form < 6 else {"seq"}
+    lost |= set() if form in las._TIME_AT else {"gps_time"}
+    lost |= set() if form in las._COLOUR_AT else {"red", "green", "blue"}
+    lost |= set() if form in las._NIR_AT else {"nir"}
+    for c in set(pdf.columns) - lost:
+        assert (got[c].to_numpy() == want[c].to_numpy()).all(), c
+    for c in lost & {"gps_time", "red", "nir"}:
+        assert got[c].isna().all()
+    if form < 6:
+        assert np.abs(got.scan_angle_raw.to_numpy() - want.scan_angle_raw.to_numpy()).max() <= 84
+
+
+def test_a_file_of_three_gigabytes(spark, tmp_path):
+    """Header and last record of a sparse file; nothing else of it is read."""
+    n, tail = 100_000_000, some_points(3)
+    head = las.encode_header(n, [n] + [0] * 14, [(0.0, 1.0)] * 3, 6, (0.001,) * 3, (0.0,) * 3, b"", 0, 0, (1, 2024))
+    with open(tmp_path / "BIG.LAS", "wb") as f:
+        f.write(head)
+        f.seek(len(head) + (n - 3) * 30)
+        f.write(las.encode_points(tail, 6))
+    got = las.read_headers(spark, str(tmp_path)).first()
+    assert got.points == n and (tmp_path / "BIG.LAS").stat().st_size > 2.9e9
+    with las.RangeReader(f"file:{tmp_path}/BIG.LAS") as file:
+        last = las.decode_points(file.read(got.points_at + (n - 3) * 30, 90), 6, 30)
+    assert last["x_raw"].tolist() == tail.x_raw.tolist() and last["source_id"].tolist() == tail.source_id.tolist()
+    assert las.read_points(spark, str(tmp_path)).rdd.getNumPartitions() == -(-n // las.SPLIT_POINTS)
+
+
+def test_changed_headers(spark, tmp_path):
+    import datetime
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.laS").write_bytes(las.encode_file(some_points(50)))
+    las.rewrite_headers(spark, str(tmp_path / "in"), str(tmp_path / "out"), datetime.date(2020, 12, 31), (1.0, 2.0, 3.0)).collect()
+    old, new = (las.read_headers(spark, str(tmp_path / k)) for k in ("in", "out"))
+    drop = ["path"]
+    assert las.set_header(old, datetime.date(2020, 12, 31), (1.0, 2.0, 3.0)).drop(*drop).collect() == new.drop(*drop).collect()
+    assert las.created_on(2023, 400) == datetime.date(2023, 12, 31) and las.created_on(0, 5) is None and las.created_on(2024, 0) is None
+    short = las.encode_file(some_points(50))[:-10]
+    (tmp_path / "in" / "a.laS").write_bytes(short)
+    with pytest.raises(Exception, match="ends before its last point"):
+        las.read_points(spark, str(tmp_path / "in")).count()
+
+
 def test_vrt_round_trip():
     doc = {"size_x": 4, "size_y": 3, "srs": "EPSG:32610", "transform": [0.0, 1.0, 0.0, 9.0, 0.0, -1.0], "bands": [{"name": n, "type": "Float32", "no_data": "nan", "colour": "Gray", "block": ("2", "2"), "sources": [{"kind": "ComplexSource", "file": f"{n}.tif", "band": 1, "dst_xOff": 0.0}]} for n in ("dsm", "cmm3")]}
     again = documents.read_vrt(documents.write_vrt(doc))
