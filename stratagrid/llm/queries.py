@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm import chat, metric_join, minhash, mixing, pii, quality, repeats, toxicity, wavelet, winnow
 from stratagrid.llm.common import table
+from stratagrid.llm.oracles import OP1_SQL, OP6_SQL, OP7_SQL
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -167,4 +168,4 @@ QUERIES = {
     for f in (chat_mixed_layouts, op1_minhash, op2_weak_pii, op3_chat_format, op4_attention_quality, op5_conv_toxicity, op6_metric_join, op7_run_length_repeats, op8_winnowing, op9_mixing, op10_wavelet_tokens)
 }
 
-ORACLE_SQL = {"chat_mixed_layouts": MIXED_SQL, "op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
+ORACLE_SQL = {"chat_mixed_layouts": MIXED_SQL, "op1_minhash": OP1_SQL, "op6_metric_join": OP6_SQL, "op7_run_length_repeats": OP7_SQL, "op3_chat_format": OP3_SQL, "op8_winnowing": OP8_SQL}
