@@ -79,9 +79,12 @@ _BASE = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _MULT = stream64(64, 11) | np.uint64(1)
 
+#: Bytes that are hashed, or otherwise held as wide numbers, at a time.
+BLOCK_BYTES = 1 << 20
+
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse; tables for unusually long texts are not kept."""
+    """Powers of the base and of its inverse; tables for unusually long words are not kept."""
     if len(_powers[0]) >= n:
         return _powers
     out = []
@@ -89,7 +92,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps))
-    if n <= 4 * CHUNK_BYTES:
+    if n <= 4 * BLOCK_BYTES:
         _powers[:] = out
     return out
 
@@ -98,13 +101,15 @@ class Words:
     """Words of several texts laid end to end.
 
     ``hash``: one 64-bit hash per word; ``doc``: index of its text; ``first``: index of each
-    text's first word (one entry more than texts); ``start``/``end``: byte offsets in ``buf``.
+    text's first word (one entry more than texts); ``start``/``end``: byte offsets in ``buf``. Besides the words' own
+    numbers a text takes a few bytes of memory for each of its bytes, however long it is.
     """
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray):
         buf = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-        inside = is_word[buf].view(np.int8)
-        edges = np.flatnonzero(np.diff(inside, prepend=np.int8(0)))
+        inside = is_word[buf]
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate([[0], turns]) if inside[0] else turns
         self.buf, self.start, self.end = buf, edges[0::2], edges[1::2]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         bounds = np.concatenate([[0], np.cumsum(lengths)])
@@ -112,13 +117,21 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        up, down = _power_tables(len(buf))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)])])
-        self._total, self._down = total, down
         self.hash = self._span(self.end)
 
     def _span(self, stop: np.ndarray) -> np.ndarray:
-        return mix64((self._total[stop] - self._total[self.start]) * self._down[self.start] + (stop - self.start).astype(np.uint64))
+        """Hash of each word up to ``stop``, by differences of running sums over a block of words."""
+        out, i, n = np.empty(len(stop), np.uint64), 0, len(stop)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + BLOCK_BYTES)))
+            low = self.start[i]
+            own = self.buf[low : self.end[j - 1]]
+            up, down = _power_tables(len(own))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[own] * up[: len(own)])])
+            a, b = self.start[i:j] - low, stop[i:j] - low
+            out[i:j] = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
 
     def prefix(self, n: int) -> np.ndarray:
         """Hash of each word's first ``n`` bytes."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagrid.llm.common import SPACED, Words, chunks, discard, id_text, stage
+from stratagrid.llm.common import BLOCK_BYTES, SPACED, Words, chunks, discard, id_text, stage
 
 PASSAGE = 512
 
@@ -36,7 +36,7 @@ _CLASSES = 16
 
 
 def _byte_classes() -> np.ndarray:
-    t = np.full(256, 12, np.int64)
+    t = np.full(256, 12, np.uint8)
     t[:32] = 15
     t[128:192], t[192:] = 14, 13
     t[ord("a") : ord("z") + 1], t[ord("A") : ord("Z") + 1], t[ord("0") : ord("9") + 1] = 3, 4, 5
@@ -57,14 +57,17 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = int(counts.sum())
     buf = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    piece = first[doc] + (np.arange(len(buf)) - begin[doc]) // PASSAGE
-    c = _TABLE[buf]
     x = np.zeros((total, N_FEATURES), np.float32)
-    if len(buf) > 1:
+    for low in range(0, len(buf) - 1, BLOCK_BYTES):
+        at = np.arange(low, min(low + BLOCK_BYTES + 1, len(buf)))
+        doc = np.searchsorted(begin, at, "right") - 1
+        piece = first[doc] + (at - begin[doc]) // PASSAGE
         same = piece[1:] == piece[:-1]
-        pairs = piece[:-1][same] * (_CLASSES * _CLASSES) + c[:-1][same] * _CLASSES + c[1:][same]
-        x[:, : _CLASSES * _CLASSES] = np.sqrt(np.bincount(pairs, minlength=total * _CLASSES * _CLASSES).reshape(total, -1) / PASSAGE)
+        c, base = _TABLE[buf[low : low + len(at)]].astype(np.int64), piece[0]
+        pairs = (piece[:-1][same] - base) * _CLASSES**2 + c[:-1][same] * _CLASSES + c[1:][same]
+        seen = piece[-1] - base + 1
+        x[base : base + seen, : _CLASSES**2] += np.bincount(pairs, minlength=seen * _CLASSES**2).reshape(seen, -1)
+    np.sqrt(x[:, : _CLASSES**2] / PASSAGE, out=x[:, : _CLASSES**2])
     words = Words(texts, SPACED)
     if len(words.hash):
         at = first[words.doc] + (words.start - words.text_start[words.doc]) // PASSAGE

@@ -33,6 +33,8 @@ FIT_DOCUMENTS = 8_000
 #: Bytes of their words' table rows that are brought together for the fit.
 FIT_BYTES = 64 << 20
 SLOTS = 1 << 16
+#: Rows of words that go through the network at a time.
+ROWS = 1 << 19
 WIDTHS = (1, 2, 3)
 _PAD = 3
 
@@ -81,7 +83,17 @@ class ConvModel:
     cut: float
 
     def raw(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return _forward(self.p, ids, first)["logit"]
+        """Logits. Texts of many rows are pooled part by part: a part is the windows that begin in it."""
+        if len(ids) <= ROWS:
+            return _forward(self.p, ids, first)["logit"]
+        out = np.empty(len(first), self.p["c"].dtype)
+        for k, (a, b) in enumerate(zip(first, [*first[1:], len(ids)], strict=True)):
+            best = None
+            for low in range(a, b - 2, ROWS):
+                part = _forward(self.p, ids[low : min(low + ROWS, b - 2) + 2], np.zeros(1, np.int64))["pre"]
+                best = part if best is None else np.maximum(best, part)
+            out[k] = (np.maximum(best, 0) @ self.p["o"] + self.p["c"])[0]
+        return out
 
     def __call__(self, words: Words) -> np.ndarray:
         logit = self.raw(*slots(words)) - self.shift[guess_language(words)] + np.log(self.cut / (1 - self.cut))

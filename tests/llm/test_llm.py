@@ -291,6 +291,44 @@ def test_convolution_gradients():
         assert emb[row, 1] == pytest.approx((loss(p | {"emb": up}) - loss(p | {"emb": down})) / 2e-6, abs=1e-5)
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    """The same numbers whatever the blocks that long texts are handled in."""
+    rng = np.random.default_rng(19)
+    texts = [words(rng, 400).encode(), b"", b"y" * 300 + b" end", "ä ö ü. B! ".encode() * 30, words(rng, 90).encode() + b"\n", b"x"]
+    whole = [toxicity.Words(texts, t) for t in (toxicity.ALNUM, quality.SPACED)]
+    x, counts = quality.passage_features(texts)
+    ids, first = toxicity.slots(whole[0])
+    model = toxicity.ConvModel(toxicity.fit(ids, first, np.array([1.0, 0, 1, 0, 0, 1]), dim=4, filters=4, epochs=1), np.zeros(5), 0.3)
+    logits = model.raw(ids, first)
+    from stratagrid.llm import common
+
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(common, "BLOCK_BYTES", size)
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+        monkeypatch.setattr(toxicity, "ROWS", size)
+        for w, t in zip(whole, (toxicity.ALNUM, quality.SPACED)):
+            again = toxicity.Words(texts, t)
+            assert (again.hash == w.hash).all() and (again.prefix(4) == w.prefix(4)).all() and (again.first == w.first).all()
+        y, n = quality.passage_features(texts)
+        assert np.allclose(x, y, atol=1e-6) and (n == counts).all()
+        assert np.allclose(model.raw(ids, first), logits, atol=1e-5)
+
+
+def test_a_text_of_thirty_megabytes():
+    """Memory for one long text stays within a few times a worker's share."""
+    import tracemalloc
+
+    rng = np.random.default_rng(23)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 4_000_000)).encode()
+    model = toxicity.ConvModel({"emb": np.zeros((toxicity.SLOTS, 8), np.float32), "o": np.zeros(24, np.float32), "c": np.zeros(1, np.float32), **{f"w{k}": np.zeros((8 * k, 8), np.float32) for k in toxicity.WIDTHS}, **{f"b{k}": np.zeros(8, np.float32) for k in toxicity.WIDTHS}}, np.zeros(5), 0.3)
+    for use in (lambda: minhash.shingle_sets([text]), lambda: quality.passage_features([text]), lambda: model(toxicity.Words([text], toxicity.ALNUM))):
+        tracemalloc.start()
+        use()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25 * len(text), peak / len(text)
+
+
 def test_training_samples_are_bounded(spark):
     rows = [(i // 2, f"text {i} " + "word " * 40 * (i % 5)) for i in range(60)] + [(None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
