@@ -10,9 +10,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stratagrid import staging
 from stratagrid.functions import points as fp
 from stratagrid.model import GridSpec
-from stratagrid.operators import aggregates, crowns, grid_metrics, lookup, maxima, raster, stencil, transform
+from stratagrid.operators import aggregates, crowns, grid_metrics, lookup, maxima, ordering, raster, stencil, transform
 from stratagrid.operators.binning import interior_index, with_cell
 from stratagrid.plans import catalog, formats, placement, segmentation  # noqa: F401
 from stratagrid.sources import documents, files, geotiff, las
@@ -494,3 +495,59 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0 and out.stdout.split()[0] == str(len(catalog.QUERIES)), out.stderr
+
+
+def test_first_read_point_wins_ties(spark):
+    rows = [(0, 0, 9, 1, 5, 7, 2), (0, 0, 9, 1, 4, 3, 1), (0, 0, 8, 1, 1, 1, 0)]
+    p = spark.createDataFrame([(*r, 1, 1, 0, 0, False) for r in rows], "cx int, cy int, z_raw int, classification int, source_id int, return_number int, seq long, intensity int, x_raw int, y_raw int, k int, withheld boolean")
+    assert aggregates.dsm(p, seq="seq").first().source_id == 4 and aggregates.dsm(p.withColumn("seq", -F.col("seq")), seq="seq").first().source_id == 5
+    got = aggregates.dsm(p, gap=1).first()
+    assert (got.dsm, got.subsurface, got.source_id) == (9, 8, 4) and aggregates.dsm(p, gap=2).first().subsurface is None
+
+
+def test_histogram_has_a_limit(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (99.0,)], "v double")
+    assert {(r.bin, r.n) for r in aggregates.histogram(df, "v", 0.0, 1.0, 5).collect()} == {(1, 1), (-1, 1)}
+    for bins in (0, 1_000_001):
+        with pytest.raises(ValueError, match="bins"):
+            aggregates.histogram(df, "v", 0.0, 1.0, bins)
+
+
+def test_saturating_casts(spark):
+    df = spark.createDataFrame([(v,) for v in (-1e9, -0.5, 0.5, 1.5, 254.6, 1e9, None)], "v double")
+    got = [int(r.x) for r in df.select(aggregates.saturating_cast(F.col("v"), "uint8").alias("x")).collect()]
+    assert got == [0, 0, 0, 2, 254, 254, 255]
+    back = [r.x for r in df.select(aggregates.restore_missing(aggregates.saturating_cast(F.col("v"), "int8"), "int8").alias("x")).collect()]
+    assert back[-1] is None and [int(x) for x in back[:-1]] == [-127, 0, 0, 2, 127, 127]
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), int(v)) for k, v in zip(rng.integers(0, 40, 500), rng.integers(-9, 9, 500))] + [(None, 3)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = ordering.running(df, [F.col("k"), F.col("v")], {"i": F.lit(1), "total": F.col("v")}).orderBy("i").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.v) for r in got] == order and [r.i for r in got] == list(range(1, 502))
+    assert [r.total for r in got] == np.cumsum([v for _, v in order]).tolist()
+    assert ordering.running(df.limit(0), [F.col("k")], {"i": F.lit(1)}).count() == 0
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session())
+
+
+def test_staged_tables_are_removed(spark):
+    first = staging.stage(spark.range(5), "first")
+    path = staging._PATHS[first]
+    second = staging.stage(first.filter("id > 1"), "second", over=first)
+    assert second.count() == 3 and not Path(path).exists() and Path(staging._PATHS[second]).exists()
+    staging.discard(second, spark.range(3))
