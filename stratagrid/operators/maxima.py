@@ -62,11 +62,10 @@ def local_maxima(cells: DataFrame, value: str, statistics: int = 5) -> DataFrame
     return tops.join(got.withColumnsRenamed({"hx": "cx", "hy": "cy"}), CELL, "left").select(*CELL, "z", F.coalesce("first", F.lit(RINGS)).alias("radius"), *names)
 
 
-def treetops_by_radius(cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, slope: float = 0.055, base: float = 0.4, most: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """Cells that nothing within ``min(slope h + base, most)`` metres is above, at least ``minimum`` high.
+def tops_by_radius(cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, slope: float = 0.055, base: float = 0.4, most: float = 5.0) -> DataFrame:
+    """Cells that nothing within ``min(slope h + base, most)`` metres is above, at least ``minimum`` high; ``level`` is 1 beside an equal one.
 
-    ``metres`` is the width of a cell; heights are in metres. Returns single treetops, and
-    the cells that have an equal neighbour, which form patches.
+    ``metres`` is the width of a cell; heights are in metres.
     """
     tall = cells.filter(F.col(height) >= minimum)
     tops = peaks(cells, value).join(tall.select(*CELL, F.col(height).alias("h")), CELL)
@@ -79,7 +78,12 @@ def treetops_by_radius(cells: DataFrame, value: str, height: str, metres: float,
     asked = tops.select(F.col("cx").alias("hx"), F.col("cy").alias("hy"), "z", F.explode(disc).alias("d")).filter(F.abs("d.dx") <= reach)
     asked = asked.select("hx", "hy", "z", (F.col("hx") + F.col("d.dx")).alias("cx"), (F.col("hy") + F.col("d.dy")).alias("cy"))
     higher = asked.join(cells.select(*CELL, F.col(value).alias("v")), CELL).filter("v > z").select(F.col("hx").alias("cx"), F.col("hy").alias("cy")).distinct()
-    kept = tops.join(higher, CELL, "left_anti").withColumn("radius", rows)
+    return tops.join(higher, CELL, "left_anti").withColumn("radius", rows)
+
+
+def treetops_by_radius(cells: DataFrame, value: str, height: str, metres: float, **rules: float) -> tuple[DataFrame, DataFrame]:
+    """``tops_by_radius`` as single treetops, and the cells that have an equal neighbour, which form patches."""
+    kept = tops_by_radius(cells, value, height, metres, **rules)
     return kept.filter("level = 0").drop("level"), kept.filter("level > 0").drop("level")
 
 
@@ -136,7 +140,10 @@ def patches(level: DataFrame, edges: DataFrame | None = None, most_rounds: int =
 
 def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, ground: str | None = None, **rules: float) -> DataFrame:
     """Treetops of several cells: those that ``treetops_by_radius`` finds level, and their equal neighbours, as ``patches``."""
-    level = treetops_by_radius(cells, value, height, metres, **rules)[1]
+    return _radius_patches(treetops_by_radius(cells, value, height, metres, **rules)[1], cells, value, height, ground)
+
+
+def _radius_patches(level: DataFrame, cells: DataFrame, value: str, height: str, ground: str | None) -> DataFrame:
     where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
     sent = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).select((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z", "radius")
     near = sent.groupBy(*CELL, "z").agg(F.max("radius").alias("radius"))
@@ -144,9 +151,9 @@ def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, gr
     return patches(near.join(cells.select(*CELL, F.col(value).alias("v"), F.col(height).alias("h"), *known), CELL).filter("v = z").drop("v"))
 
 
-def ring_patches(cells: DataFrame, value: str, height: str, metres: float, ground: str | None = None, **rules: float) -> DataFrame:
-    """Treetops of several cells by the ring method: found peaks with the equal cells of their inner rings, which need not be adjacent."""
-    level = stage(treetops_by_rings(cells, value, height, metres, **rules).filter("patch").select(*CELL, "z", "most", "inner"), "ring-level")
+def ring_patches(found: DataFrame, cells: DataFrame, value: str, height: str, ground: str | None = None) -> DataFrame:
+    """Treetops of several cells by the ring method: peaks ``found`` with the equal cells of their inner rings, which need not be adjacent."""
+    level = found.filter("patch").select(*CELL, "z", "most", "inner")
     met = with_rings(level, cells, value, F.least("inner", "most")).filter("v = z0")
     pairs = stage(met.select("hx", "hy", (F.col("hx") + F.col("dx")).alias("ox"), (F.col("hy") + F.col("dy")).alias("oy"), F.col("z0").alias("z"), "most"), "ring-pairs")
     edges = pairs.select(pack_cell(F.col("hy"), F.col("hx")).alias("a"), pack_cell(F.col("oy"), F.col("ox")).alias("b"))
@@ -168,13 +175,16 @@ def find_treetops(cells: DataFrame, method: str, grid: GridSpec, minimum: float
     if method not in METHODS:
         raise ValueError(f"no treetop method {method}; there are {', '.join(METHODS)}")
     metres, value = grid.cell * grid.scale, "chm" if method == "ChmRadius" else "dsm"
-    known = cells.filter("dsm is not null and chm is not null").select(*CELL, "dsm", "chm", (F.col("dsm") - F.col("chm")).alias("ground"))
+    surface = cells.filter("dsm is not null and chm is not null").select(*CELL, "dsm", "chm", (F.col("dsm") - F.col("chm")).alias("ground"))
+    known = stage(surface, "surface")  # both kinds of treetops and the rounds of their patches read it
     if method == "DsmRing":
-        single = treetops_by_rings(known, value, "chm", metres, minimum).filter("not patch").select(*CELL, "radius")
-        several = ring_patches(known, value, "chm", metres, "ground", minimum=minimum)
+        found = stage(treetops_by_rings(known, value, "chm", metres, minimum), "tops")
+        single = found.filter("not patch").select(*CELL, "radius")
+        several = ring_patches(found, known, value, "chm", "ground")
     else:
-        single = treetops_by_radius(known, value, "chm", metres, minimum)[0].select(*CELL, "radius")
-        several = treetop_patches(known, value, "chm", metres, "ground", minimum=minimum)
+        found = stage(tops_by_radius(known, value, "chm", metres, minimum), "tops")
+        single = found.filter("level = 0").select(*CELL, "radius")
+        several = _radius_patches(found.filter("level > 0").drop("level"), known, value, "chm", "ground")
     ones = single.join(known, CELL).select(*CELL, (F.col("cx") + 0.5).alias("x"), (F.col("cy") + 0.5).alias("y"), F.col("radius").cast("double").alias("radius"), F.col("chm").alias("h"), "ground", F.lit(1).cast("long").alias("cells"))
     tops = ones.unionByName(several.select(*CELL, "x", "y", F.col("radius").cast("double").alias("radius"), "h", "ground", "cells"))
     x, y = grid.x0 * grid.scale + F.col("x") * metres, grid.y0 * grid.scale - F.col("y") * metres

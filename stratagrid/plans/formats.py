@@ -55,7 +55,8 @@ _MARKED = ("withheld", "edge", "overlap", "scan_direction")
     + ", CAST(sum((x_raw::BIGINT * 7 + y_raw * 13 + z_raw * 31 + intensity) % 1000003 * (source_id + red)) AS BIGINT) AS mixed FROM p GROUP BY tile, classification, return_number"))
 def las_points(spark, sf_dir):
     """All points read back by splits; ``mixed`` ties the columns of a point together."""
-    got = las.read_points(spark, _clouds(spark, sf_dir), split_points=500)
+    side = grid(spark, sf_dir).size_x
+    got = las.read_points(spark, _clouds(spark, sf_dir), split_points=side * side)
     mixed = (F.col("x_raw").cast("long") * 7 + F.col("y_raw") * 13 + F.col("z_raw") * 31 + F.col("intensity")) % 1000003 * (F.col("source_id") + F.col("red"))
     sums = [F.sum(F.col(c).cast("long")).alias(c) for c in _SUMMED]
     return got.groupBy("tile", "classification", "return_number").agg(F.count("*").alias("n"), *sums, *(F.count_if(c).alias(c) for c in _MARKED), F.sum(mixed).alias("mixed"))

@@ -15,6 +15,7 @@ from stratagrid.operators import maxima, stencil
 from stratagrid.plans import catalog
 from stratagrid.plans.catalog import CELL, HOLED, SURFACE, _NINE, _RINGS, query, rounded, with_points
 from stratagrid.plans.fixtures import binned, grid, grid_cells
+from stratagrid.staging import stage
 
 # --- treetops ---
 
@@ -76,7 +77,7 @@ def recursive(sql: str) -> str:
 @query(recursive(with_points(" UNION ALL ".join(_tops_sql(n, m) for n, m in (("chm_", "ChmRadius"), ("dsm_", "DsmRadius"), ("ring", "DsmRing"))), f"{_STEPS}, {_radius_sql('chm', 'chm_')}, {_radius_sql('dsm', 'dsm_')}, {_RING}")))
 def treetops_full(spark, sf_dir):
     """Treetops by all three methods as the rows of a layer, patches merged."""
-    cells, out = _steps(spark, sf_dir), None
+    cells, out = stage(_steps(spark, sf_dir), "steps"), None
     for method in maxima.METHODS:
         tops = maxima.find_treetops(cells, method, grid(spark, sf_dir)).select(F.lit(method).alias("method"), "*")
         out = tops if out is None else out.unionByName(tops)
@@ -154,7 +155,7 @@ def merge_treetops(spark, sf_dir):
 
 def rough_trees(spark, sf_dir):
     """The fixture's own surface in metres, and its treetops, single ones and patches."""
-    high = catalog._high(spark, sf_dir)
+    high = stage(catalog._high(spark, sf_dir), "high")
     cells = high.select("cx", "cy", (F.col("z") / 1000).alias("dsm"), F.col("h").alias("chm"))
     tree_id = (F.col("cy").cast("long") * grid(spark, sf_dir).size_x + F.col("cx")).alias("tree_id")
     own_z = (F.col("z") / 1000).alias("z")
