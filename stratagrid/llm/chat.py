@@ -64,15 +64,23 @@ def _pair(prompt: Callable[[Callable[[str], Column]], Column], answer: str, syst
 
 
 def _with_input(get: Callable[[str], Column]) -> Column:
-    return F.when(F.coalesce(get("input"), F.lit("")) == "", get("instruction")).otherwise(F.concat(F.coalesce(get("instruction"), F.lit("")), F.lit("\n\n"), get("input")))
+    return F.when(
+        F.coalesce(get("input"), F.lit("")) == "", get("instruction")
+    ).otherwise(F.concat(F.coalesce(get("instruction"), F.lit("")), F.lit("\n\n"), get("input")))
 
 
 _SHARED = {"human": "user", "gpt": "assistant"}
 
 #: Declarative layouts: the field paths beside the id, the JSON type that holds them, and how turns are made.
 LAYOUTS: list[tuple[list[str], str, Callable[[Callable[[str], Column]], Column]]] = [
-    (["messages[].content", "messages[].role"], "struct<messages:array<struct<role:string,content:string>>>", lambda get: _messages("role", "content", {})(get("messages"))),
-    (["conversations[].from", "conversations[].value"], "struct<conversations:array<struct<`from`:string,value:string>>>", lambda get: _messages("from", "value", _SHARED)(get("conversations"))),
+    (
+        ["messages[].content", "messages[].role"], "struct<messages:array<struct<role:string,content:string>>>",
+        lambda get: _messages("role", "content", {})(get("messages"))
+    ),
+    (
+        ["conversations[].from", "conversations[].value"], "struct<conversations:array<struct<`from`:string,value:string>>>",
+        lambda get: _messages("from", "value", _SHARED)(get("conversations"))
+    ),
     (["prompt", "response"], "struct<prompt:string,response:string>", _pair(lambda get: get("prompt"), "response")),
     (["completion", "prompt"], "struct<prompt:string,completion:string>", _pair(lambda get: get("prompt"), "completion")),
     (["answer", "question"], "struct<question:string,answer:string>", _pair(lambda get: get("question"), "answer")),
@@ -140,7 +148,9 @@ def canonical_turns_json(df: DataFrame, id_col: str = "conv_id", json_col: str =
         got = inside(name)
         paths = F.when(F.array_contains(keys, name) & got.isNotNull(), F.concat(F.array_except(paths, F.array(F.lit(name))), got)).otherwise(paths)
     turns, layout = F.lit(None).cast(_NONE), F.lit(None).cast("string")
-    out = df.select(F.col(id_col).alias("conv_id"), raw.alias("record"), fingerprint(F.array_except(paths, F.array(F.lit(id_col)))).alias("fingerprint"))
+    out = df.select(
+        F.col(id_col).alias("conv_id"), raw.alias("record"), fingerprint(F.array_except(paths, F.array(F.lit(id_col)))).alias("fingerprint")
+    )
     for known, kind, make in LAYOUTS:
         record, hit = F.from_json(F.col("record"), kind), F.col("fingerprint") == _fixed(known)
         turns = F.when(hit, make(lambda f, r=record: r[f])).otherwise(turns)
@@ -166,20 +176,35 @@ def unescape(c: Column) -> Column:
 
 def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """``conv_id, formatted, loss_mask``; the mask has ``start`` and ``length`` in code points of every ``learn`` text."""
-    written = F.transform("turns", lambda t: F.struct((t["role"] == learn).alias("on"), F.concat(F.lit("<s>["), escape(t["role"]), F.lit("]")).alias("head"), escape(t["text"]).alias("body")))
+    written = F.transform(
+        "turns",
+        lambda t: F.struct(
+            (t["role"] == learn).alias("on"), F.concat(F.lit("<s>["), escape(t["role"]), F.lit("]")).alias("head"), escape(t["text"]).alias("body")
+        )
+    )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
 
     def step(acc: Column, w: Column) -> Column:
         start = acc["at"] + F.length(w["head"])
         span = F.array(F.struct(start.alias("start"), F.length(w["body"]).alias("length")))
-        return F.struct((start + F.length(w["body"]) + 4).alias("at"), F.when(w["on"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
+        return F.struct(
+            (start + F.length(w["body"]) + 4).alias("at"), F.when(w["on"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask")
+        )
 
     return turns.select("conv_id", written.alias("w")).select(
-        "conv_id", F.array_join(F.transform("w", lambda w: F.concat(w["head"], w["body"], F.lit("</s>"))), "").alias("formatted"), F.aggregate("w", zero, step)["mask"].alias("loss_mask")
+        "conv_id", F.array_join(
+            F.transform("w", lambda w: F.concat(w["head"], w["body"], F.lit("</s>"))), ""
+        ).alias("formatted"), F.aggregate("w", zero, step)["mask"].alias("loss_mask")
     )
 
 
 def parse_formatted(formatted: Column) -> Column:
     """Turns of a formatted string."""
     pieces = F.filter(F.split(formatted, r"</s>"), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(F.substring(p, 5, 2**31 - 1), "]", 1)).alias("role"), unescape(F.regexp_extract(p, r"(?s)^<s>\[[^\]]*\](.*)$", 1)).alias("text")))
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            unescape(F.substring_index(F.substring(p, 5, 2**31 - 1), "]", 1)).alias("role"),
+            unescape(F.regexp_extract(p, r"(?s)^<s>\[[^\]]*\](.*)$", 1)).alias("text")
+        )
+    )

@@ -116,7 +116,10 @@ def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         tree = np.array(forest(inv[: len(i)], inv[len(i) :], len(names)), np.int64).reshape(-1, 2)
         some = links > 0
         return pa.record_batch(
-            [pa.array(np.concatenate([ids[some], names[tree[:, 0]]])), pa.array([None] * int(some.sum()) + names[tree[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]))],
+            [
+                pa.array(np.concatenate([ids[some], names[tree[:, 0]]])), pa.array([None] * int(some.sum()) + names[tree[:, 1]].tolist(), pa.int64()),
+                pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]))
+            ],
             names=["id", "other", "links"],
         )
 
@@ -141,7 +144,9 @@ def _pivots(classes: DataFrame, most: int, all_most: int, tile: int) -> dict[obj
     counts = classes.groupBy("label").count().filter(F.col("count") > tile).orderBy(F.desc("count"), "label").limit(all_most // 2).collect()
     wanted = {r.label: min(most, math.ceil(r["count"] / tile)) for r in counts}
     shrink = min(1.0, all_most / max(1, sum(wanted.values())))
-    rows = [(r.label, int(wanted[r.label] * shrink), 4.0 * wanted[r.label] * shrink / r["count"]) for r in counts if int(wanted[r.label] * shrink) > 1]
+    rows = [(
+        r.label, int(wanted[r.label] * shrink), 4.0 * wanted[r.label] * shrink / r["count"]
+    ) for r in counts if int(wanted[r.label] * shrink) > 1]
     if not rows:
         return {}
     kind = dict(classes.dtypes)["label"]
@@ -170,24 +175,36 @@ def near_vectors(
     at = _pivots(classes, pivots, all_pivots, tile)
     shared = classes.sparkSession.sparkContext.broadcast(at)
     kinds = dict(classes.dtypes)
-    placed = classes.mapInArrow(lambda it: _assign(it, shared.value, radius), f"label {kinds['label']}, v {kinds['v']}, id long, weight long, cells array<int>")
+    placed = classes.mapInArrow(
+        lambda it: _assign(it, shared.value, radius), f"label {kinds['label']}, v {kinds['v']}, id long, weight long, cells array<int>"
+    )
     members = stage(placed.select("id", "weight", "v", "label", F.size("v").alias("dim"), "cells"), "cells")
     each = F.posexplode("cells").alias("k", "cell")
-    sizes = members.select("label", "dim", each).groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("homes"))
+    sizes = members.select("label", "dim", each).groupBy("label", "dim", "cell").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("homes")
+    )
     cut = members.select("id", "weight", "v", "label", "dim", each).join(sizes.filter("homes > 0 and n > 1"), ["label", "dim", "cell"])
     rows_of, cols_of = F.ceil(F.col("homes") / tile), F.ceil(F.col("n") / tile)
     own_row, own_col = F.pmod(F.xxhash64("id", F.lit(1)), rows_of), F.pmod(F.xxhash64("id", F.lit(2)), cols_of)
     kind = "array<struct<r:bigint,c:bigint,side:int>>"
-    asks = F.when(F.col("k") == 0, F.transform(F.sequence(F.lit(0).cast("long"), cols_of - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(0).alias("side"))))
+    asks = F.when(
+        F.col("k") == 0,
+        F.transform(F.sequence(F.lit(0).cast("long"), cols_of - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(0).alias("side")))
+    )
     side = F.when(F.col("k") == 0, 1).otherwise(2)
     answers = F.transform(F.sequence(F.lit(0).cast("long"), rows_of - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), side.alias("side")))
     spread = cut.select("label", "dim", "cell", "id", "v", "weight", F.explode(F.concat(F.coalesce(asks, F.array().cast(kind)), answers)).alias("t"))
     keyed = spread.select(F.concat_ws("|", "dim", "cell", "t.r", "t.c", "label").alias("tile"), "id", "t.side", "v", "weight")
-    met = stage(keyed.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _tiles(it, least), "id long, other long, links long"), "tiles", members)
+    met = stage(
+        keyed.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _tiles(it, least), "id long, other long, links long"), "tiles",
+        members
+    )
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     of = components(met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     found = links.join(of, "id", "full")
-    by_class = classes.join(found, "id", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    by_class = classes.join(found, "id", "left").select(
+        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
+    )
     done = sound.join(by_class, ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     return rows.select("id").distinct().join(done, "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")

@@ -116,7 +116,10 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, k: int) -> Iterator[p
             keys[0][full], keys[1][full] = np.add.reduceat(mix64(h + np.uint64(1)), at), np.add.reduceat(mix64(h ^ np.uint64(0x5BD1E995C0FFEE11)), at)
         flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(sig[:, :k]).ravel().view(np.int32)), k).cast(pa.list_(pa.int32()))
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("th"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat, pa.array([t.tobytes() for t in sig[:, k:].astype(np.uint8)], pa.binary())],
+            [
+                batch.column("doc_id"), batch.column("th"), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)),
+                pa.array(keys[1].view(np.int64)), flat, pa.array([t.tobytes() for t in sig[:, k:].astype(np.uint8)], pa.binary())
+            ],
             names=["doc_id", "th", "n_shingles", "k1", "k2", "sig", "tail"],
         )
 
@@ -135,7 +138,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int
             both = len(np.intersect1d(left, right, assume_unique=True))
             if den * both >= num * (len(left) + len(right) - both) and both:
                 good.append(i)
-        yield pa.record_batch([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], names=["a", "b"])
+        yield pa.record_batch(
+            [batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], names=["a", "b"]
+        )
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -212,7 +217,9 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deal(groups: DataFrame, tile: int) -> DataFrame:
     """``key, rep, comp`` to ``key, tile, rep, comp, side``: the groups of several components, cut to tiles."""
-    open_ = groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / tile).alias("blocks"))
+    open_ = groups.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")
+    ).filter("lo < hi").select("key", F.ceil(F.col("n") / tile).alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
     dealt = groups.join(open_, "key").select("key", "rep", "comp", "blocks", block.alias("me"), other)
@@ -236,10 +243,14 @@ def near_duplicates(
     signed = stage(base.mapInArrow(lambda it: _sign(it, shingle, k), kinds), "signed")
     # a class is a node of its own, whichever ids its rows have; one of these and the hash of the text lead to a text
     one = F.min(F.struct("doc_id", "th")).alias("one")
-    classes = signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(one, F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("tail").alias("tail"))
+    classes = signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(
+        one, F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("tail").alias("tail")
+    )
     reps = stage(classes.select(F.xxhash64("k1", "k2").alias("rep"), "k1", "k2", "low", "one", "n_shingles", "sig", "tail"), "reps")
     # posting lists, each class under its rarest pairs
-    posted = reps.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.col("i").cast("long") * (1 << 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
+    posted = reps.select("rep", F.posexplode("sig").alias("i", "v")).select(
+        "rep", (F.col("i").cast("long") * (1 << 32) + F.col("v").cast("long") + (1 << 31)).alias("key")
+    )
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs")).filter(F.size("pairs") >= least)
     prefix = F.slice("pairs", 1, F.greatest(F.lit(k - least + 1) - (F.lit(k) - F.size("pairs")), F.lit(0)))
@@ -250,11 +261,15 @@ def near_duplicates(
         return rows.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def tiles(dealt: DataFrame, confirm: bool) -> DataFrame:
-        return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda it: _tiles(it, num, den, shingle, confirm), "a long, b long")
+        return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(
+            lambda it: _tiles(it, num, den, shingle, confirm), "a long, b long"
+        )
 
     leader = posts.groupBy("key").agg(F.min("rep").alias("a"))
     pairs = posts.join(leader, "key").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("tail").alias(f"t{x}"))
+    side = lambda x: reps.select(
+        F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("tail").alias(f"t{x}")
+    )
     fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     likely = stage(fit.mapInArrow(_likely, "a long, b long"), "likely")
     guess = _families(likely, "family")
@@ -284,5 +299,9 @@ def _with_leader(family: DataFrame, texts: DataFrame, most: int = LED) -> DataFr
     led = family.filter("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
     blocks = led.groupBy("a").agg(F.ceil(F.count("*") / most).alias("blocks"))
     dealt = led.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    leaders = blocks.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return dealt.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(leaders, ["a", "block"]).select("a", "b", "text_a", "text_b")
+    leaders = blocks.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select(
+        "a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    return dealt.join(
+        texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b"
+    ).join(leaders, ["a", "block"]).select("a", "b", "text_a", "text_b")

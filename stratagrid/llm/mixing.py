@@ -46,13 +46,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     by_name = [F.col("source").isNull(), F.col("source")]
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     w = F.element_at(cycle, ((F.col("i") - 1) % len(weights) + 1).cast("int"))
-    own = stage(running(sizes, by_name, {"i": F.lit(1)}).select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "sources")
+    own = stage(
+        running(sizes, by_name, {"i": F.lit(1)}).select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")),
+        "sources"
+    )
     total, all_w = own.agg(F.sum("source_size"), F.sum("w")).first()
     if not total:
         return own.select("source", "source_size", F.lit(0.0).alias("target"))
     fills = F.col("cap") / F.col("w")
     level = (F.lit(share * total) - (F.col("caps") - F.col("cap"))) / (F.lit(all_w) - (F.col("ws") - F.col("w")))
-    ranked = running(own, [fills, *by_name], {"caps": F.col("cap"), "ws": F.col("w")}).select(fills.alias("fills"), *(c.alias(f"o{k}") for k, c in enumerate(by_name)), level.alias("level"))
+    ranked = running(own, [fills, *by_name], {"caps": F.col("cap"), "ws": F.col("w")}).select(
+        fills.alias("fills"), *(c.alias(f"o{k}") for k, c in enumerate(by_name)), level.alias("level")
+    )
     at = ranked.filter("level <= fills").agg(F.min_by("level", F.struct("fills", "o0", "o1"))).first()[0]
     return own.select("source", "source_size", (F.col("cap") if at is None else F.least("cap", F.col("w") * F.lit(at))).alias("target"))
 
@@ -72,7 +77,9 @@ def _fold(items: Column, seed: int) -> Column:
         c2 = F.struct(c["id"].alias("id"), c["copy"].alias("copy"), c["size"].alias("size"), cp.alias("p"))
         x2 = F.struct(x["id"].alias("id"), x["copy"].alias("copy"), x["size"].alias("size"), xp.alias("p"))
         settled = (cp == 0) | (cp == 1)
-        return F.struct(F.when(settled, x2).otherwise(c2).alias("keep"), F.concat(acc["done"], F.array(F.when(settled, c2).otherwise(x2))).alias("done"))
+        return F.struct(
+            F.when(settled, x2).otherwise(c2).alias("keep"), F.concat(acc["done"], F.array(F.when(settled, c2).otherwise(x2))).alias("done")
+        )
 
     start = F.struct(items[0].alias("keep"), F.array().cast(f"array<{_ITEM}>").alias("done"))
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, step)
@@ -91,7 +98,10 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, group: int = GROUP
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
-    sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+    sized = stage(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")),
+        "sizes"
+    )
     targets = stage(source_targets(sized, weights, share, most), "targets")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
     by_key = targets.select(key, "source_size", "target")
@@ -109,7 +119,9 @@ def mix(
     copy = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, F.col("m")) - 1)).alias("copy")
     ratio = F.col("target") / F.col("source_size")
     level = stage(
-        of_source(runs.select("id", "key", "size", copy)).select("key", F.struct("id", "copy", "size", _snap(ratio - F.floor(ratio)).alias("p")).alias("item")),
+        of_source(runs.select("id", "key", "size", copy)).select(
+            "key", F.struct("id", "copy", "size", _snap(ratio - F.floor(ratio)).alias("p")).alias("item")
+        ),
         "fractions",
     )
     largest = level.groupBy("key").count().agg(F.max("count")).first()[0] or 0
@@ -120,7 +132,9 @@ def mix(
         spread = F.pmod(F.xxhash64("item.id", "item.copy", "item.size", F.lit(seed + up)), F.lit(groups))
         folded = stage(
             level.groupBy("key", spread.alias("g"))
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.id", "item.copy", F.lit(seed)).alias("o"), "item"))), lambda x: x["item"]).alias("items"))
+            .agg(F.transform(
+                F.sort_array(F.collect_list(F.struct(F.xxhash64("item.id", "item.copy", F.lit(seed)).alias("o"), "item"))), lambda x: x["item"]
+            ).alias("items"))
             .select("key", _fold(F.col("items"), seed + up).alias("r")),
             "fold",
         )

@@ -163,7 +163,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
     return [
         1.0, float(kind == "account"), math.log(n), sum(c.isdigit() for c in token) / n, sum(c.isupper() for c in token) / n, sum(c in "abcdef" for c in token) / n, float(-(p * np.log(p)).sum()),
         float("=" in before[-3:]), float(":" in before[-3:]), float(before[-1:] in ("'", '"')), float(after in ("'", '"')), float(before[-1:] in (" ", "\n", "")), float("/" in before), float(any(c in before.lower() for c in _CUES[kind])), *slot,
-    ]
+    ]
 
 
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<kind:int,s:int,e:int,pattern:int,x:array<float>>>"
@@ -237,10 +237,15 @@ def _finish(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarr
                 score = ((np.array([f["x"] for f in found], float) - mean) / scale) @ w
                 kept = sorted((f["kind"], f["s"], f["e"]) for f, s in zip(found, score, strict=True) if s >= math.log(cut / (1 - cut)))
             spans.append(",".join([*([base] if base else []), *(f"{MORE_KINDS[k]}:{s}:{e}" for k, s, e in kept)]))
-        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base")), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base", "spans"])
+        yield pa.record_batch(
+            [*(batch.column(c) for c in ("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base")), pa.array(spans, pa.string())],
+            names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base", "spans"]
+        )
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_candidates: int = FIT_CANDIDATES, cut: float = 0.5) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_candidates: int = FIT_CANDIDATES, cut: float = 0.5
+) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans``; span lists are ``kind:start:end`` joined by commas."""
     scanned = stage(id_text(docs, id_col, text_col).mapInArrow(_scan, _SCHEMA), "pii")
     one = scanned.select("doc_id", F.explode("found").alias("c"))

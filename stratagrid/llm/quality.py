@@ -130,16 +130,25 @@ def gradients(p: dict[str, np.ndarray], z: np.ndarray, counts: np.ndarray, y: np
     dts = de[:, None] * p["q"]
     dt, ds = dts * f["s"] * (1 - f["t"] ** 2), dts * f["t"] * f["s"] * (1 - f["s"])
     dh = (f["a"][:, None] * dbag + dt @ p["v"].T + ds @ p["u"].T) * (1 - f["h"] ** 2)
-    return {"w": z.T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ ds, "q": (f["t"] * f["s"]).T @ de, "o": f["bag"].T @ dy, "c": dy.sum(keepdims=True)}
+    return {
+        "w": z.T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ ds, "q": (f["t"] * f["s"]).T @ de, "o": f["bag"].T @ dy,
+        "c": dy.sum(keepdims=True)
+    }
 
 
-def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 25, rate: float = 3e-3, batch: int = 64, l2: float = 1e-4, seed: int = 3) -> AttentionModel:
+def fit(
+    x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 25, rate: float = 3e-3, batch: int = 64, l2: float = 1e-4,
+    seed: int = 3
+) -> AttentionModel:
     """Adam on the log loss of documents."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z = ((x - mean) / scale).astype(np.float32)
     n = x.shape[1]
-    p = {"w": rng.normal(0, n**-0.5, (n, hidden)), "b": np.zeros(hidden), "v": rng.normal(0, 0.2, (hidden, hidden)), "u": rng.normal(0, 0.2, (hidden, hidden)), "q": rng.normal(0, 0.2, hidden), "o": rng.normal(0, 0.2, hidden), "c": np.zeros(1)}
+    p = {
+        "w": rng.normal(0, n**-0.5, (n, hidden)), "b": np.zeros(hidden), "v": rng.normal(0, 0.2, (hidden, hidden)),
+        "u": rng.normal(0, 0.2, (hidden, hidden)), "q": rng.normal(0, 0.2, hidden), "o": rng.normal(0, 0.2, hidden), "c": np.zeros(1)
+    }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, r, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     ends = np.cumsum(counts)
@@ -193,7 +202,10 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(raw, pa.binary())], names=["doc_id", "y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCUMENTS) -> AttentionModel | None:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+    limit: int = FIT_DOCUMENTS
+) -> AttentionModel | None:
     """Fit on at most ``limit`` documents for which ``usable`` (over ``labels``) holds."""
     sample = labelled_sample(id_text(docs, id_col, text_col), labels, label, usable, limit)
     rows = bounded_rows(sample.mapInArrow(_sample_features, "doc_id long, y int, x binary"), "x", FIT_BYTES)
@@ -218,7 +230,9 @@ def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id",
 def _filter(batches: Iterator[pa.RecordBatch], model: AttentionModel | None, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.record_batch([batch.column(text_col).cast(pa.string()).fill_null("")], names=["text"])
-        kept = np.concatenate([model(*passage_features(t)) if model else np.full(len(t), 0.5) for _, t in chunks(iter([texts]))] or [np.zeros(0)]) >= least
+        kept = np.concatenate([
+            model(*passage_features(t)) if model else np.full(len(t), 0.5) for _, t in chunks(iter([texts]))
+        ] or [np.zeros(0)]) >= least
         yield batch.filter(pa.array(kept, pa.bool_()))
 
 

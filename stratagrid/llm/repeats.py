@@ -126,7 +126,10 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int
     def close() -> pa.RecordBatch:
         rows, new = _first_of_each(np.concatenate(held))
         out = []
-        for kind, part, bucket in ((0, rows[new], rows["trigger"][new] % np.uint64(buckets)), (1, _marks(rows[~new]), mix64(rows["key"][~new].astype(np.uint64)) % np.uint64(buckets))):
+        for kind, part, bucket in (
+            (0, rows[new], rows["trigger"][new] % np.uint64(buckets)),
+            (1, _marks(rows[~new]), mix64(rows["key"][~new].astype(np.uint64)) % np.uint64(buckets))
+        ):
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
             out += [(int(bucket[order[a]]), kind, part[order[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
@@ -165,7 +168,7 @@ def _found(marks: np.ndarray, trigger: np.ndarray | None = None, hot: np.ndarray
             pa.array(trigger.view(np.int64)) if trigger is not None else pa.nulls(n, pa.int64()), pa.array(hot) if hot is not None else pa.nulls(n, pa.bool_()),
         ],
         names=["key", "start", "n", "trigger", "hot"],
-    )
+    )
 
 
 def _settle(batches: Iterator[pa.RecordBatch], hot: int, most: int = FLUSH) -> Iterator[pa.RecordBatch]:
@@ -227,7 +230,10 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             raw = text.encode()
             rows = [(key, a["start"], a["n"], a["trigger"], a["hot"], raw[a["start"] : a["start"] + a["n"] + width - 1]) for a in asked]
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)],
+                [
+                    pa.array(c, t) for c,
+                    t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
+                ],
                 names=["key", "start", "n", "trigger", "hot", "bytes"],
             )
 
@@ -416,7 +422,10 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
             total, down = _prefix_hash(np.frombuffer(raw, np.uint8))
             h = mix64((total[width : width + n] - total[:n]) * down[:n])
             second = [int.from_bytes(hashlib.blake2b(raw[i : i + width], digest_size=8).digest(), "little", signed=True) for i in range(n)]
-            yield pa.record_batch([pa.array(np.full(n, key)), pa.array(start + np.arange(n)), pa.array(h.view(np.int64)), pa.array(second, pa.int64())], names=["key", "start", "h1", "h2"])
+            yield pa.record_batch(
+                [pa.array(np.full(n, key)), pa.array(start + np.arange(n)), pa.array(h.view(np.int64)), pa.array(second, pa.int64())],
+                names=["key", "start", "h1", "h2"]
+            )
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -436,7 +445,9 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             out.append((doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         cols = list(zip(*out, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.record_batch(
+            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -447,7 +458,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return running(docs, [F.col("doc_id"), F.col("text")], {"key": F.lit(1)}).select(F.col("key").cast("long").alias("key"), "doc_id", "text")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT,
+    shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; ``kept`` are the bytes left."""
     spark = docs.sparkSession
     own = _keyed(id_text(docs, id_col, text_col))
@@ -455,15 +469,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = own.select("key", "text").mapInArrow(lambda it: _scan(it, width, gram, 8 * parts), "bucket int, kind int, rows binary")
     settled = stage(phrases.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settle(it, hot), _FOUND), "phrases")
     asked = settled.filter("trigger is not null").groupBy("key").agg(F.collect_list(F.struct("start", "n", "trigger", "hot")).alias("asked"))
-    cut = stage(own.select("key", "text").join(asked, "key").mapInArrow(lambda it: _cut(it, width), "key long, start long, n int, trigger long, hot boolean, bytes binary"), "asked")
+    cut = stage(
+        own.select("key", "text").join(asked, "key").mapInArrow(
+            lambda it: _cut(it, width), "key long, start long, n int, trigger long, hot boolean, bytes binary"
+        ),
+        "asked"
+    )
     mark = F.struct("start", "n").alias("mark")
     marks = settled.filter("trigger is null").select("key", mark)
     shards = cut.filter("not hot").select("trigger", "key", "start", "bytes").repartition(parts, "trigger").sortWithinPartitions("trigger")
     marks = marks.unionByName(shards.mapInArrow(lambda it: _index(it, width, shard_bytes), _FOUND).select("key", mark))
     if cut.filter("hot").limit(1).count():
-        windows = stage(cut.filter("hot").select("key", "start", "n", "bytes").mapInArrow(lambda it: _window_hashes(it, width), "key long, start long, h1 long, h2 long"), "windows")
+        windows = stage(
+            cut.filter("hot").select("key", "start", "n", "bytes").mapInArrow(
+                lambda it: _window_hashes(it, width), "key long, start long, h1 long, h2 long"
+            ),
+            "windows"
+        )
         first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "start")).alias("f"))
         later = windows.join(first, ["h1", "h2"]).filter(F.struct("key", "start") > F.col("f"))
         marks = marks.unionByName(later.select("key", F.struct("start", F.lit(1).alias("n")).alias("mark")))
     by_doc = marks.groupBy("key").agg(F.collect_list("mark").alias("marks"))
-    return own.join(by_doc, "key", "left").select("doc_id", "text", "marks").mapInArrow(lambda it: _remove(it, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return own.join(by_doc, "key", "left").select("doc_id", "text", "marks").mapInArrow(
+        lambda it: _remove(it, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    )

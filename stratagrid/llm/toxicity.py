@@ -154,7 +154,10 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, y: n
     return out, rows, total
 
 
-def fit(ids: np.ndarray, first: np.ndarray, y: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 5, batch: int = 32, rate: float = 0.05, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(
+    ids: np.ndarray, first: np.ndarray, y: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 5, batch: int = 32, rate: float = 0.05,
+    seed: int = 5
+) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     p = {"emb": rng.normal(0, 0.05, (SLOTS, dim)), "o": rng.normal(0, 0.1, len(WIDTHS) * filters), "c": np.array([-2.0])}
     p["emb"][:, 0] = np.clip(_presence(ids, first, y) / 10, -1, 2)
@@ -227,16 +230,24 @@ def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words = Words(texts, ALNUM)
         ids, first = slots(words)
         raw = [ids[a:b].astype("<u2").tobytes() for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(guess_language(words).astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "ids"])
+        yield pa.record_batch(
+            [batch.column("doc_id"), batch.column("y"), pa.array(guess_language(words).astype(np.int32)), pa.array(raw, pa.binary())],
+            names=["doc_id", "y", "lang", "ids"]
+        )
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCUMENTS, cut: float = 0.3) -> ConvModel | None:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+    limit: int = FIT_DOCUMENTS, cut: float = 0.3
+) -> ConvModel | None:
     """Fit on at most ``limit`` documents for which ``usable`` (over ``labels``) holds."""
     sample = labelled_sample(id_text(docs, id_col, text_col), labels, label, usable, limit)
     rows = bounded_rows(sample.mapInArrow(_sample_slots, "doc_id long, y int, lang int, ids binary"), "ids", FIT_BYTES)
     if not rows:
         return None
-    return train_on([np.frombuffer(r.ids, "<u2").reshape(-1, 3) for r in rows], np.array([r.lang for r in rows]), np.array([r.y for r in rows], float), cut)
+    return train_on(
+        [np.frombuffer(r.ids, "<u2").reshape(-1, 3) for r in rows], np.array([r.lang for r in rows]), np.array([r.y for r in rows], float), cut
+    )
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ConvModel | None) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,9 @@ class WordEncoder:
         # the same model for words of letters alone, which the normaliser and the pattern leave as they are
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ])
         ids = self._encode([part])[0]
         self.part_id = ids[0] if len(ids) == 1 else None
 
@@ -294,7 +296,10 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int)
         ids = np.frombuffer(b"".join(parts), kind)
         blob = pack_shard(np.array([-1 if d is None else d for d in docs], np.int64), lengths, ids, bits)
         return pa.record_batch(
-            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
+            [
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()),
+                pa.array([blob], pa.binary())
+            ],
             names=["part", "seq", "before", "n", "shard"],
         )
 
@@ -321,16 +326,22 @@ def _read(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[p
             starts = stops - m.lengths
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
             yield pa.record_batch(
-                [pa.array(m.doc_ids), pa.array(starts + base[part] + before), pa.array(m.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                [
+                    pa.array(m.doc_ids), pa.array(starts + base[part] + before), pa.array(m.lengths), pa.array(crc, pa.int64())
+                ], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def write_shards(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None
+) -> DataFrame:
     """Encode every text and store the shards; returns the stored table ``part, seq, before, n, shard``."""
     own = id_text(docs, id_col, text_col)
     by = ("doc_id", F.xxhash64("text"))  # rows that share an id, or have none, are dealt out too
     ranged = own.repartitionByRange(partitions, *by) if partitions else own.repartitionByRange(*by)
-    shards = ranged.sortWithinPartitions(*by, "text").mapInArrow(lambda it: _write(it, tokenizer, end_id, bits), "part int, seq int, before long, n long, shard binary")
+    shards = ranged.sortWithinPartitions(*by, "text").mapInArrow(
+        lambda it: _write(it, tokenizer, end_id, bits), "part int, seq int, before long, n long, shard binary"
+    )
     return stage(shards, "wavelet")
 
 

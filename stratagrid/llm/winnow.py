@@ -113,7 +113,9 @@ def _document_windows(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, le
         at, h, size, doc = at[order], h[order], size[order], doc[order]
         rel = (at - words.first[doc]).astype(np.int32)
         offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-        hits = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(rel), pa.array(size)], fields=list(_CANDIDATES.field("hits").type.value_type))
+        hits = pa.StructArray.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(rel), pa.array(size)], fields=list(_CANDIDATES.field("hits").type.value_type)
+        )
         yield pa.record_batch([batch.column("doc_id"), pa.array(words.count), pa.ListArray.from_arrays(pa.array(offsets), hits)], schema=_CANDIDATES)
 
 
