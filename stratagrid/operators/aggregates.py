@@ -12,7 +12,9 @@ CELL = ["cx", "cy"]
 
 def dtm(points: DataFrame) -> DataFrame:
     """Terrain: mean and number of ground points by cell."""
-    return points.filter(ground()).groupBy(*CELL).agg(ratio(F.sum(F.col("z_raw").cast("long")), F.count("*")).alias("z"), F.count("*").alias("n_ground"))
+    return points.filter(ground()).groupBy(*CELL).agg(
+        ratio(F.sum(F.col("z_raw").cast("long")), F.count("*")).alias("z"), F.count("*").alias("n_ground")
+    )
 
 
 def _z_order(seq: str | None) -> Column:
@@ -34,9 +36,11 @@ def dsm(points: DataFrame, gap: int | None = None, seq: str | None = None) -> Da
     aggs = [
         F.max(F.when(up, z)).alias("dsm"), top.alias("top"), F.count_if(up).alias("n_aerial"), F.count_if(down).alias("n_ground"),
         ratio(F.sum(F.when(up, z.cast("long"))), F.count_if(up)).alias("aerial_mean"), ratio(F.sum(F.when(down, z.cast("long"))), F.count_if(down)).alias("ground_mean"),
-    ]
+    ]
     out = points.filter(valid()).groupBy(*CELL).agg(*aggs)
-    more = {"source_id": F.when(F.col("n_aerial") > 0, F.col("top.source_id")), "return_number": F.when(F.col("n_aerial") > 0, F.col("top.return_number"))}
+    more = {
+        "source_id": F.when(F.col("n_aerial") > 0, F.col("top.source_id")), "return_number": F.when(F.col("n_aerial") > 0, F.col("top.return_number"))
+    }
     out = out.withColumns(more).drop("top")
     if gap is None:
         return out
@@ -59,7 +63,7 @@ def scan_metrics(points: DataFrame) -> DataFrame:
         n.alias("accepted"), (ratio(F.sum(F.when(ok, F.abs(angle))), n) * 0.006).alias("angle_mean_abs"), (F.min(F.when(ok, angle)) * 0.006).alias("angle_min"), (F.max(F.when(ok, angle)) * 0.006).alias("angle_max"),
         ratio(F.count_if(ok & F.col("scan_direction")), n).alias("direction_mean"), F.count_if(~ok).alias("noise_or_withheld"), F.count_if(ok & F.col("edge")).alias("edge_points"), F.count_if(ok & F.col("overlap")).alias("overlap_points"),
         F.min(F.when(ok, F.col("gps_time"))).alias("gps_min"), ratio(F.sum(F.when(ok, F.col("gps_time"))), n).alias("gps_mean"), F.max(F.when(ok, F.col("gps_time"))).alias("gps_max"),
-    )
+    )
 
 
 def orthoimage(points: DataFrame, bands: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
@@ -69,14 +73,18 @@ def orthoimage(points: DataFrame, bands: tuple[str, ...] = ("red", "green", "blu
     whole = lambda c, on: F.expr("null") if c is None else F.floor(ratio(F.sum(F.when(on, F.col(c).cast("long"))), F.count_if(on))).cast("long")
     return points.filter(rn <= 2).groupBy(*CELL).agg(
         *(whole(b, first).alias(b) for b in bands), whole("intensity", first).alias("intensity1"), whole("intensity", second).alias("intensity2"),
-        F.count_if(first).alias("n_first"), F.count_if(second).alias("n_second"), (ratio(F.sum(F.when(first | second, F.abs(F.col("scan_angle_raw").cast("long")))), F.count_if(first | second)) * 0.006).alias("angle_mean_abs"),
-    )
+        F.count_if(first).alias("n_first"), F.count_if(second).alias("n_second"), (ratio(
+            F.sum(F.when(first | second, F.abs(F.col("scan_angle_raw").cast("long")))), F.count_if(first | second)
+        ) * 0.006).alias("angle_mean_abs"),
+    )
 
 
 def intensity_slice(points_on_terrain: DataFrame, low: float, high: float) -> DataFrame:
     """Whole mean intensity of the points whose height over ``dtm`` is from ``low`` to ``high``, both included."""
     inside = valid() & (F.col("z_raw") - F.col("dtm")).between(low, high)
-    return points_on_terrain.filter(inside).groupBy(*CELL).agg(F.expr("sum(cast(intensity as bigint)) div count(*)").alias("intensity"), F.count("*").alias("n"))
+    return points_on_terrain.filter(inside).groupBy(*CELL).agg(
+        F.expr("sum(cast(intensity as bigint)) div count(*)").alias("intensity"), F.count("*").alias("n")
+    )
 
 
 # Names of the class counters; all other classes are counted together.
@@ -89,7 +97,10 @@ def class_counts(points: DataFrame, by: str = "tile") -> DataFrame:
     noise = {LOW_NOISE: "low_noise", HIGH_NOISE: "high_noise"}
     named = [F.count_if(ok & (cls == k)).alias(v) for k, v in CLASS_COUNTERS.items()]
     others = F.count_if(ok & ~cls.isin(*CLASS_COUNTERS)).alias("other")
-    return points.groupBy(by).agg(*named, *(F.count_if(cls == k).alias(v) for k, v in noise.items()), F.count_if(~ok & ~cls.isin(*noise)).alias("withheld_points"), others, F.count("*").alias("total"))
+    return points.groupBy(by).agg(
+        *named, *(F.count_if(cls == k).alias(v) for k, v in noise.items()), F.count_if(~ok & ~cls.isin(*noise)).alias("withheld_points"), others,
+        F.count("*").alias("total")
+    )
 
 
 def bounding_boxes(points: DataFrame, by: str = "tile") -> DataFrame:
@@ -112,7 +123,7 @@ def merge_statistics(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(
         F.sum("cells").alias("cells"), F.sum("no_data").alias("no_data"), F.min("minimum").alias("minimum"), mean.alias("mean"), F.max("maximum").alias("maximum"),
         F.sqrt(F.greatest(F.lit(0.0), ratio(squares, F.sum(n)) - mean * mean)).alias("sd"),
-    )
+    )
 
 
 #: Most bins of a histogram.
@@ -130,7 +141,10 @@ def histogram(rows: DataFrame, value: str, low: float, width: float, bins: int)
 def smallest_integer_type(rows: DataFrame, value: str) -> DataFrame:
     """Narrowest unsigned type that holds a band and leaves its greatest value for missing data."""
     top = F.max(value)
-    return rows.agg(top.alias("maximum"), F.when(top < 255, "uint8").when(top < 65535, "uint16").when(top < 4294967295, "uint32").otherwise("uint64").alias("type"))
+    return rows.agg(
+        top.alias("maximum"),
+        F.when(top < 255, "uint8").when(top < 65535, "uint16").when(top < 4294967295, "uint32").otherwise("uint64").alias("type")
+    )
 
 
 def percent_ground(points: DataFrame) -> DataFrame:
@@ -138,7 +152,9 @@ def percent_ground(points: DataFrame) -> DataFrame:
 
 
 # Least and greatest of each integer type, and the value that stands for missing data.
-_RANGES = {f"{'u' if u else ''}int{b}": (0 if u else -(1 << b - 1), (1 << b) - 1 if u else (1 << b - 1) - 1) for u in (True, False) for b in (8, 16, 32, 64)}
+_RANGES = {f"{'u' if u else ''}int{b}": (
+    0 if u else -(1 << b - 1), (1 << b) - 1 if u else (1 << b - 1) - 1
+) for u in (True, False) for b in (8, 16, 32, 64)}
 
 
 def saturating_cast(value: Column, kind: str) -> Column:

@@ -29,7 +29,9 @@ def interior_index(offset: Column, cell: float, size: int) -> Column:
 
 def with_cell(points: DataFrame, grid: GridSpec, keep_outside: bool = False) -> DataFrame:
     """Adds ``cx, cy``. Points off the grid are dropped, or kept with nulls."""
-    out = points.withColumns({"cx": _index(F.col("x_raw") - grid.x0, grid.cell, grid.size_x), "cy": _index(grid.y0 - F.col("y_raw"), grid.cell, grid.size_y)})
+    out = points.withColumns({
+        "cx": _index(F.col("x_raw") - grid.x0, grid.cell, grid.size_x), "cy": _index(grid.y0 - F.col("y_raw"), grid.cell, grid.size_y)
+    })
     return out if keep_outside else out.filter("cx is not null and cy is not null")
 
 
@@ -46,8 +48,12 @@ def cells_under(extents: DataFrame, grid: GridSpec) -> DataFrame:
     """One row for each cell that an extent ``xmin, xmax, ymin, ymax`` meets, clipped to the grid."""
     clip = lambda c, size: F.greatest(F.lit(0), F.least(c, F.lit(size - 1))).cast("int")
     meets = (F.col("xmax") >= grid.x0) & (F.col("xmin") <= grid.x0 + grid.cell * grid.size_x) & (F.col("ymin") <= grid.y0) & (F.col("ymax") >= grid.y0 - grid.cell * grid.size_y)
-    x = F.sequence(clip(F.floor((F.col("xmin") - grid.x0) / grid.cell), grid.size_x), clip(F.floor((F.col("xmax") - grid.x0) / grid.cell), grid.size_x))
-    y = F.sequence(clip(F.floor((grid.y0 - F.col("ymax")) / grid.cell), grid.size_y), clip(F.floor((grid.y0 - F.col("ymin")) / grid.cell), grid.size_y))
+    x = F.sequence(
+        clip(F.floor((F.col("xmin") - grid.x0) / grid.cell), grid.size_x), clip(F.floor((F.col("xmax") - grid.x0) / grid.cell), grid.size_x)
+    )
+    y = F.sequence(
+        clip(F.floor((grid.y0 - F.col("ymax")) / grid.cell), grid.size_y), clip(F.floor((grid.y0 - F.col("ymin")) / grid.cell), grid.size_y)
+    )
     return extents.filter(meets).withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
 
 

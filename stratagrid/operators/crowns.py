@@ -124,7 +124,10 @@ def crowns(cells: DataFrame, treetops: DataFrame, cell: float, rules: CrownRules
     by blocks; a cell is sent to its own block and to those within ``reach``, at most four of them, and blocks without trees get none.
     """
     own_top = [F.col(c).cast("double").alias(c) if {"z", "h"} <= set(treetops.columns) else F.lit(math.nan).alias(c) for c in ("z", "h")]
-    tops = treetops.select(F.col("tree_id").cast("long").alias("tree_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *own_top, _block("cx").alias("bx"), _block("cy").alias("by"))
+    tops = treetops.select(
+        F.col("tree_id").cast("long").alias("tree_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *own_top, _block("cx").alias("bx"),
+        _block("cy").alias("by")
+    )
     own = _with_halo(cells.select(*CELL, F.col("dsm").cast("double").alias("dsm"), F.col("chm").cast("double").alias("chm")), reach)
     own = own.join(tops.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
 
@@ -139,7 +142,10 @@ def crowns(cells: DataFrame, treetops: DataFrame, cell: float, rules: CrownRules
         trees = trees.sort_values("tree_id")
         for i in range(0, len(trees), SIDE_BY_SIDE):
             some = trees.iloc[i : i + SIDE_BY_SIDE]
-            tree, r, c, cost = cost_fields(dsm, chm, some.ty.to_numpy(np.int64) - y0, some.tx.to_numpy(np.int64) - x0, cell, rules, some.z.to_numpy(float), some.h.to_numpy(float), reach)
+            tree, r, c, cost = cost_fields(
+                dsm, chm, some.ty.to_numpy(np.int64) - y0, some.tx.to_numpy(np.int64) - x0, cell, rules, some.z.to_numpy(float),
+                some.h.to_numpy(float), reach
+            )
             ids, cost = some.tree_id.to_numpy(np.int64)[tree], np.round(cost, 9)
             inside = (r >= 0) & (r < shape[0]) & (c >= 0) & (c < shape[1])
             ids, r, c, cost = ids[inside], r[inside], c[inside], cost[inside]
@@ -158,7 +164,10 @@ def crowns(cells: DataFrame, treetops: DataFrame, cell: float, rules: CrownRules
 
 
 # Land cover classes by code.
-LAND_COVER = ("unclassified", "bare", "bare_shadow", "brown_tree", "grey_tree", "conifer", "conifer_shadow", "conifer_deep_shadow", "hardwood", "hardwood_shadow", "hardwood_deep_shadow")
+LAND_COVER = (
+    "unclassified", "bare", "bare_shadow", "brown_tree", "grey_tree", "conifer", "conifer_shadow", "conifer_deep_shadow", "hardwood",
+    "hardwood_shadow", "hardwood_deep_shadow"
+)
 
 
 def crown_classes(crown_cells: DataFrame, treetops: DataFrame, classes: DataFrame, reach: int = REACH) -> DataFrame:
@@ -167,10 +176,15 @@ def crown_classes(crown_cells: DataFrame, treetops: DataFrame, classes: DataFram
     Crowns are grouped by the block of their treetop, and in a block all spread from their treetops at once. A treetop whose cell
     belongs to no crown, or to another tree's, is an error when the result is computed.
     """
-    tops = treetops.select(F.col("tree_id").cast("long").alias("tree_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), _block("cx").alias("bx"), _block("cy").alias("by"))
+    tops = treetops.select(
+        F.col("tree_id").cast("long").alias("tree_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), _block("cx").alias("bx"),
+        _block("cy").alias("by")
+    )
     at_top = crown_cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("tree_id").alias("owner"))
     wrong = F.concat(F.lit("treetop "), F.col("tree_id"), F.lit(" is not in its own crown"))
-    tops = tops.join(at_top, ["tx", "ty"], "left").withColumn("ok", F.assert_true(F.col("owner") == F.col("tree_id"), wrong)).filter("ok is null").drop("ok", "owner")
+    tops = tops.join(at_top, ["tx", "ty"], "left").withColumn(
+        "ok", F.assert_true(F.col("owner") == F.col("tree_id"), wrong)
+    ).filter("ok is null").drop("ok", "owner")
     both = crown_cells.select(*CELL, "tree_id").join(classes.select(*CELL, "class"), CELL, "left").join(tops, "tree_id")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,9 @@ def _moments(value: Column, mean: Column, n: Column, prefix: str) -> dict[str, C
         f"{prefix}_mean": F.max(mean),
         f"{prefix}_sd": F.sqrt(var),
         f"{prefix}_skew": F.when(count > 2, F.try_divide(F.try_divide(s3, F.pow(spread, F.lit(1.5))) * count, (count - 1) * (count - 2))),
-        f"{prefix}_kurtosis": F.when(count > 3, F.try_divide(F.try_divide(s4, spread * spread) * count * (count + 1), (count - 1) * (count - 2) * (count - 3))),
+        f"{prefix}_kurtosis": F.when(
+            count > 3, F.try_divide(F.try_divide(s4, spread * spread) * count * (count + 1), (count - 1) * (count - 2) * (count - 3))
+        ),
     }
 
 
@@ -51,7 +53,9 @@ def grid_metrics(points: DataFrame, ground: DataFrame | None = None, step: int =
     rows = rows.withColumn("i_at", F.row_number().over(cell.orderBy("i"))).withColumn("z_at", F.row_number().over(cell.orderBy("z")))
     z, i, n = F.col("z"), F.col("i"), F.col("n")
     total = lambda c: F.sum(c.cast("long")).over(cell)
-    rows = rows.withColumns({"n": F.count("*").over(cell), "z_low": F.min("z").over(cell), "z_top": F.max("z").over(cell), "z_sum": total(z), "i_sum": total(i)})
+    rows = rows.withColumns({
+        "n": F.count("*").over(cell), "z_low": F.min("z").over(cell), "z_top": F.max("z").over(cell), "z_sum": total(z), "i_sum": total(i)
+    })
     at = {k: F.max(F.when(F.col("z_at") == quantile_place(n, k, 20), z)).over(cell) for k in _SUMMED}
     rows = rows.withColumns({f"z_at{k}": v for k, v in at.items()})
     rows = rows.withColumn("k", F.floor((z - F.col("z_low")) / step + 0.5)).withColumn("alike", F.count("*").over(Window.partitionBy(*CELL, "k")))
@@ -89,4 +93,6 @@ def grid_metrics(points: DataFrame, ground: DataFrame | None = None, step: int =
 def ground_under(terrain: DataFrame, times: int) -> DataFrame:
     """Mean terrain of the fine cells whose centres are inside a cell ``times`` as wide."""
     key = {"bx": F.floor(F.col("cx") / times).cast("int"), "by": F.floor(F.col("cy") / times).cast("int")}
-    return terrain.withColumns(key).groupBy("bx", "by").agg(F.avg("z").alias("z_ground_mean")).select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "z_ground_mean")
+    return terrain.withColumns(key).groupBy("bx", "by").agg(F.avg("z").alias("z_ground_mean")).select(
+        F.col("bx").alias("cx"), F.col("by").alias("cy"), "z_ground_mean"
+    )

@@ -21,9 +21,14 @@ def bilinear(points: DataFrame, raster: DataFrame, grid: GridSpec, value: str =
 
     A 2 by 2 neighbourhood is spread from the raster, so points are joined once; null where one of the four is missing.
     """
-    spread = raster.select("cx", "cy", F.col(value).alias("v"), F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (0, 1) for y in (0, 1)))).alias("d"))
+    spread = raster.select(
+        "cx", "cy", F.col(value).alias("v"),
+        F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (0, 1) for y in (0, 1)))).alias("d")
+    )
     corner = lambda x, y: F.max(F.when((F.col("d.dx") == x) & (F.col("d.dy") == y), F.col("v"))).alias(f"v{x}{y}")
-    four = spread.groupBy((F.col("cx") - F.col("d.dx")).alias("cx"), (F.col("cy") - F.col("d.dy")).alias("cy")).agg(*(corner(x, y) for x in (0, 1) for y in (0, 1)))
+    four = spread.groupBy(
+        (F.col("cx") - F.col("d.dx")).alias("cx"), (F.col("cy") - F.col("d.dy")).alias("cy")
+    ).agg(*(corner(x, y) for x in (0, 1) for y in (0, 1)))
     fx, fy = (F.col("x_raw") - grid.x0) / grid.cell - F.col("cx"), (grid.y0 - F.col("y_raw")) / grid.cell - F.col("cy")
     blend = (1 - fx) * (1 - fy) * F.col("v00") + fx * (1 - fy) * F.col("v10") + (1 - fx) * fy * F.col("v01") + fx * fy * F.col("v11")
     return points.join(four, CELL, "left").withColumn(value, blend).drop("v00", "v10", "v01", "v11")

@@ -35,7 +35,9 @@ def ring_offsets(most: int = RINGS) -> list[tuple[int, int, int]]:
 def peaks(cells: DataFrame, value: str) -> DataFrame:
     """Cells without a higher one among the eight around; ``level`` is 1 where one of these is equal, else 0."""
     centre = (F.col("dx") == 0) & (F.col("dy") == 0)
-    got = scatter(cells, value, square()).groupBy(*CELL).agg(F.max(F.when(centre, F.col("v"))).alias("z"), F.max(F.when(~centre, F.col("v"))).alias("around"))
+    got = scatter(cells, value, square()).groupBy(*CELL).agg(
+        F.max(F.when(centre, F.col("v"))).alias("z"), F.max(F.when(~centre, F.col("v"))).alias("around")
+    )
     ok = F.col("z").isNotNull() & (F.col("around").isNull() | (F.col("around") <= F.col("z")))
     return got.filter(ok).select(*CELL, "z", F.coalesce((F.col("around") == F.col("z")).cast("int"), F.lit(0)).alias("level"))
 
@@ -44,8 +46,12 @@ def with_rings(tops: DataFrame, cells: DataFrame, value: str, most: int | Column
     """``tops`` by ring: ``hx, hy, z0, ring, dx, dy, v``."""
     offsets = F.array(*(F.struct(F.lit(r).alias("ring"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for r, x, y in ring_offsets(limit)))
     asked = tops.withColumn("d", F.explode(F.filter(offsets, lambda d: d["ring"] <= most)))
-    asked = asked.withColumns({"hx": F.col("cx"), "hy": F.col("cy"), "cx": F.col("cx") + F.col("d.dx"), "cy": F.col("cy") + F.col("d.dy"), "z0": F.col("z")}).drop("z")
-    return asked.join(cells.filter(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v")), CELL).withColumns({"ring": F.col("d.ring"), "dx": F.col("d.dx"), "dy": F.col("d.dy")}).drop("d", "cx", "cy")
+    asked = asked.withColumns({
+        "hx": F.col("cx"), "hy": F.col("cy"), "cx": F.col("cx") + F.col("d.dx"), "cy": F.col("cy") + F.col("d.dy"), "z0": F.col("z")
+    }).drop("z")
+    return asked.join(
+        cells.filter(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v")), CELL
+    ).withColumns({"ring": F.col("d.ring"), "dx": F.col("d.dx"), "dy": F.col("d.dy")}).drop("d", "cx", "cy")
 
 
 def local_maxima(cells: DataFrame, value: str, statistics: int = 5) -> DataFrame:
@@ -56,13 +62,20 @@ def local_maxima(cells: DataFrame, value: str, statistics: int = 5) -> DataFrame
     figures = []
     for k in range(1, statistics + 1):
         on = F.when(ring == k, v)
-        figures += [F.max(on).alias(f"ring{k}_max"), F.avg(on).alias(f"ring{k}_mean"), F.min(on).alias(f"ring{k}_min"), F.var_pop(on).alias(f"ring{k}_variance")]
+        figures += [
+            F.max(on).alias(f"ring{k}_max"), F.avg(on).alias(f"ring{k}_mean"), F.min(on).alias(f"ring{k}_min"),
+            F.var_pop(on).alias(f"ring{k}_variance")
+        ]
     got = met.groupBy("hx", "hy").agg(F.min(F.when(F.col("v") > F.col("z0"), ring)).alias("first"), *figures)
     names = [f"ring{k}_{n}" for k in range(1, statistics + 1) for n in ("max", "mean", "min", "variance")]
-    return tops.join(got.withColumnsRenamed({"hx": "cx", "hy": "cy"}), CELL, "left").select(*CELL, "z", F.coalesce("first", F.lit(RINGS)).alias("radius"), *names)
+    return tops.join(got.withColumnsRenamed({"hx": "cx", "hy": "cy"}), CELL, "left").select(
+        *CELL, "z", F.coalesce("first", F.lit(RINGS)).alias("radius"), *names
+    )
 
 
-def tops_by_radius(cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, slope: float = 0.055, base: float = 0.4, most: float = 5.0) -> DataFrame:
+def tops_by_radius(
+    cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, slope: float = 0.055, base: float = 0.4, most: float = 5.0
+) -> DataFrame:
     """Cells that nothing within ``min(slope h + base, most)`` metres is above, at least ``minimum`` high; ``level`` is 1 beside an equal one.
 
     ``metres`` is the width of a cell; heights are in metres.
@@ -73,7 +86,10 @@ def tops_by_radius(cells: DataFrame, value: str, height: str, metres: float, min
     rows = F.greatest(F.floor(radius + 0.5), F.lit(1)).cast("int")
     reach = int(most / metres + 0.5) + 1
     y = F.sequence(-rows, rows)
-    wide = lambda dy: F.greatest(F.when(F.abs(dy) < radius, F.floor(F.sqrt(F.greatest(radius * radius - dy * dy, F.lit(0.0))) + 0.5)).otherwise(0), F.when(F.abs(dy) < 2, 1).otherwise(0)).cast("int")
+    wide = lambda dy: F.greatest(
+        F.when(F.abs(dy) < radius, F.floor(F.sqrt(F.greatest(radius * radius - dy * dy, F.lit(0.0))) + 0.5)).otherwise(0),
+        F.when(F.abs(dy) < 2, 1).otherwise(0)
+    ).cast("int")
     disc = F.flatten(F.transform(y, lambda dy: F.transform(F.sequence(-wide(dy), wide(dy)), lambda dx: F.struct(dx.alias("dx"), dy.alias("dy")))))
     asked = tops.select(F.col("cx").alias("hx"), F.col("cy").alias("hy"), "z", F.explode(disc).alias("d")).filter(F.abs("d.dx") <= reach)
     asked = asked.select("hx", "hy", "z", (F.col("hx") + F.col("d.dx")).alias("cx"), (F.col("hy") + F.col("d.dy")).alias("cy"))
@@ -87,7 +103,9 @@ def treetops_by_radius(cells: DataFrame, value: str, height: str, metres: float,
     return kept.filter("level = 0").drop("level"), kept.filter("level > 0").drop("level")
 
 
-def treetops_by_rings(cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, unit: float = 1.0, prominence: float = 0.02) -> DataFrame:
+def treetops_by_rings(
+    cells: DataFrame, value: str, height: str, metres: float, minimum: float = 1.5, unit: float = 1.0, prominence: float = 0.02
+) -> DataFrame:
     """Peaks that the inner rings do not exceed and whose mean rise over the rings' tops passes ``prominence`` of the height.
 
     ``unit`` is the length of one unit of ``value`` in metres. A ring without cells rules a peak out. ``radius`` counts the rings, from
@@ -99,13 +117,18 @@ def treetops_by_rings(cells: DataFrame, value: str, height: str, metres: float,
     half = F.floor(most / 2) + 0.5
     tops = tops.withColumns({"most": most, "inner": F.greatest(F.bround(half), F.lit(1)).cast("int") + 1})
     met = with_rings(tops, cells, value, F.col("most"), min(RINGS, int(4.0 / metres + 0.5)))
-    by_ring = met.groupBy("hx", "hy", "ring").agg(F.first("z0").alias("z"), F.first("h").alias("h"), F.first("most").alias("most"), F.first("inner").alias("inner"), F.max("v").alias("top"))
+    by_ring = met.groupBy("hx", "hy", "ring").agg(
+        F.first("z0").alias("z"), F.first("h").alias("h"), F.first("most").alias("most"), F.first("inner").alias("inner"), F.max("v").alias("top")
+    )
     got = by_ring.groupBy("hx", "hy").agg(
         F.first("z").alias("z"), F.first("h").alias("h"), F.first("most").alias("most"), F.count("*").alias("rings"), F.sum(F.col("z") - F.col("top")).alias("net"),
         F.max(F.when(F.col("ring") <= F.col("inner"), F.col("top"))).alias("near"), F.first("inner").alias("inner"), F.min(F.when(F.col("top") >= F.col("z"), F.col("ring") - 1)).alias("clear"),
-    )
+    )
     ok = (F.col("rings") == F.col("most")) & (F.col("near") <= F.col("z")) & (F.col("net") * unit / F.col("h") > prominence)
-    return got.filter(ok).select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "h", (F.col("net") * unit / F.col("h")).alias("prominence"), (F.col("near") == F.col("z")).alias("patch"), F.coalesce("clear", "most").alias("radius"), "most", "inner")
+    return got.filter(ok).select(
+        F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "h", (F.col("net") * unit / F.col("h")).alias("prominence"),
+        (F.col("near") == F.col("z")).alias("patch"), F.coalesce("clear", "most").alias("radius"), "most", "inner"
+    )
 
 
 def _id() -> Column:
@@ -116,7 +139,9 @@ def _id() -> Column:
 def _equal_neighbours(level: DataFrame) -> DataFrame:
     """Edges ``a, b`` between adjacent cells of one height."""
     half = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((1, 0), (-1, 1), (0, 1), (1, 1))))
-    sent = level.select(_id().alias("a"), "z", "cx", "cy", F.explode(half).alias("d")).select("a", "z", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+    sent = level.select(_id().alias("a"), "z", "cx", "cy", F.explode(half).alias("d")).select(
+        "a", "z", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy")
+    )
     return sent.join(level.select(*CELL, "z", _id().alias("b")), [*CELL, "z"]).select("a", "b")
 
 
@@ -135,7 +160,10 @@ def patches(level: DataFrame, edges: DataFrame | None = None, most_rounds: int =
         more.append((F.max("radius") + 0.5 * F.hypot(*wide)).alias("radius"))
     got = own.groupBy("_label", "z").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.count("*").alias("cells"), *more)
     cy, cx = unpack_cell(F.col("_label"))
-    return got.select(cx.alias("cx"), cy.alias("cy"), (F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells", *(c for c in ("h", "radius", "ground") if c in level.columns))
+    return got.select(
+        cx.alias("cx"), cy.alias("cy"), (F.col("mx") + 0.5).alias("x"), (F.col("my") + 0.5).alias("y"), "z", "cells",
+        *(c for c in ("h", "radius", "ground") if c in level.columns)
+    )
 
 
 def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, ground: str | None = None, **rules: float) -> DataFrame:
@@ -145,7 +173,9 @@ def treetop_patches(cells: DataFrame, value: str, height: str, metres: float, gr
 
 def _radius_patches(level: DataFrame, cells: DataFrame, value: str, height: str, ground: str | None) -> DataFrame:
     where = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in square()))
-    sent = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).select((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z", "radius")
+    sent = level.select(*CELL, "z", "radius", F.explode(where).alias("d")).select(
+        (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "z", "radius"
+    )
     near = sent.groupBy(*CELL, "z").agg(F.max("radius").alias("radius"))
     known = [F.col(ground).alias("ground")] if ground else []
     return patches(near.join(cells.select(*CELL, F.col(value).alias("v"), F.col(height).alias("h"), *known), CELL).filter("v = z").drop("v"))
@@ -155,9 +185,14 @@ def ring_patches(found: DataFrame, cells: DataFrame, value: str, height: str, gr
     """Treetops of several cells by the ring method: peaks ``found`` with the equal cells of their inner rings, which need not be adjacent."""
     level = found.filter("patch").select(*CELL, "z", "most", "inner")
     met = with_rings(level, cells, value, F.least("inner", "most")).filter("v = z0")
-    pairs = stage(met.select("hx", "hy", (F.col("hx") + F.col("dx")).alias("ox"), (F.col("hy") + F.col("dy")).alias("oy"), F.col("z0").alias("z"), "most"), "ring-pairs")
+    pairs = stage(
+        met.select("hx", "hy", (F.col("hx") + F.col("dx")).alias("ox"), (F.col("hy") + F.col("dy")).alias("oy"), F.col("z0").alias("z"), "most"),
+        "ring-pairs"
+    )
     edges = pairs.select(pack_cell(F.col("hy"), F.col("hx")).alias("a"), pack_cell(F.col("oy"), F.col("ox")).alias("b"))
-    members = pairs.select(F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "most").unionByName(pairs.select(F.col("ox").alias("cx"), F.col("oy").alias("cy"), "z", "most"))
+    members = pairs.select(
+        F.col("hx").alias("cx"), F.col("hy").alias("cy"), "z", "most"
+    ).unionByName(pairs.select(F.col("ox").alias("cx"), F.col("oy").alias("cy"), "z", "most"))
     known = [F.col(ground).alias("ground")] if ground else []
     nodes = members.groupBy(*CELL, "z").agg(F.max("most").alias("radius")).join(cells.select(*CELL, F.col(height).alias("h"), *known), CELL)
     return patches(nodes, edges)
@@ -185,7 +220,10 @@ def find_treetops(cells: DataFrame, method: str, grid: GridSpec, minimum: float
         found = stage(tops_by_radius(known, value, "chm", metres, minimum), "tops")
         single = found.filter("level = 0").select(*CELL, "radius")
         several = _radius_patches(found.filter("level > 0").drop("level"), known, value, "chm", "ground")
-    ones = single.join(known, CELL).select(*CELL, (F.col("cx") + 0.5).alias("x"), (F.col("cy") + 0.5).alias("y"), F.col("radius").cast("double").alias("radius"), F.col("chm").alias("h"), "ground", F.lit(1).cast("long").alias("cells"))
+    ones = single.join(known, CELL).select(
+        *CELL, (F.col("cx") + 0.5).alias("x"), (F.col("cy") + 0.5).alias("y"), F.col("radius").cast("double").alias("radius"),
+        F.col("chm").alias("h"), "ground", F.lit(1).cast("long").alias("cells")
+    )
     tops = ones.unionByName(several.select(*CELL, "x", "y", F.col("radius").cast("double").alias("radius"), "h", "ground", "cells"))
     x, y = grid.x0 * grid.scale + F.col("x") * metres, grid.y0 * grid.scale - F.col("y") * metres
     return running(tops, [F.col("cy"), F.col("cx")], {"tree_id": F.lit(1)}).select(

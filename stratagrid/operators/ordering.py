@@ -16,7 +16,12 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     """
     names = [f"_order{k}" for k in range(len(order))]
     keyed = df.withColumns(dict(zip(names, order, strict=True)))
-    ranged = stage(keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ordered")
+    ranged = stage(
+        keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumns({
+            "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()
+        }),
+        "ordered"
+    )
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_{n}") for n, v in sums.items()))
     before = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(upto), F.lit(0)).alias(f"_{n}") for n in sums))

@@ -30,7 +30,9 @@ def tile_grid(tiles: DataFrame) -> DataFrame:
         raise ValueError(f"tiles differ in system, cell or size: {[tuple(s) for s in shapes]}" if shapes else "a virtual raster has at least one tile")
     west, north = tiles.agg(F.min("x0"), F.max("y0")).first()
     wide, high = shapes[0].cell * shapes[0].size_x, shapes[0].cell * shapes[0].size_y
-    placed = tiles.withColumns({"tile_x": F.bround((F.col("x0") - west) / wide).cast("int"), "tile_y": F.bround((north - F.col("y0")) / high).cast("int")})
+    placed = tiles.withColumns({
+        "tile_x": F.bround((F.col("x0") - west) / wide).cast("int"), "tile_y": F.bround((north - F.col("y0")) / high).cast("int")
+    })
     return assemble([placed])
 
 

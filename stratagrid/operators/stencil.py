@@ -86,7 +86,9 @@ def slope_aspect_of(cells: DataFrame, values: list[str], cell_size: float) -> Da
 
     Bands are scattered as rows of one table, so all of them take one shuffle and one more brings them side by side.
     """
-    long = cells.select(*CELL, F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in values))).alias("b")).select(*CELL, "b.band", "b.v")
+    long = cells.select(
+        *CELL, F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in values))).alias("b")
+    ).select(*CELL, "b.band", "b.v")
     got = slope_aspect(long, "v", cell_size, ["band"])
     pick = lambda b, c: F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{b}_{c}")
     return got.groupBy(*CELL).agg(*(pick(b, c) for b in values for c in ("slope", "aspect")))
@@ -109,7 +111,10 @@ def slope_aspect(cells: DataFrame, value: str, cell_size: float, by: list[str] |
     known = c("fx").isNotNull() & c("fy").isNotNull()
     turn = -F.degrees(F.atan2("fx", "fy")) - 90
     turn = F.when(turn < 0, turn + 360).otherwise(turn)
-    return both.select(*keys, F.when(known, F.degrees(F.atan(F.sqrt(c("fx") * c("fx") + c("fy") * c("fy"))))).alias("slope"), F.when(known, F.when(turn == 360, 0.0).otherwise(turn)).alias("aspect"))
+    return both.select(
+        *keys, F.when(known, F.degrees(F.atan(F.sqrt(c("fx") * c("fx") + c("fy") * c("fy"))))).alias("slope"),
+        F.when(known, F.when(turn == 360, 0.0).otherwise(turn)).alias("aspect")
+    )
 
 
 # Fixed value: the diagonal of a cell as the fill rules use it.
@@ -128,17 +133,23 @@ def fill(cells: DataFrame, grid_cells: DataFrame, value: str, reach: int, direct
         rays += [(dx, dy, d) for dx in (1, -1) for dy in (1, -1) for d in range(1, diagonal + 1)]
     holes = grid_cells.join(cells.filter(F.col(value).isNotNull()).select(*CELL), CELL, "left_anti")
     asks = F.explode(F.array(*(F.struct(F.lit(x).alias("rx"), F.lit(y).alias("ry"), F.lit(d).alias("d")) for x, y, d in rays))).alias("r")
-    asked = holes.select(F.col("cx").alias("hx"), F.col("cy").alias("hy"), asks).select("hx", "hy", "r.*", (F.col("hx") + F.col("r.rx") * F.col("r.d")).alias("cx"), (F.col("hy") + F.col("r.ry") * F.col("r.d")).alias("cy"))
+    asked = holes.select(F.col("cx").alias("hx"), F.col("cy").alias("hy"), asks).select(
+        "hx", "hy", "r.*", (F.col("hx") + F.col("r.rx") * F.col("r.d")).alias("cx"), (F.col("hy") + F.col("r.ry") * F.col("r.d")).alias("cy")
+    )
     found = asked.join(cells.filter(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v")), CELL)
     nearest = found.groupBy("hx", "hy", "rx", "ry").agg(F.min(F.struct("d", "v")).alias("m"))
     diag = (F.col("rx") != 0) & (F.col("ry") != 0)
     d = F.col("m.d").cast("double")
     weight = F.when(diag, 0.5 / (d * d)).otherwise(1 / (d * d)) if square_weights else F.when(diag, 1 / (DIAGONAL * d)).otherwise(1 / d)
     filled = nearest.groupBy(F.col("hx").alias("cx"), F.col("hy").alias("cy")).agg((F.sum(weight * F.col("m.v")) / F.sum(weight)).alias(value))
-    return cells.filter(F.col(value).isNotNull()).select(*CELL, F.col(value).cast("double").alias(value), F.lit(False).alias("filled")).unionByName(filled.withColumn("filled", F.lit(True)))
+    return cells.filter(F.col(value).isNotNull()).select(
+        *CELL, F.col(value).cast("double").alias(value), F.lit(False).alias("filled")
+    ).unionByName(filled.withColumn("filled", F.lit(True)))
 
 
-def fill_all(cells: DataFrame, grid_cells: DataFrame, value: str, reach: int, rounds: int, directions: int = 8, square_weights: bool = False) -> DataFrame:
+def fill_all(
+    cells: DataFrame, grid_cells: DataFrame, value: str, reach: int, rounds: int, directions: int = 8, square_weights: bool = False
+) -> DataFrame:
     """Passes until no hole is left, ``rounds`` are done or a pass fills nothing; each pass reads the staged table of the one before."""
     total, before = grid_cells.count(), -1
     for _ in range(rounds):

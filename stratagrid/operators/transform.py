@@ -54,9 +54,13 @@ def raw_bounds(points: DataFrame, key: str = "tile") -> DataFrame:
 
 def rotated_extent(extents: DataFrame) -> DataFrame:
     """Extents after rotation by ``angle`` about the origin and a shift by ``tx, ty``: bounds of the four corners."""
-    corner = lambda x, y: (F.col(x) * F.cos("angle") - F.col(y) * F.sin("angle") + F.col("tx"), F.col(x) * F.sin("angle") + F.col(y) * F.cos("angle") + F.col("ty"))
+    corner = lambda x, y: (
+        F.col(x) * F.cos("angle") - F.col(y) * F.sin("angle") + F.col("tx"), F.col(x) * F.sin("angle") + F.col(y) * F.cos("angle") + F.col("ty")
+    )
     xs, ys = zip(*(corner(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")), strict=True)
-    return extents.select("*", F.least(*xs).alias("new_xmin"), F.greatest(*xs).alias("new_xmax"), F.least(*ys).alias("new_ymin"), F.greatest(*ys).alias("new_ymax"))
+    return extents.select(
+        "*", F.least(*xs).alias("new_xmin"), F.greatest(*xs).alias("new_xmax"), F.least(*ys).alias("new_ymin"), F.greatest(*ys).alias("new_ymax")
+    )
 
 
 def snapped_grid(extents: DataFrame, cell: float) -> DataFrame:
@@ -64,7 +68,9 @@ def snapped_grid(extents: DataFrame, cell: float) -> DataFrame:
     lo = lambda c: F.floor(F.col(c) / cell) * cell
     hi = lambda c: F.ceil(F.col(c) / cell) * cell
     out = extents.withColumns({"gx0": lo("xmin"), "gx1": hi("xmax"), "gy0": lo("ymin"), "gy1": hi("ymax")})
-    return out.withColumns({"size_x": ((F.col("gx1") - F.col("gx0")) / cell).cast("int"), "size_y": ((F.col("gy1") - F.col("gy0")) / cell).cast("int")})
+    return out.withColumns({
+        "size_x": ((F.col("gx1") - F.col("gx0")) / cell).cast("int"), "size_y": ((F.col("gy1") - F.col("gy0")) / cell).cast("int")
+    })
 
 
 @dataclass(frozen=True)
@@ -99,7 +105,7 @@ def _for_each(values: float | list[float], n: int, name: str) -> list[float]:
 def registration(
     spark: SparkSession, tiles: list[str], anchor: Anchor, rotation: float | list[float] | None = None, declination: float | list[float] | None = None, nudge_x: float | list[float] = 0.0, nudge_y: float | list[float] = 0.0,
     scanner_unit: float = 1.0, horizontal_unit: float = 1.0, vertical_unit: float = 1.0, first_source_id: int = 1,
-) -> DataFrame:
+) -> DataFrame:
     """How each file is placed: ``tile, tx, ty, angle, new_source_id`` for its points, and ``x_offset, y_offset, z_offset, xy_scale_change, z_scale_change`` for its header.
 
     Degrees turn counterclockwise; a declination turns the other way and excludes a rotation. Angles and nudges are one for all files or
@@ -110,8 +116,14 @@ def registration(
     n, (x, y, z) = len(tiles), anchor.place()
     degrees = _for_each(rotation if rotation is not None else 0.0, n, "rotation") if declination is None else [-d for d in _for_each(declination, n, "declination")]
     xs, ys = _for_each(nudge_x, n, "nudge_x"), _for_each(nudge_y, n, "nudge_y")
-    rows = [(t, 0.0, 0.0, math.radians(d), first_source_id + k, x + dx, y + dy, z, scanner_unit / horizontal_unit, scanner_unit / vertical_unit) for k, (t, d, dx, dy) in enumerate(zip(tiles, degrees, xs, ys, strict=True))]
-    return spark.createDataFrame(rows, "tile string, tx double, ty double, angle double, new_source_id int, x_offset double, y_offset double, z_offset double, xy_scale_change double, z_scale_change double")
+    rows = [
+        (t, 0.0, 0.0, math.radians(d), first_source_id + k, x + dx, y + dy, z, scanner_unit / horizontal_unit, scanner_unit / vertical_unit) for k,
+        (t, d, dx, dy) in enumerate(zip(tiles, degrees, xs, ys, strict=True))
+    ]
+    return spark.createDataFrame(
+        rows,
+        "tile string, tx double, ty double, angle double, new_source_id int, x_offset double, y_offset double, z_offset double, xy_scale_change double, z_scale_change double"
+    )
 
 
 def registered_headers(headers: DataFrame, params: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def linear_crs(south_west: tuple[float, float], north_west: tuple[float, float])
 def crs_conversion(
     headers: DataFrame, project: Callable[[float, float, float], tuple[float, float, float]], input_scale: float = 1.0, horizontal_unit: tuple[float, float] = (1.0, 1.0), vertical_unit: tuple[float, float] = (1.0, 1.0),
     maintain_origin: bool = False, nudge: tuple[float, float, float] = (0.0, 0.0, 0.0),
-) -> DataFrame:
+) -> DataFrame:
     """How each file of ``headers`` goes to another system, linearised at its origin: ``tile, tx, ty, tz, angle`` and its new scales and offsets.
 
     ``project`` takes a place of the old system to the new one; it is asked for the origin, which is moved to the middle of the

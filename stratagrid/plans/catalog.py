@@ -135,13 +135,19 @@ def band_stats(spark, sf_dir):
     return rounded(agg.band_statistics(agg.dsm(binned(spark, sf_dir)), "dsm", []))
 
 
-@query(with_points(f"SELECT tile, band, {_STATS} FROM (SELECT concat('r', cy // 10, 'c', cx // 10) AS tile, 'dsm' AS band, CAST(dsm AS DOUBLE) AS v FROM surface UNION ALL SELECT concat('r', cy // 10, 'c', cx // 10), 'ground_mean', ground_mean FROM surface) GROUP BY tile, band", SURFACE))
+@query(with_points(
+    f"SELECT tile, band, {_STATS} FROM (SELECT concat('r', cy // 10, 'c', cx // 10) AS tile, 'dsm' AS band, CAST(dsm AS DOUBLE) AS v FROM surface UNION ALL SELECT concat('r', cy // 10, 'c', cx // 10), 'ground_mean', ground_mean FROM surface) GROUP BY tile, band",
+    SURFACE
+))
 def tile_stats(spark, sf_dir):
     long = raster.unpivot_bands(agg.dsm(binned(spark, sf_dir)).withColumn("tile", raster.tile_of(10)), ["dsm", "ground_mean"], ["tile"])
     return rounded(agg.band_statistics(long, "value", ["tile", "band"]))
 
 
-@query(with_points("SELECT CAST(CASE WHEN b BETWEEN 0 AND 11 THEN b ELSE -1 END AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM (SELECT floor((dsm - 30000) / 2500.0) AS b FROM surface WHERE dsm IS NOT NULL) GROUP BY ALL", SURFACE))
+@query(with_points(
+    "SELECT CAST(CASE WHEN b BETWEEN 0 AND 11 THEN b ELSE -1 END AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM (SELECT floor((dsm - 30000) / 2500.0) AS b FROM surface WHERE dsm IS NOT NULL) GROUP BY ALL",
+    SURFACE
+))
 def band_histogram(spark, sf_dir):
     return agg.histogram(agg.dsm(binned(spark, sf_dir)), "dsm", 30000, 2500.0, 12)
 
@@ -176,7 +182,10 @@ def chm(spark, sf_dir):
     return rounded(agg.chm(agg.dsm(p), agg.dtm(p).filter("(cx + cy) % 3 <> 0")).select("cx", "cy", "chm"), *CELL)
 
 
-@query(with_points("SELECT cx, cy, CAST(max(z_raw) FILTER (WHERE z_raw <= dsm - 2000) AS BIGINT) AS subsurface FROM p JOIN surface USING (cx, cy) WHERE ok AND classification <> 2 GROUP BY cx, cy", SURFACE))
+@query(with_points(
+    "SELECT cx, cy, CAST(max(z_raw) FILTER (WHERE z_raw <= dsm - 2000) AS BIGINT) AS subsurface FROM p JOIN surface USING (cx, cy) WHERE ok AND classification <> 2 GROUP BY cx, cy",
+    SURFACE
+))
 def subsurface(spark, sf_dir):
     return rounded(agg.dsm(binned(spark, sf_dir), gap=2000).filter("n_aerial > 0").select("cx", "cy", "subsurface"), *CELL)
 
@@ -209,7 +218,9 @@ _ENTROPY = """SELECT cx, cy, round(sum(c / n * ln(c / n)) / ln(1 / any_value(h))
   SELECT cx, cy, k, CAST(count(*) AS DOUBLE) AS c, any_value(n) AS n, any_value(h) AS h FROM (
     SELECT cx, cy, n, ceil((z[n] - z[1]) / 1000.0 + 0.5) + 1 AS h, floor((unnest(z) - z[1]) / 1000.0 + 0.5) AS k FROM g) GROUP BY cx, cy, k) GROUP BY cx, cy"""
 _ZPCUM = "SELECT cx, cy, " + ", ".join(f"round(len(list_filter(z, lambda x: (x - z[1]) * 10 < {q} * (z[n] - z[1]))) / n, 6) AS zpcum{10 * q}" for q in range(1, 10)) + " FROM g"
-_RETURNS = "SELECT cx, cy, " + ", ".join(f"round(count(*) FILTER (WHERE return_number={k}) / count(*), 6) AS p_{n}" for k, n in enumerate(gm.RETURNS, 1)) + ", round(count(*) FILTER (WHERE classification=2) / count(*), 6) AS p_ground FROM p WHERE ok GROUP BY cx, cy"
+_RETURNS = "SELECT cx, cy, " + ", ".join(
+    f"round(count(*) FILTER (WHERE return_number={k}) / count(*), 6) AS p_{n}" for k, n in enumerate(gm.RETURNS, 1)
+) + ", round(count(*) FILTER (WHERE classification=2) / count(*), 6) AS p_ground FROM p WHERE ok GROUP BY cx, cy"
 _I50 = "(CASE WHEN n < 20 THEN greatest(CAST(floor(10*n/20.0 + 0.5) AS INT) - 1, 0) ELSE 10*n//20 - 1 END)"
 _INTENSITY = (
     "SELECT cx, cy, CAST(max(i[n]) AS BIGINT) AS i_max, " + ", ".join(f"any_value({c}) AS {c}" for c in ("i_mean", "i_sd", "i_skew", "i_kurtosis")) + ", "
@@ -240,7 +251,10 @@ def _metrics(spark, sf_dir):
     return gm.grid_metrics(binned(spark, sf_dir))
 
 
-@query(with_points(" JOIN ".join([f"SELECT * FROM ({_CORE})", *(f"({x}) USING (cx, cy)" for x in (_ZQ, _ENTROPY, _ZPCUM, _RETURNS, _INTENSITY, _above_sql(1)))]), f"{_H}, {TERRAIN}"))
+@query(with_points(
+    " JOIN ".join([f"SELECT * FROM ({_CORE})", *(f"({x}) USING (cx, cy)" for x in (_ZQ, _ENTROPY, _ZPCUM, _RETURNS, _INTENSITY, _above_sql(1)))]),
+    f"{_H}, {TERRAIN}"
+))
 def grid_metrics(spark, sf_dir):
     """All bands at once: one shuffle of the points."""
     p = binned(spark, sf_dir)
@@ -290,7 +304,10 @@ def gm_ground(spark, sf_dir):
 # --- lookups ---
 
 
-@query(with_points("SELECT cx, cy, CAST(sum(intensity) // count(*) AS BIGINT) AS intensity, CAST(count(*) AS BIGINT) AS n FROM p JOIN terrain USING (cx, cy) WHERE ok AND z_raw - z BETWEEN -5000 AND 10000 GROUP BY cx, cy", TERRAIN))
+@query(with_points(
+    "SELECT cx, cy, CAST(sum(intensity) // count(*) AS BIGINT) AS intensity, CAST(count(*) AS BIGINT) AS n FROM p JOIN terrain USING (cx, cy) WHERE ok AND z_raw - z BETWEEN -5000 AND 10000 GROUP BY cx, cy",
+    TERRAIN
+))
 def intensity_slice(spark, sf_dir):
     p = binned(spark, sf_dir)
     return rounded(agg.intensity_slice(lookup.on_terrain(p, agg.dtm(p)), -5000, 10000), *CELL)
@@ -318,7 +335,10 @@ def bilinear_lookup(spark, sf_dir):
     return got.groupBy(*CELL).agg(F.count("*").alias("n"), F.round(F.sum("z") + 0.0000001, 3).alias("z_sum"))
 
 
-@query(with_points("SELECT cx, cy, CAST(count(*) AS BIGINT) AS n FROM p WHERE ok AND EXISTS (SELECT 1 FROM surface s WHERE s.cx = p.cx AND s.cy = p.cy AND s.dsm > 55000) GROUP BY cx, cy", SURFACE))
+@query(with_points(
+    "SELECT cx, cy, CAST(count(*) AS BIGINT) AS n FROM p WHERE ok AND EXISTS (SELECT 1 FROM surface s WHERE s.cx = p.cx AND s.cy = p.cy AND s.dsm > 55000) GROUP BY cx, cy",
+    SURFACE
+))
 def cell_mask(spark, sf_dir):
     p = binned(spark, sf_dir)
     return lookup.masked(p.filter(valid()), agg.dsm(p).filter("dsm > 55000")).groupBy(*CELL).agg(F.count("*").alias("n"))
@@ -349,7 +369,9 @@ def _stencil_sql(cells: str) -> str:
 
 
 def _full(spark, sf_dir):
-    cells = grid_cells(spark, sf_dir).join(agg.dsm(binned(spark, sf_dir)).select("cx", "cy", F.col("dsm").cast("double").alias("z")), list(CELL), "left")
+    cells = grid_cells(spark, sf_dir).join(
+        agg.dsm(binned(spark, sf_dir)).select("cx", "cy", F.col("dsm").cast("double").alias("z")), list(CELL), "left"
+    )
     return cells.withColumn("measured", (F.col("cx") * 7 + F.col("cy") * 3) % 11 != 0)
 
 
@@ -359,13 +381,19 @@ def mean3x3(spark, sf_dir):
     return rounded(stencil.mean3(_full(spark, sf_dir), "z", side, side), *CELL)
 
 
-@query(with_points("SELECT cx, cy, round(z, 6) AS z FROM three", f"{_FULL}, {_NINE}, one AS ({_mean_sql('cells')}), two AS ({_mean_sql('one')}), three AS ({_mean_sql('two')})"))
+@query(with_points(
+    "SELECT cx, cy, round(z, 6) AS z FROM three",
+    f"{_FULL}, {_NINE}, one AS ({_mean_sql('cells')}), two AS ({_mean_sql('one')}), three AS ({_mean_sql('two')})"
+))
 def smooth_three(spark, sf_dir):
     side = grid(spark, sf_dir).size_x
     return rounded(stencil.smooth(_full(spark, sf_dir), "z", side, side, 3), *CELL)
 
 
-@query(with_points("SELECT cx, cy, round(z, 6) AS z FROM three", f"{_FULL}, {_NINE}, one AS ({_stencil_sql('cells')}), two AS ({_stencil_sql('one')}), three AS ({_stencil_sql('two')})"))
+@query(with_points(
+    "SELECT cx, cy, round(z, 6) AS z FROM three",
+    f"{_FULL}, {_NINE}, one AS ({_stencil_sql('cells')}), two AS ({_stencil_sql('one')}), three AS ({_stencil_sql('two')})"
+))
 def stencil_smooth(spark, sf_dir):
     """Three rounds of smoothing with the measured cells put back."""
     side = grid(spark, sf_dir).size_x
@@ -393,7 +421,10 @@ def slope_aspect(spark, sf_dir):
 _CMM = "SELECT c.cx, c.cy, sum((2-abs(dx))*(2-abs(dy))*o.z) / sum((2-abs(dx))*(2-abs(dy))) AS z FROM cells c, d JOIN cells o ON o.cx = c.cx + dx AND o.cy = c.cy + dy GROUP BY c.cx, c.cy"
 
 
-@query(with_points(f"SELECT cx, cy, a.slope AS z_slope, a.aspect AS z_aspect, b.slope AS cmm_slope, b.aspect AS cmm_aspect FROM ({_slope_sql('cells')}) a JOIN ({_slope_sql('cmm')}) b USING (cx, cy)", f"{HOLED}, {_NINE}, cmm AS ({_CMM})"))
+@query(with_points(
+    f"SELECT cx, cy, a.slope AS z_slope, a.aspect AS z_aspect, b.slope AS cmm_slope, b.aspect AS cmm_aspect FROM ({_slope_sql('cells')}) a JOIN ({_slope_sql('cmm')}) b USING (cx, cy)",
+    f"{HOLED}, {_NINE}, cmm AS ({_CMM})"
+))
 def slope_aspect_bands(spark, sf_dir):
     """Slope and aspect of the surface and of the canopy maxima model together."""
     cells = holed(spark, sf_dir)
@@ -411,7 +442,7 @@ def _fill_sql(reach: int, directions: int, squared: bool) -> str:
     return with_points(f"""SELECT cx, cy, round(z, 6) AS z, false AS filled FROM cells UNION ALL
       SELECT hx, hy, round(sum(w * z) / sum(w), 6), true FROM (SELECT hx, hy, z, CAST({weight} AS DOUBLE) AS w FROM (
         SELECT hx, hy, rx, ry, min(d)::DOUBLE AS d, arg_min(c.z, d) AS z FROM holes, r JOIN cells c ON c.cx = hx + rx*d AND c.cy = hy + ry*d GROUP BY hx, hy, rx, ry)) GROUP BY hx, hy""",
-        f"{HOLED}, r AS (SELECT * FROM (VALUES {values}) t(rx, ry, d)), holes AS (SELECT a.x AS hx, b.x AS hy FROM xs a, xs b WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.cx = a.x AND c.cy = b.x))")
+        f"{HOLED}, r AS (SELECT * FROM (VALUES {values}) t(rx, ry, d)), holes AS (SELECT a.x AS hx, b.x AS hy FROM xs a, xs b WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.cx = a.x AND c.cy = b.x))")
 
 
 def _fill(directions: int, squared: bool):
@@ -434,12 +465,21 @@ _RINGS = """rings AS (SELECT x AS dx, y AS dy, CAST(floor(sqrt(x*x + y*y) + 0.5)
   met AS (SELECT t.cx, t.cy, t.z AS z0, ring, o.z AS v FROM tops t, rings JOIN cells o ON o.cx = t.cx + dx AND o.cy = t.cy + dy)"""
 
 
-@query(with_points("SELECT t.cx, t.cy, t.z, CAST(coalesce(min(ring) FILTER (WHERE v > z0), 10) AS BIGINT) AS radius FROM tops t LEFT JOIN met USING (cx, cy) GROUP BY t.cx, t.cy, t.z", f"{HOLED}, {_TOPS}, {_RINGS}"))
+@query(with_points(
+    "SELECT t.cx, t.cy, t.z, CAST(coalesce(min(ring) FILTER (WHERE v > z0), 10) AS BIGINT) AS radius FROM tops t LEFT JOIN met USING (cx, cy) GROUP BY t.cx, t.cy, t.z",
+    f"{HOLED}, {_TOPS}, {_RINGS}"
+))
 def local_maxima(spark, sf_dir):
     return rounded(maxima.local_maxima(holed(spark, sf_dir), "z", 0), *CELL)
 
 
-@query(with_points("SELECT cx, cy, " + ", ".join(f"round({f}(v) FILTER (WHERE ring = {k}), {4 if n == 'variance' else 6}) AS ring{k}_{n}" for k in range(1, 6) for n, f in (("max", "max"), ("mean", "avg"), ("min", "min"), ("variance", "var_pop"))) + " FROM met GROUP BY cx, cy", f"{HOLED}, {_TOPS}, {_RINGS}"))
+@query(with_points(
+    "SELECT cx, cy, " + ", ".join(
+        f"round({f}(v) FILTER (WHERE ring = {k}), {4 if n == 'variance' else 6}) AS ring{k}_{n}" for k in range(1, 6) for n,
+        f in (("max", "max"), ("mean", "avg"), ("min", "min"), ("variance", "var_pop"))
+    ) + " FROM met GROUP BY cx, cy",
+    f"{HOLED}, {_TOPS}, {_RINGS}"
+))
 def ring_stats(spark, sf_dir):
     got = maxima.local_maxima(holed(spark, sf_dir), "z")
     return got.select("cx", "cy", *(F.round(c, 4 if c.endswith("variance") else 6).alias(c) for c in got.columns if c.startswith("ring")))
@@ -492,10 +532,15 @@ def tile_sample(spark, sf_dir):
 _EXT = "CASE doc_id % 8 WHEN 0 THEN 'las' WHEN 1 THEN 'laz' WHEN 2 THEN 'tif' WHEN 3 THEN 'jpg' WHEN 4 THEN 'ldr' WHEN 5 THEN 'geoslam' WHEN 6 THEN 'fjdslam' ELSE 'txt' END"
 
 
-@query("SELECT concat('/', source) AS path, " + ", ".join(f"CAST(sum(CASE WHEN e = '{e}' THEN n_chars ELSE 0 END) AS BIGINT) AS {k}" for k, e in {"fjdslam": "fjdslam", "geoslam": "geoslam", "jpeg": "jpg", "ldr": "ldr", "las": "las", "laz": "laz", "tiff": "tif"}.items()) + f", CAST(sum(n_chars) AS BIGINT) AS total FROM (SELECT *, {_EXT} AS e FROM documents) GROUP BY source")
+@query("SELECT concat('/', source) AS path, " + ", ".join(
+    f"CAST(sum(CASE WHEN e = '{e}' THEN n_chars ELSE 0 END) AS BIGINT) AS {k}" for k,
+    e in {"fjdslam": "fjdslam", "geoslam": "geoslam", "jpeg": "jpg", "ldr": "ldr", "las": "las", "laz": "laz", "tiff": "tif"}.items()
+) + f", CAST(sum(n_chars) AS BIGINT) AS total FROM (SELECT *, {_EXT} AS e FROM documents) GROUP BY source")
 def file_tree_size(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return tree_size(docs.select(F.expr(f"concat('/', source, '/', cast(doc_id as string), '.', {_EXT})").alias("path"), F.col("n_chars").alias("length")))
+    return tree_size(docs.select(
+        F.expr(f"concat('/', source, '/', cast(doc_id as string), '.', {_EXT})").alias("path"), F.col("n_chars").alias("length")
+    ))
 
 
 #: Boxes of one to eight metres around places that the suppliers' keys give, some of them across the edge of the grid or off it.
@@ -517,7 +562,10 @@ def extent_cells(spark, sf_dir):
     return cells_under(_boxes(spark, sf_dir), grid(spark, sf_dir)).select("id", "cx", "cy")
 
 
-@query(with_points("SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax", _BOXES))
+@query(with_points(
+    "SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax",
+    _BOXES
+))
 def extent_overlaps(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
     return overlapping(boxes, boxes, 10000)
@@ -540,7 +588,9 @@ _EXTENTS = "ext AS (SELECT tile, min(x_raw) AS xmin, max(x_raw) AS xmax, min(y_r
 
 
 def _extents(spark, sf_dir):
-    return points(spark, sf_dir).groupBy("tile").agg(F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax"))
+    return points(spark, sf_dir).groupBy("tile").agg(
+        F.min("x_raw").alias("xmin"), F.max("x_raw").alias("xmax"), F.min("y_raw").alias("ymin"), F.max("y_raw").alias("ymax")
+    )
 
 
 @query(with_points("""SELECT tile, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) AS ymin, round(max(y), 6) AS ymax FROM (
@@ -554,12 +604,17 @@ def rotated_extents(spark, sf_dir):
 @query(with_points("""SELECT tile, CAST(x0 AS BIGINT) AS gx0, CAST(x1 AS BIGINT) AS gx1, CAST(y0 AS BIGINT) AS gy0, CAST(y1 AS BIGINT) AS gy1, CAST((x1 - x0) / 1500 AS INT) AS size_x, CAST((y1 - y0) / 1500 AS INT) AS size_y FROM (
   SELECT tile, floor(xmin / 1500.0) * 1500 AS x0, ceil(xmax / 1500.0) * 1500 AS x1, floor(ymin / 1500.0) * 1500 AS y0, ceil(ymax / 1500.0) * 1500 AS y1 FROM ext)""", _EXTENTS))
 def snapped_grids(spark, sf_dir):
-    return transform.snapped_grid(_extents(spark, sf_dir), 1500).select("tile", *(F.col(c).cast("long").alias(c) for c in ("gx0", "gx1", "gy0", "gy1")), "size_x", "size_y")
+    return transform.snapped_grid(_extents(spark, sf_dir), 1500).select(
+        "tile", *(F.col(c).cast("long").alias(c) for c in ("gx0", "gx1", "gy0", "gy1")), "size_x", "size_y"
+    )
 
 
 @query(with_points("SELECT tile, round(min(600000 + x_raw * 0.001::DOUBLE), 6) AS x_min, round(max(z_raw * 0.001::DOUBLE), 6) AS z_max, round(max(z_raw * 0.3048::DOUBLE), 6) AS z_metres FROM p GROUP BY tile"))
 def scaled_coordinates(spark, sf_dir):
-    xyz = points(spark, sf_dir).select("tile", coordinate(F.col("x_raw"), 0.001, 600000.0).alias("x"), coordinate(F.col("z_raw"), 0.001, 0.0).alias("z"), to_metres(F.col("z_raw"), True).alias("m"))
+    xyz = points(spark, sf_dir).select(
+        "tile", coordinate(F.col("x_raw"), 0.001, 600000.0).alias("x"), coordinate(F.col("z_raw"), 0.001, 0.0).alias("z"),
+        to_metres(F.col("z_raw"), True).alias("m")
+    )
     return rounded(xyz.groupBy("tile").agg(F.min("x").alias("x_min"), F.max("z").alias("z_max"), F.max("m").alias("z_metres")), "tile")
 
 
@@ -589,11 +644,16 @@ def misaligned_tiles(spark, sf_dir):
 
 @query(with_points("SELECT tile_x, CAST(0 AS INT) AS tile_y, tile, CAST(n AS BIGINT) AS n FROM (SELECT CAST(substr(tile, 2) AS INT) AS tile_x, tile, count(*) AS n FROM p GROUP BY tile)"))
 def assembled_tiles(spark, sf_dir):
-    n = points(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("n")).select(F.substring("tile", 2, 9).cast("int").alias("tile_x"), F.lit(0).alias("tile_y"), "tile", "n")
+    n = points(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("n")).select(
+        F.substring("tile", 2, 9).cast("int").alias("tile_x"), F.lit(0).alias("tile_y"), "tile", "n"
+    )
     return raster.assemble([n.filter("tile_x < 3"), n.filter("tile_x >= 3")])
 
 
-@query(with_points("SELECT cx, cy, 'z' AS band, round(z, 6) AS value FROM terrain UNION ALL SELECT cx, cy, 'n_ground', CAST(n_ground AS DOUBLE) FROM terrain", TERRAIN))
+@query(with_points(
+    "SELECT cx, cy, 'z' AS band, round(z, 6) AS value FROM terrain UNION ALL SELECT cx, cy, 'n_ground', CAST(n_ground AS DOUBLE) FROM terrain",
+    TERRAIN
+))
 def band_rows(spark, sf_dir):
     return rounded(raster.unpivot_bands(agg.dtm(binned(spark, sf_dir)), ["z", "n_ground"], list(CELL)), *CELL)
 

@@ -27,12 +27,17 @@ def register_points(spark, sf_dir):
     """Clouds of a scanner in metres placed in a system in feet: declination and nudge by file, source ids counted up."""
     p = points(spark, sf_dir)
     at = transform.Anchor(latitude=44.5, longitude=-123.25, z=12.5, project=lambda lat, lon, z: (600000.0, 4900000.0, z))
-    params = transform.registration(spark, _TILES, at, declination=[3.5 * k - 9 for k in range(8)], nudge_x=[10.0 * k for k in range(8)], scanner_unit=1.0, horizontal_unit=0.3048, vertical_unit=0.3048, first_source_id=20)
+    params = transform.registration(
+        spark, _TILES, at, declination=[3.5 * k - 9 for k in range(8)], nudge_x=[10.0 * k for k in range(8)], scanner_unit=1.0,
+        horizontal_unit=0.3048, vertical_unit=0.3048, first_source_id=20
+    )
     moved = transform.register(p, params, fix_classes=True).groupBy("tile").agg(
         F.max("source_id").alias("source_id"), F.sum("x_raw").alias("x_sum"), F.sum("y_raw").alias("y_sum"), F.min("x_raw").alias("x_min"), F.max("y_raw").alias("y_max"), F.count_if(F.col("classification") == 1).alias("ones")
     )
     heads = p.select("tile").distinct().select("tile", *(F.lit(0.001).alias(f"{a}_scale") for a in "xyz"))
-    new = transform.registered_headers(heads, params).select("tile", *(F.round(f"{a}_offset", 6).alias(f"{a}_offset") for a in "xyz"), *(F.round(f"{a}_scale", 12).alias(f"{a}_scale") for a in "xz"))
+    new = transform.registered_headers(heads, params).select(
+        "tile", *(F.round(f"{a}_offset", 6).alias(f"{a}_offset") for a in "xyz"), *(F.round(f"{a}_scale", 12).alias(f"{a}_scale") for a in "xz")
+    )
     return moved.join(new, "tile")
 
 
@@ -51,11 +56,19 @@ def convert_crs(spark, sf_dir):
     """Clouds carried to a turned system in feet, their origin moved to the middle of their bounds."""
     p = points(spark, sf_dir)
     span = [f(f"{a}_raw").alias(f"{a}_{m}") for a in "xyz" for m, f in (("min", F.min), ("max", F.max))]
-    heads = p.groupBy("tile").agg(*span).select("tile", *((F.col(f"{a}_{m}") * F.lit(0.001)).alias(f"{a}_{m}") for a in "xyz" for m in ("min", "max")), *(F.lit(0.001).alias(f"{a}_scale") for a in "xyz"), *(F.lit(0.0).alias(f"{a}_offset") for a in "xyz"))
+    heads = p.groupBy("tile").agg(*span).select(
+        "tile", *((F.col(f"{a}_{m}") * F.lit(0.001)).alias(f"{a}_{m}") for a in "xyz" for m in ("min", "max")),
+        *(F.lit(0.001).alias(f"{a}_scale") for a in "xyz"), *(F.lit(0.0).alias(f"{a}_offset") for a in "xyz")
+    )
     params = transform.crs_conversion(heads, _affine, horizontal_unit=(1.0, 0.3048), vertical_unit=(1.0, 0.3048), nudge=(0.0, 0.0, 1.0))
     params = params.withColumns({f"t{a}": F.round(f"t{a}", 6) for a in "xyz"})
-    moved = transform.rotate_shift(p, params).groupBy("tile").agg(F.min("x_raw").alias("x_min"), F.max("y_raw").alias("y_max"), F.sum("z_raw").alias("z_sum"))
-    new = params.select("tile", *(F.round(f"{a}_scale", 9).alias(f"{a}_scale") for a in "xz"), *(F.round(f"{a}_offset", 4).alias(f"{a}_offset") for a in "xyz"), F.round("angle", 9).alias("angle"))
+    moved = transform.rotate_shift(p, params).groupBy("tile").agg(
+        F.min("x_raw").alias("x_min"), F.max("y_raw").alias("y_max"), F.sum("z_raw").alias("z_sum")
+    )
+    new = params.select(
+        "tile", *(F.round(f"{a}_scale", 9).alias(f"{a}_scale") for a in "xz"), *(F.round(f"{a}_offset", 4).alias(f"{a}_offset") for a in "xyz"),
+        F.round("angle", 9).alias("angle")
+    )
     return moved.join(new, "tile")
 
 
@@ -70,7 +83,10 @@ def _places(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").distinct().filter(k % 5 != 0)
     x0, y0 = (k % 977 * 50 + 300).cast("double"), (7000 - F.floor(k / 977) * 50).cast("double")
-    return rows.select(F.concat(F.lit("tile"), k).alias("tile"), x0.alias("x0"), y0.alias("y0"), F.lit(2.0).alias("cell"), F.lit(25).alias("size_x"), F.lit(25).alias("size_y"), F.lit("EPSG:32610").alias("crs"))
+    return rows.select(
+        F.concat(F.lit("tile"), k).alias("tile"), x0.alias("x0"), y0.alias("y0"), F.lit(2.0).alias("cell"), F.lit(25).alias("size_x"),
+        F.lit(25).alias("size_y"), F.lit("EPSG:32610").alias("crs")
+    )
 
 
 @query(f"WITH {_ORDERS} SELECT tile, CAST(round((x0 - (SELECT min(x0) FROM places)) / 50) AS INT) AS tile_x, CAST(round(((SELECT max(y0) FROM places) - y0) / 50) AS INT) AS tile_y FROM places")
@@ -89,12 +105,20 @@ def tiles_by_place(spark, sf_dir):
     return raster.matching_tile(clouds, tiles).select("cloud", "tile")
 
 
-@query(with_points("SELECT cx, cy, CAST(dsm AS BIGINT) AS dsm, round(ground_mean, 6) AS ground_mean, round(z, 6) AS z, CAST(n_ground AS BIGINT) AS n_ground FROM surface FULL JOIN terrain USING (cx, cy)", f"{SURFACE}, {TERRAIN}"))
+@query(with_points(
+    "SELECT cx, cy, CAST(dsm AS BIGINT) AS dsm, round(ground_mean, 6) AS ground_mean, round(z, 6) AS z, CAST(n_ground AS BIGINT) AS n_ground FROM surface FULL JOIN terrain USING (cx, cy)",
+    f"{SURFACE}, {TERRAIN}"
+))
 def vrt_assemble(spark, sf_dir):
     """Bands of two rasters stacked, after their tile sets are found to agree."""
     p, g = binned(spark, sf_dir), grid(spark, sf_dir)
-    tiles = spark.createDataFrame([("whole", float(g.x0), float(g.y0), float(g.cell), g.size_x, g.size_y, "EPSG:32610")], "tile string, x0 double, y0 double, cell double, size_x int, size_y int, crs string")
-    return rounded(raster.stack_bands({"dsm": (agg.dsm(p), ["dsm", "ground_mean"]), "dtm": (agg.dtm(p), ["z", "n_ground"])}, {"dsm": tiles, "dtm": tiles}), *CELL)
+    tiles = spark.createDataFrame(
+        [("whole", float(g.x0), float(g.y0), float(g.cell), g.size_x, g.size_y, "EPSG:32610")],
+        "tile string, x0 double, y0 double, cell double, size_x int, size_y int, crs string"
+    )
+    return rounded(
+        raster.stack_bands({"dsm": (agg.dsm(p), ["dsm", "ground_mean"]), "dtm": (agg.dtm(p), ["z", "n_ground"])}, {"dsm": tiles, "dtm": tiles}), *CELL
+    )
 
 
 # --- indices, types, names ---
@@ -108,11 +132,17 @@ def interior_indices(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(interior_index(at, 2.5, 40).alias("cx")).groupBy("cx").agg(F.count("*").alias("n"))
 
 
-_NARROW = {"uint8": (0, 254, 255), "int8": (-127, 127, -128), "uint16": (0, 65534, 65535), "int16": (-32767, 32767, -32768), "uint32": (0, 4294967294, 4294967295), "int32": (-2147483647, 2147483647, -2147483648)}
+_NARROW = {
+    "uint8": (0, 254, 255), "int8": (-127, 127, -128), "uint16": (0, 65534, 65535), "int16": (-32767, 32767, -32768),
+    "uint32": (0, 4294967294, 4294967295), "int32": (-2147483647, 2147483647, -2147483648)
+}
 _VALUE = "CASE WHEN l_linenumber = 4 THEN NULL ELSE (l_extendedprice - 20000) * CASE l_linenumber WHEN 1 THEN 0.003 WHEN 2 THEN 1 WHEN 3 THEN 100000 ELSE 0.5 END END"
 
 
-@query("SELECT " + ", ".join(f"CAST(sum(CASE WHEN v IS NULL THEN {missing} ELSE least(greatest(v, {low}), {high}) END) AS BIGINT) AS {k}, CAST(count(v) AS BIGINT) AS {k}_known" for k, (low, high, missing) in _NARROW.items()) + f" FROM (SELECT round_even(CAST({_VALUE} AS DECIMAL(38, 6)), 0) AS v FROM lineitem)")
+@query("SELECT " + ", ".join(
+    f"CAST(sum(CASE WHEN v IS NULL THEN {missing} ELSE least(greatest(v, {low}), {high}) END) AS BIGINT) AS {k}, CAST(count(v) AS BIGINT) AS {k}_known" for k,
+    (low, high, missing) in _NARROW.items()
+) + f" FROM (SELECT round_even(CAST({_VALUE} AS DECIMAL(38, 6)), 0) AS v FROM lineitem)")
 def narrowed_bands(spark, sf_dir):
     """Doubles held to the ranges of integer types, with their values for missing data, and back."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr(_VALUE).cast("decimal(38,6)").alias("v"))
@@ -123,7 +153,12 @@ def narrowed_bands(spark, sf_dir):
 @query("""SELECT doc_id, concat('tile', doc_id) AS name, concat('/data/a.b/tile', doc_id, ' registered.las') AS written, concat('/data/a.b/tile', doc_id, '.gpkg') AS layer, concat('/dtm/tile', doc_id, '.tif') AS raster FROM documents""")
 def tile_names(spark, sf_dir):
     """File names of a cloud: its tile, where its registered copy and its layer go, and its terrain raster by name."""
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("/data/a.b/tile"), F.col("doc_id").cast("string"), F.lit(".las")).alias("path"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.concat(F.lit("/data/a.b/tile"), F.col("doc_id").cast("string"), F.lit(".las")).alias("path")
+    )
     rasters = files.select(F.concat(F.lit("/dtm/"), tile_name(F.col("path")), F.lit(".tif")).alias("path"))
     path = F.col("path")
-    return paired_files(files, rasters).select("doc_id", tile_name(path).alias("name"), append_to_name(path, " registered").alias("written"), replace_extension(path, ".gpkg").alias("layer"), "raster")
+    return paired_files(files, rasters).select(
+        "doc_id", tile_name(path).alias("name"), append_to_name(path, " registered").alias("written"),
+        replace_extension(path, ".gpkg").alias("layer"), "raster"
+    )

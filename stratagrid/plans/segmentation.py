@@ -74,7 +74,10 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(recursive(with_points(" UNION ALL ".join(_tops_sql(n, m) for n, m in (("chm_", "ChmRadius"), ("dsm_", "DsmRadius"), ("ring", "DsmRing"))), f"{_STEPS}, {_radius_sql('chm', 'chm_')}, {_radius_sql('dsm', 'dsm_')}, {_RING}")))
+@query(recursive(with_points(
+    " UNION ALL ".join(_tops_sql(n, m) for n, m in (("chm_", "ChmRadius"), ("dsm_", "DsmRadius"), ("ring", "DsmRing"))),
+    f"{_STEPS}, {_radius_sql('chm', 'chm_')}, {_radius_sql('dsm', 'dsm_')}, {_RING}"
+)))
 def treetops_full(spark, sf_dir):
     """Treetops by all three methods as the rows of a layer, patches merged."""
     cells, out = stage(_steps(spark, sf_dir), "steps"), None
@@ -84,7 +87,10 @@ def treetops_full(spark, sf_dir):
     return out.select("method", "tree_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "elevation", "height", "radius")), "cells")
 
 
-@query(recursive(with_points("SELECT CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, round(x, 6) AS x, round(y, 6) AS y, v AS z, CAST(cells AS BIGINT) AS cells, round(h, 6) AS h, round(radius, 6) AS radius FROM dsm_", f"{_STEPS}, {_radius_sql('dsm', 'dsm_')}")))
+@query(recursive(with_points(
+    "SELECT CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, round(x, 6) AS x, round(y, 6) AS y, v AS z, CAST(cells AS BIGINT) AS cells, round(h, 6) AS h, round(radius, 6) AS radius FROM dsm_",
+    f"{_STEPS}, {_radius_sql('dsm', 'dsm_')}"
+)))
 def treetop_patches(spark, sf_dir):
     """Treetops of several equal cells, which ``treetops_radius`` leaves out."""
     return rounded(maxima.treetop_patches(_steps(spark, sf_dir), "dsm", "chm", 1.0), *CELL)
@@ -102,7 +108,9 @@ _LAYER = [f"ring{k}_{n}" for k in (1, 2) for n in ("max", "mean", "min", "varian
 def maxima_layer(spark, sf_dir):
     """Local maxima with their source, canopy height, canopy maxima model and the figures of two rings."""
     p = binned(spark, sf_dir)
-    surface = agg.chm(agg.dsm(p), agg.dtm(p)).join(catalog.holed(spark, sf_dir).select("cx", "cy"), list(CELL), "left_semi").withColumn("dsm", F.col("dsm").cast("double"))
+    surface = agg.chm(agg.dsm(p), agg.dtm(p)).join(
+        catalog.holed(spark, sf_dir).select("cx", "cy"), list(CELL), "left_semi"
+    ).withColumn("dsm", F.col("dsm").cast("double"))
     surface = surface.join(stencil.binomial(surface, "dsm"), list(CELL))
     got = rounded(maxima.maxima_layer(surface.select(*CELL, "dsm", F.expr("dsm - dtm").alias("chm"), "cmm", "source_id"), grid(spark, sf_dir), 2))
     return got.select(*(F.round(c, 4).alias(c) if c.endswith("variance") else c for c in got.columns))
@@ -144,7 +152,10 @@ def crown_classes(spark, sf_dir):
     return cr.crown_classes(cr.crowns(cells, tops, 1.0), tops, _classes(spark, sf_dir))
 
 
-@query(recursive(with_points(f"SELECT tree_id, cx, cy, {', '.join(f'coalesce({n}, 0) AS {n}' for n in cr.LAND_COVER)} FROM (SELECT * FROM trees UNION ALL SELECT -1, 0, 0) LEFT JOIN counted USING (tree_id)", f"{_TREES}, {_GROWN}, {_COUNTED}")))
+@query(recursive(with_points(
+    f"SELECT tree_id, cx, cy, {', '.join(f'coalesce({n}, 0) AS {n}' for n in cr.LAND_COVER)} FROM (SELECT * FROM trees UNION ALL SELECT -1, 0, 0) LEFT JOIN counted USING (tree_id)",
+    f"{_TREES}, {_GROWN}, {_COUNTED}"
+)))
 def merge_treetops(spark, sf_dir):
     """Layers of four tiles, and of one whose only tree has no crown, merged with their class counts."""
     cells, tops = _sloped(spark, sf_dir)

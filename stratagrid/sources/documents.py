@@ -17,9 +17,15 @@ def read_vrt(text: str) -> dict:
         for s in [x for x in b if x.tag.endswith("Source")]:
             rect = {f"dst_{k}": float(v) for k, v in s.find("DstRect").attrib.items()} if s.find("DstRect") is not None else {}
             sources.append({"kind": s.tag, "file": s.findtext("SourceFilename"), "band": int(s.findtext("SourceBand", "1"))} | rect)
-        bands.append({"name": b.findtext("Description"), "type": b.get("dataType"), "no_data": b.findtext("NoDataValue"), "colour": b.findtext("ColorInterp"), "block": (b.get("blockXSize"), b.get("blockYSize")), "sources": sources})
+        bands.append({
+            "name": b.findtext("Description"), "type": b.get("dataType"), "no_data": b.findtext("NoDataValue"), "colour": b.findtext("ColorInterp"),
+            "block": (b.get("blockXSize"), b.get("blockYSize")), "sources": sources
+        })
     transform = [float(x) for x in root.findtext("GeoTransform", "0,1,0,0,0,-1").split(",")]
-    return {"size_x": int(root.get("rasterXSize")), "size_y": int(root.get("rasterYSize")), "srs": root.findtext("SRS"), "transform": transform, "bands": bands}
+    return {
+        "size_x": int(root.get("rasterXSize")), "size_y": int(root.get("rasterYSize")), "srs": root.findtext("SRS"), "transform": transform,
+        "bands": bands
+    }
 
 
 def write_vrt(doc: dict) -> str:
@@ -55,14 +61,17 @@ def read_disk_benchmarks(spark: SparkSession, path: str) -> DataFrame:
     target = "struct<Path:string,BytesCount:bigint,IOCount:bigint,ReadBytes:bigint,ReadCount:bigint,WriteBytes:bigint,WriteCount:bigint,AverageReadLatencyMilliseconds:double,ReadLatencyStdev:double>"
     schema = f"TimeSpan struct<TestTimeSeconds:double,ThreadCount:int,Thread:array<struct<Id:int,Target:array<{target}>>>>, System struct<ComputerName:string,RunTime:string>"
     runs = spark.read.format("xml").option("rowTag", "Results").schema(schema).load(path)
-    threads = runs.select(F.col("System.ComputerName").alias("computer"), F.col("System.RunTime").alias("run_time"), F.col("TimeSpan.TestTimeSeconds").alias("seconds"), F.explode("TimeSpan.Thread").alias("t"))
+    threads = runs.select(
+        F.col("System.ComputerName").alias("computer"), F.col("System.RunTime").alias("run_time"), F.col("TimeSpan.TestTimeSeconds").alias("seconds"),
+        F.explode("TimeSpan.Thread").alias("t")
+    )
     targets = threads.select("computer", "run_time", "seconds", F.col("t.Id").alias("thread"), F.explode("t.Target").alias("x"))
     rate = lambda c: F.try_divide(c, F.col("seconds") * (1024.0 * 1024.0))
     return targets.select(
         "computer", "run_time", "seconds", "thread", F.col("x.Path").alias("target"), F.col("x.BytesCount").alias("bytes"), F.col("x.IOCount").alias("operations"),
         rate(F.col("x.BytesCount")).alias("mb_per_s"), rate(F.col("x.ReadBytes")).alias("read_mb_per_s"), rate(F.col("x.WriteBytes")).alias("write_mb_per_s"),
         (F.col("x.AverageReadLatencyMilliseconds") * 1000).alias("read_latency_us"), (F.col("x.ReadLatencyStdev") * 1000).alias("read_latency_sd_us"),
-    )
+    )
 
 
 def write_raster(raster: DataFrame, path: str, groups: dict[str, list[str]] | None = None) -> None:

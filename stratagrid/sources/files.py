@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Columns of the size table, by file extension.
-SIZE_TYPES = {"fjdslam": ("fjdslam",), "geoslam": ("geoslam",), "jpeg": ("jpg", "jpeg"), "ldr": ("ldr",), "las": ("las",), "laz": ("laz",), "tiff": ("tif", "tiff")}
+SIZE_TYPES = {
+    "fjdslam": ("fjdslam",), "geoslam": ("geoslam",), "jpeg": ("jpg", "jpeg"), "ldr": ("ldr",), "las": ("las",), "laz": ("laz",),
+    "tiff": ("tif", "tiff")
+}
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -43,7 +46,9 @@ def replace_extension(path: Column, extension: str) -> Column:
 
 def paired_files(clouds: DataFrame, rasters: DataFrame, column: str = "raster") -> DataFrame:
     """Clouds ``path`` with the raster file of the same name in ``column``; a cloud without one is an error when the result is computed."""
-    both = clouds.withColumn("_name", tile_name(F.col("path"))).join(rasters.select(tile_name(F.col("path")).alias("_name"), F.col("path").alias(column)), "_name", "left")
+    both = clouds.withColumn("_name", tile_name(F.col("path"))).join(
+        rasters.select(tile_name(F.col("path")).alias("_name"), F.col("path").alias(column)), "_name", "left"
+    )
     missing = F.assert_true(F.col(column).isNotNull(), F.concat(F.lit("no file of the name of "), F.col("path")))
     return both.withColumn("_ok", missing).filter("_ok is null").drop("_ok", "_name")
 

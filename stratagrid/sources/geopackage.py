@@ -52,7 +52,10 @@ def encode_layer(rows: pd.DataFrame, layer: str, kinds: dict[str, str], epsg: in
     own = rows.astype(object).where(rows.notna(), None)
     marks = ", ".join("?" * (1 + len(fields)))
     quoted = ", ".join(f'"{c}"' for c in fields)
-    db.executemany(f'INSERT INTO "{layer}" (geom, {quoted}) VALUES ({marks})', [(_point(x, y, epsg), *rest) for x, y, *rest in own[["x", "y", *fields]].itertuples(index=False)])
+    db.executemany(
+        f'INSERT INTO "{layer}" (geom, {quoted}) VALUES ({marks})',
+        [(_point(x, y, epsg), *rest) for x, y, *rest in own[["x", "y", *fields]].itertuples(index=False)]
+    )
     db.commit()
     return db.serialize()
 
@@ -73,7 +76,9 @@ def write_layers(points: DataFrame, folder: str, layer: str, epsg: int = 0) -> D
 def read_layers(spark: SparkSession, path: str, layer: str, schema: T.StructType) -> DataFrame:
     """``tile, x, y`` and the fields of ``schema`` from the layer of that name in the files below a folder or glob."""
     fields = [f.name for f in schema.fields]
-    full = T.StructType([T.StructField("tile", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), *schema.fields])
+    full = T.StructType([
+        T.StructField("tile", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), *schema.fields
+    ])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -60,9 +60,13 @@ def encode(raster: Raster) -> bytes:
     tags: list[tuple[int, int, list | bytes]] = [
         (_WIDTH, 4, [wide]), (_HEIGHT, 4, [high]), (_BITS, 3, [kind.itemsize * 8] * n), (_COMPRESSION, 3, [8]), (_PHOTOMETRIC, 3, [1]), (_STRIP_AT, 4, [0] * n), (_SAMPLES, 3, [n]), (_ROWS, 4, [high]),
         (_STRIP_SIZE, 4, [len(s) for s in strips]), (_PLANAR, 3, [2]), *([(_EXTRA, 3, [0] * (n - 1))] if n > 1 else []), (_KIND, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * n),
-        (_PIXEL, 12, [raster.cell, raster.cell, 0.0]), (_TIE, 12, [0.0, 0.0, 0.0, raster.x0, raster.y0, 0.0]), (_GEO_KEYS, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, raster.epsg]),
-        (_METADATA, 2, f"<GDALMetadata>{names}</GDALMetadata>".encode() + b"\0"), *([(_NO_DATA, 2, repr(raster.no_data).encode() + b"\0")] if raster.no_data is not None else []),
-    ]
+        (_PIXEL, 12, [raster.cell, raster.cell, 0.0]), (_TIE, 12, [0.0, 0.0, 0.0, raster.x0, raster.y0, 0.0]), (
+            _GEO_KEYS, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, raster.epsg]
+        ),
+        (
+            _METADATA, 2, f"<GDALMetadata>{names}</GDALMetadata>".encode() + b"\0"
+        ), *([(_NO_DATA, 2, repr(raster.no_data).encode() + b"\0")] if raster.no_data is not None else []),
+    ]
     behind = 8 + 2 + 12 * len(tags) + 4
     extra, entries = b"", b""
     packed = {t: v if isinstance(v, bytes) else struct.pack(f"<{len(v)}{_FIELDS[k][0]}", *v) for t, k, v in tags}
@@ -168,7 +172,10 @@ def read_tiles(spark: SparkSession, path: str, bands: list[str], grid: GridSpec)
                 y, x = np.nonzero(~gone.all(axis=0))
                 tile = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 cols = [pa.array(values[i, y, x], mask=gone[i, y, x]) for i in range(len(bands))]
-                yield pa.record_batch([pa.array([tile] * len(y)), pa.array((x + col).astype(np.int32)), pa.array((y + row).astype(np.int32)), *cols], names=["tile", "cx", "cy", *bands])
+                yield pa.record_batch(
+                    [pa.array([tile] * len(y)), pa.array((x + col).astype(np.int32)), pa.array((y + row).astype(np.int32)), *cols],
+                    names=["tile", "cx", "cy", *bands]
+                )
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][iI][fF]").load(path).select("path", "content")
     return files.mapInArrow(read, "tile string, cx int, cy int, " + ", ".join(f"{b} double" for b in bands))

@@ -83,7 +83,7 @@ def parse_header(raw: bytes) -> dict:
     return dict(zip(names, numbers, strict=True)) | {
         "file_source": source, "global_encoding": encoding, "version": f"{major}.{minor}", "system": _text(raw[26:58]), "software": _text(raw[58:90]), "created": created_on(year, day), "header_size": header_size,
         "points_at": points_at, "vlr_count": vlrs, "format": form & 63, "compressed": bool(form & 128), "record_length": length, "points": points, "by_return": by_return, "evlr_at": evlr_at, "evlr_count": evlr_count,
-    }
+    }
 
 
 def read_header(file: RangeReader | bytes) -> dict:
@@ -112,12 +112,16 @@ def decode_points(raw: bytes, form: int, length: int) -> dict[str, np.ndarray |
     if form < 6:
         cls = rec[:, 15]
         out |= {"return_number": flags & 7, "number_of_returns": flags >> 3 & 7, "scan_direction": flags & 64 != 0, "edge": flags & 128 != 0}
-        out |= {"classification": cls & 31, "synthetic": cls & 32 != 0, "key_point": cls & 64 != 0, "withheld": cls & 128 != 0, "overlap": cls & 31 == 12}
+        out |= {
+            "classification": cls & 31, "synthetic": cls & 32 != 0, "key_point": cls & 64 != 0, "withheld": cls & 128 != 0, "overlap": cls & 31 == 12
+        }
         out |= {"scan_angle_raw": np.rint(np.ascontiguousarray(rec[:, 16]).view(np.int8) / 0.006), "source_id": field(18, "<u2")}
     else:
         more = rec[:, 15]
         out |= {"return_number": flags & 15, "number_of_returns": flags >> 4, "scan_direction": more & 64 != 0, "edge": more & 128 != 0}
-        out |= {"classification": rec[:, 16], "synthetic": more & 1 != 0, "key_point": more & 2 != 0, "withheld": more & 4 != 0, "overlap": more & 8 != 0}
+        out |= {
+            "classification": rec[:, 16], "synthetic": more & 1 != 0, "key_point": more & 2 != 0, "withheld": more & 4 != 0, "overlap": more & 8 != 0
+        }
         out |= {"scan_angle_raw": field(18, "<i2"), "source_id": field(20, "<u2")}
     out["gps_time"] = field(_TIME_AT[form], "<f8") if form in _TIME_AT else None
     for i, c in enumerate(("red", "green", "blue")):
@@ -153,7 +157,7 @@ def cloud_info(headers: DataFrame) -> DataFrame:
     return headers.select(
         name.alias("tile"), "version", "format", "record_length", "points", F.size("vlrs").alias("records"), "created", "x_scale", "y_scale", "z_scale", "x_offset", "y_offset", "z_offset",
         "x_min", "x_max", "y_min", "y_max", "z_min", "z_max", "wkt",
-    )
+    )
 
 
 def _kinds() -> list[tuple[str, pa.DataType]]:
@@ -165,7 +169,9 @@ def read_points(spark: SparkSession, path: str, split_points: int = SPLIT_POINTS
     """All points of uncompressed files, raw coordinates. ``seq`` is a point's place in its file."""
     heads = read_headers(spark, path).select("path", "format", "compressed", "record_length", "points_at", "points")
     n = heads.agg(F.sum(F.ceil(F.col("points") / split_points))).first()[0] or 0
-    splits = heads.filter("points > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1, F.lit(split_points).cast("long"))).alias("first"))
+    splits = heads.filter("points > 0").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1, F.lit(split_points).cast("long"))).alias("first")
+    )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +243,10 @@ def encode_header(
     """A header of version 1.4 for points that follow ``records``; ``bounds`` are (least, greatest) by axis."""
     at, old = HEADER + len(records), count if form < 6 and count < 1 << 32 else 0
     few = [n if old else 0 for n in by_return[:5]]
-    head = b"LASF" + struct.pack("<HH16sBB32s32sHHHIIBHI5I", 0, 16 if form > 5 else 0, b"", 1, 4, system.encode(), software.encode(), *day, HEADER, at, n_records, form, RECORD_LENGTH[form], old, *few)
+    head = b"LASF" + struct.pack(
+        "<HH16sBB32s32sHHHIIBHI5I", 0, 16 if form > 5 else 0, b"", 1, 4, system.encode(), software.encode(), *day, HEADER, at, n_records, form,
+        RECORD_LENGTH[form], old, *few
+    )
     head += struct.pack("<12d", *scale, *offset, *(v for low, high in bounds for v in (high, low)))
     behind = at + count * RECORD_LENGTH[form] if n_extended else 0
     return head + struct.pack("<QQIQ15Q", 0, behind, n_extended, count, *by_return)
@@ -256,7 +265,10 @@ def patch_header(head: bytes, created: datetime.date | None = None, offsets: tup
     return bytes(out)
 
 
-def encode_file(points: pd.DataFrame, scale: float = 0.001, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), wkt: str = "", day: tuple[int, int] = (1, 2024), form: int = 6) -> bytes:
+def encode_file(
+    points: pd.DataFrame, scale: float = 0.001, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), wkt: str = "", day: tuple[int, int] = (1, 2024),
+    form: int = 6
+) -> bytes:
     """A whole file from rows of ``POINTS``."""
     n = len(points)
     records = encode_record("LASF_Projection", 2112, wkt.encode() + b"\0", "WKT") if wkt else b""
@@ -270,7 +282,7 @@ def encode_file(points: pd.DataFrame, scale: float = 0.001, offset: tuple[float,
 def write_points(
     points: DataFrame, folder: str, form: int = 6, scale: tuple[float, float, float] = (0.001,) * 3, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), wkt: str = "", day: tuple[int, int] = (1, 2024),
     records: list[tuple[str, int, bytes]] = (), extended: list[tuple[str, int, bytes]] = (),
-) -> DataFrame:
+) -> DataFrame:
     """Write one file ``<tile>.las`` for each tile, in any point format; ``tile, path, points`` of what is written when that is computed.
 
     Counts and bounds come first, as a row of their own before a tile's points, which are then streamed in the order of ``seq``: a
@@ -283,7 +295,10 @@ def write_points(
     kind = dict(heads.dtypes)["head"]
     order = F.col("seq") if "seq" in have else F.lit(0).cast("long")
     rows = points.select(*have, F.lit(None).cast(kind).alias("head"), order.alias("_order"), F.lit(1).alias("_kind"))
-    firsts = heads.select(*(F.col("tile") if c == "tile" else F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in have), "head", F.lit(0).cast("long").alias("_order"), F.lit(0).alias("_kind"))
+    firsts = heads.select(
+        *(F.col("tile") if c == "tile" else F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in have), "head",
+        F.lit(0).cast("long").alias("_order"), F.lit(0).alias("_kind")
+    )
     before = [("LASF_Projection", 2112, wkt.encode() + b"\0"), *records] if wkt else list(records)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +321,9 @@ def write_points(
                         path = f"{folder.rstrip('/')}/{tile}.las"
                         file = WholeFile(path)
                         bounds = [(head["span"][2 * k] * scale[k] + offset[k], head["span"][2 * k + 1] * scale[k] + offset[k]) for k in range(3)]
-                        file.write(encode_header(head["n"], head["returns"], bounds, form, scale, offset, front, len(before), len(extended), day) + front)
+                        file.write(encode_header(
+                            head["n"], head["returns"], bounds, form, scale, offset, front, len(before), len(extended), day
+                        ) + front)
                         out.append((tile, path, head["n"]))
                         a += 1
                     if a < b:
@@ -317,7 +334,9 @@ def write_points(
             if file:
                 file.__exit__(type(error))
             raise
-        yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["tile", "path", "points"])
+        yield pa.record_batch(
+            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["tile", "path", "points"]
+        )
 
     dealt = rows.unionByName(firsts).repartition("tile").sortWithinPartitions("tile", "_kind", "_order")
     return dealt.mapInArrow(write, "tile string, path string, points long")
@@ -330,11 +349,15 @@ def set_header(headers: DataFrame, created=None, offsets: tuple[float, float, fl
         new["created"] = F.lit(created).cast("date")
     if offsets is not None:
         new |= {f"{a}_offset": F.lit(o) for a, o in zip("xyz", offsets, strict=True)}
-        new |= {f"{a}_{m}": F.col(f"{a}_{m}") + (F.lit(o) - F.col(f"{a}_offset")) for a, o in zip("xyz", offsets, strict=True) for m in ("min", "max")}
+        new |= {
+            f"{a}_{m}": F.col(f"{a}_{m}") + (F.lit(o) - F.col(f"{a}_offset")) for a, o in zip("xyz", offsets, strict=True) for m in ("min", "max")
+        }
     return headers.withColumns(new) if new else headers
 
 
-def rewrite_headers(spark: SparkSession, path: str, folder: str, created: datetime.date | None = None, offsets: tuple[float, float, float] | None = None) -> DataFrame:
+def rewrite_headers(
+    spark: SparkSession, path: str, folder: str, created: datetime.date | None = None, offsets: tuple[float, float, float] | None = None
+) -> DataFrame:
     """Copies of files in ``folder`` with the header changed; ``path`` of each, written when that is computed."""
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
