@@ -52,6 +52,9 @@ FULL_TILE = 256
 #: Members of a family that meet one copy of their leader's text.
 LED = 1024
 
+#: Links up to which components are settled by one task, which took 115 MB for that many; more take rounds, of two plans each.
+AT_ONCE = 1 << 20
+
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each text, laid end to end; and the size of each text's set."""
@@ -230,7 +233,7 @@ def _deal(groups: DataFrame, tile: int) -> DataFrame:
 
 def _families(edges: DataFrame, name: str) -> DataFrame:
     """``rep, comp`` of the classes that an edge touches."""
-    return stage(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("comp")), name)
+    return stage(components(edges, at_once=AT_ONCE).select(F.col("id").alias("rep"), F.col("component").alias("comp")), name)
 
 
 def near_duplicates(

@@ -143,7 +143,8 @@ def fit(
     """Adam on the log loss of documents."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = ((x - mean) / scale).astype(np.float32)
+    z = (x - mean).astype(np.float32, copy=False)
+    z /= scale
     n = x.shape[1]
     p = {
         "w": rng.normal(0, n**-0.5, (n, hidden)), "b": np.zeros(hidden), "v": rng.normal(0, 0.2, (hidden, hidden)),
@@ -212,7 +213,9 @@ def train(
     if not rows:
         return None
     bags = [np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows]
-    return fit(np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float32))
+    x, counts, y = np.concatenate(bags, dtype=np.float32), np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float32)
+    del rows, bags
+    return fit(x, counts, y)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: AttentionModel | None) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from stratagrid.llm import chat, metric_join, minhash, mixing, pii, quality, queries, repeats, toxicity, wavelet, winnow  # noqa: E402
 from stratagrid.llm.components import components  # noqa: E402
+from stratagrid.operators import components as rounds  # noqa: E402
+from stratagrid.staging import stage  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string"
@@ -93,6 +95,29 @@ def test_components(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("at_once", [10**6, 150])
+def test_components_settled_by_one_task(spark, at_once):
+    rng = np.random.default_rng(3)
+    winding = rng.permutation(np.arange(-400, 0)).tolist()
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + list(zip(winding[:-1], winding[1:])) + [(7, 7), (-(2**63), 2**63 - 1)]
+    got = components(spark.createDataFrame([*edges, (None, 5)], "a long, b long"), at_once=at_once).collect()
+    linked = [e for e in edges if e[0] != e[1]]
+    want = brute.roots(sorted({x for e in linked for x in e}), linked)
+    assert sorted((r.id, r.component) for r in got) == sorted(want.items())
+    assert not components(spark.createDataFrame([(7, 7)], "a long, b long"), at_once=at_once).count()
+
+
+def test_components_of_near_duplicates_take_few_plans(spark, monkeypatch):
+    """The driver holds the plans of every round: with few links there are none, and the result is the same."""
+    staged = []
+    monkeypatch.setattr(rounds, "stage", lambda df, name, *more: staged.append(name) or stage(df, name, *more))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(minhash.near_duplicates(docs).collect())
+    assert staged == ["edges"] * 4
+    monkeypatch.setattr(minhash, "AT_ONCE", 0)
+    assert sorted(minhash.near_duplicates(docs).collect()) == got and len(staged) > 8
+
+
 def test_base_personal_data():
     texts = ["a@b.co x@y.z.w, @c.d e@f", "1.2.3.4.5.6.7.8 300.1.1.1 01.02.03.004", "4111 1111 1111 1111 and 4111-1111-1111-1112 12 34", "+1 (258) 555-7056 + 5 +49 30 1 +1", "a@b@c.de.f@g.h", "", "é@é.com é ü.x@q-r.st"]
     rng = np.random.default_rng(5)
